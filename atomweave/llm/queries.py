@@ -16,5 +16,30 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "class_id")
 
 
-QUERIES = {"op2_ngram_jaccard_join": op2_ngram_jaccard_join}
+def op3_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from atomweave.llm.mixing import mix_sources
+
+    return mix_sources(documents(spark, sf_dir))[0].select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from atomweave.llm.quality import quality_rules
+
+    return quality_rules(documents(spark, sf_dir).select("doc_id", "text", "source")).drop("text", "source", "clean_text")
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from atomweave.llm.packing import pack_documents
+
+    return pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+QUERIES = {
+    "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op3_mixing_sources": op3_mixing_sources,
+    "op4_quality_rules": op4_quality_rules,
+    "op8_best_fit_packing": op8_best_fit_packing,
+}
 ORACLES: dict[str, str] = {}
