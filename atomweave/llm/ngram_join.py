@@ -5,6 +5,7 @@ prefix n-grams, and one exact verification per pair.
 
 1. One pass hashes every document's n-gram set (``shingle_sets``) and counts n-grams in a sketch of ``2**SKETCH_BITS``
    counters. The order (counter, hash) puts rare n-grams first; any common order is exact, this one is selective.
+   A parity map of each set is kept as the suffix filter's bound on how far two sets are apart.
 2. Equal sets form classes, so copies cost one row each. A second pass emits each set's prefix.
 3. Prefix rows meet at their n-gram. There, every class is offered two partners, the first of the n-gram's list and the
    one just before it; each class has its two most frequent offers verified. That links groups of near copies with a
@@ -30,8 +31,8 @@ from atomweave.operators.graph import connected_components
 from atomweave.session import cut
 
 SKETCH_BITS = 20
-#: Bits of the parity map and partitions of a suffix that the suffix filter compares.
-PARITY_BITS = 512
+#: Bits of a set's parity map, by which the suffix filter bounds how many n-grams two sets have apart.
+PARITY_BITS = 1024
 #: Sets of one task that are remembered, so that copies read by the same task emit their prefix once.
 REMEMBERED = 200_000
 
@@ -45,6 +46,12 @@ def _class_of(s: np.ndarray) -> int:
     return int(mix(both[:1] ^ mix(both[1:]))[0].view(np.int64)) or 1
 
 
+def _parity(s: np.ndarray) -> bytes:
+    """One bit per hash bucket: whether the set has an odd number of n-grams there."""
+    marks = np.bincount((s & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS) & 1
+    return np.packbits(marks.astype(np.uint8)).tobytes()
+
+
 def prefix_length(n: int) -> int:
     """How many of the first n-grams of a set must meet those of any set with Jaccard of 3/4 or more."""
     return n - (3 * n + 3) // 4 + 1 if n else 0
@@ -53,8 +60,8 @@ def prefix_length(n: int) -> int:
 def _measure(width: int, bits: int):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << bits, np.int64)
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-        names = ("doc_id", "n_shingles", "cls", "chunk", "counts")
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary())
+        names = ("doc_id", "n_shingles", "cls", "parity", "chunk", "counts")
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), encoded(batch.column(1))
             for a, b in slices(texts):
@@ -62,10 +69,10 @@ def _measure(width: int, bits: int):
                 if len(every := np.concatenate(sets)):
                     counts += np.bincount((every >> np.uint64(64 - bits)).astype(np.int64), minlength=len(counts))
                 none = [None] * (b - a)
-                columns = (ids[a:b], [len(s) for s in sets], [_class_of(s) for s in sets], none, none)
+                columns = (ids[a:b], [len(s) for s in sets], [_class_of(s) for s in sets], [_parity(s) for s in sets], none, none)
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
         for chunk, blob in sketch.chunks(counts):
-            yield pa.record_batch([pa.array([c], k) for c, k in zip((None, None, None, chunk, blob), kinds)], names=names)
+            yield pa.record_batch([pa.array([c], k) for c, k in zip((None, None, None, None, chunk, blob), kinds)], names=names)
 
     return kernel
 
@@ -150,13 +157,9 @@ def _sets(width: int, bits: int, wanted):
             ids, texts = batch.column(0).to_pylist(), encoded(batch.column(1))
             for a, b in slices(texts):
                 sets = shingle_sets(texts[a:b], width)
-                parity = []
-                for s in sets:
-                    marks = np.bincount((s & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS) & 1
-                    parity.append(np.packbits(marks.astype(np.uint8)).tobytes())
                 yield pa.record_batch(
-                    [pa.array(ids[a:b], pa.int64()), pa.array([_class_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(parity, pa.binary())],
-                    names=["doc_id", "cls", "grams", "parity"],
+                    [pa.array(ids[a:b], pa.int64()), pa.array([_class_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
+                    names=["doc_id", "cls", "grams"],
                 )
 
     return kernel
@@ -186,8 +189,21 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
 
 
+def _links(docs: DataFrame, pairs: DataFrame, classes: DataFrame, width: int, name: str) -> DataFrame:
+    """Of distinct ``pairs(a, b)`` of classes those that link: suffix filter first, then each pair's sets compared."""
+    spark, bits = docs.sparkSession, SKETCH_BITS
+    side = classes.select("cls", "parity", "n")
+    for x in "ab":
+        pairs = pairs.join(side.select(F.col("cls").alias(x), F.col("parity").alias(f"p{x}"), F.col("n").alias(f"n{x}")), x)
+    pairs = cut(pairs.select("a", "b", "pa", "pb", "na", "nb").mapInArrow(_suffix_filter, "a long, b long"), "pairs")
+    involved = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes.select("cls", "class_id"), "cls")
+    wanted = spark.sparkContext.broadcast(sketch.id_table(involved.select("class_id"), bits))
+    found = docs.where("doc_id is not null").mapInArrow(_sets(width, bits, wanted), "doc_id long, cls long, grams binary")
+    sets = found.join(involved.select(F.col("class_id").alias("doc_id"), "cls"), ["doc_id", "cls"]).dropDuplicates(["doc_id", "cls"])
+    return cut(_verified(pairs, cut(sets.select("cls", "grams"), "sets")), name)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of distinct ``pairs(a, b)`` those whose sets link."""
     with_a = pairs.join(sets.select(F.col("cls").alias("a"), F.col("grams").alias("ga")), "a")
     both = with_a.join(sets.select(F.col("cls").alias("b"), F.col("grams").alias("gb")), "b")
     return both.select("a", "b", "ga", "gb").mapInArrow(_verify, "a long, b long")
@@ -206,16 +222,17 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5) -> DataFrame:
     Returns one row per input row: ``doc_id, n_shingles, class_id, component_id``. A null text counts as empty; empty
     texts have ``n_shingles`` 0 and are their own component. Texts with fewer than ``width`` words have one n-gram, the
     whole sequence. Equal sets share ``class_id`` (their smallest doc_id); ``component_id`` is the smallest doc_id
-    reachable over links. Repeated rows give repeated rows; a null doc_id joins its text's component and has the
-    component's id. Other columns are ignored. An empty table gives an empty result.
+    reachable over links. Repeated rows give repeated rows; a row without doc_id follows the rows of equal n-gram set,
+    and without any links to nothing. Other columns are ignored. An empty table gives an empty result.
     """
     spark, bits = docs.sparkSession, SKETCH_BITS
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    kinds = "doc_id long, n_shingles long, cls long, chunk int, counts binary"
+    kinds = "doc_id long, n_shingles long, cls long, parity binary, chunk int, counts binary"
     measured = cut(docs.mapInArrow(_measure(width, bits), kinds), "measured")
     meta = measured.where("chunk is null").select("doc_id", "n_shingles", "cls")
     order = spark.sparkContext.broadcast(sketch.merged(measured.where("chunk is not null").select("chunk", "counts"), bits))
-    classes = meta.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("class_id"))
+    classes = measured.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("class_id"), F.min("n_shingles").alias("n"), F.first("parity").alias("parity"))
+    classes = cut(classes, "classes")
 
     prefixes = docs.select("text").mapInArrow(_prefixes(width, bits, order), "token long, cls long, n int, pos int")
     met = prefixes.repartition("token").sortWithinPartitions("token", "n", "cls").mapInArrow(
@@ -223,31 +240,23 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5) -> DataFrame:
     )
     met = cut(met, "met")
 
-    involved = met.select("cls").distinct().join(classes, "cls").select("cls", "class_id")
-    wanted = spark.sparkContext.broadcast(sketch.id_table(involved.select("class_id"), bits))
-    found = docs.where("doc_id is not null").mapInArrow(_sets(width, bits, wanted), "doc_id long, cls long, grams binary, parity binary")
-    sets = found.join(involved.select(F.col("class_id").alias("doc_id"), "cls"), ["doc_id", "cls"]).select("cls", "grams", "parity").dropDuplicates(["cls"])
-    sets = cut(sets, "sets")
-
     offers = met.where(F.col("cls") != F.col("hub")).where(_could_link("", "hub_")).select("cls", F.col("hub").alias("with")).unionAll(
         met.where((F.col("cls") != F.col("prev")) & (F.col("prev") != F.col("hub"))).where(_could_link("", "prev_")).select("cls", F.col("prev").alias("with"))
     )
     votes = offers.groupBy("cls", "with").count()
     best = votes.withColumn("r", F.row_number().over(Window.partitionBy("cls").orderBy(F.desc("count"), "with"))).where("r <= 2")
     pairs = best.select(F.least("cls", "with").alias("a"), F.greatest("cls", "with").alias("b")).distinct()
-    links = cut(_verified(pairs, sets), "links")
+    links = _links(docs, pairs, classes, width, "links")
     first = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
 
     named = met.select("token", "cls", "n", "pos").join(first.withColumnRenamed("vertex", "cls"), "cls", "left")
-    named = named.withColumn("component", F.coalesce("component", "cls"))
+    named = cut(named.withColumn("component", F.coalesce("component", "cls")), "named")
     mixed = named.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
-    left = cut(named.join(mixed, "token"), "left")
+    left = named.join(mixed, "token")
     x, y = left.select(*[F.col(c).alias(f"x_{c}") for c in left.columns]), left.select(*[F.col(c).alias(f"y_{c}") for c in left.columns])
     crossing = x.join(y, (F.col("x_token") == F.col("y_token")) & (F.col("x_cls") < F.col("y_cls")) & (F.col("x_component") != F.col("y_component")) & _could_link("x_", "y_"))
-    crossing = crossing.groupBy(F.col("x_cls").alias("a"), F.col("y_cls").alias("b")).agg(F.first("x_n").alias("na"), F.first("y_n").alias("nb"))
-    crossing = crossing.join(sets.select(F.col("cls").alias("a"), F.col("parity").alias("pa")), "a").join(sets.select(F.col("cls").alias("b"), F.col("parity").alias("pb")), "b")
-    crossing = crossing.select("a", "b", "pa", "pb", "na", "nb").mapInArrow(_suffix_filter, "a long, b long")
-    more = cut(_verified(cut(crossing, "crossing"), sets), "more")
+    crossing = crossing.select(F.col("x_cls").alias("a"), F.col("y_cls").alias("b")).distinct()
+    more = _links(docs, crossing.join(pairs, ["a", "b"], "left_anti"), classes, width, "more")
 
     every = links.unionAll(more).select(F.col("a").alias("src"), F.col("b").alias("dst"))
     final = connected_components(every).withColumnRenamed("vertex", "cls")

@@ -36,10 +36,24 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its lines, and which of them match an earlier line of the corpus."""
+    from atomweave.llm.line_dedup import matched_lines
+
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    removed = matched_lines(docs).groupBy("doc_id", "mark").agg(F.sort_array(F.collect_list("line_no")).alias("gone"))
+    lines = docs.select("doc_id", F.xxhash64("text").alias("mark"), F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).alias("n_lines"))
+    removed = removed.select(F.col("doc_id").alias("_doc"), F.col("mark").alias("_mark"), "gone")
+    both = lines.join(removed, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("mark") == F.col("_mark")), "left")
+    gone = F.coalesce("gone", F.expr("cast(array() as array<int>)"))
+    return both.select("doc_id", F.col("n_lines").cast("long"), F.size(gone).cast("long").alias("n_removed"), F.array_join(gone.cast("array<string>"), ",").alias("removed_lines"))
+
+
 QUERIES = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_mixing_sources": op3_mixing_sources,
     "op4_quality_rules": op4_quality_rules,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_line_dedup": op9_line_dedup,
 }
 ORACLES: dict[str, str] = {}
