@@ -31,12 +31,16 @@ def _words(line: Column) -> Column:
 
 
 def _lines(docs: DataFrame, width: int, fewest: int) -> DataFrame:
-    """``(doc, mark, line_no, grams)`` of the lines that take part; mark tells texts of one doc_id apart."""
+    """``(doc, mark, line_no, grams)`` of all lines; those with too few words have no grams.
+
+    Mark tells texts of one doc_id apart. Lines aren't filtered here: a filter on grams would compute them twice.
+    """
     lines = docs.select(
         F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), F.xxhash64("text").alias("mark"), F.posexplode(F.split("text", "\n")).alias("line_no", "line")
     )
-    lines = lines.select("doc", "mark", "line_no", _words(F.col("line")).alias("words")).where(F.size("words") >= fewest)
-    at = F.sequence(F.lit(1), F.greatest(F.size("words") - (width - 1), F.lit(1)))
+    lines = lines.select("doc", "mark", "line_no", _words(F.col("line")).alias("words"))
+    none = F.expr("cast(array() as array<int>)")
+    at = F.when(F.size("words") >= fewest, F.sequence(F.lit(1), F.greatest(F.size("words") - (width - 1), F.lit(1)))).otherwise(none)
     gram = F.transform(at, lambda i: F.xxhash64(*[F.get(F.col("words"), i + (j - 1)) for j in range(width)]))
     return lines.select("doc", "mark", "line_no", F.array_distinct(gram).alias("grams"))
 
@@ -48,7 +52,7 @@ def _bucket(token: Column) -> Column:
 def _ranks(lines: DataFrame) -> Column:
     """The rank by rarity of each token bucket, as a constant: its size doesn't depend on the input's."""
     spark = lines.sparkSession
-    counts = lines.select(F.explode("grams").alias("gram")).select(_bucket(F.col("gram")).alias("bucket")).groupBy("bucket").count()
+    counts = lines.select(F.explode_outer("grams").alias("gram")).where("gram is not null").select(_bucket(F.col("gram")).alias("bucket")).groupBy("bucket").count()
     every = spark.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").fillna(0, ["count"])
     ranked = every.withColumn("rank", F.row_number().over(Window.orderBy("count", "bucket")) - 1)
     ranks = [r["rank"] for r in ranked.orderBy("bucket").select("rank").collect()]
@@ -109,7 +113,7 @@ def matched_lines(docs: DataFrame, width: int = WIDTH, fewest: int = FEWEST_WORD
     lines = _lines(docs, width, fewest).select("doc", "mark", "line_no", codes.alias("codes"))
     n = F.size("codes")
     prefix = F.transform(F.slice("codes", 1, n - F.floor((3 * n + 3) / 4).cast("int") + 1), lambda c: F.hash(c))
-    lines = cut(lines.select("doc", "mark", "line_no", F.xxhash64("codes").alias("cls"), n.alias("n"), prefix.alias("prefix")), "lines")
+    lines = cut(lines.select("doc", "mark", "line_no", F.xxhash64("codes").alias("cls"), n.alias("n"), prefix.alias("prefix")), "lines").where("n > 0")
 
     classes = lines.groupBy("cls").agg(F.min(F.struct("doc", "mark", "line_no", "n", "prefix")).alias("f")).select("cls", "f.*")
     rows = classes.select("cls", "doc", "mark", "line_no", "n", F.posexplode("prefix").alias("pos", "token"))

@@ -49,11 +49,18 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", F.col("n_lines").cast("long"), F.size(gone).cast("long").alias("n_removed"), F.array_join(gone.cast("array<string>"), ",").alias("removed_lines"))
 
 
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from atomweave.llm.substring_dedup import repeated_substrings
+
+    return repeated_substrings(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_mixing_sources": op3_mixing_sources,
     "op4_quality_rules": op4_quality_rules,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_line_dedup": op9_line_dedup,
+    "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
 ORACLES: dict[str, str] = {}
