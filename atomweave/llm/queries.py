@@ -10,6 +10,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from atomweave.llm.fingerprints import fingerprint_documents
+
+    return fingerprint_documents(documents(spark, sf_dir))
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from atomweave.llm.ngram_join import ngram_jaccard_join
 
@@ -28,6 +34,17 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir).select("doc_id", "text", "source")).drop("text", "source", "clean_text")
 
 
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One formatted pair per conversation; masks as ``start:end`` lists."""
+    from atomweave.llm.preferences import conversation_pairs, format_preferences
+
+    made = format_preferences(conversation_pairs(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+    told = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
+    return made.select(
+        "conv_id", "other_id", "n_prompt_turns", "prompt", "chosen_text", "rejected_text", told(F.col("chosen_mask")).alias("chosen_mask"), told(F.col("rejected_mask")).alias("rejected_mask")
+    )
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -55,10 +72,26 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_substrings(documents(spark, sf_dir))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from atomweave.llm.html import extract_main_text
+
+    return extract_main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from atomweave.llm.secrets import scan_secrets
+
+    return scan_secrets(documents(spark, sf_dir))
+
+
 QUERIES = {
+    "op1_document_fingerprints": op1_document_fingerprints,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_mixing_sources": op3_mixing_sources,
     "op4_quality_rules": op4_quality_rules,
+    "op5_html_extraction": op5_html_extraction,
+    "op6_secret_scans": op6_secret_scans,
+    "op7_chat_formatting": op7_chat_formatting,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_line_dedup": op9_line_dedup,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
