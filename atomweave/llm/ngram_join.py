@@ -31,8 +31,10 @@ from atomweave.operators.graph import connected_components
 from atomweave.session import cut
 
 SKETCH_BITS = 20
-#: Bits of a set's parity map, by which the suffix filter bounds how many n-grams two sets have apart.
+#: Fewest bits of a set's parity map, by which the suffix filter bounds how many n-grams two sets have apart.
 PARITY_BITS = 1024
+#: Partners by which a class is linked before the remaining pairs are formed.
+PARTNERS = 3
 #: Sets of one task that are remembered, so that copies read by the same task emit their prefix once.
 REMEMBERED = 200_000
 
@@ -47,8 +49,9 @@ def _class_of(s: np.ndarray) -> int:
 
 
 def _parity(s: np.ndarray) -> bytes:
-    """One bit per hash bucket: whether the set has an odd number of n-grams there."""
-    marks = np.bincount((s & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS) & 1
+    """One bit per hash bucket: whether the set has an odd number of n-grams there; as many bits as n-grams at least."""
+    bits = max(PARITY_BITS, 1 << (len(s) - 1).bit_length())
+    marks = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(marks.astype(np.uint8)).tobytes()
 
 
@@ -165,16 +168,25 @@ def _sets(width: int, bits: int, wanted):
     return kernel
 
 
+def _apart(x: bytes, y: bytes) -> int:
+    """A lower bound of the number of n-grams in which two sets differ; the larger map is folded to the smaller's size."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    if len(a) < len(b):
+        a, b = b, a
+    if len(a) > len(b):
+        a = np.bitwise_xor.reduce(a.reshape(-1, len(b)), axis=0)
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def _suffix_filter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Drop pairs whose parity maps differ in more bits than linked sets can have n-grams apart."""
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, PARITY_BITS // 8) for i in (2, 3))
-        apart = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+        maps = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())
+        apart = np.fromiter((_apart(x, y) for x, y in maps), np.int64, batch.num_rows)
         total = batch.column(4).to_numpy() + batch.column(5).to_numpy()
-        need = -(-3 * total.astype(np.int64) // 7)
-        yield batch.filter(pa.array(apart <= total - 2 * need)).select([0, 1])
+        keep = apart <= total - 2 * -(-3 * total.astype(np.int64) // 7)
+        kept = batch.filter(pa.array(keep)).select([0, 1])
+        yield pa.record_batch([*kept.columns, pa.array(apart[keep])], names=["a", "b", "apart"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,13 +201,20 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
 
 
-def _links(docs: DataFrame, pairs: DataFrame, classes: DataFrame, width: int, name: str) -> DataFrame:
-    """Of distinct ``pairs(a, b)`` of classes those that link: suffix filter first, then each pair's sets compared."""
+def _links(docs: DataFrame, pairs: DataFrame, classes: DataFrame, width: int, name: str, nearest: int = 0) -> DataFrame:
+    """Of distinct ``pairs(a, b)`` of classes those that link: suffix filter first, then each pair's sets compared.
+
+    With ``nearest``, only so many pairs of each ``a`` are compared, those that the filter finds closest.
+    """
     spark, bits = docs.sparkSession, SKETCH_BITS
     side = classes.select("cls", "parity", "n")
     for x in "ab":
         pairs = pairs.join(side.select(F.col("cls").alias(x), F.col("parity").alias(f"p{x}"), F.col("n").alias(f"n{x}")), x)
-    pairs = cut(pairs.select("a", "b", "pa", "pb", "na", "nb").mapInArrow(_suffix_filter, "a long, b long"), "pairs")
+    pairs = pairs.select("a", "b", "pa", "pb", "na", "nb").mapInArrow(_suffix_filter, "a long, b long, apart long")
+    if nearest:
+        closest = Window.partitionBy("a").orderBy("apart", "b")
+        pairs = pairs.withColumn("r", F.row_number().over(closest)).where(F.col("r") <= nearest)
+    pairs = cut(pairs.select("a", "b"), f"{name}-pairs")
     involved = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes.select("cls", "class_id"), "cls")
     wanted = spark.sparkContext.broadcast(sketch.id_table(involved.select("class_id"), bits))
     found = docs.where("doc_id is not null").mapInArrow(_sets(width, bits, wanted), "doc_id long, cls long, grams binary")
@@ -216,6 +235,15 @@ def _could_link(x: str, y: str):
     return (4 * F.least(n, m) >= 3 * F.greatest(n, m)) & (F.least(n - pos, m - q) >= need)
 
 
+def _mixed(met: DataFrame, components: DataFrame, name: str) -> DataFrame:
+    """Prefix rows with their class's component, of the n-grams where several components meet."""
+    named = met.select("token", "cls", "n", "pos").join(components.withColumnRenamed("vertex", "cls"), "cls", "left")
+    named = named.withColumn("component", F.coalesce("component", "cls"))
+    group = Window.partitionBy("token")
+    named = named.withColumn("lo", F.min("component").over(group)).withColumn("hi", F.max("component").over(group))
+    return cut(named.where("lo < hi").drop("lo", "hi"), name)
+
+
 def ngram_jaccard_join(docs: DataFrame, width: int = 5) -> DataFrame:
     """Classes and components of ``docs(doc_id, text)`` under Jaccard similarity of 75 % or more of word n-gram sets.
 
@@ -249,14 +277,19 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5) -> DataFrame:
     links = _links(docs, pairs, classes, width, "links")
     first = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
 
-    named = met.select("token", "cls", "n", "pos").join(first.withColumnRenamed("vertex", "cls"), "cls", "left")
-    named = cut(named.withColumn("component", F.coalesce("component", "cls")), "named")
-    mixed = named.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
-    left = named.join(mixed, "token")
+    left = _mixed(met, first, "left")
+    some = F.first(F.struct("cls", "n", "pos", "component")).over(Window.partitionBy("token").orderBy(F.xxhash64("token", "cls")))
+    offers = left.withColumn("hub", some).select("*", F.col("hub.n").alias("hub_n"), F.col("hub.pos").alias("hub_pos"))
+    offers = offers.where((F.col("hub.component") != F.col("component")) & _could_link("", "hub_"))
+    offers = offers.select(F.col("cls").alias("a"), F.col("hub.cls").alias("b")).distinct()
+    others = _links(docs, offers, classes, width, "others", PARTNERS)
+    links = links.unionAll(others)
+    second = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+
+    left = _mixed(left.drop("component"), second, "rest")
     x, y = left.select(*[F.col(c).alias(f"x_{c}") for c in left.columns]), left.select(*[F.col(c).alias(f"y_{c}") for c in left.columns])
     crossing = x.join(y, (F.col("x_token") == F.col("y_token")) & (F.col("x_cls") < F.col("y_cls")) & (F.col("x_component") != F.col("y_component")) & _could_link("x_", "y_"))
-    crossing = crossing.select(F.col("x_cls").alias("a"), F.col("y_cls").alias("b")).distinct()
-    more = _links(docs, crossing.join(pairs, ["a", "b"], "left_anti"), classes, width, "more")
+    more = _links(docs, crossing.select(F.col("x_cls").alias("a"), F.col("y_cls").alias("b")).distinct(), classes, width, "more")
 
     every = links.unionAll(more).select(F.col("a").alias("src"), F.col("b").alias("dst"))
     final = connected_components(every).withColumnRenamed("vertex", "cls")

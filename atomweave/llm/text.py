@@ -69,7 +69,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bo
         out[live] += codes[data[starts[live] + place]] * scale[place]
     for i in order[np.searchsorted(length[order], 32, side="right") :]:
         rest = codes[data[starts[i] + 32 : ends[i]]]
-        out[i] += np.uint64(np.sum(rest * powers(len(rest) + 32)[32:], dtype=np.uint64))
+        out[i : i + 1] += np.sum(rest * powers(len(rest) + 32)[32:], dtype=np.uint64, keepdims=True)
     return mix(out ^ (length.astype(np.uint64) << np.uint64(48)))
 
 
