@@ -1 +1 @@
-"""functions of the trajectory analytics library."""
+"""Column functions: cells, linear algebra, text, dates and colours."""

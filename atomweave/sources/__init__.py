@@ -1 +1 @@
-"""sources of the trajectory analytics library."""
+"""Sources: trajectory files and adapters of relational tables to trajectories."""
