@@ -1 +1 @@
-"""streaming of the trajectory analytics library."""
+"""Structured Streaming: metrics, sessions, presence and late work."""
