@@ -361,3 +361,22 @@ def x29(spark, sf_dir):
 def k10(spark, sf_dir):
     """Type counts of the cloud in Morton order: the order itself is a matter of layout."""
     return QUERIES["m11_morton"](spark, sf_dir).join(atoms(spark, sf_dir), "id").sortWithinPartitions("morton").groupBy("type").agg(F.count("*").alias("n"))
+
+
+@query("g8_workflow_coordination", f"WITH {_PAIRS} SELECT coordination, count(*) AS atoms FROM (SELECT fr.id, count(near.i) AS coordination FROM fr LEFT JOIN near ON near.i = fr.id AND near.d2 <= {CUTOFF * CUTOFF!r} GROUP BY fr.id) GROUP BY 1")
+def g8(spark, sf_dir):
+    """A workflow that runs the coordination analysis on one frame, behind an if-statement that lets it through."""
+    from atomweave.plans import workflow as W
+
+    a = atoms(spark, sf_dir)
+    node = lambda i, t, **d: {"id": i, "type": t, "data": d}
+    flow = {
+        "nodes": [
+            node("m", "modifier", name="coordination", version="2"), node("a", "arguments", arguments=[{"argument": "cutoff", "default": CUTOFF}, {"argument": "bins", "default": 10}]),
+            node("c", "context", timesteps=[FRAME]), node("i", "if-statement", conditions=[{"left": "{{ m.version }}", "operator": "==", "right": 2}]),
+            node("e", "entrypoint", analyzer="coordination"), node("x", "exposure", results="coordination", name="atoms"),
+        ],
+        "edges": [{"source": s, "target": t, "sourceHandle": h} for s, t, h in (("m", "a", None), ("a", "c", None), ("c", "i", None), ("i", "e", "true"), ("e", "x", None))],
+    }
+    out = W.run(flow, W.Frames(a, cube_cells(a)))
+    return out.results["atoms"].groupBy("coordination").agg(F.count("*").alias("atoms"))
