@@ -10,8 +10,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 OPEN, CLOSE = ("<|", "|>\n"), "<|end|>\n"
-#: Groups of one first turn are split into so many parts, and pairs are formed within a part.
-SALTS = 64
 
 
 def _render(turns: Column) -> Column:
@@ -53,7 +51,7 @@ def conversation_pairs(turns: DataFrame) -> DataFrame:
     """Pairs from ``turns(conv_id, turn, role, text)``: ``conv_id, other_id, chosen, rejected``, one per conversation.
 
     Conversations of one first turn answer the same request: each is paired with the one before it (by conv_id) in its
-    part of that group, as rejected. One without such a partner is paired with itself cut short: its last turn ends
+    part of that group, as rejected; the parts, 256 by the MD5 of conv_id, keep a large group from one task. One without such a partner is paired with itself cut short: its last turn ends
     after half of its code points. Conversations are ordered by turn; repeated turn numbers by role and text. A
     conversation must fit a row; the groups of a first turn need not fit a task.
     """
@@ -61,7 +59,7 @@ def conversation_pairs(turns: DataFrame) -> DataFrame:
     whole = whole.agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
     whole = whole.select("conv_id", F.transform("t", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("chosen"))
     # The group of a conversation depends on its first turn; only hashes and ids are sorted.
-    heads = whole.select("conv_id", F.xxhash64(F.get("chosen", F.lit(0))).alias("head"), F.pmod(F.xxhash64("conv_id"), F.lit(SALTS)).alias("salt"))
+    heads = whole.select("conv_id", F.xxhash64(F.get("chosen", F.lit(0))).alias("head"), F.substring(F.md5(F.col("conv_id").cast("string")), 1, 2).alias("salt"))
     before = F.lag("conv_id").over(Window.partitionBy("head", "salt").orderBy("conv_id"))
     partner = heads.select(F.col("conv_id").alias("own"), before.alias("other_id"))
     other = whole.select(F.col("conv_id").alias("other_id"), F.col("chosen").alias("other"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from atomweave.llm.oracles import ORACLES  # noqa: F401
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -103,4 +105,3 @@ QUERIES = {
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
     "pipeline": pipeline,
 }
-ORACLES: dict[str, str] = {}
