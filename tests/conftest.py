@@ -10,6 +10,6 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 def spark():
     from atomweave.session import local_session
 
-    session = local_session(4, 4)
+    session = local_session(4, 4, **{"spark.sql.adaptive.coalescePartitions.enabled": "true"})
     yield session
     session.stop()
