@@ -5,8 +5,9 @@ first, without losing a repeat: each 50-byte window names its anchor, the 20-byt
 equal windows name equal anchors at equal offsets. About one position in sixteen is an anchor.
 
 1. Anchors of every distinct text meet by hash; those of one text alone are dropped.
-2. Around each anchor that other texts share, the bytes that its windows span are sent to the anchor. Sorted by anchor
-   and document, each document's windows are looked up among those of documents with smaller ids.
+2. Around each anchor that other texts share, the bytes that its windows span are taken. Equal spans meet first, dealt
+   by their hash, and all but the first document's are covered whole. The rest goes to its anchor: sorted by anchor and
+   document, each document's windows are looked up among those of documents with smaller ids.
 3. The covered bytes go back to the document, are merged to runs and cut out.
 
 Copies of whole texts are decided by their text alone and take no part in steps 1 to 3 but through their first document.
@@ -29,6 +30,7 @@ from atomweave.session import cut
 
 LENGTH, GRAM = 50, 20
 BITS = 20
+SALTS = 8
 REMEMBERED = 200_000
 _LAST = 2**63 - 1
 _INVERSE = {"powers": np.ones(1, np.uint64)}
@@ -177,6 +179,31 @@ def _contexts(length: int, gram: int):
     return kernel
 
 
+_MET = "anchor long, doc long, place long, offset int, span binary, stop long"
+
+
+def _met(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64())
+    return pa.record_batch([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=[c.split()[0] for c in _MET.split(", ")])
+
+
+def _first_of_equals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by doc, the first of each equal span at an anchor; the others' spans are covered and get a stop.
+
+    Equal spans are dealt by their own hash and a salt, so a passage that many documents share fills no task, and only
+    a few of its rows go on to the anchor.
+    """
+    seen: dict[tuple, int] = {}
+    for batch in batches:
+        rows = []
+        for anchor, doc, place, offset, span in zip(*[batch.column(i).to_pylist() for i in range(5)]):
+            if seen.setdefault((anchor, offset, span), doc) < doc:
+                rows.append((doc, doc, place, None, None, place + len(span)))  # dealt by document from here
+            else:
+                rows.append((anchor, doc, place, offset, span, None))
+        yield _met(rows)
+
+
 def _earlier(length: int):
     """From rows sorted by (anchor, doc), the stretches of windows that a smaller doc has at the same anchor."""
 
@@ -184,11 +211,15 @@ def _earlier(length: int):
         now, whole, single = None, {}, {}
         for batch in batches:
             docs, starts, ends = [], [], []
-            for anchor, doc, place, offset, span in zip(*[batch.column(i).to_pylist() for i in range(5)]):
+            for anchor, doc, place, offset, span, stop in zip(*[batch.column(i).to_pylist() for i in range(6)]):
+                if stop is not None:
+                    docs.append(doc)
+                    starts.append(place)
+                    ends.append(stop)
+                    continue
                 if anchor != now:
                     now, whole, single = anchor, {}, {}
-                before = whole.setdefault((offset, span), doc)
-                if before < doc:
+                if whole.setdefault((offset, span), doc) < doc:
                     docs.append(doc)
                     starts.append(place)
                     ends.append(place + len(span))
@@ -257,7 +288,9 @@ def repeated_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM)
     some = docs.mapInArrow(_flagged(flags), "doc long, text string, content long")
     texts = some.join(wanted, ["doc", "content"]).dropDuplicates(["doc", "content"]).select("doc", "text", "anchors")
     contexts = texts.mapInArrow(_contexts(length, gram), "anchor long, doc long, place long, offset int, span binary")
-    met = contexts.repartition("anchor").sortWithinPartitions("anchor", "doc").mapInArrow(_earlier(length), "doc long, begin long, stop long")
+    salted = contexts.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int")).repartition("anchor", "offset", "span", "salt")
+    firsts = salted.sortWithinPartitions("doc").drop("salt").mapInArrow(_first_of_equals, _MET)
+    met = firsts.repartition("anchor").sortWithinPartitions("anchor", "doc").mapInArrow(_earlier(length), "doc long, begin long, stop long")
     covered = cut(met.groupBy("doc").agg(F.collect_list("begin").alias("begins"), F.collect_list("stop").alias("stops")), "covered")
 
     flags = spark.sparkContext.broadcast(sketch.id_table(covered.select("doc"), BITS))
