@@ -12,6 +12,8 @@ token sets have a Jaccard similarity of 3/4 or more match; a line that matches a
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,26 +24,23 @@ WIDTH = 5
 FEWEST_WORDS = 5
 BUCKETS = 1 << 16
 _LAST = 2**63 - 1
-SPACES = r"[\x20\x09-\x0D]+"
-
+SPACES, BLANKS = r"[\x20\x09-\x0D]+", " \t\n\x0b\x0c\r"
 
-def _words(line: Column) -> Column:
-    """64-bit hashes of the line's words."""
-    return F.transform(F.filter(F.split(F.lower(line), SPACES), lambda w: w != ""), lambda w: F.xxhash64(w))
 
+def _lines(docs: DataFrame, width: int, fewest: int, only: Callable[[DataFrame], DataFrame] = lambda lines: lines) -> DataFrame:
+    """``(doc, mark, line_no, grams)`` of all lines, or of those that ``only`` lets through; lines with too few words
+    have no grams.
 
-def _lines(docs: DataFrame, width: int, fewest: int) -> DataFrame:
-    """``(doc, mark, line_no, grams)`` of all lines; those with too few words have no grams.
-
-    Mark tells texts of one doc_id apart. Lines aren't filtered here: a filter on grams would compute them twice.
+    Mark tells texts of one doc_id apart. Lines aren't filtered by their grams here: that would compute them twice.
     """
     lines = docs.select(
         F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), F.xxhash64("text").alias("mark"), F.posexplode(F.split("text", "\n")).alias("line_no", "line")
     )
-    lines = lines.select("doc", "mark", "line_no", _words(F.col("line")).alias("words"))
-    none = F.expr("cast(array() as array<int>)")
-    at = F.when(F.size("words") >= fewest, F.sequence(F.lit(1), F.greatest(F.size("words") - (width - 1), F.lit(1)))).otherwise(none)
-    gram = F.transform(at, lambda i: F.xxhash64(*[F.get(F.col("words"), i + (j - 1)) for j in range(width)]))
+    lines = only(lines)
+    lines = lines.select("doc", "mark", "line_no", F.split(F.lower(F.btrim("line", F.lit(BLANKS))), SPACES).alias("words"))
+    none = F.expr("cast(array() as array<string>)")
+    starts = F.when(F.size("words") >= fewest, F.slice("words", F.lit(1), F.greatest(F.size("words") - (width - 1), F.lit(1)))).otherwise(none)
+    gram = F.transform(starts, lambda w, i: F.xxhash64(w, *[F.get(F.col("words"), i + j) for j in range(1, width)]))
     return lines.select("doc", "mark", "line_no", F.array_distinct(gram).alias("grams"))
 
 
@@ -70,35 +69,41 @@ def _near(n: str, pos: str, m: str, q: str) -> Column:
     return (4 * F.least(n, m) >= 3 * F.greatest(n, m)) & (7 * F.least(n - pos, m - q) >= 3 * (n + m))
 
 
-def _flags(ids: DataFrame) -> DataFrame:
-    """One row with a bit map of 2**22 bits, set where an id of the only column hashes: half a megabyte for any input."""
-    h = F.xxhash64(ids.columns[0])
-    words = ids.select(_bucket(h).alias("slot"), F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 42).bitwiseAND(63).cast("int")).alias("bit"))
+def _flags(keys: DataFrame) -> DataFrame:
+    """One row with a bit map of 2**22 bits, set where a row of ``keys`` hashes: half a megabyte for any input."""
+    h = F.xxhash64(*keys.columns)
+    words = keys.select(_bucket(h).alias("slot"), F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 42).bitwiseAND(63).cast("int")).alias("bit"))
     words = words.groupBy("slot").agg(F.bit_or("bit").alias("bits"))
-    every = ids.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("slot")).join(words, "slot", "left").fillna(0, ["bits"])
+    every = keys.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("slot")).join(words, "slot", "left").fillna(0, ["bits"])
     return every.agg(F.transform(F.sort_array(F.collect_list(F.struct("slot", "bits"))), lambda x: x["bits"]).alias("map"))
 
 
-def _flagged(flags: DataFrame, key: Column) -> Column:
-    h = F.xxhash64(key)
+def _flagged(flags: DataFrame, *key: Column) -> Column:
+    h = F.xxhash64(*key)
     word = F.get(flags.scalar(), _bucket(h))
     bit = F.shiftrightunsigned(h, 42).bitwiseAND(63).cast("int")
     return F.call_function("shiftrightunsigned", word, bit).bitwiseAND(1) == 1
 
 
-def _matching(docs: DataFrame, pairs: DataFrame, first: DataFrame, width: int, fewest: int, name: str) -> DataFrame:
-    """Of distinct ``pairs(later, earlier)`` of classes those whose token sets match."""
-    used = pairs.select(F.explode(F.array("later", "earlier")).alias("cls")).distinct().join(first, "cls")
+PLACE = ["doc", "mark", "line_no"]
+
+
+def _matching(docs: DataFrame, pairs: DataFrame, classes: DataFrame, width: int, fewest: int, name: str) -> DataFrame:
+    """Of distinct ``pairs(p, q)`` of classes those whose token sets match, with the one that comes ``later``.
+
+    Only lines that a bit map of the classes' first lines lets through are read into tokens again.
+    """
+    used = pairs.select(F.explode(F.array("p", "q")).alias("uid")).distinct().join(classes.select("uid", *PLACE), "uid")
     used = cut(used, f"{name}-used")
-    flags = cut(_flags(used.select("doc")), f"{name}-flags")
-    some = docs.where(_flagged(flags, F.coalesce("doc_id", F.lit(_LAST))))
-    sets = _lines(some, width, fewest).join(used, ["doc", "mark", "line_no"]).dropDuplicates(["doc", "mark", "line_no"])
-    sets = cut(sets.select("cls", "grams"), f"{name}-sets")
-    for x in ("later", "earlier"):
-        pairs = pairs.join(sets.select(F.col("cls").alias(x), F.col("grams").alias(f"{x}_grams")), x)
-    shared = F.size(F.array_intersect("later_grams", "earlier_grams"))
-    union = F.size("later_grams") + F.size("earlier_grams") - shared
-    return pairs.where(100 * shared >= 75 * union).select("later", "earlier")
+    by_doc, by_line = cut(_flags(used.select("doc")), f"{name}-docs"), cut(_flags(used.select(*PLACE)), f"{name}-lines")
+    some = docs.where(_flagged(by_doc, F.coalesce("doc_id", F.lit(_LAST))))
+    sets = _lines(some, width, fewest, lambda lines: lines.where(_flagged(by_line, *[F.col(c) for c in PLACE]))).join(used, PLACE).dropDuplicates(PLACE)
+    sets = cut(sets.select("uid", F.struct(*PLACE).alias("place"), "grams"), f"{name}-sets")
+    for x in "pq":
+        pairs = pairs.join(sets.select(F.col("uid").alias(x), F.col("place").alias(f"{x}_place"), F.col("grams").alias(f"{x}_grams")), x)
+    shared = F.size(F.array_intersect("p_grams", "q_grams"))
+    union = F.size("p_grams") + F.size("q_grams") - shared
+    return pairs.where(100 * shared >= 75 * union).select(F.when(F.col("p_place") > F.col("q_place"), F.col("p")).otherwise(F.col("q")).alias("uid"))
 
 
 def matched_lines(docs: DataFrame, width: int = WIDTH, fewest: int = FEWEST_WORDS) -> DataFrame:
@@ -115,34 +120,36 @@ def matched_lines(docs: DataFrame, width: int = WIDTH, fewest: int = FEWEST_WORD
     prefix = F.transform(F.slice("codes", 1, n - F.floor((3 * n + 3) / 4).cast("int") + 1), lambda c: F.hash(c))
     lines = cut(lines.select("doc", "mark", "line_no", F.xxhash64("codes").alias("cls"), n.alias("n"), prefix.alias("prefix")), "lines").where("n > 0")
 
-    classes = lines.groupBy("cls").agg(F.min(F.struct("doc", "mark", "line_no", "n", "prefix")).alias("f")).select("cls", "f.*")
-    rows = classes.select("cls", "doc", "mark", "line_no", "n", F.posexplode("prefix").alias("pos", "token"))
-    token = Window.partitionBy("token")
-    hub = F.first(F.struct("cls", "n", "pos")).over(token.orderBy("doc", "mark", "line_no", "cls"))
-    met = rows.withColumn("hub", hub).where(F.col("hub.cls") != F.col("cls"))
-    met = cut(met, "met")
-    first = lines.groupBy("cls").agg(F.min(F.struct("doc", "mark", "line_no")).alias("f")).select("cls", "f.*")
-    first = cut(first, "first")
-
-    near = met.where(_near("n", "pos", "hub.n", "hub.pos"))
-    pairs = near.select(F.col("cls").alias("later"), F.col("hub.cls").alias("earlier")).distinct()
-    done = cut(_matching(docs, cut(pairs, "pairs"), first, width, fewest, "hubs").select(F.col("later").alias("cls")).distinct(), "done")
-
-    side = ["token", "cls", "doc", "mark", "line_no", "n", "pos"]
-    x = met.join(done, "cls", "left_anti").select(*[F.col(c).alias(f"x_{c}") for c in side])
+    classes = lines.groupBy("cls").agg(F.min(F.struct(*PLACE, "n", "prefix")).alias("f")).select("cls", "f.*")
+    classes = cut(classes.withColumn("uid", F.monotonically_increasing_id()), "classes")
+    # Small numbers in few columns: these rows are the bulk of what is shuffled.
+    packed = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long"))
+    rows = classes.select("uid", "doc", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "uid", "doc", packed.alias("np"))
+    unpacked = lambda c, x: [F.shiftright(c, 32).cast("int").alias(f"{x}n"), c.bitwiseAND((1 << 32) - 1).cast("int").alias(f"{x}pos")]
+    hub = F.first(F.struct("uid", "np")).over(Window.partitionBy("token").orderBy("doc", "uid"))
+    alone = F.max("uid").over(Window.partitionBy("token")) == F.min("uid").over(Window.partitionBy("token"))
+    met = rows.withColumn("hub", hub).withColumn("alone", alone).where(~F.col("alone"))
+    met = cut(met.select("token", "uid", "doc", *unpacked(F.col("np"), ""), F.col("hub.uid").alias("hub"), *unpacked(F.col("hub.np"), "hub_")), "met")
+
+    near = met.where(F.col("uid") != F.col("hub")).where(_near("n", "pos", "hub_n", "hub_pos"))
+    pairs = cut(near.select(F.least("uid", "hub").alias("p"), F.greatest("uid", "hub").alias("q")).distinct(), "pairs")
+    done = cut(_matching(docs, pairs, classes, width, fewest, "hubs").distinct(), "done")
+
+    side = ["token", "uid", "doc", "n", "pos"]
+    x = met.join(done, "uid", "left_anti").select(*[F.col(c).alias(f"x_{c}") for c in side])
     y = met.select(*[F.col(c).alias(f"y_{c}") for c in side])
-    earlier = F.struct("y_doc", "y_mark", "y_line_no") < F.struct("x_doc", "x_mark", "x_line_no")
-    rest = x.join(y, (F.col("x_token") == F.col("y_token")) & (F.col("x_cls") != F.col("y_cls")) & earlier & _near("x_n", "x_pos", "y_n", "y_pos"))
-    rest = cut(rest.select(F.col("x_cls").alias("later"), F.col("y_cls").alias("earlier")).distinct(), "rest")
-    more = _matching(docs, rest, first, width, fewest, "rest").select(F.col("later").alias("cls"))
+    rest = x.join(y, (F.col("x_token") == F.col("y_token")) & (F.col("x_uid") != F.col("y_uid")) & (F.col("y_doc") <= F.col("x_doc")) & _near("x_n", "x_pos", "y_n", "y_pos"))
+    rest = rest.select(F.least("x_uid", "y_uid").alias("p"), F.greatest("x_uid", "y_uid").alias("q")).distinct()
+    rest = cut(rest.join(pairs, ["p", "q"], "left_anti"), "rest")
+    more = _matching(docs, rest, classes, width, fewest, "rest")
 
     later = done.unionAll(more).distinct().withColumn("similar", F.lit(True))
-    judged = first.join(later, "cls", "left").select("cls", *[F.col(c).alias(f"first_{c}") for c in ("doc", "mark", "line_no")], "similar")
-    judged = judged.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(7))))
-    salted = lines.select("doc", "mark", "line_no", "cls").withColumn("salt", F.pmod("mark", F.lit(8)).cast("int"))
+    judged = classes.join(later, "uid", "left").select("cls", *[F.col(c).alias(f"first_{c}") for c in PLACE], "similar")
+    judged = judged.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    salted = lines.select(*PLACE, "cls").withColumn("salt", F.pmod("mark", F.lit(4)).cast("int"))
     found = salted.join(judged, ["cls", "salt"])
     own = (F.col("doc") == F.col("first_doc")) & (F.col("mark") == F.col("first_mark")) & (F.col("line_no") == F.col("first_line_no"))
-    removed = found.where(~own | F.coalesce("similar", F.lit(False))).select("doc", "mark", "line_no").distinct()
+    removed = found.where(~own | F.coalesce("similar", F.lit(False))).select(*PLACE).distinct()
     return removed.select(F.when(F.col("doc") != _LAST, F.col("doc")).alias("doc_id"), "mark", "line_no")
 
 
