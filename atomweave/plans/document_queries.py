@@ -41,9 +41,9 @@ def p3(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
-@query("p6_wildcard_expansion", "SELECT o_custkey, sum(CASE WHEN o_orderstatus = 'F' THEN 1 END) AS \"status F\", sum(CASE WHEN o_orderstatus = 'O' THEN 1 END) AS \"status O\", sum(CASE WHEN o_orderstatus = 'P' THEN 1 END) AS \"status P\" FROM orders GROUP BY o_custkey")
+@query("p6_wildcard_expansion", "SELECT o_custkey, CAST(sum(CASE WHEN o_orderstatus = 'F' THEN 1 END) AS BIGINT) AS \"status F\", CAST(sum(CASE WHEN o_orderstatus = 'O' THEN 1 END) AS BIGINT) AS \"status O\", CAST(sum(CASE WHEN o_orderstatus = 'P' THEN 1 END) AS BIGINT) AS \"status P\" FROM orders GROUP BY o_custkey")
 def p6(spark, sf_dir):
-    counts = table(spark, sf_dir, "orders").groupBy("o_custkey", "o_orderstatus").agg(F.count("*").cast("decimal(38,0)").alias("n"))
+    counts = table(spark, sf_dir, "orders").groupBy("o_custkey", "o_orderstatus").agg(F.count("*").alias("n"))
     maps = counts.groupBy("o_custkey").agg(F.map_from_entries(F.collect_list(F.struct("o_orderstatus", "n"))).alias("status"))
     return D.expand_map(maps, "status", "status", ["F", "O", "P"])
 
@@ -174,10 +174,10 @@ def a18(spark, sf_dir):
     return M.daily_activity(rows).select(F.col("date").cast("string").alias("day"), F.size("activity").cast("long").alias("activities"), F.round("minutes_online", 2).alias("minutes"))
 
 
-@query("a19_sum_by_cluster", "SELECT coalesce(nullif(event_type, 'view'), 'main-cluster') AS event_type, sum(user_id) AS user_id FROM events GROUP BY 1")
+@query("a19_sum_by_cluster", "SELECT coalesce(nullif(event_type, 'view'), 'main-cluster') AS event_type, CAST(sum(user_id) AS BIGINT) AS user_id FROM events GROUP BY 1")
 def a19(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("event_type", F.when(F.col("event_type") != "view", F.col("event_type")))
-    return M.sum_by_cluster(e, "event_type", "user_id").withColumn("user_id", F.col("user_id").cast("decimal(38,0)"))
+    return M.sum_by_cluster(e, "event_type", "user_id")
 
 
 @query("a20_metric_buckets", """WITH b AS (SELECT o_orderpriority, count(*) AS total, count(*) FILTER (WHERE o_orderdate >= TIMESTAMP '1997-06-01') AS this_month, count(*) FILTER (WHERE o_orderdate >= TIMESTAMP '1997-05-01' AND o_orderdate < TIMESTAMP '1997-06-01') AS last_month FROM orders WHERE o_orderdate < TIMESTAMP '1997-06-20' GROUP BY 1)

@@ -4,6 +4,7 @@ import math
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from atomweave.plans import registry
@@ -22,7 +23,7 @@ def duck():
 
 
 def cell(v):
-    if v is None or isinstance(v, float) and math.isnan(v):
+    if v is None or v is pd.NA or isinstance(v, float) and math.isnan(v):
         return "~"
     if isinstance(v, bool):
         return str(v)
