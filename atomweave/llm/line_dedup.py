@@ -29,7 +29,7 @@ SPACES, BLANKS = r"[\x20\x09-\x0D]+", " \t\n\x0b\x0c\r"
 
 def _lines(docs: DataFrame, width: int, fewest: int, only: Callable[[DataFrame], DataFrame] = lambda lines: lines) -> DataFrame:
     """``(doc, mark, line_no, grams)`` of all lines, or of those that ``only`` lets through; lines with too few words
-    have no grams.
+    have no grams. A gram comes as often as it occurs.
 
     Mark tells texts of one doc_id apart. Lines aren't filtered by their grams here: that would compute them twice.
     """
@@ -41,7 +41,7 @@ def _lines(docs: DataFrame, width: int, fewest: int, only: Callable[[DataFrame],
     none = F.expr("cast(array() as array<string>)")
     starts = F.when(F.size("words") >= fewest, F.slice("words", F.lit(1), F.greatest(F.size("words") - (width - 1), F.lit(1)))).otherwise(none)
     gram = F.transform(starts, lambda w, i: F.xxhash64(w, *[F.get(F.col("words"), i + j) for j in range(1, width)]))
-    return lines.select("doc", "mark", "line_no", F.array_distinct(gram).alias("grams"))
+    return lines.select("doc", "mark", "line_no", gram.alias("grams"))
 
 
 def _bucket(token: Column) -> Column:
@@ -98,7 +98,7 @@ def _matching(docs: DataFrame, pairs: DataFrame, classes: DataFrame, width: int,
     by_doc, by_line = cut(_flags(used.select("doc")), f"{name}-docs"), cut(_flags(used.select(*PLACE)), f"{name}-lines")
     some = docs.where(_flagged(by_doc, F.coalesce("doc_id", F.lit(_LAST))))
     sets = _lines(some, width, fewest, lambda lines: lines.where(_flagged(by_line, *[F.col(c) for c in PLACE]))).join(used, PLACE).dropDuplicates(PLACE)
-    sets = cut(sets.select("uid", F.struct(*PLACE).alias("place"), "grams"), f"{name}-sets")
+    sets = cut(sets.select("uid", F.struct(*PLACE).alias("place"), F.array_distinct("grams").alias("grams")), f"{name}-sets")
     for x in "pq":
         pairs = pairs.join(sets.select(F.col("uid").alias(x), F.col("place").alias(f"{x}_place"), F.col("grams").alias(f"{x}_grams")), x)
     shared = F.size(F.array_intersect("p_grams", "q_grams"))
@@ -114,7 +114,7 @@ def matched_lines(docs: DataFrame, width: int = WIDTH, fewest: int = FEWEST_WORD
     have no lines to remove; very long lines are compared whole. An empty table gives an empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    codes = _ordered(F.col("grams"), _ranks(_lines(docs, width, fewest)))
+    codes = _ordered(F.array_distinct("grams"), _ranks(_lines(docs, width, fewest)))
     lines = _lines(docs, width, fewest).select("doc", "mark", "line_no", codes.alias("codes"))
     n = F.size("codes")
     prefix = F.transform(F.slice("codes", 1, n - F.floor((3 * n + 3) / 4).cast("int") + 1), lambda c: F.hash(c))
