@@ -64,7 +64,9 @@ def conversation_pairs(turns: DataFrame) -> DataFrame:
     partner = heads.select(F.col("conv_id").alias("own"), before.alias("other_id"))
     other = whole.select(F.col("conv_id").alias("other_id"), F.col("chosen").alias("other"))
     paired = whole.join(partner, F.col("conv_id").eqNullSafe(F.col("own")), "left").select("conv_id", "other_id", "chosen")
-    paired = paired.join(other, "other_id", "left")
+    # Rows without a partner are spread over all tasks: null keys alone would all go to one.
+    alone = F.when(F.col("other_id").isNull(), F.col("conv_id")).otherwise(0)
+    paired = paired.withColumn("alone", alone).join(other.withColumn("alone", F.lit(0).cast("long")), ["other_id", "alone"], "left")
     last = F.element_at("chosen", -1)
     half = F.struct(last["role"].alias("role"), F.substring(last["text"], F.lit(1), F.floor(F.length(last["text"]) / 2).cast("int")).alias("text"))
     short = F.concat(F.slice("chosen", F.lit(1), F.size("chosen") - 1), F.array(half))
