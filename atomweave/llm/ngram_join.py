@@ -35,6 +35,8 @@ SKETCH_BITS = 20
 PARITY_BITS = 1024
 #: Partners by which a class is linked before the remaining pairs are formed.
 PARTNERS = 3
+#: Drawn partners of a class that the suffix filter ranks to choose those; pairs left over are formed later.
+DRAWN = 12
 #: Sets of one task that are remembered, so that copies read by the same task emit their prefix once.
 REMEMBERED = 200_000
 
@@ -281,7 +283,9 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5) -> DataFrame:
     some = F.first(F.struct("cls", "n", "pos", "component")).over(Window.partitionBy("token").orderBy(F.xxhash64("token", "cls")))
     offers = left.withColumn("hub", some).select("*", F.col("hub.n").alias("hub_n"), F.col("hub.pos").alias("hub_pos"))
     offers = offers.where((F.col("hub.component") != F.col("component")) & _could_link("", "hub_"))
-    offers = offers.select(F.col("cls").alias("a"), F.col("hub.cls").alias("b")).distinct()
+    offers = offers.groupBy(F.col("cls").alias("a"), F.col("hub.cls").alias("b")).count()
+    drawn = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("count"), F.xxhash64("a", "b")))
+    offers = offers.withColumn("r", drawn).where(F.col("r") <= DRAWN).select("a", "b")
     others = _links(docs, offers, classes, width, "others", PARTNERS)
     links = links.unionAll(others)
     second = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
