@@ -17,7 +17,7 @@ from atomweave.llm.packing import pack_documents
 from atomweave.llm.quality import quality_rules
 from atomweave.session import cut
 
-#: The driver can't express tokenised packing and hashed orders in SQL; a brute-force version stands in the tests.
+#: SQL can't express tokenised packing; the tests hold each stage's operator against brute force.
 ORACLE_SQL = None
 
 
