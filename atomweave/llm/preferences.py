@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from atomweave.session import cut, shuffle_width
+
 OPEN, CLOSE = ("<|", "|>\n"), "<|end|>\n"
 
 
@@ -50,18 +52,23 @@ def format_preferences(pairs: DataFrame) -> DataFrame:
 def conversation_pairs(turns: DataFrame) -> DataFrame:
     """Pairs from ``turns(conv_id, turn, role, text)``: ``conv_id, other_id, chosen, rejected``, one per conversation.
 
-    Conversations of one first turn answer the same request: each is paired with the one before it (by conv_id) in its
-    part of that group, as rejected; the parts, 256 by the MD5 of conv_id, keep a large group from one task. One without such a partner is paired with itself cut short: its last turn ends
-    after half of its code points. Conversations are ordered by turn; repeated turn numbers by role and text. A
-    conversation must fit a row; the groups of a first turn need not fit a task.
+    Conversations of one first turn answer the same request: each is paired with the one before it (by conv_id, null
+    last) in that group, as rejected. The first of a group is paired with itself cut short: its last turn ends after half
+    of its code points. Conversations are ordered by turn; repeated turn numbers by role and text. A conversation must
+    fit a row; the groups of a first turn need not fit a task.
     """
     whole = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text").groupBy("conv_id")
     whole = whole.agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
     whole = whole.select("conv_id", F.transform("t", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("chosen"))
     # The group of a conversation depends on its first turn; only hashes and ids are sorted.
-    heads = whole.select("conv_id", F.xxhash64(F.get("chosen", F.lit(0))).alias("head"), F.substring(F.md5(F.col("conv_id").cast("string")), 1, 2).alias("salt"))
-    before = F.lag("conv_id").over(Window.partitionBy("head", "salt").orderBy("conv_id"))
-    partner = heads.select(F.col("conv_id").alias("own"), before.alias("other_id"))
+    heads = whole.select("conv_id", F.xxhash64(F.get("chosen", F.lit(0))).alias("head"))
+    # Ranges of (head, conv_id) spread a large group over tasks; the first of a range follows the last of the one before.
+    order = F.col("conv_id").asc_nulls_last()
+    heads = cut(heads.repartitionByRange(shuffle_width(heads.sparkSession), "head", order).withColumn("part", F.spark_partition_id()), "heads")
+    lasts = heads.groupBy("head", "part").agg(F.max("conv_id").alias("last"))
+    lasts = lasts.select("head", "part", F.lag("last").over(Window.partitionBy("head").orderBy("part")).alias("before"))
+    within = F.lag("conv_id").over(Window.partitionBy("head", "part").orderBy(order))
+    partner = heads.withColumn("within", within).join(lasts, ["head", "part"]).select(F.col("conv_id").alias("own"), F.coalesce("within", "before").alias("other_id"))
     other = whole.select(F.col("conv_id").alias("other_id"), F.col("chosen").alias("other"))
     paired = whole.join(partner, F.col("conv_id").eqNullSafe(F.col("own")), "left").select("conv_id", "other_id", "chosen")
     # Rows without a partner are spread over all tasks: null keys alone would all go to one.

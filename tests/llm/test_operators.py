@@ -246,6 +246,18 @@ def test_preferences(spark):
     assert conversation_pairs(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_every_conversation_but_the_first_has_a_partner(spark):
+    from atomweave.llm.preferences import conversation_pairs
+
+    groups = [list(range(k, 1000, 4)) for k in range(3)] + [[1003, 1007], [1011], [*range(1015, 1055, 4), None]]
+    turns = [(c, t, "user" if t == 0 else "assistant", f"ask {g}" if t == 0 else f"{c} says") for g, ids in enumerate(groups) for c in ids for t in range(2)]
+    random.Random(5).shuffle(turns)
+    pairs = conversation_pairs(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()
+    want = {(own, before) for ids in groups for before, own in zip([None, *ids], ids)}
+    assert {(r.conv_id, r.other_id) for r in pairs} == want and len(pairs) == len(want)
+    assert all(r.rejected[1].text == f"{r.other_id} says" for r in pairs if r.other_id is not None)
+
+
 def test_packing(spark):
     public_tokenizers = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
