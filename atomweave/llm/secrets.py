@@ -2,8 +2,8 @@
 
 Method (assignment-aware lexing): texts that hold an assignment sign are lexed into (name, value) pairs in the syntaxes
 of source and configuration files; values are quoted literals, bare configuration words, names bound before (constants
-are propagated) or sums of those. A literal is a secret if its target's name is sensitive and its own make-up scores
-high enough: length, character classes, entropy, and no sign of a placeholder.
+are propagated) or sums of those. A literal is a secret if a sensitive name gets it, directly or through other names, and
+the value's make-up scores high enough: length, character classes, entropy, and no sign of a placeholder.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,6 +39,7 @@ _PAIR = re.compile(rf"""["']?({_NAME})["']?(?:\x20*:\x20*[A-Za-z_][A-Za-z0-9_]*)
 _TERM = re.compile(rf"({_QUOTED})|({_NAME})|([A-Za-z0-9+/_.=\-]+)")
 _PLUS = re.compile(r"\x20*[+.]\x20*(?=[\"'A-Za-z_])")
 LEAST_SCORE = 3.0
+_EDGE = max(map(len, PLACEHOLDERS)) - 1
 
 
 def _sensitive(name: str) -> bool:
@@ -44,41 +47,88 @@ def _sensitive(name: str) -> bool:
     return any(s in plain for s in SENSITIVE)
 
 
-def literal_score(value: str) -> float:
-    """How much a literal looks like a secret: classes of characters, entropy and length; 0 for placeholders."""
+class _Made(NamedTuple):
+    """What a score needs of a text; a sum's follows from its terms', however often constants double."""
+
+    counts: Counter
+    head: str
+    tail: str
+    refused: bool
+
+
+def _made(value: str) -> _Made:
     low = value.lower()
-    if len(value) < 8 or any(p in low for p in PLACEHOLDERS) or re.search(r"\s", value):
+    return _Made(Counter(value), low[:_EDGE], low[-_EDGE:], any(p in low for p in PLACEHOLDERS))
+
+
+def _joined(a: _Made, b: _Made) -> _Made:
+    refused = a.refused or b.refused or any(p in a.tail + b.head for p in PLACEHOLDERS)
+    return _Made(a.counts + b.counts, (a.head + b.head)[:_EDGE], (a.tail + b.tail)[-_EDGE:], refused)
+
+
+def _score(made: _Made) -> float:
+    size, characters = made.counts.total(), "".join(made.counts)
+    if size < 8 or made.refused or re.search(r"\s", characters):
         return 0.0
-    classes = sum(bool(re.search(c, value)) for c in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
-    entropy = -sum(n / len(value) * math.log2(n / len(value)) for n in Counter(value).values())
-    return (classes - 1) * 0.75 + entropy * 0.6 + min(len(value), 40) / 20 - (1.0 if classes < 2 else 0.0)
+    classes = sum(bool(re.search(c, characters)) for c in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
+    entropy = -sum(n / size * math.log2(n / size) for n in made.counts.values())
+    return (classes - 1) * 0.75 + entropy * 0.6 + min(size, 40) / 20 - (1.0 if classes < 2 else 0.0)
+
+
+def literal_score(value: str) -> float:
+    """How much a literal looks like a secret: classes of characters, entropy and length; 0 for placeholders."""
+    return _score(_made(value))
+
+
+class _Value:
+    """An assigned value: its terms in order, each a text or an earlier value, and the spans of its own terms."""
+
+    def __init__(self, at: int):
+        self.at, self.terms, self.spans, self.literals, self.made = at, [], [], [], None
+
+    def behind(self, seen: set[int], scored: bool = True) -> list[_Value]:
+        """Itself and the values it is made of, earlier ones first, without those in ``seen`` or, if told so, scored ones."""
+        found, left = [], [self]
+        while left:
+            v = left.pop()
+            if v.at not in seen and (scored or v.made is None):
+                seen.add(v.at)
+                found.append(v)
+                left += [t for t in v.terms if isinstance(t, _Value)]
+        return sorted(found, key=lambda v: v.at)
+
+    def score(self) -> float:
+        for v in self.behind(set(), scored=False):
+            v.made = reduce(_joined, [t.made if isinstance(t, _Value) else _made(t) for t in v.terms])
+        return _score(self.made)
 
 
-def assignments(text: str) -> list[tuple[str, str, int, int, bool]]:
-    """``(name, value, start, end, literal)`` of each assignment, values with constants put in; the span is the term's."""
-    bound: dict[str, str] = {}
-    out = []
+def assignments(text: str) -> Iterator[tuple[str, _Value, bool]]:
+    """``(name, value, literal)`` of each assignment; a name bound to literals, or to such a name, stands for its value."""
+    bound: dict[str, _Value] = {}
     for m in _PAIR.finditer(text):
-        name, at, value, spans, quoted = m[1], m.end(), "", [], False
+        name, at, value, literal = m[1], m.end(), _Value(m.start()), False
         while t := _TERM.match(text, at):
             if t[1]:
-                value += t[1][1:-1]
-                spans.append((t.start() + 1, t.end() - 1))
-                quoted = True
+                value.terms.append(t[1][1:-1])
+                value.literals.append((t.start() + 1, t.end() - 1))
+                literal = True
             elif t[2] and t[2] in bound:
-                value += bound[t[2]]
+                value.terms.append(bound[t[2]])
+                literal = True
             else:
-                value += t[0]
-                spans.append((t.start(), t.end()))
+                value.terms.append(t[0])
+                value.spans.append((t.start(), t.end()))
             plus = _PLUS.match(text, t.end())
             if not plus:
                 break
             at = plus.end()
-        if value:
-            if quoted:
-                bound[name] = value
-            out += [(name, value, s, e, quoted) for s, e in spans]
-    return out
+        if literal:
+            bound[name] = value
+        else:
+            bound.pop(name, None)
+        if value.terms:
+            yield name, value, literal
 
 
 def spans_of(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
@@ -94,9 +144,11 @@ def spans_of(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int
     added = []
     if low is not None and any(s[:5] in low for s in SENSITIVE):
         taken = [(s, e) for _, s, e in base]
-        for name, value, s, e, quoted in assignments(text):
-            if _sensitive(name) and literal_score(value) >= LEAST_SCORE + (0.0 if quoted else 0.8) and not any(a < e and s < b for a, b in taken):
-                added.append(("literal", s, e))
+        seen: set[int] = set()
+        for name, value, literal in assignments(text):
+            if _sensitive(name) and value.score() >= LEAST_SCORE + (0.0 if literal else 0.8):
+                found = value.spans + [x for v in value.behind(seen) for x in v.literals]
+                added += [("literal", s, e) for s, e in found if not any(a < e and s < b for a, b in taken)]
     key = lambda x: (x[1], KINDS.index(x[0]))
     return sorted(base, key=key), sorted(set(added), key=key)
 

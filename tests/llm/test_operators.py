@@ -225,6 +225,20 @@ def test_secrets(spark):
         assert ("literal" in r.spans) == (i == 3)
 
 
+def test_secrets_through_constants():
+    from atomweave.llm.secrets import spans_of
+
+    def found(text):
+        return [text[s:e] for _, s, e in spans_of(text)[1]]
+
+    assert found('k = "Zx9-qT71mLpw88Rb"\npassword = k') == ["Zx9-qT71mLpw88Rb"]
+    assert found('a = "Zx9-qT71"\nb = a\nc = b + "mLpw88Rb"\nsecret = c') == ["Zx9-qT71", "mLpw88Rb"]
+    assert found('k = "Zx9-qT71mLpw88Rb"\nk = other()\npassword = k') == []
+    assert found('k = "Zx9-qT71mLpw88Rb"\nuser = k') == []
+    assert found('k = "Zx9-qT71" + "mLchange"\nj = "me8Rb"\npassword = k + j') == []
+    assert found('a = "Zx9-qT71mLpw88Rb"\n' + "a = a + a\n" * 200 + "password = a") == ["Zx9-qT71mLpw88Rb"]
+
+
 def test_preferences(spark):
     from atomweave.llm.preferences import conversation_pairs, format_preferences
 
