@@ -31,6 +31,8 @@ KINDS = ("assign", "access", "hex", "literal")
 _HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 SENSITIVE = ("password", "passwd", "pwd", "passphrase", "secret", "token", "apikey", "accesskey", "privatekey", "signingkey", "encryptionkey", "credential", "authorization", "bearer", "clientsecret", "connectionstring")
+_SENSITIVE = tuple(s.encode() for s in SENSITIVE)
+_OTHERS = bytes(c for c in range(256) if not ord("a") <= c <= ord("z"))
 PLACEHOLDERS = ("example", "changeme", "placeholder", "your", "dummy", "xxxx", "****", "none", "null", "true", "false", "todo", "redacted", "sample", "<", "${", "{{")
 _NAME = r"[A-Za-z_][A-Za-z0-9_.\-]*"
 _QUOTED = r'"(?:[^"\\\n]|\\.)*"' + r"|'(?:[^'\\\n]|\\.)*'"
@@ -131,6 +133,12 @@ def assignments(text: str) -> Iterator[tuple[str, _Value, bool]]:
             yield name, value, literal
 
 
+def _letters_hold_a_name(low: str) -> bool:
+    """False only if no name in the text is sensitive: like names, the text is looked at by its letters alone."""
+    letters = low.encode().translate(None, _OTHERS)
+    return any(s in letters for s in _SENSITIVE)
+
+
 def spans_of(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """Base spans and added spans ``(kind, start, end)``, each by start, then kind as listed."""
     base, low = [], None
@@ -142,7 +150,7 @@ def spans_of(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int
         base += [("access", m.start(), m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
     base += [("hex", m.start(), m.end()) for m in _LONG_HEX.finditer(text)]
     added = []
-    if low is not None and any(s[:5] in low for s in SENSITIVE):
+    if low is not None and _letters_hold_a_name(low):
         taken = [(s, e) for _, s, e in base]
         seen: set[int] = set()
         for name, value, literal in assignments(text):

@@ -239,6 +239,14 @@ def test_secrets_through_constants():
     assert found('a = "Zx9-qT71mLpw88Rb"\n' + "a = a + a\n" * 200 + "password = a") == ["Zx9-qT71mLpw88Rb"]
 
 
+@pytest.mark.parametrize("start", ['X-API-Key: "', 'api-key = "', 'api.key="', 'api_key_prod = "', 'pass_phrase: "', 'P-W-D := "'])
+def test_secrets_by_the_letters_of_a_name(start):
+    from atomweave.llm.secrets import spans_of
+
+    text = start + 'Zx9-qT71mLpw88Rb"'
+    assert spans_of(text)[1] == [("literal", len(start), len(text) - 1)]
+
+
 def test_preferences(spark):
     from atomweave.llm.preferences import conversation_pairs, format_preferences
 
