@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -132,13 +132,15 @@ def matching_centrosymmetry(nearest: DataFrame, k: int = 12) -> DataFrame:
     return near.mapInPandas(match, f"frame {near.schema['frame'].dataType.simpleString()}, id long, csp double")
 
 
-def symmetry_histogram(csp: DataFrame, bins: int = 100) -> DataFrame:
-    """``(bin, atoms)`` over all rows: width 1.01 max / bins, or 1 if the maximum is 0."""
-    top = csp.agg(F.max("csp").alias("top"))
+def symmetry_histogram(csp: DataFrame, bins: int = 100, by: Sequence[str] = ()) -> DataFrame:
+    """``(*by, bin, atoms)`` over all rows, or those of the same ``by``: width 1.01 max / bins, or 1 if the maximum is 0."""
+    top = csp.groupBy(*by).agg(F.max("csp").alias("top"))
     width = F.when(F.col("top") > 0, F.col("top") * 1.01 / bins).otherwise(1.0)
-    found = csp.crossJoin(F.broadcast(top)).groupBy(F.floor(F.col("csp") / width).cast("int").alias("bin")).agg(F.count("*").alias("atoms"))
+    topped = csp.join(top, [*by]) if by else csp.crossJoin(F.broadcast(top))
+    found = topped.groupBy(*by, F.floor(F.col("csp") / width).cast("int").alias("bin")).agg(F.count("*").alias("atoms"))
     grid = csp.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
-    return grid.join(found, "bin", "left").select("bin", F.coalesce("atoms", F.lit(0)).alias("atoms"))
+    grid = top.select(*by).crossJoin(F.broadcast(grid)) if by else grid
+    return grid.join(found, [*by, "bin"], "left").select(*by, "bin", F.coalesce("atoms", F.lit(0)).alias("atoms"))
 
 
 # Structure types and their names.

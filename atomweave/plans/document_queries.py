@@ -163,9 +163,10 @@ def j9(spark, sf_dir):
 @query("j10_frame_exposures", "WITH d AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events), k AS (SELECT DISTINCT event_type FROM events), n AS (SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2) SELECT CAST(d.day AS VARCHAR) AS day, k.event_type, coalesce(n.n, 0) AS n FROM d CROSS JOIN k LEFT JOIN n ON n.day = d.day AND n.event_type = k.event_type")
 def j10(spark, sf_dir):
     e = table(spark, sf_dir, "events").select(F.col("ts").cast("date").alias("day"), "event_type")
-    kinds = [r[0] for r in e.select("event_type").distinct().orderBy("event_type").limit(100).collect()]
-    wide = e.groupBy("day").pivot("event_type", kinds).count().fillna(0)
-    return wide.select(F.col("day").cast("string").alias("day"), F.explode(F.create_map(*[x for k in kinds for x in (F.lit(k), F.col(k))])).alias("event_type", "n"))
+    every = e.select("day").distinct().crossJoin(e.select("event_type").distinct())
+    counts = e.groupBy("day", "event_type").agg(F.count("*").alias("n"))
+    same = every["day"].eqNullSafe(counts["day"]) & every["event_type"].eqNullSafe(counts["event_type"])
+    return every.join(counts, same, "left").select(every["day"].cast("string").alias("day"), every["event_type"], F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query("a18_daily_activity", "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS activities, round(sum(value), 2) AS minutes FROM events GROUP BY 1")

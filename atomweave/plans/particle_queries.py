@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +36,11 @@ def _frame(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return a, cube_cells(spark.createDataFrame([(FRAME,)], "frame int"))
 
 
+def _frames(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    a = atoms(spark, sf_dir)
+    return a, cube_cells(a)
+
+
 def _image(d: str) -> str:
     return f"({d}) - 2e1 * floor(({d}) / 2e1 + 5e-1)"
 
@@ -49,14 +55,14 @@ near AS (SELECT *, dx * dx + dy * dy + dz * dz AS d2 FROM delta)"""
 
 
 @query("j1_cutoff_neighbors", f"WITH {_PAIRS} SELECT i, j, round(d2, 6) AS d2 FROM near WHERE d2 <= {CUTOFF * CUTOFF!r}")
-def j1(spark, sf_dir):
-    return cutoff_neighbors(*_frame(spark, sf_dir), CUTOFF).select("i", "j", F.round("d2", 6).alias("d2"))
+def j1(spark, sf_dir, frames=_frame, by=()):
+    return cutoff_neighbors(*frames(spark, sf_dir), CUTOFF).select(*by, "i", "j", F.round("d2", 6).alias("d2"))
 
 
 @query("a1_coordination", f"WITH {_PAIRS} SELECT fr.id, count(near.i) AS coordination FROM fr LEFT JOIN near ON near.i = fr.id AND near.d2 <= {CUTOFF * CUTOFF!r} GROUP BY fr.id")
-def a1(spark, sf_dir):
-    a, c = _frame(spark, sf_dir)
-    return structure.coordination(a, cutoff_neighbors(a, c, CUTOFF)).select("id", "coordination")
+def a1(spark, sf_dir, frames=_frame, by=()):
+    a, c = frames(spark, sf_dir)
+    return structure.coordination(a, cutoff_neighbors(a, c, CUTOFF)).select(*by, "id", "coordination")
 
 
 _BINS = 60
@@ -69,17 +75,17 @@ n AS (SELECT count(*) AS n FROM fr)
 SELECT CAST(b.bin AS INT) AS bin, coalesce(c, 0) AS pairs, round(coalesce(c, 0) / (4e0 / 3e0 * pi() * (n / 8e3) * n * (pow((b.bin + 1) * {CUTOFF / _BINS!r}, 3) - pow(b.bin * {CUTOFF / _BINS!r}, 3))), 6) AS g
 FROM (SELECT unnest(range({_BINS})) AS bin) b LEFT JOIN hist USING (bin), n""",
 )
-def a2(spark, sf_dir):
-    a, c = _frame(spark, sf_dir)
-    return structure.radial_distribution(a, c, cutoff_neighbors(a, c, CUTOFF), CUTOFF, _BINS).select("bin", "pairs", F.round("g", 6).alias("g"))
+def a2(spark, sf_dir, frames=_frame, by=()):
+    a, c = frames(spark, sf_dir)
+    return structure.radial_distribution(a, c, cutoff_neighbors(a, c, CUTOFF), CUTOFF, _BINS).select(*by, "bin", "pairs", F.round("g", 6).alias("g"))
 
 
 _KNN = f"""WITH {_PAIRS}, ranked AS (SELECT i, j, d2, row_number() OVER (PARTITION BY i ORDER BY round(d2, 9), j) AS rank FROM near WHERE d2 > 0)"""
 
 
 @query("j2_knn", _KNN + " SELECT i, CAST(rank AS INT) AS rank, round(d2, 6) AS d2 FROM ranked WHERE rank <= 4")
-def j2(spark, sf_dir):
-    return nearest_neighbors(*_frame(spark, sf_dir), 4).select("i", "rank", F.round("d2", 6).alias("d2"))
+def j2(spark, sf_dir, frames=_frame, by=()):
+    return nearest_neighbors(*frames(spark, sf_dir), 4).select(*by, "i", "rank", F.round("d2", 6).alias("d2"))
 
 
 _CSP_K = 4
@@ -93,20 +99,20 @@ s AS (SELECT p.i, (p.dx + q.dx) * (p.dx + q.dx) + (p.dy + q.dy) * (p.dy + q.dy)
 o AS (SELECT i, v, row_number() OVER (PARTITION BY i ORDER BY v) AS r FROM s)
 SELECT i AS id, round(sum(v), 6) AS csp FROM o WHERE r <= {_CSP_K // 2} GROUP BY i""",
 )
-def x4(spark, sf_dir):
-    a, c = _frame(spark, sf_dir)
-    return structure.centrosymmetry(a, nearest_neighbors(a, c, _CSP_K), _CSP_K).select("id", F.round("csp", 6).alias("csp"))
+def x4(spark, sf_dir, frames=_frame, by=()):
+    a, c = frames(spark, sf_dir)
+    return structure.centrosymmetry(a, nearest_neighbors(a, c, _CSP_K), _CSP_K).select(*by, "id", F.round("csp", 6).alias("csp"))
 
 
 @query("x5_matching_centrosymmetry")
 def x5(spark, sf_dir):
-    return structure.matching_centrosymmetry(nearest_neighbors(*_frame(spark, sf_dir), 6), 6)
+    return structure.matching_centrosymmetry(nearest_neighbors(*_frames(spark, sf_dir), 6), 6)
 
 
 @query("a6_csp_histogram")
 def a6(spark, sf_dir):
-    a, c = _frame(spark, sf_dir)
-    return structure.symmetry_histogram(structure.centrosymmetry(a, nearest_neighbors(a, c, _CSP_K), _CSP_K))
+    a, c = _frames(spark, sf_dir)
+    return structure.symmetry_histogram(structure.centrosymmetry(a, nearest_neighbors(a, c, _CSP_K), _CSP_K), by=["frame"])
 
 
 _LINK = 0.55
@@ -117,31 +123,31 @@ sizes AS (SELECT root, count(*) AS size FROM comp GROUP BY root),
 ranked AS (SELECT root, size, row_number() OVER (ORDER BY size DESC, root) AS cluster FROM sizes)"""
 
 
-def _clusters(spark, sf_dir):
-    a, c = _frame(spark, sf_dir)
+def _clusters(spark, sf_dir, frames):
+    a, c = frames(spark, sf_dir)
     pairs = cutoff_neighbors(a, c, _LINK)
     return a, pairs, structure.clusters(a, pairs)
 
 
 @query("x1_clusters", _COMPONENTS + " SELECT c.id, CAST(r.cluster AS INT) AS cluster, r.size FROM comp c JOIN ranked r USING (root)")
-def x1(spark, sf_dir):
-    return _clusters(spark, sf_dir)[2].select("id", "cluster", "size")
+def x1(spark, sf_dir, frames=_frame, by=()):
+    return _clusters(spark, sf_dir, frames)[2].select(*by, "id", "cluster", "size")
 
 
 @query("a3_cluster_sizes", _COMPONENTS + " SELECT CAST(cluster AS INT) AS cluster, size FROM ranked")
-def a3(spark, sf_dir):
-    return _clusters(spark, sf_dir)[2].select("cluster", "size").distinct()
+def a3(spark, sf_dir, frames=_frame, by=()):
+    return _clusters(spark, sf_dir, frames)[2].select(*by, "cluster", "size").distinct()
 
 
 @query("a5_cluster_shapes")
 def a5(spark, sf_dir):
-    a, pairs, labelled = _clusters(spark, sf_dir)
+    a, pairs, labelled = _clusters(spark, sf_dir, _frames)
     return structure.cluster_shapes(structure.unwrapped(a, pairs, labelled))
 
 
 @query("a9_structure_statistics")
 def a9(spark, sf_dir):
-    a, c = _frame(spark, sf_dir)
+    a, c = _frames(spark, sf_dir)
     return structure.structure_statistics(structure.local_structure(a, nearest_neighbors(a, c, 15)))
 
 
@@ -159,27 +165,27 @@ _MOVED = f"moved AS (SELECT id, x + y * 1e-2 + {_noise(17)} AS x, y + {_noise(29
 _SHIFT = f"""shift AS (SELECT m.id, {_image('m.x - fr.x')} AS dx, {_image('m.y - fr.y')} AS dy, {_image('m.z - fr.z')} AS dz FROM moved m JOIN fr USING (id))"""
 
 
-def _displacements(spark, sf_dir):
-    a, c = _frame(spark, sf_dir)
+def _displacements(spark, sf_dir, frames):
+    a, c = frames(spark, sf_dir)
     return deformation.displacements(deformation.reference_join(_moved(a), a), c)
 
 
 @query("x2_displacements", f"WITH {_ATOMS}, {_MOVED}, {_SHIFT} SELECT id, round(dx, 6) AS dx, round(dy, 6) AS dy, round(dz, 6) AS dz, round(sqrt(dx * dx + dy * dy + dz * dz), 6) AS magnitude FROM shift")
-def x2(spark, sf_dir):
-    d = _displacements(spark, sf_dir)
-    return d.select("id", *[F.round(c, 6).alias(c) for c in ("dx", "dy", "dz", "magnitude")])
+def x2(spark, sf_dir, frames=_frame, by=()):
+    d = _displacements(spark, sf_dir, frames)
+    return d.select(*by, "id", *[F.round(c, 6).alias(c) for c in ("dx", "dy", "dz", "magnitude")])
 
 
 @query("a7_displacement_summary", f"WITH {_ATOMS}, {_MOVED}, {_SHIFT}, m AS (SELECT sqrt(dx * dx + dy * dy + dz * dz) AS v FROM shift) SELECT round(avg(v), 6) AS avg_magnitude, round(max(v), 6) AS max_magnitude, round(min(v), 6) AS min_magnitude FROM m")
-def a7(spark, sf_dir):
-    s = deformation.displacement_summary(_displacements(spark, sf_dir))
-    return s.select(*[F.round(c, 6).alias(c) for c in ("avg_magnitude", "max_magnitude", "min_magnitude")])
+def a7(spark, sf_dir, frames=_frame, by=()):
+    s = deformation.displacement_summary(_displacements(spark, sf_dir, frames))
+    return s.select(*by, *[F.round(c, 6).alias(c) for c in ("avg_magnitude", "max_magnitude", "min_magnitude")])
 
 
 @query("x3_atomic_strain")
 def x3(spark, sf_dir):
-    a, c = _frame(spark, sf_dir)
-    return deformation.atomic_strain(a, cutoff_neighbors(a, c, CUTOFF), _displacements(spark, sf_dir))
+    a, c = _frames(spark, sf_dir)
+    return deformation.atomic_strain(a, cutoff_neighbors(a, c, CUTOFF), _displacements(spark, sf_dir, _frames))
 
 
 @query("a8_strain_summary")
@@ -364,19 +370,26 @@ def k10(spark, sf_dir):
 
 
 @query("g8_workflow_coordination", f"WITH {_PAIRS} SELECT coordination, count(*) AS atoms FROM (SELECT fr.id, count(near.i) AS coordination FROM fr LEFT JOIN near ON near.i = fr.id AND near.d2 <= {CUTOFF * CUTOFF!r} GROUP BY fr.id) GROUP BY 1")
-def g8(spark, sf_dir):
-    """A workflow that runs the coordination analysis on one frame, behind an if-statement that lets it through."""
+def g8(spark, sf_dir, frames=_frame, by=()):
+    """A workflow that runs the coordination analysis on its frames, behind an if-statement that lets it through."""
     from atomweave.plans import workflow as W
 
-    a = atoms(spark, sf_dir)
+    a, cells = frames(spark, sf_dir)
+    steps = [r[0] for r in cells.select("frame").orderBy("frame").collect()]
     node = lambda i, t, **d: {"id": i, "type": t, "data": d}
     flow = {
         "nodes": [
             node("m", "modifier", name="coordination", version="2"), node("a", "arguments", arguments=[{"argument": "cutoff", "default": CUTOFF}, {"argument": "bins", "default": 10}]),
-            node("c", "context", timesteps=[FRAME]), node("i", "if-statement", conditions=[{"left": "{{ m.version }}", "operator": "==", "right": 2}]),
+            node("c", "context", timesteps=steps), node("i", "if-statement", conditions=[{"left": "{{ m.version }}", "operator": "==", "right": 2}]),
             node("e", "entrypoint", analyzer="coordination"), node("x", "exposure", results="coordination", name="atoms"),
         ],
         "edges": [{"source": s, "target": t, "sourceHandle": h} for s, t, h in (("m", "a", None), ("a", "c", None), ("c", "i", None), ("i", "e", "true"), ("e", "x", None))],
     }
-    out = W.run(flow, W.Frames(a, cube_cells(a)))
-    return out.results["atoms"].groupBy("coordination").agg(F.count("*").alias("atoms"))
+    out = W.run(flow, W.Frames(a, cells))
+    return out.results["atoms"].groupBy(*by, "coordination").agg(F.count("*").alias("atoms"))
+
+
+#: The SQL of these queries is about one frame; the same over all frames, each result row with its frame.
+ALL_FRAMES = [n for n, sql in ORACLES.items() if "FROM atoms WHERE frame = " in sql and "fr AS" in sql]
+for _name in ALL_FRAMES:
+    QUERIES[f"{_name}_all_frames"] = partial(QUERIES[_name], frames=_frames, by=("frame",))

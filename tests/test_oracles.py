@@ -7,7 +7,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from atomweave.plans import registry
+from atomweave.plans import particle_queries, registry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -42,3 +42,28 @@ def test_matches_sql(spark, duck, name):
     got, want = registry.QUERIES[name](spark, SF).toPandas(), duck.execute(registry.ORACLES[name]).fetchdf()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)
+
+
+@pytest.mark.parametrize("name", [n for n in particle_queries.ALL_FRAMES if n not in ("j2_knn", "x4_centrosymmetry")])
+def test_every_frame_matches_sql(spark, duck, name):
+    got = registry.QUERIES[f"{name}_all_frames"](spark, SF).toPandas()
+    frames = [r[0] for r in duck.execute("SELECT DISTINCT min(year(l_shipdate)) FROM lineitem GROUP BY l_orderkey, l_linenumber").fetchall()]
+    assert len(frames) > 1 and set(got["frame"]) == set(frames)
+    for f in frames:
+        want = duck.execute(registry.ORACLES[name].replace("frame = 1995", f"frame = {f}")).fetchdf()
+        assert rows(got[got["frame"] == f].drop(columns="frame")) == rows(want)
+
+
+@pytest.mark.parametrize("name", ["x5_matching_centrosymmetry", "a6_csp_histogram", "a9_structure_statistics", "j2_knn_all_frames", "x4_centrosymmetry_all_frames"])
+def test_every_frame_is_read(spark, duck, name):
+    frames = duck.execute("SELECT count(DISTINCT f) FROM (SELECT min(year(l_shipdate)) AS f FROM lineitem GROUP BY l_orderkey, l_linenumber)").fetchone()[0]
+    assert registry.QUERIES[name](spark, SF).select("frame").distinct().count() == frames > 1
+
+
+def test_exposures_of_many_event_types(spark, tmp_path):
+    kinds = [f"kind{i}" for i in range(130)]
+    rows = [("2024-01-01 10:00:00", k) for k in kinds] + [("2024-01-02 10:00:00", "kind5")]
+    made = spark.createDataFrame(rows, "ts string, event_type string")
+    made.selectExpr("cast(ts as timestamp) as ts", "event_type").write.parquet(f"{tmp_path}/events.parquet")
+    got = {(r.day, r.event_type): r.n for r in registry.QUERIES["j10_frame_exposures"](spark, str(tmp_path)).collect()}
+    assert len(got) == 260 and sum(got.values()) == 131 and got["2024-01-02", "kind5"] == 1
