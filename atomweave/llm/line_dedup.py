@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from atomweave.session import cut
 
 WIDTH = 5
-#: Lines of fewer words are left alone: headings, list items and closing words recur by nature.
-FEWEST_WORDS = 5
+#: Lines of fewer words, so those without any, are left alone.
+FEWEST_WORDS = 1
 BUCKETS = 1 << 16
 _LAST = 2**63 - 1
 SPACES, BLANKS = r"[\x20\x09-\x0D]+", " \t\n\x0b\x0c\r"
@@ -39,7 +39,8 @@ def _lines(docs: DataFrame, width: int, fewest: int, only: Callable[[DataFrame],
     lines = only(lines)
     lines = lines.select("doc", "mark", "line_no", F.split(F.lower(F.btrim("line", F.lit(BLANKS))), SPACES).alias("words"))
     none = F.expr("cast(array() as array<string>)")
-    starts = F.when(F.size("words") >= fewest, F.slice("words", F.lit(1), F.greatest(F.size("words") - (width - 1), F.lit(1)))).otherwise(none)
+    n = F.when(F.get("words", F.lit(0)) == "", 0).otherwise(F.size("words"))  # a blank line splits into one empty word
+    starts = F.when(n >= fewest, F.slice("words", F.lit(1), F.greatest(F.size("words") - (width - 1), F.lit(1)))).otherwise(none)
     gram = F.transform(starts, lambda w, i: F.xxhash64(w, *[F.get(F.col("words"), i + j) for j in range(1, width)]))
     return lines.select("doc", "mark", "line_no", gram.alias("grams"))
 

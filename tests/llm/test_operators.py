@@ -350,6 +350,26 @@ def test_line_dedup(spark):
     assert dedup_lines(make(spark, [])).count() == 0
 
 
+def test_line_dedup_of_short_lines(spark):
+    from atomweave.llm.line_dedup import dedup_lines
+
+    rng = random.Random(10)
+    texts = [(i, "\n".join(" ".join(rng.choices("Aa b c".split(), k=rng.randint(0, 6))) + rng.choice(["", " "]) for _ in range(6))) for i in range(30)]
+    texts += [(40, "read more\n\nsolo"), (41, "\n \nRead  More \nread more now"), (42, "more read\n\t"), (43, None)]
+    got = {r.doc_id: r for r in dedup_lines(make(spark, texts)).collect()}
+    seen = []
+    for i, t in texts:
+        gone = []
+        for k, line in enumerate((t or "").split("\n")):
+            w = line.lower().split()
+            grams = {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set()
+            if any(grams and 100 * len(grams & z) >= 75 * len(grams | z) for z in seen):
+                gone.append(k)
+            seen.append(grams)
+        assert list(got[i].removed_lines) == gone, i
+    assert got[40].removed_lines == [] and got[41].removed_lines == [2] and got[42].removed_lines == []
+
+
 def test_repeated_substrings(spark):
     from atomweave.llm.substring_dedup import repeated_substrings
 
