@@ -147,12 +147,12 @@ def _contexts(length: int, gram: int):
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs, texts, wanted = batch.column(0).to_pylist(), encoded(batch.column(1)), batch.column(2)
+            docs, contents, texts, wanted = batch.column(0).to_pylist(), batch.column(1).to_pylist(), encoded(batch.column(2)), batch.column(3)
             for a, b in slices(texts, 1 << 20):
                 part = texts[a:b]
                 begin, h, low, at = anchors(part, length, gram)
                 data = b"".join(part)
-                names, owners, places, spans, offsets = [], [], [], [], []
+                names, owners, marks, places, spans, offsets = [], [], [], [], [], []
                 owner = np.searchsorted(begin, at, side="right") - 1
                 edges = np.searchsorted(owner, np.arange(len(part) + 1))
                 for k in range(len(part)):
@@ -168,50 +168,52 @@ def _contexts(length: int, gram: int):
                         first, last = lo + int(own[0]), lo + int(own[-1])
                         names.append(int(name.view(np.int64)))
                         owners.append(docs[a + k])
+                        marks.append(contents[a + k])
                         places.append(first - int(begin[k]))
                         offsets.append(p - first)
                         spans.append(data[first : last + length])
                 yield pa.record_batch(
-                    [pa.array(names, pa.int64()), pa.array(owners, pa.int64()), pa.array(places, pa.int64()), pa.array(offsets, pa.int32()), pa.array(spans, pa.binary())],
-                    names=["anchor", "doc", "place", "offset", "span"],
+                    [pa.array(names, pa.int64()), pa.array(owners, pa.int64()), pa.array(marks, pa.int64()), pa.array(places, pa.int64()), pa.array(offsets, pa.int32()), pa.array(spans, pa.binary())],
+                    names=["anchor", "doc", "content", "place", "offset", "span"],
                 )
 
     return kernel
 
 
-_MET = "anchor long, doc long, place long, offset int, span binary, stop long"
+_MET = "anchor long, doc long, content long, place long, offset int, span binary, stop long"
 
 
 def _met(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64())
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64())
     return pa.record_batch([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=[c.split()[0] for c in _MET.split(", ")])
 
 
 def _first_of_equals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by doc, the first of each equal span at an anchor; the others' spans are covered and get a stop.
+    """From rows sorted by (doc, content), the first of each equal span at an anchor; the others' spans are covered and get a stop.
 
     Equal spans are dealt by their own hash and a salt, so a passage that many documents share fills no task, and only
     a few of its rows go on to the anchor.
     """
-    seen: dict[tuple, int] = {}
+    seen: dict[tuple, tuple] = {}
     for batch in batches:
         rows = []
-        for anchor, doc, place, offset, span in zip(*[batch.column(i).to_pylist() for i in range(5)]):
-            if seen.setdefault((anchor, offset, span), doc) < doc:
-                rows.append((doc, doc, place, None, None, place + len(span)))  # dealt by document from here
+        for anchor, doc, content, place, offset, span in zip(*[batch.column(i).to_pylist() for i in range(6)]):
+            if seen.setdefault((anchor, offset, span), (doc, content)) < (doc, content):
+                rows.append((content, doc, content, place, None, None, place + len(span)))  # dealt by document from here
             else:
-                rows.append((anchor, doc, place, offset, span, None))
+                rows.append((anchor, doc, content, place, offset, span, None))
         yield _met(rows)
 
 
 def _earlier(length: int):
-    """From rows sorted by (anchor, doc), the stretches of windows that a smaller doc has at the same anchor."""
+    """From rows sorted by (anchor, doc, content), the stretches of windows that a smaller (doc, content) has at the same anchor."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, whole, single = None, {}, {}
         for batch in batches:
             docs, starts, ends = [], [], []
-            for anchor, doc, place, offset, span, stop in zip(*[batch.column(i).to_pylist() for i in range(6)]):
+            for anchor, number, content, place, offset, span, stop in zip(*[batch.column(i).to_pylist() for i in range(7)]):
+                doc = (number, content)
                 if stop is not None:
                     docs.append(doc)
                     starts.append(place)
@@ -227,12 +229,12 @@ def _earlier(length: int):
                 for i in range(len(span) - length + 1):
                     if single.setdefault((offset - i, span[i : i + length]), doc) < doc:
                         if docs and docs[-1] == doc and starts[-1] <= place + i <= ends[-1]:
-                            ends[-1] = place + i + length
+                            ends[-1] = max(ends[-1], place + i + length)
                         else:
                             docs.append(doc)
                             starts.append(place + i)
                             ends.append(place + i + length)
-            yield pa.record_batch([pa.array(docs, pa.int64()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], names=["doc", "begin", "stop"])
+            yield pa.record_batch([pa.array([d for d, _ in docs], pa.int64()), pa.array([c for _, c in docs], pa.int64()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], names=["doc", "content", "begin", "stop"])
 
     return kernel
 
@@ -251,7 +253,7 @@ def runs(begins: np.ndarray, stops: np.ndarray) -> list[tuple[int, int]]:
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts, begins, stops = encoded(batch.column(1)), batch.column(2), batch.column(3)
+        texts, begins, stops = encoded(batch.column(2)), batch.column(3), batch.column(4)
         removed, spans, kept = [], [], []
         for i, text in enumerate(texts):
             gone, at, left = runs(begins[i].values.to_numpy(), stops[i].values.to_numpy()), 0, []
@@ -263,8 +265,8 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             removed.append(len(text) - len(kept[-1]))
             spans.append(len(gone))
         yield pa.record_batch(
-            [batch.column(0), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in kept]), pa.array(kept, pa.binary())],
-            names=["doc", "n_removed", "n_spans", "kept_sha256", "kept"],
+            [batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in kept]), pa.array(kept, pa.binary())],
+            names=["doc", "content", "n_removed", "n_spans", "kept_sha256", "kept"],
         )
 
 
@@ -272,8 +274,8 @@ def repeated_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM)
     """What is left of ``docs(doc_id, text)``: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256``, one row per input row.
 
     Texts are UTF-8 bytes; null counts as empty. A byte goes if it lies in a ``length``-byte string that also starts in
-    a document with a smaller doc_id (null is the largest). Strings are judged on the input. Repeated rows of one
-    doc_id don't remove each other. Texts shorter than ``length`` stay whole. An empty table gives an empty result.
+    an earlier text: of a smaller doc_id (null is the largest), then of a smaller content hash. Strings are judged on the
+    input. Repeated rows don't remove each other. Texts shorter than ``length`` stay whole. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), "text")
@@ -286,19 +288,19 @@ def repeated_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM)
 
     flags = spark.sparkContext.broadcast(sketch.id_table(wanted.select("doc"), BITS))
     some = docs.mapInArrow(_flagged(flags), "doc long, text string, content long")
-    texts = some.join(wanted, ["doc", "content"]).dropDuplicates(["doc", "content"]).select("doc", "text", "anchors")
-    contexts = texts.mapInArrow(_contexts(length, gram), "anchor long, doc long, place long, offset int, span binary")
-    salted = contexts.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int")).repartition("anchor", "offset", "span", "salt")
-    firsts = salted.sortWithinPartitions("doc").drop("salt").mapInArrow(_first_of_equals, _MET)
-    met = firsts.repartition("anchor").sortWithinPartitions("anchor", "doc").mapInArrow(_earlier(length), "doc long, begin long, stop long")
-    covered = cut(met.groupBy("doc").agg(F.collect_list("begin").alias("begins"), F.collect_list("stop").alias("stops")), "covered")
+    texts = some.join(wanted, ["doc", "content"]).dropDuplicates(["doc", "content"]).select("doc", "content", "text", "anchors")
+    contexts = texts.mapInArrow(_contexts(length, gram), "anchor long, doc long, content long, place long, offset int, span binary")
+    salted = contexts.withColumn("salt", F.pmod(F.xxhash64("doc", "content"), F.lit(SALTS)).cast("int")).repartition("anchor", "offset", "span", "salt")
+    firsts = salted.sortWithinPartitions("doc", "content").drop("salt").mapInArrow(_first_of_equals, _MET)
+    met = firsts.repartition("anchor").sortWithinPartitions("anchor", "doc", "content").mapInArrow(_earlier(length), "doc long, content long, begin long, stop long")
+    covered = cut(met.groupBy("doc", "content").agg(F.collect_list("begin").alias("begins"), F.collect_list("stop").alias("stops")), "covered")
 
     flags = spark.sparkContext.broadcast(sketch.id_table(covered.select("doc"), BITS))
     some = docs.mapInArrow(_flagged(flags), "doc long, text string, content long")
-    left = some.join(covered, "doc").select("doc", "text", "begins", "stops").mapInArrow(_cut_out, "doc long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-    left = left.select(*[F.col(c).alias(f"_{c}") for c in ("doc", "n_removed", "n_spans", "kept_sha256")]).dropDuplicates(["_doc"])
+    left = some.join(covered, ["doc", "content"]).select("doc", "content", "text", "begins", "stops").mapInArrow(_cut_out, "doc long, content long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    left = left.select(*[F.col(c).alias(f"_{c}") for c in ("doc", "content", "n_removed", "n_spans", "kept_sha256")]).dropDuplicates(["_doc", "_content"])
 
-    judged = measured.join(owners, "content", "left").join(left, F.col("doc") == F.col("_doc"), "left")
+    judged = measured.join(owners, "content", "left").join(left, (F.col("doc") == F.col("_doc")) & (F.col("content") == F.col("_content")), "left")
     copy = F.coalesce(F.col("owner") < F.col("doc"), F.lit(False))
     nothing = F.lit(hashlib.sha256(b"").hexdigest())
     return judged.select(

@@ -394,3 +394,30 @@ def test_repeated_substrings(spark):
     assert repeated_substrings(make(spark, [])).count() == 0
     twice = repeated_substrings(make(spark, [(1, passage), (1, passage), (None, passage)])).collect()
     assert sorted((str(r.doc_id), r.n_removed) for r in twice) == [("1", 0), ("1", 0), ("None", len(passage))]
+
+
+def test_repeated_substrings_of_texts_with_one_doc_id(spark):
+    from atomweave.llm.substring_dedup import repeated_substrings
+
+    rng = random.Random(3)
+    a, b, shared = (" ".join(rng.choices(WORDS, k=40)) for _ in range(3))
+    clean = " ".join(rng.choices(WORDS, k=60))
+    got = repeated_substrings(make(spark, [(1, a), (2, b), (None, "x" + a), (None, "yy" + b + "z"), (None, clean), (5, shared + "1"), (5, shared + "2"), (5, shared + "2")])).collect()
+    told = lambda i: sorted((r.n_bytes, r.n_removed) for r in got if r.doc_id == i)
+    assert told(None) == sorted([(len(a) + 1, len(a)), (len(b) + 3, len(b)), (len(clean), 0)])
+    assert {r.kept_sha256 for r in got if r.doc_id is None} == {hashlib.sha256(t.encode()).hexdigest() for t in ("x", "yyz", clean)}
+    assert sorted(n for _, n in told(5)) in ([0, 0, len(shared)], [0, len(shared), len(shared)])
+
+
+def test_covered_stretches_never_shrink():
+    import pyarrow as pa
+
+    from atomweave.llm.substring_dedup import _earlier, _met
+
+    text = bytes(range(97, 109))
+    rows = []
+    for anchor, at in ((1, 0), (2, 2), (3, 1)):
+        span = text[at : at + 4]
+        rows += [(anchor, 1, 7, at, 0, span, None), (anchor, 2, 8, at, 0, span + b"?", None)]
+    found = pa.Table.from_batches(_earlier(4)(iter([_met(rows)]))).to_pylist()
+    assert {p for r in found if r["doc"] == 2 for p in range(r["begin"], r["stop"])} == set(range(6))
