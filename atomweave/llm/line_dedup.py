@@ -12,8 +12,6 @@ token sets have a Jaccard similarity of 3/4 or more match; a line that matches a
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,45 +21,76 @@ WIDTH = 5
 #: Lines of fewer words, so those without any, are left alone.
 FEWEST_WORDS = 1
 BUCKETS = 1 << 16
+#: A bucket with over this share of all tokens is hot: its tokens' rows are summed up before they are shuffled.
+HOT_SHARE = 1 / 2048
 _LAST = 2**63 - 1
-SPACES, BLANKS = r"[\x20\x09-\x0D]+", " \t\n\x0b\x0c\r"
+#: White space but for the blank and the line feed.
+OTHER_BLANKS = "\t\x0b\x0c\r"
+PLACE = ["doc", "mark", "line_no"]
+
+
+def _plain(text: Column) -> Column:
+    """The text in lower case with every white space but line feeds as a blank, so that it can be split without patterns."""
+    text = F.lower(text)
+    for c in OTHER_BLANKS:
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return text
+
 
+def _hashes(line: Column) -> Column:
+    """A hash of each word of a line without white space but blanks."""
+    return F.transform(F.array_remove(F.split(line, " "), ""), lambda w: F.xxhash64(w))
 
-def _lines(docs: DataFrame, width: int, fewest: int, only: Callable[[DataFrame], DataFrame] = lambda lines: lines) -> DataFrame:
-    """``(doc, mark, line_no, grams)`` of all lines, or of those that ``only`` lets through; lines with too few words
-    have no grams. A gram comes as often as it occurs.
 
-    Mark tells texts of one doc_id apart. Lines aren't filtered by their grams here: that would compute them twice.
+def _n_grams(width: int, fewest: int) -> Column:
+    n = F.size("hashes")
+    return F.when(n >= F.lit(max(1, fewest)), F.greatest(n - (width - 1), F.lit(1))).otherwise(0)
+
+
+def _lines(docs: DataFrame) -> DataFrame:
+    """``(doc, mark, line_no, hashes)`` of all lines. Mark tells texts of one doc_id apart.
+
+    Lines aren't filtered by their words: Spark would split them twice for that.
     """
     lines = docs.select(
-        F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), F.xxhash64("text").alias("mark"), F.posexplode(F.split("text", "\n")).alias("line_no", "line")
+        F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), F.xxhash64("text").alias("mark"), F.posexplode(F.split(_plain(F.col("text")), "\n")).alias("line_no", "line")
     )
-    lines = only(lines)
-    lines = lines.select("doc", "mark", "line_no", F.split(F.lower(F.btrim("line", F.lit(BLANKS))), SPACES).alias("words"))
-    none = F.expr("cast(array() as array<string>)")
-    n = F.when(F.get("words", F.lit(0)) == "", 0).otherwise(F.size("words"))  # a blank line splits into one empty word
-    starts = F.when(n >= fewest, F.slice("words", F.lit(1), F.greatest(F.size("words") - (width - 1), F.lit(1)))).otherwise(none)
-    gram = F.transform(starts, lambda w, i: F.xxhash64(w, *[F.get(F.col("words"), i + j) for j in range(1, width)]))
-    return lines.select("doc", "mark", "line_no", gram.alias("grams"))
+    return lines.select(*PLACE, _hashes(F.col("line")).alias("hashes"))
+
+
+def _grams(width: int, fewest: int) -> Column:
+    """The grams of ``hashes`` in order; a gram comes as often as it occurs. Its hash is that of its words' hashes in turn."""
+    n = F.size("hashes")
+    shifted = [F.slice("hashes", F.lit(k + 1), F.greatest(n, F.lit(1))).alias(f"w{k}") for k in range(width)]
+    grams = F.transform(F.arrays_zip(*shifted), lambda words: F.xxhash64(words))
+    return F.slice(grams, F.lit(1), _n_grams(width, fewest))
 
 
 def _bucket(token: Column) -> Column:
     return F.shiftrightunsigned(token, 48).cast("int")
 
 
-def _ranks(lines: DataFrame) -> Column:
-    """The rank by rarity of each token bucket, as a constant: its size doesn't depend on the input's."""
-    spark = lines.sparkSession
-    counts = lines.select(F.explode_outer("grams").alias("gram")).where("gram is not null").select(_bucket(F.col("gram")).alias("bucket")).groupBy("bucket").count()
-    every = spark.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").fillna(0, ["count"])
-    ranked = every.withColumn("rank", F.row_number().over(Window.orderBy("count", "bucket")) - 1)
-    ranks = [r["rank"] for r in ranked.orderBy("bucket").select("rank").collect()]
-    return F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<long>")
+def _ranks(lines: DataFrame, width: int, fewest: int) -> tuple[Column, int]:
+    """The rank by rarity of each token bucket, as a constant, and the rank from which buckets are hot.
+
+    Its size doesn't depend on the input's. A row per gram and plain columns, not arrays of grams: this is compiled code.
+    """
+    last = F.greatest(F.size("hashes") - width, F.lit(0))
+    each = lines.select("hashes", F.explode(F.sequence(F.lit(0), last)).alias("i"))
+    gram = F.xxhash64(*[F.get("hashes", F.col("i") + j) for j in range(width)])
+    each = each.select(_bucket(gram).alias("bucket"), F.when(F.size("hashes") >= max(1, fewest), 1).alias("counts"))
+    counts = {r["bucket"]: r["n"] for r in each.groupBy("bucket").agg(F.count("counts").alias("n")).collect()}
+    order = sorted(range(BUCKETS), key=lambda b: (counts.get(b, 0), b))
+    ranks = {b: i for i, b in enumerate(order)}
+    limit = HOT_SHARE * sum(counts.values())
+    hot = sum(n > limit for n in counts.values())
+    return F.split(F.lit(",".join(str(ranks[b]) for b in range(BUCKETS))), ",").cast("array<long>"), BUCKETS - hot
 
 
 def _ordered(grams: Column, ranks: Column) -> Column:
-    """Tokens as codes that sort by rarity: the bucket's rank above, the hash's other bits below."""
-    return F.sort_array(F.transform(grams, lambda h: F.shiftleft(F.get(ranks, _bucket(h)), 47).bitwiseOR(h.bitwiseAND(F.lit((1 << 47) - 1)))))
+    """Distinct tokens as codes that sort by rarity: the bucket's rank above, the hash's other bits below."""
+    code = F.transform(F.array_distinct(grams), lambda h: F.shiftleft(F.get(ranks, _bucket(h)), 47).bitwiseOR(h.bitwiseAND(F.lit((1 << 47) - 1))))
+    return F.sort_array(code)
 
 
 def _near(n: str, pos: str, m: str, q: str) -> Column:
@@ -86,25 +115,42 @@ def _flagged(flags: DataFrame, *key: Column) -> Column:
     return F.call_function("shiftrightunsigned", word, bit).bitwiseAND(1) == 1
 
 
-PLACE = ["doc", "mark", "line_no"]
-
-
 def _matching(docs: DataFrame, pairs: DataFrame, classes: DataFrame, width: int, fewest: int, name: str) -> DataFrame:
-    """Of distinct ``pairs(p, q)`` of classes those whose token sets match, with the one that comes ``later``.
+    """Of distinct ``pairs(p, q)`` of classes those whose token sets match, with the one that comes ``later`` as ``cls``.
 
-    Only lines that a bit map of the classes' first lines lets through are read into tokens again.
+    The classes' first lines are read again by document; a bit map drops most other documents before the join.
     """
-    used = pairs.select(F.explode(F.array("p", "q")).alias("uid")).distinct().join(classes.select("uid", *PLACE), "uid")
-    used = cut(used, f"{name}-used")
-    by_doc, by_line = cut(_flags(used.select("doc")), f"{name}-docs"), cut(_flags(used.select(*PLACE)), f"{name}-lines")
-    some = docs.where(_flagged(by_doc, F.coalesce("doc_id", F.lit(_LAST))))
-    sets = _lines(some, width, fewest, lambda lines: lines.where(_flagged(by_line, *[F.col(c) for c in PLACE]))).join(used, PLACE).dropDuplicates(PLACE)
-    sets = cut(sets.select("uid", F.struct(*PLACE).alias("place"), F.array_distinct("grams").alias("grams")), f"{name}-sets")
+    used = pairs.select(F.explode(F.array("p", "q")).alias("cls")).distinct().join(classes.select("cls", *PLACE), "cls")
+    used = cut(used.groupBy("doc", "mark").agg(F.collect_list(F.struct("line_no", "cls")).alias("wanted")), f"{name}-used")
+    by_doc = cut(_flags(used.select("doc")), f"{name}-docs")
+    some = docs.select(F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), "text").where(_flagged(by_doc, F.col("doc")))
+    some = some.withColumn("mark", F.xxhash64("text")).join(used, ["doc", "mark"]).select("doc", "mark", F.split(_plain(F.col("text")), "\n").alias("lines"), "wanted")
+    some = some.select("doc", "mark", "lines", F.explode("wanted").alias("w"))
+    some = some.select("doc", "mark", F.col("w.line_no").alias("line_no"), F.col("w.cls").alias("cls"), _hashes(F.get("lines", F.col("w.line_no"))).alias("hashes"))
+    sets = cut(some.dropDuplicates(["cls"]).select("cls", F.struct(*PLACE).alias("place"), F.array_distinct(_grams(width, fewest)).alias("grams")), f"{name}-sets")
     for x in "pq":
-        pairs = pairs.join(sets.select(F.col("uid").alias(x), F.col("place").alias(f"{x}_place"), F.col("grams").alias(f"{x}_grams")), x)
+        pairs = pairs.join(sets.select(F.col("cls").alias(x), F.col("place").alias(f"{x}_place"), F.col("grams").alias(f"{x}_grams")), x)
     shared = F.size(F.array_intersect("p_grams", "q_grams"))
     union = F.size("p_grams") + F.size("q_grams") - shared
-    return pairs.where(100 * shared >= 75 * union).select(F.when(F.col("p_place") > F.col("q_place"), F.col("p")).otherwise(F.col("q")).alias("uid"))
+    return pairs.where(100 * shared >= 75 * union).select(F.when(F.col("p_place") > F.col("q_place"), F.col("p")).otherwise(F.col("q")).alias("cls"))
+
+
+def _met(rows: DataFrame, hot: int) -> DataFrame:
+    """Prefix rows ``(token, doc, cls, n, pos)`` whose token several classes have, with the token's earliest class as hub.
+
+    Rows of hot buckets get their hub from a partial aggregate and a join, which Spark can split; the others by a sort.
+    """
+    unpacked = lambda c, x: [F.shiftright(c, 32).cast("int").alias(f"{x}n"), F.col(c).bitwiseAND((1 << 32) - 1).cast("int").alias(f"{x}pos")]
+    is_hot = F.shiftrightunsigned("token", 47) >= hot
+    group = Window.partitionBy("token")
+    first = F.first(F.struct("cls", "np")).over(group.orderBy("doc", "cls"))
+    cold = rows.where(~is_hot).withColumn("hub", first).withColumn("lo", F.min("cls").over(group)).withColumn("hi", F.max("cls").over(group))
+    cold = cold.where("lo < hi").select("token", "doc", "cls", "np", F.col("hub.cls").alias("hub"), F.col("hub.np").alias("hub_np"))
+    few = rows.where(is_hot)
+    hubs = few.groupBy("token").agg(F.min(F.struct("doc", "cls", "np")).alias("hub"), F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi")
+    few = few.join(hubs.select("token", F.col("hub.cls").alias("hub"), F.col("hub.np").alias("hub_np")), "token")
+    every = cold.unionByName(few.select("token", "doc", "cls", "np", "hub", "hub_np"))
+    return every.select("token", "doc", "cls", *unpacked("np", ""), "hub", *unpacked("hub_np", "hub_"))
 
 
 def matched_lines(docs: DataFrame, width: int = WIDTH, fewest: int = FEWEST_WORDS) -> DataFrame:
@@ -115,37 +161,33 @@ def matched_lines(docs: DataFrame, width: int = WIDTH, fewest: int = FEWEST_WORD
     have no lines to remove; very long lines are compared whole. An empty table gives an empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    codes = _ordered(F.array_distinct("grams"), _ranks(_lines(docs, width, fewest)))
-    lines = _lines(docs, width, fewest).select("doc", "mark", "line_no", codes.alias("codes"))
+    ranks, hot = _ranks(_lines(docs), width, fewest)
+    lines = _lines(docs).select(*PLACE, _ordered(_grams(width, fewest), ranks).alias("codes"))
     n = F.size("codes")
-    prefix = F.transform(F.slice("codes", 1, n - F.floor((3 * n + 3) / 4).cast("int") + 1), lambda c: F.hash(c))
-    lines = cut(lines.select("doc", "mark", "line_no", F.xxhash64("codes").alias("cls"), n.alias("n"), prefix.alias("prefix")), "lines").where("n > 0")
+    prefix = F.slice("codes", F.lit(1), n - F.floor((3 * n + 3) / 4).cast("int") + 1)
+    lines = cut(lines.select(*PLACE, F.xxhash64("codes").alias("cls"), n.alias("n"), prefix.alias("prefix")), "lines").where("n > 0")
 
     classes = lines.groupBy("cls").agg(F.min(F.struct(*PLACE, "n", "prefix")).alias("f")).select("cls", "f.*")
-    classes = cut(classes.withColumn("uid", F.monotonically_increasing_id()), "classes")
+    classes = cut(classes, "classes")
     # Small numbers in few columns: these rows are the bulk of what is shuffled.
     packed = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long"))
-    rows = classes.select("uid", "doc", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "uid", "doc", packed.alias("np"))
-    unpacked = lambda c, x: [F.shiftright(c, 32).cast("int").alias(f"{x}n"), c.bitwiseAND((1 << 32) - 1).cast("int").alias(f"{x}pos")]
-    hub = F.first(F.struct("uid", "np")).over(Window.partitionBy("token").orderBy("doc", "uid"))
-    alone = F.max("uid").over(Window.partitionBy("token")) == F.min("uid").over(Window.partitionBy("token"))
-    met = rows.withColumn("hub", hub).withColumn("alone", alone).where(~F.col("alone"))
-    met = cut(met.select("token", "uid", "doc", *unpacked(F.col("np"), ""), F.col("hub.uid").alias("hub"), *unpacked(F.col("hub.np"), "hub_")), "met")
-
-    near = met.where(F.col("uid") != F.col("hub")).where(_near("n", "pos", "hub_n", "hub_pos"))
-    pairs = cut(near.select(F.least("uid", "hub").alias("p"), F.greatest("uid", "hub").alias("q")).distinct(), "pairs")
+    rows = classes.select("cls", "doc", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "doc", "cls", packed.alias("np"))
+    met = cut(_met(rows, hot), "met")
+
+    near = met.where(F.col("cls") != F.col("hub")).where(_near("n", "pos", "hub_n", "hub_pos"))
+    pairs = cut(near.select(F.least("cls", "hub").alias("p"), F.greatest("cls", "hub").alias("q")).distinct(), "pairs")
     done = cut(_matching(docs, pairs, classes, width, fewest, "hubs").distinct(), "done")
 
-    side = ["token", "uid", "doc", "n", "pos"]
-    x = met.join(done, "uid", "left_anti").select(*[F.col(c).alias(f"x_{c}") for c in side])
+    side = ["token", "doc", "cls", "n", "pos"]
+    x = met.join(done, "cls", "left_anti").select(*[F.col(c).alias(f"x_{c}") for c in side])
     y = met.select(*[F.col(c).alias(f"y_{c}") for c in side])
-    rest = x.join(y, (F.col("x_token") == F.col("y_token")) & (F.col("x_uid") != F.col("y_uid")) & (F.col("y_doc") <= F.col("x_doc")) & _near("x_n", "x_pos", "y_n", "y_pos"))
-    rest = rest.select(F.least("x_uid", "y_uid").alias("p"), F.greatest("x_uid", "y_uid").alias("q")).distinct()
+    rest = x.join(y, (F.col("x_token") == F.col("y_token")) & (F.col("x_cls") != F.col("y_cls")) & (F.col("y_doc") <= F.col("x_doc")) & _near("x_n", "x_pos", "y_n", "y_pos"))
+    rest = rest.select(F.least("x_cls", "y_cls").alias("p"), F.greatest("x_cls", "y_cls").alias("q")).distinct()
     rest = cut(rest.join(pairs, ["p", "q"], "left_anti"), "rest")
     more = _matching(docs, rest, classes, width, fewest, "rest")
 
     later = done.unionAll(more).distinct().withColumn("similar", F.lit(True))
-    judged = classes.join(later, "uid", "left").select("cls", *[F.col(c).alias(f"first_{c}") for c in PLACE], "similar")
+    judged = classes.join(later, "cls", "left").select("cls", *[F.col(c).alias(f"first_{c}") for c in PLACE], "similar")
     judged = judged.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(3))))
     salted = lines.select(*PLACE, "cls").withColumn("salt", F.pmod("mark", F.lit(4)).cast("int"))
     found = salted.join(judged, ["cls", "salt"])
