@@ -34,12 +34,13 @@ SENSITIVE = ("password", "passwd", "pwd", "passphrase", "secret", "token", "apik
 _SENSITIVE = tuple(s.encode() for s in SENSITIVE)
 _OTHERS = bytes(c for c in range(256) if not ord("a") <= c <= ord("z"))
 PLACEHOLDERS = ("example", "changeme", "placeholder", "your", "dummy", "xxxx", "****", "none", "null", "true", "false", "todo", "redacted", "sample", "<", "${", "{{")
-_NAME = r"[A-Za-z_][A-Za-z0-9_.\-]*"
-_QUOTED = r'"(?:[^"\\\n]|\\.)*"' + r"|'(?:[^'\\\n]|\\.)*'"
-#: name, sign, and the rest of the line from the value on; also quoted keys, typed declarations and exports.
-_PAIR = re.compile(rf"""["']?({_NAME})["']?(?:\x20*:\x20*[A-Za-z_][A-Za-z0-9_]*)?\x20*(?::=|=>|=(?!=)|:)\x20*(?={_QUOTED}|{_NAME}|[0-9])""")
-_TERM = re.compile(rf"({_QUOTED})|({_NAME})|([A-Za-z0-9+/_.=\-]+)")
-_PLUS = re.compile(r"\x20*[+.]\x20*(?=[\"'A-Za-z_])")
+_NAME = r"[A-Za-z_][A-Za-z0-9_.\-]*+"
+_QUOTED = r'"{3}(?:[^\\]|\\.)*?"{3}|\'{3}(?:[^\\]|\\.)*?\'{3}|"(?:[^"\\\n]|\\.)*+"|\'(?:[^\'\\\n]|\\.)*+\''
+#: name, sign, and the rest of the line from the value on; also quoted keys, typed declarations and exports. A name begins
+#: where a run of its characters does (or after the run's dashes, dots and digits), so no run is read more than once.
+_PAIR = re.compile(rf"""["']?(?<![A-Za-z0-9_.\-])[0-9.\-]*+({_NAME})["']?(?:\x20*+:\x20*+[A-Za-z_][A-Za-z0-9_]*+)?\x20*+(?::=|=>|=(?!=)|:)\x20*+(?=["'A-Za-z_0-9])""")
+_TERM = re.compile(rf"({_QUOTED})|({_NAME})|([A-Za-z0-9+/_.=\-]++)", re.S)
+_PLUS = re.compile(r"\x20*+[+.]\x20*+(?=[\"'A-Za-z_])")
 LEAST_SCORE = 3.0
 _EDGE = max(map(len, PLACEHOLDERS)) - 1
 
@@ -112,8 +113,9 @@ def assignments(text: str) -> Iterator[tuple[str, _Value, bool]]:
         name, at, value, literal = m[1], m.end(), _Value(m.start()), False
         while t := _TERM.match(text, at):
             if t[1]:
-                value.terms.append(t[1][1:-1])
-                value.literals.append((t.start() + 1, t.end() - 1))
+                edge = 3 if len(t[1]) > 5 and t[1][:3] in ('"""', "'''") else 1
+                value.terms.append(t[1][edge:-edge])
+                value.literals.append((t.start() + edge, t.end() - edge))
                 literal = True
             elif t[2] and t[2] in bound:
                 value.terms.append(bound[t[2]])
