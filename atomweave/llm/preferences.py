@@ -19,11 +19,19 @@ def _render(turns: Column) -> Column:
 
 
 def _mask(turns: Column) -> Column:
-    """``[(start, end), ...]`` in code points of a completion: each assistant turn's text and its closing mark."""
-    size = lambda t: F.length(t["role"]) + F.length(t["text"]) + len(OPEN[0] + OPEN[1] + CLOSE)
-    ends = F.transform(F.sequence(F.lit(1), F.size(turns)), lambda i: F.aggregate(F.slice(turns, 1, i), F.lit(0), lambda a, t: a + size(t)))
-    spans = F.transform(turns, lambda t, i: F.when(t["role"] == "assistant", F.struct((F.get(ends, i) - F.length(t["text"]) - len(CLOSE)).alias("start"), F.get(ends, i).alias("end"))))
-    return F.when(F.size(turns) == 0, F.expr("cast(array() as array<struct<start:int,end:int>>)")).otherwise(F.filter(spans, lambda s: s.isNotNull()))
+    """``[(start, end), ...]`` in code points of a completion: each assistant turn's text and its closing mark.
+
+    One pass over the turns carries the end of the last one and the spans so far.
+    """
+    none = F.expr("cast(array() as array<struct<start:int,end:int>>)")
+
+    def step(state: Column, t: Column) -> Column:
+        start = state["at"] + F.length(t["role"]) + len(OPEN[0] + OPEN[1])
+        end = start + F.length(t["text"]) + len(CLOSE)
+        span = F.array(F.struct(start.alias("start"), end.alias("end")))
+        return F.struct(end.alias("at"), F.when(t["role"] == "assistant", F.concat(state["spans"], span)).otherwise(state["spans"]).alias("spans"))
+
+    return F.aggregate(turns, F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda state: state["spans"])
 
 
 def format_preferences(pairs: DataFrame) -> DataFrame:
@@ -54,8 +62,9 @@ def conversation_pairs(turns: DataFrame) -> DataFrame:
 
     Conversations of one first turn answer the same request: each is paired with the one before it (by conv_id, null
     last) in that group, as rejected. The first of a group is paired with itself cut short: its last turn ends after half
-    of its code points. Conversations are ordered by turn; repeated turn numbers by role and text. A conversation must
-    fit a row; the groups of a first turn need not fit a task.
+    of its code points. Conversations are ordered by turn; repeated turn numbers by role and text, repeated rows count
+    as often as they occur. Turns without conv_id form one conversation. An empty table gives no pairs. Other columns are
+    ignored. A conversation must fit a row; the groups of a first turn need not fit a task.
     """
     whole = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text").groupBy("conv_id")
     whole = whole.agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
@@ -71,9 +80,10 @@ def conversation_pairs(turns: DataFrame) -> DataFrame:
     partner = heads.withColumn("within", within).join(lasts, ["head", "part"]).select(F.col("conv_id").alias("own"), F.coalesce("within", "before").alias("other_id"))
     other = whole.select(F.col("conv_id").alias("other_id"), F.col("chosen").alias("other"))
     paired = whole.join(partner, F.col("conv_id").eqNullSafe(F.col("own")), "left").select("conv_id", "other_id", "chosen")
-    # Rows without a partner are spread over all tasks: null keys alone would all go to one.
-    alone = F.when(F.col("other_id").isNull(), F.col("conv_id")).otherwise(0)
-    paired = paired.withColumn("alone", alone).join(other.withColumn("alone", F.lit(0).cast("long")), ["other_id", "alone"], "left")
+    # Rows without a partner get keys of their own that meet nothing: null keys would all go to one task.
+    key = F.when(F.col("other_id").isNull(), F.concat(F.lit("alone "), F.coalesce(F.col("conv_id").cast("string"), F.lit("")))).otherwise(F.concat(F.lit("to "), F.col("other_id").cast("string")))
+    other = other.where("other_id is not null").select(F.concat(F.lit("to "), F.col("other_id").cast("string")).alias("key"), "other")
+    paired = paired.withColumn("key", key).join(other, "key", "left")
     last = F.element_at("chosen", -1)
     half = F.struct(last["role"].alias("role"), F.substring(last["text"], F.lit(1), F.floor(F.length(last["text"]) / 2).cast("int")).alias("text"))
     short = F.concat(F.slice("chosen", F.lit(1), F.size("chosen") - 1), F.array(half))
