@@ -51,7 +51,7 @@ SELECT *, NOT base_failed AND 2 * n_frequent_words <= n_words AS kept FROM v"""
 
 CHAT = r"""
 WITH c AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn) AS chosen FROM conversations GROUP BY conv_id),
-p AS (SELECT *, lag(conv_id) OVER (PARTITION BY chosen[1], substr(md5(CAST(conv_id AS VARCHAR)), 1, 2) ORDER BY conv_id) AS other_id FROM c),
+p AS (SELECT *, lag(conv_id) OVER (PARTITION BY chosen[1] ORDER BY conv_id) AS other_id FROM c),
 j AS (SELECT p.conv_id, p.other_id, p.chosen, coalesce(o.chosen, list_concat(p.chosen[1:len(p.chosen) - 1], [{'role': p.chosen[-1].role, 'text': left(p.chosen[-1].text, length(p.chosen[-1].text) // 2)}])) AS rejected FROM p LEFT JOIN c o ON o.conv_id = p.other_id),
 n AS (SELECT *, least(len(chosen), len(rejected)) AS m, list_position(list_transform(range(1, least(len(chosen), len(rejected)) + 1), lambda i: chosen[i] = rejected[i]), false) AS d FROM j),
 q AS (SELECT *, CAST(CASE WHEN d > 0 THEN d - 1 ELSE m END AS INT) AS k FROM n),
