@@ -5,9 +5,9 @@ first, without losing a repeat: each 50-byte window names its anchor, the 20-byt
 equal windows name equal anchors at equal offsets. About one position in sixteen is an anchor.
 
 1. Anchors of every distinct text meet by hash; those of one text alone are dropped.
-2. Around each anchor that other texts share, the bytes that its windows span are taken. Equal spans meet first, dealt
-   by their hash, and all but the first document's are covered whole. The rest goes to its anchor: sorted by anchor and
-   document, each document's windows are looked up among those of documents with smaller ids.
+2. Around each anchor that other texts share, the bytes that its windows span are taken and meet at the anchor: sorted
+   by anchor and document, each document's windows are looked up among those of documents with smaller ids. Anchors of
+   more than ``HOT`` texts fill no task: their equal spans are aggregated first, and what is left meets by window.
 3. The covered bytes go back to the document, are merged to runs and cut out.
 
 Copies of whole texts are decided by their text alone and take no part in steps 1 to 3 but through their first document.
@@ -30,7 +30,8 @@ from atomweave.session import cut
 
 LENGTH, GRAM = 50, 20
 BITS = 20
-SALTS = 8
+#: Texts of an anchor that meet in one task; results don't depend on it.
+HOT = 4096
 REMEMBERED = 200_000
 _LAST = 2**63 - 1
 _INVERSE = {"powers": np.ones(1, np.uint64)}
@@ -116,30 +117,34 @@ def _anchor_rows(length: int, gram: int):
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by (anchor, content), those whose anchor has several contents."""
-    tail = np.zeros((2, 0), np.int64)  # the first and the last row of the anchor being read
-    told = False
+    """From rows sorted by (anchor, content), those whose anchor has several contents, numbered from 0 within it.
+
+    Carried from batch to batch: the last row and how many contents its anchor has had so far.
+    """
+    last, n = None, 0
     for batch in batches:
-        if not batch.num_rows:
+        anchor, content = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+        if not len(anchor):
             continue
-        rows = np.concatenate([tail, np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(2)])], axis=1)
-        fresh = np.ones(rows.shape[1], bool)
-        fresh[1:] = (rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] != rows[1, :-1])
-        carried = int(np.count_nonzero(fresh[: tail.shape[1]]))
-        rows = rows[:, fresh]
-        new = np.concatenate([[True], rows[0, 1:] != rows[0, :-1]])
-        starts = np.flatnonzero(new)
-        size = np.diff(np.append(starts, rows.shape[1]))[np.cumsum(new) - 1]
-        out = size > 1
-        first_waits = carried == 1 and not told
-        out[: carried - first_waits] = False
-        if carried > 1:
-            out[:carried] = False
-        yield pa.record_batch([pa.array(rows[0, out]), pa.array(rows[1, out])], names=["anchor", "content"])
-        s = int(starts[-1])
-        several = rows.shape[1] - s > 1
-        told = several
-        tail = rows[:, [s, -1]] if several else rows[:, [s]]
+        before = np.array(last if last else (~anchor[0], 0), np.int64)
+        new = np.concatenate([before[:1], anchor[:-1]]) != anchor
+        keep = new | (np.concatenate([before[1:], content[:-1]]) != content)
+        anchor, content, new = anchor[keep], content[keep], new[keep]
+        if not len(anchor):
+            continue
+        goes_on = last is not None and not new[0]
+        first = np.flatnonzero(np.concatenate([[True], new[1:]]))
+        size = np.diff(np.append(first, len(anchor)))
+        had = np.zeros(len(first), np.int64)
+        if goes_on:
+            had[0] = n
+        rank = np.arange(len(anchor)) + np.repeat(had - first, size)
+        out = np.repeat(had + size, size) > 1
+        rows = [anchor[out], content[out], rank[out]]
+        if goes_on and n == 1:  # the row that waited for company
+            rows = [np.concatenate([np.array([x], np.int64), c]) for x, c in zip((*last, 0), rows)]
+        yield pa.record_batch([pa.array(c) for c in rows], names=["anchor", "content", "rank"])
+        last, n = (int(anchor[-1]), int(content[-1])), int(had[-1] + size[-1])
 
 
 def _contexts(length: int, gram: int):
@@ -180,52 +185,30 @@ def _contexts(length: int, gram: int):
     return kernel
 
 
-_MET = "anchor long, doc long, content long, place long, offset int, span binary, stop long"
-
-
-def _met(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64())
-    return pa.record_batch([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=[c.split()[0] for c in _MET.split(", ")])
-
-
-def _first_of_equals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by (doc, content), the first of each equal span at an anchor; the others' spans are covered and get a stop.
-
-    Equal spans are dealt by their own hash and a salt, so a passage that many documents share fills no task, and only
-    a few of its rows go on to the anchor.
-    """
-    seen: dict[tuple, tuple] = {}
-    for batch in batches:
-        rows = []
-        for anchor, doc, content, place, offset, span in zip(*[batch.column(i).to_pylist() for i in range(6)]):
-            if seen.setdefault((anchor, offset, span), (doc, content)) < (doc, content):
-                rows.append((content, doc, content, place, None, None, place + len(span)))  # dealt by document from here
-            else:
-                rows.append((anchor, doc, content, place, offset, span, None))
-        yield _met(rows)
-
-
 def _earlier(length: int):
     """From rows sorted by (anchor, doc, content), the stretches of windows that a smaller (doc, content) has at the same anchor."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, whole, single = None, {}, {}
+        now, whole, single, waiting = None, {}, {}, []
         for batch in batches:
             docs, starts, ends = [], [], []
-            for anchor, number, content, place, offset, span, stop in zip(*[batch.column(i).to_pylist() for i in range(7)]):
+            for anchor, number, content, place, offset, span in zip(*[batch.column(i).to_pylist() for i in range(6)]):
                 doc = (number, content)
-                if stop is not None:
-                    docs.append(doc)
-                    starts.append(place)
-                    ends.append(stop)
-                    continue
                 if anchor != now:
-                    now, whole, single = anchor, {}, {}
-                if whole.setdefault((offset, span), doc) < doc:
+                    now, whole, single, waiting = anchor, {}, {}, []
+                first = whole.setdefault((offset, span), doc)
+                if first < doc:
                     docs.append(doc)
                     starts.append(place)
                     ends.append(place + len(span))
                     continue
+                if len(whole) == 1:  # windows are looked at only where spans differ
+                    waiting = [(offset, span, doc)]
+                    continue
+                for o, other, owner in waiting:
+                    for i in range(len(other) - length + 1):
+                        single.setdefault((o - i, other[i : i + length]), owner)
+                waiting = []
                 for i in range(len(span) - length + 1):
                     if single.setdefault((offset - i, span[i : i + length]), doc) < doc:
                         if docs and docs[-1] == doc and starts[-1] <= place + i <= ends[-1]:
@@ -239,6 +222,37 @@ def _earlier(length: int):
     return kernel
 
 
+def _windows(length: int):
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans, rows, windows, places = batch.column(3).to_pylist(), [], [], []
+            for k, (place, span) in enumerate(zip(batch.column(2).to_pylist(), spans)):
+                n = len(span) - length + 1
+                rows += [k] * n
+                windows += [span[i : i + length] for i in range(n)]
+                places += range(place, place + n)
+            at = pa.array(rows, pa.int64())
+            yield pa.record_batch([batch.column(0).take(at), batch.column(1).take(at), pa.array(places, pa.int64()), pa.array(windows, pa.binary())], names=["doc", "content", "place", "window"])
+
+    return kernel
+
+
+def _hot_stretches(spans: DataFrame, length: int) -> DataFrame:
+    """Like ``_earlier`` for ``spans`` of hot anchors, with aggregates that are summed up before they are shuffled.
+
+    All but the first of equal spans are covered whole; the windows of the first ones are held against each other.
+    """
+    own, at = F.struct("doc", "content"), ["anchor", "offset", "span"]
+    firsts = spans.groupBy(*at).agg(F.min(own).alias("first"))
+    told = cut(spans.join(firsts, at).withColumn("later", own > F.col("first")), "hot-told")
+    equal = told.where("later").select("doc", "content", F.col("place").alias("begin"), (F.col("place") + F.length("span")).alias("stop"))
+    windows = told.where("not later").select("doc", "content", "place", "span").mapInArrow(_windows(length), "doc long, content long, place long, window binary")
+    windows = cut(windows, "hot-windows")
+    first = windows.groupBy("window").agg(F.min(own).alias("first"))
+    covered = windows.join(first, "window").where(own > F.col("first"))
+    return equal.unionAll(covered.select("doc", "content", F.col("place").alias("begin"), (F.col("place") + length).alias("stop")))
+
+
 def runs(begins: np.ndarray, stops: np.ndarray) -> list[tuple[int, int]]:
     """Maximal runs of the union of half-open intervals."""
     out: list[tuple[int, int]] = []
@@ -270,7 +284,7 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def repeated_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def repeated_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = HOT) -> DataFrame:
     """What is left of ``docs(doc_id, text)``: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256``, one row per input row.
 
     Texts are UTF-8 bytes; null counts as empty. A byte goes if it lies in a ``length``-byte string that also starts in
@@ -280,19 +294,25 @@ def repeated_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM)
     spark = docs.sparkSession
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), "text")
     measured = cut(docs.mapInArrow(_measure, "doc long, content long, n_bytes long, sha256 string"), "measured")
-    owners = measured.where(F.col("n_bytes") >= length).groupBy("content").agg(F.min("doc").alias("owner"))
+    owners = measured.where(F.col("n_bytes") >= length).groupBy("content", "sha256").agg(F.min("doc").alias("owner"))
     rows = docs.select("text").mapInArrow(_anchor_rows(length, gram), "anchor long, content long")
-    shared = rows.repartition("anchor").sortWithinPartitions("anchor", "content").mapInArrow(_shared, "anchor long, content long")
-    wanted = shared.groupBy("content").agg(F.collect_set("anchor").alias("anchors")).join(owners, "content")
-    wanted = cut(wanted.select(F.col("owner").alias("doc"), "content", "anchors"), "wanted")
-
-    flags = spark.sparkContext.broadcast(sketch.id_table(wanted.select("doc"), BITS))
-    some = docs.mapInArrow(_flagged(flags), "doc long, text string, content long")
-    texts = some.join(wanted, ["doc", "content"]).dropDuplicates(["doc", "content"]).select("doc", "content", "text", "anchors")
-    contexts = texts.mapInArrow(_contexts(length, gram), "anchor long, doc long, content long, place long, offset int, span binary")
-    salted = contexts.withColumn("salt", F.pmod(F.xxhash64("doc", "content"), F.lit(SALTS)).cast("int")).repartition("anchor", "offset", "span", "salt")
-    firsts = salted.sortWithinPartitions("doc", "content").drop("salt").mapInArrow(_first_of_equals, _MET)
-    met = firsts.repartition("anchor").sortWithinPartitions("anchor", "doc", "content").mapInArrow(_earlier(length), "doc long, content long, begin long, stop long")
+    shared = rows.repartition("anchor").sortWithinPartitions("anchor", "content").mapInArrow(_shared, "anchor long, content long, rank long")
+    shared = cut(shared, "shared")
+    hot = cut(shared.where(F.col("rank") == most).select("anchor"), "hot")
+    any_hot = not hot.isEmpty()
+
+    def contexts(anchors: DataFrame, name: str) -> DataFrame:
+        wanted = anchors.groupBy("content").agg(F.collect_set("anchor").alias("anchors")).join(owners, "content")
+        wanted = cut(wanted.select(F.col("owner").alias("doc"), "content", "anchors"), name)
+        flags = spark.sparkContext.broadcast(sketch.id_table(wanted.select("doc"), BITS))
+        some = docs.mapInArrow(_flagged(flags), "doc long, text string, content long")
+        texts = some.join(wanted, ["doc", "content"]).dropDuplicates(["doc", "content"]).select("doc", "content", "text", "anchors")
+        return texts.mapInArrow(_contexts(length, gram), "anchor long, doc long, content long, place long, offset int, span binary")
+
+    cold = contexts(shared.join(hot, "anchor", "left_anti") if any_hot else shared, "wanted")
+    met = cold.repartition("anchor").sortWithinPartitions("anchor", "doc", "content").mapInArrow(_earlier(length), "doc long, content long, begin long, stop long")
+    if any_hot:
+        met = met.unionAll(_hot_stretches(cut(contexts(shared.join(hot, "anchor", "left_semi"), "hot-wanted"), "hot-spans"), length))
     covered = cut(met.groupBy("doc", "content").agg(F.collect_list("begin").alias("begins"), F.collect_list("stop").alias("stops")), "covered")
 
     flags = spark.sparkContext.broadcast(sketch.id_table(covered.select("doc"), BITS))
@@ -300,7 +320,7 @@ def repeated_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM)
     left = some.join(covered, ["doc", "content"]).select("doc", "content", "text", "begins", "stops").mapInArrow(_cut_out, "doc long, content long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     left = left.select(*[F.col(c).alias(f"_{c}") for c in ("doc", "content", "n_removed", "n_spans", "kept_sha256")]).dropDuplicates(["_doc", "_content"])
 
-    judged = measured.join(owners, "content", "left").join(left, (F.col("doc") == F.col("_doc")) & (F.col("content") == F.col("_content")), "left")
+    judged = measured.join(owners, ["content", "sha256"], "left").join(left, (F.col("doc") == F.col("_doc")) & (F.col("content") == F.col("_content")), "left")
     copy = F.coalesce(F.col("owner") < F.col("doc"), F.lit(False))
     nothing = F.lit(hashlib.sha256(b"").hexdigest())
     return judged.select(
