@@ -5,13 +5,16 @@ prefix n-grams, and one exact verification per pair.
 
 1. One pass hashes every document's n-gram set (``shingle_sets``) and counts n-grams in a sketch of ``2**SKETCH_BITS``
    counters. The order (counter, hash) puts rare n-grams first; any common order is exact, this one is selective.
-   A parity map of each set is kept as the suffix filter's bound on how far two sets are apart.
+   A parity map of each set is kept, which bounds from below how far two sets are apart.
 2. Equal sets form classes, so copies cost one row each. A second pass emits each set's prefix.
 3. Prefix rows meet at their n-gram. There, every class is offered two partners, the first of the n-gram's list and the
-   one just before it; each class has its two most frequent offers verified. That links groups of near copies with a
-   number of pairs in proportion to their members.
-4. Remaining pairs that share a prefix n-gram and lie in different components are all formed, filtered by length,
-   position and suffix, verified, and their links added. Pairs within a component can't change it and are never formed.
+   one just before it; each class has its two most frequent offers verified. A second round draws partners from other
+   components. That links groups of near copies with a number of pairs in proportion to their members.
+4. Remaining pairs that share a prefix n-gram and lie in different components are formed if they pass the filters by
+   length, position and parity map, which the join itself applies. Pairs within a component can't change it.
+
+Verification compares each pair once: the suffix filter first (it splits both ordered sets at one n-gram, again and
+again, and adds up by how much the parts differ in size), then the whole sets.
 
 Exactness: two linked sets share a prefix n-gram, so they end in one component through step 3 or step 4.
 """
@@ -35,8 +38,10 @@ SKETCH_BITS = 20
 PARITY_BITS = 1024
 #: Partners by which a class is linked before the remaining pairs are formed.
 PARTNERS = 3
-#: Drawn partners of a class that the suffix filter ranks to choose those; pairs left over are formed later.
+#: Drawn partners of a class that the parity map ranks to choose those; pairs left over are formed later.
 DRAWN = 12
+#: 64-bit words of the parity map by which the last join filters, and how often the suffix filter splits a part.
+FOLDED, SPLITS = 16, 3
 #: Sets of one task that are remembered, so that copies read by the same task emit their prefix once.
 REMEMBERED = 200_000
 
@@ -180,7 +185,7 @@ def _apart(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(a ^ b).sum())
 
 
-def _suffix_filter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _parity_filter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Drop pairs whose parity maps differ in more bits than linked sets can have n-grams apart."""
     for batch in batches:
         maps = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())
@@ -191,37 +196,65 @@ def _suffix_filter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.record_batch([*kept.columns, pa.array(apart[keep])], names=["a", "b", "apart"])
 
 
+def suffix_bound(x: np.ndarray, y: np.ndarray, most: int, splits: int = SPLITS) -> int:
+    """A lower bound of the number of elements in which two ascending sets differ; more than ``most`` is not told exactly.
+
+    Both are split at the middle element of ``y``; parts on one side of it can only match each other.
+    """
+    least = abs(len(x) - len(y))
+    if not splits or not len(y) or least > most:
+        return least
+    middle = len(y) // 2
+    at = int(np.searchsorted(x, y[middle]))
+    found = at < len(x) and x[at] == y[middle]
+    left, right = (x[:at], y[:middle]), (x[at + found :], y[middle + 1 :])
+    rest = abs(len(right[0]) - len(right[1])) + (not found)
+    least = abs(len(left[0]) - len(left[1])) + rest
+    if least > most:
+        return least
+    bound = suffix_bound(*left, most - rest, splits - 1)
+    if bound + rest > most:
+        return bound + rest
+    here = bound + (not found)
+    return here + suffix_bound(*right, most - here, splits - 1)
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         left, right, keep = batch.column(2).to_pylist(), batch.column(3).to_pylist(), []
         for x, y in zip(left, right):
             x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            total = len(x) + len(y)
+            most = total - 2 * -(-3 * total // 7)
+            if suffix_bound(x, y, most) > most:
+                keep.append(False)
+                continue
             both = np.concatenate([x, y])
             both.sort()
             shared = int(np.count_nonzero(both[1:] == both[:-1]))
-            keep.append(100 * shared >= 75 * (len(x) + len(y) - shared))
+            keep.append(100 * shared >= 75 * (total - shared))
         yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
 
 
-def _links(docs: DataFrame, pairs: DataFrame, classes: DataFrame, width: int, name: str, nearest: int = 0) -> DataFrame:
-    """Of distinct ``pairs(a, b)`` of classes those that link: suffix filter first, then each pair's sets compared.
+def _links(docs: DataFrame, pairs: DataFrame, classes: DataFrame, width: int, name: str, nearest: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Of distinct ``pairs(a, b)`` of classes those that link, and those that were compared whole: parity maps come first.
 
-    With ``nearest``, only so many pairs of each ``a`` are compared, those that the filter finds closest.
+    With ``nearest``, only so many pairs of each ``a`` are compared, those whose maps are closest.
     """
     spark, bits = docs.sparkSession, SKETCH_BITS
     side = classes.select("cls", "parity", "n")
     for x in "ab":
         pairs = pairs.join(side.select(F.col("cls").alias(x), F.col("parity").alias(f"p{x}"), F.col("n").alias(f"n{x}")), x)
-    pairs = pairs.select("a", "b", "pa", "pb", "na", "nb").mapInArrow(_suffix_filter, "a long, b long, apart long")
+    pairs = pairs.select("a", "b", "pa", "pb", "na", "nb").mapInArrow(_parity_filter, "a long, b long, apart long")
     if nearest:
         closest = Window.partitionBy("a").orderBy("apart", "b")
         pairs = pairs.withColumn("r", F.row_number().over(closest)).where(F.col("r") <= nearest)
-    pairs = cut(pairs.select("a", "b"), f"{name}-pairs")
+    pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{name}-pairs")
     involved = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes.select("cls", "class_id"), "cls")
     wanted = spark.sparkContext.broadcast(sketch.id_table(involved.select("class_id"), bits))
     found = docs.where("doc_id is not null").mapInArrow(_sets(width, bits, wanted), "doc_id long, cls long, grams binary")
     sets = found.join(involved.select(F.col("class_id").alias("doc_id"), "cls"), ["doc_id", "cls"]).dropDuplicates(["doc_id", "cls"])
-    return cut(_verified(pairs, cut(sets.select("cls", "grams"), "sets")), name)
+    return cut(_verified(pairs, cut(sets.select("cls", "grams"), "sets")), name), pairs
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -241,9 +274,36 @@ def _mixed(met: DataFrame, components: DataFrame, name: str) -> DataFrame:
     """Prefix rows with their class's component, of the n-grams where several components meet."""
     named = met.select("token", "cls", "n", "pos").join(components.withColumnRenamed("vertex", "cls"), "cls", "left")
     named = named.withColumn("component", F.coalesce("component", "cls"))
-    group = Window.partitionBy("token")
-    named = named.withColumn("lo", F.min("component").over(group)).withColumn("hi", F.max("component").over(group))
-    return cut(named.where("lo < hi").drop("lo", "hi"), name)
+    several = named.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+    return cut(named.join(several.select("token"), "token"), name)
+
+
+def _folds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        maps = [np.bitwise_xor.reduce(np.frombuffer(p, "<i8").reshape(-1, FOLDED), axis=0) for p in batch.column(1).to_pylist()]
+        yield pa.record_batch([batch.column(0), pa.array([m.tolist() for m in maps], pa.list_(pa.int64()))], names=["cls", "fold"])
+
+
+def _crossing(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` of classes that share a prefix n-gram across components and pass all filters.
+
+    Parity maps, folded to ``FOLDED`` words, are compared in the join's own condition, so a pair that they rule out is
+    no row.
+    """
+    used = rows.select("cls").distinct().join(classes.select("cls", "parity"), "cls").select("cls", "parity")
+    rows = rows.join(used.mapInArrow(_folds, "cls long, fold array<long>"), "cls")
+    x, y = rows.select(*[F.col(c).alias(f"x_{c}") for c in rows.columns]), rows.select(*[F.col(c).alias(f"y_{c}") for c in rows.columns])
+    apart = sum((F.bit_count(F.get("x_fold", F.lit(k)).bitwiseXOR(F.get("y_fold", F.lit(k)))) for k in range(1, FOLDED)), F.bit_count(F.get("x_fold", F.lit(0)).bitwiseXOR(F.get("y_fold", F.lit(0)))))
+    total = F.col("x_n") + F.col("y_n")
+    near = apart <= total - 2 * F.floor((3 * total + 6) / 7)
+    crossing = x.join(y, (F.col("x_token") == F.col("y_token")) & (F.col("x_cls") < F.col("y_cls")) & (F.col("x_component") != F.col("y_component")) & _could_link("x_", "y_") & near)
+    return crossing.select(F.col("x_cls").alias("a"), F.col("y_cls").alias("b")).distinct()
+
+
+def _new_pairs(pairs: DataFrame, compared: DataFrame) -> DataFrame:
+    """Pairs, each class's own order kept, without those that were compared before in either order."""
+    key = [F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")]
+    return pairs.withColumns({"lo": F.least("a", "b"), "hi": F.greatest("a", "b")}).join(compared.select(*key), ["lo", "hi"], "left_anti").select("a", "b")
 
 
 def ngram_jaccard_join(docs: DataFrame, width: int = 5) -> DataFrame:
@@ -276,24 +336,22 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5) -> DataFrame:
     votes = offers.groupBy("cls", "with").count()
     best = votes.withColumn("r", F.row_number().over(Window.partitionBy("cls").orderBy(F.desc("count"), "with"))).where("r <= 2")
     pairs = best.select(F.least("cls", "with").alias("a"), F.greatest("cls", "with").alias("b")).distinct()
-    links = _links(docs, pairs, classes, width, "links")
+    links, compared = _links(docs, pairs, classes, width, "links")
     first = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
 
     left = _mixed(met, first, "left")
-    some = F.first(F.struct("cls", "n", "pos", "component")).over(Window.partitionBy("token").orderBy(F.xxhash64("token", "cls")))
-    offers = left.withColumn("hub", some).select("*", F.col("hub.n").alias("hub_n"), F.col("hub.pos").alias("hub_pos"))
+    hubs = left.groupBy("token").agg(F.min(F.struct(F.xxhash64("token", "cls").alias("draw"), "cls", "n", "pos", "component")).alias("hub"))
+    offers = left.join(hubs, "token").select("*", F.col("hub.n").alias("hub_n"), F.col("hub.pos").alias("hub_pos"))
     offers = offers.where((F.col("hub.component") != F.col("component")) & _could_link("", "hub_"))
     offers = offers.groupBy(F.col("cls").alias("a"), F.col("hub.cls").alias("b")).count()
     drawn = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("count"), F.xxhash64("a", "b")))
     offers = offers.withColumn("r", drawn).where(F.col("r") <= DRAWN).select("a", "b")
-    others = _links(docs, offers, classes, width, "others", PARTNERS)
-    links = links.unionAll(others)
+    others, compared_too = _links(docs, _new_pairs(offers, compared), classes, width, "others", PARTNERS)
+    links, compared = links.unionAll(others), compared.unionAll(compared_too)
     second = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
 
     left = _mixed(left.drop("component"), second, "rest")
-    x, y = left.select(*[F.col(c).alias(f"x_{c}") for c in left.columns]), left.select(*[F.col(c).alias(f"y_{c}") for c in left.columns])
-    crossing = x.join(y, (F.col("x_token") == F.col("y_token")) & (F.col("x_cls") < F.col("y_cls")) & (F.col("x_component") != F.col("y_component")) & _could_link("x_", "y_"))
-    more = _links(docs, crossing.select(F.col("x_cls").alias("a"), F.col("y_cls").alias("b")).distinct(), classes, width, "more")
+    more, _ = _links(docs, _new_pairs(_crossing(left, classes), compared), classes, width, "more")
 
     every = links.unionAll(more).select(F.col("a").alias("src"), F.col("b").alias("dst"))
     final = connected_components(every).withColumnRenamed("vertex", "cls")
