@@ -118,15 +118,14 @@ def _flagged(flags: DataFrame, *key: Column) -> Column:
 def _matching(docs: DataFrame, pairs: DataFrame, classes: DataFrame, width: int, fewest: int, name: str) -> DataFrame:
     """Of distinct ``pairs(p, q)`` of classes those whose token sets match, with the one that comes ``later`` as ``cls``.
 
-    The classes' first lines are read again by document; a bit map drops most other documents before the join.
+    The classes' first lines are read again; bit maps drop most other documents and lines before the join.
     """
     used = pairs.select(F.explode(F.array("p", "q")).alias("cls")).distinct().join(classes.select("cls", *PLACE), "cls")
-    used = cut(used.groupBy("doc", "mark").agg(F.collect_list(F.struct("line_no", "cls")).alias("wanted")), f"{name}-used")
-    by_doc = cut(_flags(used.select("doc")), f"{name}-docs")
+    used = cut(used, f"{name}-used")
+    by_doc, by_line = cut(_flags(used.select("doc")), f"{name}-docs"), cut(_flags(used.select(*PLACE)), f"{name}-lines")
     some = docs.select(F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), "text").where(_flagged(by_doc, F.col("doc")))
-    some = some.withColumn("mark", F.xxhash64("text")).join(used, ["doc", "mark"]).select("doc", "mark", F.split(_plain(F.col("text")), "\n").alias("lines"), "wanted")
-    some = some.select("doc", "mark", "lines", F.explode("wanted").alias("w"))
-    some = some.select("doc", "mark", F.col("w.line_no").alias("line_no"), F.col("w.cls").alias("cls"), _hashes(F.get("lines", F.col("w.line_no"))).alias("hashes"))
+    some = some.select("doc", F.xxhash64("text").alias("mark"), F.posexplode(F.split(_plain(F.col("text")), "\n")).alias("line_no", "line"))
+    some = some.where(_flagged(by_line, *[F.col(c) for c in PLACE])).join(used, PLACE).select("cls", *PLACE, _hashes(F.col("line")).alias("hashes"))
     sets = cut(some.dropDuplicates(["cls"]).select("cls", F.struct(*PLACE).alias("place"), F.array_distinct(_grams(width, fewest)).alias("grams")), f"{name}-sets")
     for x in "pq":
         pairs = pairs.join(sets.select(F.col("cls").alias(x), F.col("place").alias(f"{x}_place"), F.col("grams").alias(f"{x}_grams")), x)
