@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from atomweave.llm.line_dedup import dedup_lines
-from atomweave.llm.mixing import mix_sources
+from atomweave.llm.mixing import mixed_texts
 from atomweave.llm.ngram_join import ngram_jaccard_join
 from atomweave.llm.packing import pack_documents
 from atomweave.llm.quality import quality_rules
@@ -44,12 +44,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: the words taken by the document's size, to the nearest whole number."""
-    mixed, _, _ = mix_sources(docs)
-    times = mixed.select(F.col("doc_id").alias("_doc"), F.col("size").alias("_size"), F.expr("cast(round(taken / greatest(size, 1)) as int)").alias("_times"))
-    times = times.where("_times > 0").groupBy("_doc").agg(F.max("_times").alias("_times"))
-    joined = docs.join(times, F.col("doc_id").eqNullSafe(F.col("_doc")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    """The words that the mix takes, one row per reading of a document; documents that it takes whole stay whole."""
+    return mixed_texts(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
