@@ -11,6 +11,10 @@ from pyspark.sql import types as T
 PAGE, LARGEST_PAGE = 100, 1000
 
 
+#: Keys of a map that are turned into columns without being declared.
+MOST_COLUMNS = 1000
+
+
 def select_fields(df: DataFrame, fields: str) -> DataFrame:
     """``a,b`` keeps those columns that exist."""
     return df.select(*[c for c in (f.strip() for f in fields.split(",")) if c in df.columns])
@@ -109,10 +113,15 @@ def numeric_default(column: Column, hint: str | None) -> Column:
 
 
 def expand_map(df: DataFrame, column: str, label: str, keys: list[str] | None = None) -> DataFrame:
-    """One column ``"<label> <key>"`` per key of a map; undeclared keys are found in a first pass, in sorted order."""
+    """One column ``"<label> <key>"`` per key of a map; undeclared keys are found in a first pass, in sorted order.
+
+    A table can't have a column for each of more than ``MOST_COLUMNS`` keys: then keys must be declared.
+    """
     if keys is None:
         found = df.select(F.explode(F.map_keys(column)).alias("k")).distinct().orderBy("k")
-        keys = [r[0] for r in found.limit(1000).collect()]
+        keys = [r[0] for r in found.limit(MOST_COLUMNS + 1).collect()]
+        if len(keys) > MOST_COLUMNS:
+            raise ValueError(f"{column} has more than {MOST_COLUMNS} keys: declare those wanted")
     return df.select("*", *[F.try_element_at(F.col(column), F.lit(k)).alias(f"{label} {k}") for k in keys]).drop(column)
 
 
@@ -177,3 +186,50 @@ def chart_series(df: DataFrame, x: str, y: str) -> DataFrame:
     if points.isEmpty():
         raise ValueError("the series is empty")
     return points.select("x", F.coalesce("y", F.lit(0)).alias("y"))
+
+
+def resolve_iterable(df: DataFrame, payload: str, key: str | None = None) -> DataFrame:
+    """Add ``items``, the rows of a payload: the payload if it is an array, else its ``key``, else its field ``data``,
+    else its first array field; without any, an empty array of strings. A null array counts as empty."""
+    kind = df.schema[payload].dataType
+    found = F.col(payload) if isinstance(kind, T.ArrayType) else None
+    if found is None and isinstance(kind, T.StructType):
+        arrays = [f.name for f in kind.fields if isinstance(f.dataType, T.ArrayType)]
+        chosen = next((n for n in (key, "data", *arrays) if n in arrays), None)
+        found = F.col(payload)[chosen] if chosen else None
+    if found is None:
+        return df.withColumn("items", F.expr("cast(array() as array<string>)"))
+    return df.withColumn("items", found).withColumn("items", F.coalesce("items", F.slice(F.array(F.get("items", F.lit(0))), 1, 0)))
+
+
+def inverse_relations(docs: DataFrame, key: str, refs: str, target: str) -> DataFrame:
+    """``(target, back)``: for each document that others refer to, their keys in order. Derived, so it is never stale.
+
+    ``refs`` is a column or an array column of target keys; nulls and repeated references count once.
+    """
+    one = F.explode(F.col(refs)) if isinstance(docs.schema[refs].dataType, T.ArrayType) else F.col(refs)
+    links = docs.select(F.col(key).alias("_own"), one.alias(target)).where(F.col(target).isNotNull()).distinct()
+    return links.groupBy(target).agg(F.sort_array(F.collect_list("_own")).alias("back"))
+
+
+def relation_changes(before: DataFrame, after: DataFrame, key: str, refs: str, target: str) -> DataFrame:
+    """``(target, own, change)``: the back-references that an update adds or removes."""
+
+    def links(docs: DataFrame) -> DataFrame:
+        one = F.explode(F.col(refs)) if isinstance(docs.schema[refs].dataType, T.ArrayType) else F.col(refs)
+        return docs.select(one.alias(target), F.col(key).alias("own")).where(F.col(target).isNotNull()).distinct()
+
+    old, new = links(before), links(after)
+    both = [target, "own"]
+    return new.join(old, both, "left_anti").withColumn("change", F.lit("add")).unionAll(old.join(new, both, "left_anti").withColumn("change", F.lit("remove")))
+
+
+def write_exposures(results: dict[str, DataFrame], path: str, listings: dict[str, DataFrame] | None = None, form: str = "json") -> None:
+    """Write an analysis: each exposure under ``exposures/<name>/frame=<t>`` with rows in order of time, and the rows of
+    each listing under ``listings/<name>``. Spark writes a folder per frame, so nothing passes through one task."""
+    for name, df in results.items():
+        ranged = df.repartitionByRange("frame").sortWithinPartitions("frame") if "frame" in df.columns else df
+        writer = ranged.write.mode("overwrite").format(form)
+        (writer.partitionBy("frame") if "frame" in df.columns else writer).save(f"{path}/exposures/{name}")
+    for name, df in (listings or {}).items():
+        df.write.mode("overwrite").format(form).save(f"{path}/listings/{name}")

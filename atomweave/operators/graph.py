@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from atomweave.session import cut
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     """Smallest reachable vertex for each vertex of ``edges(src, dst)``: returns ``(vertex, component)``.
 
     Alternates large-star and small-star contraction; each round hangs vertices nearer to the smallest of their
     neighbours until the edge set no longer changes. Every round is written to the shared folder. Self loops, repeated
-    edges and null ends are ignored; an empty table gives an empty result.
+    edges and null ends are ignored; an empty table gives an empty result. Edges that still change after ``max_rounds``
+    are an error (the number of rounds grows with the logarithm of the graph).
     """
     links = (
         edges.select("src", "dst")
@@ -46,6 +47,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if seen == state:
             break
         seen = state
+    else:
+        raise RuntimeError(f"components have not settled in {max_rounds} rounds")
     up = links.groupBy("u").agg(F.min("v").alias("v"))
     return up.select(F.col("u").alias("vertex"), F.col("v").alias("component")).unionByName(
         up.select(F.col("v").alias("vertex"), F.col("v").alias("component")).distinct()

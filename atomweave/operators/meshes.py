@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from atomweave.session import cut
@@ -70,3 +70,23 @@ def least_absolute_line(df: DataFrame, x: str, y: str, weight: str | None = None
             return new
         line = new
     return line
+
+
+def unwrapped_mesh(points: DataFrame, facets: DataFrame, lengths: list[float]) -> tuple[DataFrame, DataFrame]:
+    """A periodic mesh drawn in one piece: ``(mesh, point, x, y, z)`` and ``(mesh, facet, a, b, c)``.
+
+    ``points(mesh, vertex, x, y, z)``, ``facets(mesh, facet, a, b, c)``. Each facet's second and third vertex take the
+    image nearest to its first; a vertex that is drawn at several images becomes a point for each of them (the seam).
+    Points are numbered within the mesh by vertex and image.
+    """
+    at = lambda k: points.select("mesh", F.col("vertex").alias(k), *[F.col(c).alias(f"{k}{c}") for c in "xyz"])
+    placed = facets.join(at("a"), ["mesh", "a"]).join(at("b"), ["mesh", "b"]).join(at("c"), ["mesh", "c"])
+    shift = lambda k: F.concat_ws(" ", *[(-F.floor((F.col(f"{k}{c}") - F.col(f"a{c}")) / size + 0.5)).cast("long") for c, size in zip("xyz", lengths)])
+    placed = placed.select("mesh", "facet", *[F.struct(F.col(k).alias("vertex"), (F.lit("0 0 0") if k == "a" else shift(k)).alias("image")).alias(k) for k in "abc"])
+    used = placed.select("mesh", F.explode(F.array("a", "b", "c")).alias("p")).distinct().select("mesh", "p.vertex", "p.image")
+    order = Window.partitionBy("mesh").orderBy("vertex", "image")
+    drawn = used.withColumn("point", F.row_number().over(order) - 1).join(points, ["mesh", "vertex"])
+    moved = [(F.col(c) + F.get(F.split("image", " "), F.lit(i)).cast("double") * size).alias(c) for i, (c, size) in enumerate(zip("xyz", lengths))]
+    key = lambda k: drawn.select("mesh", F.struct("vertex", "image").alias(k), F.col("point").alias(f"_{k}"))
+    faces = placed.join(key("a"), ["mesh", "a"]).join(key("b"), ["mesh", "b"]).join(key("c"), ["mesh", "c"])
+    return drawn.select("mesh", "point", "vertex", *moved), faces.select("mesh", "facet", *[F.col(f"_{k}").alias(k) for k in "abc"])

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from atomweave.functions.cell import edges, reduced, with_geometry, wrapped
 from atomweave.session import cut
 
-MOST_BINS = 128
-
 
 def _binned(atoms: DataFrame, cells: DataFrame) -> DataFrame:
     """Atoms with their wrapped positions and, in reduced coordinates, the bins of their cell."""
@@ -22,24 +20,26 @@ def _binned(atoms: DataFrame, cells: DataFrame) -> DataFrame:
     return placed.select("*", *[c.alias(n) for n, c in zip(("wx", "wy", "wz"), wrap)], *[b.alias(f"b{i}") for i, b in enumerate(bins)])
 
 
-def cutoff_neighbors(atoms: DataFrame, cells: DataFrame, cutoff: float) -> DataFrame:
+def cutoff_neighbors(atoms: DataFrame, cells: DataFrame, cutoff: float | None, centers: DataFrame | None = None) -> DataFrame:
     """Directed pairs ``(frame, i, j, dx, dy, dz, d2, sx, sy, sz)`` with d2 <= cutoff**2.
 
     ``atoms(frame, id, x, y, z)``, ``cells(frame, a, b, c, origin, pbc)``. Every periodic image counts, an atom's own
     images included; only an atom with itself under no shift is left out. Shifts are in cells, between wrapped
     positions. Atoms outside along an open axis go to the edge bins. Each atom is sent to the bins its sphere can touch
     and joined there on equal bin numbers, so work grows with the number of near pairs. A cutoff of 0 or less, or a flat
-    cell, is an error.
+    cell, is an error. With a cutoff of None each frame has its own, the column ``cutoff`` of ``cells``. ``centers(frame,
+    id)`` are the only atoms i, if given.
     """
-    if cutoff <= 0:
+    if cutoff is not None and cutoff <= 0:
         raise ValueError("the cutoff must be positive")
+    cells = cells.withColumn("cutoff", F.col("cutoff") if cutoff is None else F.lit(float(cutoff)))
     cells = with_geometry(cells).withColumn("volume", F.when(F.col("volume") > 1e-12, F.col("volume")).otherwise(F.raise_error(F.lit("a cell has no volume"))))
-    count = lambda i: F.greatest(F.lit(1), F.least(F.lit(MOST_BINS), F.floor(F.get("heights", F.lit(i)) / cutoff))).cast("int")
-    reach = lambda i: F.ceil(F.lit(cutoff) * F.get("bins", F.lit(i)) / F.get("heights", F.lit(i))).cast("int")
+    count = lambda i: F.greatest(F.lit(1), F.floor(F.get("heights", F.lit(i)) / F.col("cutoff"))).cast("int")
+    reach = lambda i: F.ceil(F.col("cutoff") * F.get("bins", F.lit(i)) / F.get("heights", F.lit(i))).cast("int")
     cells = cells.where("volume > 0").withColumn("bins", F.array(*[count(i) for i in range(3)]))
     cells = cells.withColumn("reach", F.array(*[reach(i) for i in range(3)]))
     placed = _binned(atoms, cells)
-    left = placed
+    left = placed if centers is None else placed.join(centers.select("frame", "id"), ["frame", "id"], "left_semi")
     for i, (t, shift) in enumerate((("tx", "sx"), ("ty", "sy"), ("tz", "sz"))):
         r, n = F.get("reach", F.lit(i)), F.get("bins", F.lit(i))
         left = left.withColumn(t, F.explode(F.sequence(F.col(f"b{i}") - r, F.col(f"b{i}") + r)))
@@ -47,42 +47,46 @@ def cutoff_neighbors(atoms: DataFrame, cells: DataFrame, cutoff: float) -> DataF
         left = left.withColumn(t, (F.col(t) - F.col(shift) * n).cast("int")).where((F.col(t) >= 0) & (F.col(t) < n))
     e = edges()
     moved = [sum((F.col(s) * e[k][i] for k, s in ((1, "sy"), (2, "sz"))), F.col("sx") * e[0][i]) for i in range(3)]
-    left = left.select("frame", F.col("id").alias("i"), *[(m - F.col(w)).alias(f"o{w}") for m, w in zip(moved, ("wx", "wy", "wz"))], "tx", "ty", "tz", "sx", "sy", "sz")
+    left = left.select("frame", F.col("id").alias("i"), *[(m - F.col(w)).alias(f"o{w}") for m, w in zip(moved, ("wx", "wy", "wz"))], "tx", "ty", "tz", "sx", "sy", "sz", (F.col("cutoff") * F.col("cutoff")).alias("most"))
     right = placed.select("frame", F.col("id").alias("j"), "wx", "wy", "wz", F.col("b0").alias("tx"), F.col("b1").alias("ty"), F.col("b2").alias("tz"))
     delta = [F.col(w) + F.col(f"o{w}") for w in ("wx", "wy", "wz")]
     d2 = delta[0] * delta[0] + delta[1] * delta[1] + delta[2] * delta[2]
     pairs = left.join(right, ["frame", "tx", "ty", "tz"])
-    pairs = pairs.where((d2 <= cutoff * cutoff) & ~((F.col("i") == F.col("j")) & (F.col("sx") == 0) & (F.col("sy") == 0) & (F.col("sz") == 0)))
+    pairs = pairs.where((d2 <= F.col("most")) & ~((F.col("i") == F.col("j")) & (F.col("sx") == 0) & (F.col("sy") == 0) & (F.col("sz") == 0)))
     return pairs.select("frame", "i", "j", *[d.alias(n) for d, n in zip(delta, ("dx", "dy", "dz"))], d2.alias("d2"), "sx", "sy", "sz")
 
 
-def nearest_neighbors(atoms: DataFrame, cells: DataFrame, k: int, rounds: int = 8) -> DataFrame:
+def _extent() -> Column:
+    """No two atoms of a frame without periodic axes are further apart than this."""
+    return F.sqrt(sum(((F.max(c) - F.min(c)) * (F.max(c) - F.min(c)) for c in "yz"), (F.max("x") - F.min("x")) * (F.max("x") - F.min("x"))))
+
+
+def nearest_neighbors(atoms: DataFrame, cells: DataFrame, k: int) -> DataFrame:
     """The ``k`` nearest images of each atom: pairs as above with ``rank`` from 1, by d2 to nine decimals and
     then j.
 
-    Images at distance 0 don't count. The cutoff starts where a uniform density has twice k neighbours and is doubled
-    for atoms that have fewer; after ``rounds`` they keep what they have.
+    Images at distance 0 don't count. Each frame's cutoff starts where a uniform density has twice k neighbours and is
+    doubled for the atoms that have fewer, until none has or, in frames without periodic axes, all atoms are within it:
+    only atoms of such frames can end with fewer than k.
     """
-    n = atoms.groupBy("frame").count()
-    sized = with_geometry(cells).join(n, "frame")
-    guess = sized.select(F.max(F.pow(F.col("volume") * (2.0 * k * 3 / (4 * 3.141592653589793)) / F.col("count"), F.lit(1 / 3)))).first()[0]
-    if guess is None:
-        return cutoff_neighbors(atoms, cells, 1.0).withColumn("rank", F.lit(1)).where(F.lit(False))
-    out, cutoff, wanted = None, guess, None
+    n = atoms.groupBy("frame").agg(F.count("*").alias("count"), _extent().alias("extent"))
+    guess = F.pow(F.col("volume") * (2.0 * k * 3 / (4 * 3.141592653589793)) / F.col("count"), F.lit(1 / 3))
+    found = with_geometry(cells).join(n, "frame").select("frame", guess.alias("cutoff"), "extent")
+    sized = cut(cells.drop("cutoff").join(found, "frame"), "cutoffs")
+    every = atoms.select("frame", F.col("id").alias("i")).join(sized.select("frame"), "frame", "left_semi")
+    open_frames = sized.where(~F.exists("pbc", lambda p: p)).select("frame", "cutoff", "extent")
     order = Window.partitionBy("frame", "i").orderBy(F.round("d2", 9), "j", "sx", "sy", "sz")
-    for turn in range(rounds):
-        pairs = cutoff_neighbors(atoms, cells, cutoff).where("d2 > 0")
-        if wanted is not None:
-            pairs = pairs.join(wanted, ["frame", "i"], "left_semi")
-        ranked = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        ranked = cut(ranked, "nearest")
+    out, wanted, factor = None, None, 1.0
+    while out is None or not wanted.isEmpty():
+        scaled = sized.withColumn("cutoff", F.col("cutoff") * factor).drop("extent")
+        centers = None if wanted is None else wanted.select("frame", F.col("i").alias("id"))
+        pairs = cutoff_neighbors(atoms, scaled, None, centers).where("d2 > 0")
+        ranked = cut(pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k), "nearest")
         full = ranked.where(F.col("rank") == k).select("frame", "i")
-        every = wanted if wanted is not None else atoms.select("frame", F.col("id").alias("i"))
-        wanted = cut(every.join(full, ["frame", "i"], "left_anti"), "wanted")
-        last = turn == rounds - 1 or wanted.isEmpty()
-        done = ranked if last else ranked.join(full, ["frame", "i"], "left_semi")
+        over = open_frames.where(F.col("cutoff") * factor > F.col("extent")).select("frame")
+        left = (every if wanted is None else wanted).join(full, ["frame", "i"], "left_anti")
+        wanted = cut(left.join(over, "frame", "left_anti"), "wanted")
+        done = ranked.join(wanted, ["frame", "i"], "left_anti")
         out = done if out is None else out.unionAll(done)
-        if last:
-            break
-        cutoff *= 2
+        factor *= 2
     return out

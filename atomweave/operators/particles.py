@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from atomweave.functions.scalars import GRAIN_COLORS, HIGHLIGHT, MUTED, STRUCTURE_COLORS
-from atomweave.operators.ranking import running_sum
+from atomweave.operators.ranking import numbered, running_sum
 
 OPERATORS = ("==", "!=", ">", ">=", "<", "<=")
 
@@ -91,5 +91,5 @@ def structure_colors(df: DataFrame, column: str = "structure") -> DataFrame:
 def grain_colors(grains: DataFrame) -> DataFrame:
     """Add ``color`` to grains, the palette taken in turn in the order of grain ids."""
     palette = F.array(*[F.array(*[F.lit(x) for x in c]) for c in GRAIN_COLORS])
-    turn = F.row_number().over(Window.orderBy("grain")) - 1
-    return grains.withColumn("color", F.get(palette, (turn % len(GRAIN_COLORS)).cast("int")))
+    turned = numbered(grains, [F.col("grain")], "_turn")
+    return turned.withColumn("color", F.get(palette, ((F.col("_turn") - 1) % len(GRAIN_COLORS)).cast("int"))).drop("_turn")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from atomweave.functions import cell as C
@@ -11,6 +10,7 @@ from atomweave.functions import scalars as S
 from atomweave.operators import documents as D
 from atomweave.operators import metrics as M
 from atomweave.operators import particles
+from atomweave.operators.ranking import numbered
 from atomweave.plans import workflow as W
 from atomweave.sources.adapters import ATOMS_SQL, atoms, cube_cells, table
 
@@ -106,7 +106,7 @@ def j14(spark, sf_dir):
 @query("a10_grain_table", "SELECT l_suppkey AS grain, count(*) AS size, row_number() OVER (ORDER BY count(*) DESC, l_suppkey) AS place FROM lineitem GROUP BY 1 HAVING count(*) >= 20")
 def a10(spark, sf_dir):
     grains = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("grain")).agg(F.count("*").alias("size")).where("size >= 20")
-    return grains.withColumn("place", F.row_number().over(Window.orderBy(F.desc("size"), "grain")).cast("long"))
+    return numbered(grains, [F.desc("size"), F.col("grain")], "place")
 
 
 @query("a13_circuit_statistics", "SELECT count(*) AS total, count(*) FILTER (WHERE c_acctbal < 0) AS dangling, round(avg(c_nationkey), 6) AS mean_edges, min(c_nationkey) AS min_edges, max(c_nationkey) AS max_edges FROM customer")
@@ -130,7 +130,7 @@ def o7(spark, sf_dir):
 @query("o8_rank_by_size", "SELECT o_custkey, row_number() OVER (ORDER BY count(*) DESC, o_custkey) AS cluster FROM orders GROUP BY 1")
 def o8(spark, sf_dir):
     sizes = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("size"))
-    return sizes.select("o_custkey", F.row_number().over(Window.orderBy(F.desc("size"), "o_custkey")).cast("long").alias("cluster"))
+    return numbered(sizes, [F.desc("size"), F.col("o_custkey")], "cluster").select("o_custkey", "cluster")
 
 
 @query("o9_latest_sample", "SELECT user_id, arg_max(event_id, ts) AS event_id FROM events WHERE ts >= TIMESTAMP '2024-01-20' GROUP BY 1")

@@ -131,9 +131,9 @@ def o3(spark, sf_dir):
 
 @query("o5_client_sort", "SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal, c_custkey) AS place FROM customer")
 def o5(spark, sf_dir):
-    from pyspark.sql import Window
+    from atomweave.operators.ranking import numbered
 
-    return table(spark, sf_dir, "customer").select("c_custkey", F.row_number().over(Window.orderBy(*D.client_sort("c_acctbal"), "c_custkey")).cast("long").alias("place"))
+    return numbered(table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), [*D.client_sort("c_acctbal"), F.col("c_custkey")], "place").select("c_custkey", "place")
 
 
 @query("o13_history_page", "SELECT * FROM (SELECT conv_id, turn, role FROM conversations ORDER BY conv_id DESC, turn DESC LIMIT 50 OFFSET 50) ORDER BY conv_id, turn")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,14 +10,14 @@ from pyspark.sql import functions as F
 from atomweave.functions import cell as C
 from atomweave.functions import linalg as L
 from atomweave.functions import scalars as S
-from atomweave.operators import deformation, particles, structure
+from atomweave.operators import crystal, deformation, particles, structure
 from atomweave.operators import lines as dislocations
 from atomweave.operators.neighbors import cutoff_neighbors, nearest_neighbors
 from atomweave.sources.adapters import ATOMS_SQL, BOX, atoms, cube_cells, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-FRAME, CUTOFF = 1995, 1.2
+CUTOFF = 1.2
 
 
 def query(name: str, sql: str | None = None):
@@ -31,11 +30,6 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def _frame(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    a = atoms(spark, sf_dir, FRAME)
-    return a, cube_cells(spark.createDataFrame([(FRAME,)], "frame int"))
-
-
 def _frames(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     a = atoms(spark, sf_dir)
     return a, cube_cells(a)
@@ -45,22 +39,23 @@ def _image(d: str) -> str:
     return f"({d}) - 2e1 * floor(({d}) / 2e1 + 5e-1)"
 
 
-_ATOMS = f"atoms AS ({ATOMS_SQL}), fr AS (SELECT * FROM atoms WHERE frame = {FRAME})"
+_ATOMS = f"fr AS ({ATOMS_SQL})"
 #: Near pairs by nearest images: equal to all images while the cutoff is below half the box.
+#: Slabs are two wide; three to each side hold the nearest neighbours of sparse frames too.
 _PAIRS = f"""{_ATOMS}, grid AS (SELECT *, CAST(floor(x / 2e0) AS INT) gx FROM fr),
-halo AS (SELECT g.*, (g.gx + o.o + 10) % 10 AS tx FROM grid g, (SELECT unnest([-1, 0, 1]) AS o) o),
-delta AS (SELECT p.id AS i, q.id AS j, {_image('q.x - p.x')} AS dx, {_image('q.y - p.y')} AS dy, {_image('q.z - p.z')} AS dz
-  FROM halo p JOIN grid q ON q.gx = p.tx AND p.id <> q.id),
+halo AS (SELECT g.*, (g.gx + o.o + 10) % 10 AS tx FROM grid g, (SELECT unnest([-3, -2, -1, 0, 1, 2, 3]) AS o) o),
+delta AS (SELECT p.frame AS frame, p.id AS i, q.id AS j, {_image('q.x - p.x')} AS dx, {_image('q.y - p.y')} AS dy, {_image('q.z - p.z')} AS dz
+  FROM halo p JOIN grid q ON q.frame = p.frame AND q.gx = p.tx AND p.id <> q.id),
 near AS (SELECT *, dx * dx + dy * dy + dz * dz AS d2 FROM delta)"""
 
 
-@query("j1_cutoff_neighbors", f"WITH {_PAIRS} SELECT i, j, round(d2, 6) AS d2 FROM near WHERE d2 <= {CUTOFF * CUTOFF!r}")
-def j1(spark, sf_dir, frames=_frame, by=()):
+@query("j1_cutoff_neighbors", f"WITH {_PAIRS} SELECT frame, i, j, round(d2, 6) AS d2 FROM near WHERE d2 <= {CUTOFF * CUTOFF!r}")
+def j1(spark, sf_dir, frames=_frames, by=("frame",)):
     return cutoff_neighbors(*frames(spark, sf_dir), CUTOFF).select(*by, "i", "j", F.round("d2", 6).alias("d2"))
 
 
-@query("a1_coordination", f"WITH {_PAIRS} SELECT fr.id, count(near.i) AS coordination FROM fr LEFT JOIN near ON near.i = fr.id AND near.d2 <= {CUTOFF * CUTOFF!r} GROUP BY fr.id")
-def a1(spark, sf_dir, frames=_frame, by=()):
+@query("a1_coordination", f"WITH {_PAIRS} SELECT fr.frame, fr.id, count(near.i) AS coordination FROM fr LEFT JOIN near ON near.i = fr.id AND near.d2 <= {CUTOFF * CUTOFF!r} GROUP BY fr.frame, fr.id")
+def a1(spark, sf_dir, frames=_frames, by=("frame",)):
     a, c = frames(spark, sf_dir)
     return structure.coordination(a, cutoff_neighbors(a, c, CUTOFF)).select(*by, "id", "coordination")
 
@@ -70,21 +65,21 @@ _BINS = 60
 
 @query(
     "a2_rdf",
-    f"""WITH {_PAIRS}, hist AS (SELECT CAST(floor(sqrt(d2) / {(CUTOFF + 1e-12) / _BINS!r}) AS INT) AS bin, count(*) AS c FROM near WHERE d2 <= {CUTOFF * CUTOFF!r} GROUP BY 1),
-n AS (SELECT count(*) AS n FROM fr)
-SELECT CAST(b.bin AS INT) AS bin, coalesce(c, 0) AS pairs, round(coalesce(c, 0) / (4e0 / 3e0 * pi() * (n / 8e3) * n * (pow((b.bin + 1) * {CUTOFF / _BINS!r}, 3) - pow(b.bin * {CUTOFF / _BINS!r}, 3))), 6) AS g
-FROM (SELECT unnest(range({_BINS})) AS bin) b LEFT JOIN hist USING (bin), n""",
+    f"""WITH {_PAIRS}, hist AS (SELECT frame, CAST(floor(sqrt(d2) / {(CUTOFF + 1e-12) / _BINS!r}) AS INT) AS bin, count(*) AS c FROM near WHERE d2 <= {CUTOFF * CUTOFF!r} GROUP BY 1, 2),
+n AS (SELECT frame, count(*) AS n FROM fr GROUP BY 1)
+SELECT n.frame, CAST(b.bin AS INT) AS bin, coalesce(c, 0) AS pairs, round(coalesce(c, 0) / (4e0 / 3e0 * pi() * (n / 8e3) * n * (pow((b.bin + 1) * {CUTOFF / _BINS!r}, 3) - pow(b.bin * {CUTOFF / _BINS!r}, 3))), 6) AS g
+FROM (SELECT unnest(range({_BINS})) AS bin) b CROSS JOIN n LEFT JOIN hist ON hist.bin = b.bin AND hist.frame = n.frame""",
 )
-def a2(spark, sf_dir, frames=_frame, by=()):
+def a2(spark, sf_dir, frames=_frames, by=("frame",)):
     a, c = frames(spark, sf_dir)
     return structure.radial_distribution(a, c, cutoff_neighbors(a, c, CUTOFF), CUTOFF, _BINS).select(*by, "bin", "pairs", F.round("g", 6).alias("g"))
 
 
-_KNN = f"""WITH {_PAIRS}, ranked AS (SELECT i, j, d2, row_number() OVER (PARTITION BY i ORDER BY round(d2, 9), j) AS rank FROM near WHERE d2 > 0)"""
+_KNN = f"""WITH {_PAIRS}, ranked AS (SELECT frame, i, j, d2, row_number() OVER (PARTITION BY i ORDER BY round(d2, 9), j) AS rank FROM near WHERE d2 > 0)"""
 
 
-@query("j2_knn", _KNN + " SELECT i, CAST(rank AS INT) AS rank, round(d2, 6) AS d2 FROM ranked WHERE rank <= 4")
-def j2(spark, sf_dir, frames=_frame, by=()):
+@query("j2_knn", _KNN + " SELECT frame, i, CAST(rank AS INT) AS rank, round(d2, 6) AS d2 FROM ranked WHERE rank <= 4")
+def j2(spark, sf_dir, frames=_frames, by=("frame",)):
     return nearest_neighbors(*frames(spark, sf_dir), 4).select(*by, "i", "rank", F.round("d2", 6).alias("d2"))
 
 
@@ -95,11 +90,11 @@ _CSP_K = 4
     "x4_centrosymmetry",
     f"""WITH {_PAIRS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY round(d2, 9), j) AS rank FROM near WHERE d2 > 0),
 k AS (SELECT * FROM ranked WHERE rank <= {_CSP_K}),
-s AS (SELECT p.i, (p.dx + q.dx) * (p.dx + q.dx) + (p.dy + q.dy) * (p.dy + q.dy) + (p.dz + q.dz) * (p.dz + q.dz) AS v FROM k p JOIN k q ON p.i = q.i AND p.rank < q.rank),
-o AS (SELECT i, v, row_number() OVER (PARTITION BY i ORDER BY v) AS r FROM s)
-SELECT i AS id, round(sum(v), 6) AS csp FROM o WHERE r <= {_CSP_K // 2} GROUP BY i""",
+s AS (SELECT p.frame, p.i, (p.dx + q.dx) * (p.dx + q.dx) + (p.dy + q.dy) * (p.dy + q.dy) + (p.dz + q.dz) * (p.dz + q.dz) AS v FROM k p JOIN k q ON p.i = q.i AND p.rank < q.rank),
+o AS (SELECT frame, i, v, row_number() OVER (PARTITION BY i ORDER BY v) AS r FROM s)
+SELECT frame, i AS id, round(sum(v), 6) AS csp FROM o WHERE r <= {_CSP_K // 2} GROUP BY 1, 2""",
 )
-def x4(spark, sf_dir, frames=_frame, by=()):
+def x4(spark, sf_dir, frames=_frames, by=("frame",)):
     a, c = frames(spark, sf_dir)
     return structure.centrosymmetry(a, nearest_neighbors(a, c, _CSP_K), _CSP_K).select(*by, "id", F.round("csp", 6).alias("csp"))
 
@@ -109,6 +104,11 @@ def x5(spark, sf_dir):
     return structure.matching_centrosymmetry(nearest_neighbors(*_frames(spark, sf_dir), 6), 6)
 
 
+@query("a27_farthest_neighbor", _KNN + " SELECT frame, round(sqrt(max(d2)), 6) AS max_distance FROM ranked WHERE rank <= 4 GROUP BY 1")
+def a27(spark, sf_dir):
+    return crystal.farthest_neighbor(nearest_neighbors(*_frames(spark, sf_dir), 4)).select("frame", F.round("max_distance", 6).alias("max_distance"))
+
+
 @query("a6_csp_histogram")
 def a6(spark, sf_dir):
     a, c = _frames(spark, sf_dir)
@@ -119,8 +119,8 @@ _LINK = 0.55
 _COMPONENTS = f"""WITH RECURSIVE {_PAIRS}, e AS (SELECT i, j FROM near WHERE d2 <= {_LINK * _LINK!r}),
 walk(id, root) AS (SELECT id, id FROM fr UNION SELECT e.j, w.root FROM walk w JOIN e ON e.i = w.id),
 comp AS (SELECT id, min(root) AS root FROM walk GROUP BY id),
-sizes AS (SELECT root, count(*) AS size FROM comp GROUP BY root),
-ranked AS (SELECT root, size, row_number() OVER (ORDER BY size DESC, root) AS cluster FROM sizes)"""
+sizes AS (SELECT frame, root, count(*) AS size FROM comp JOIN fr USING (id) GROUP BY frame, root),
+ranked AS (SELECT frame, root, size, row_number() OVER (PARTITION BY frame ORDER BY size DESC, root) AS cluster FROM sizes)"""
 
 
 def _clusters(spark, sf_dir, frames):
@@ -129,13 +129,13 @@ def _clusters(spark, sf_dir, frames):
     return a, pairs, structure.clusters(a, pairs)
 
 
-@query("x1_clusters", _COMPONENTS + " SELECT c.id, CAST(r.cluster AS INT) AS cluster, r.size FROM comp c JOIN ranked r USING (root)")
-def x1(spark, sf_dir, frames=_frame, by=()):
+@query("x1_clusters", _COMPONENTS + " SELECT r.frame, c.id, CAST(r.cluster AS INT) AS cluster, r.size FROM comp c JOIN ranked r USING (root)")
+def x1(spark, sf_dir, frames=_frames, by=("frame",)):
     return _clusters(spark, sf_dir, frames)[2].select(*by, "id", "cluster", "size")
 
 
-@query("a3_cluster_sizes", _COMPONENTS + " SELECT CAST(cluster AS INT) AS cluster, size FROM ranked")
-def a3(spark, sf_dir, frames=_frame, by=()):
+@query("a3_cluster_sizes", _COMPONENTS + " SELECT frame, CAST(cluster AS INT) AS cluster, size FROM ranked")
+def a3(spark, sf_dir, frames=_frames, by=("frame",)):
     return _clusters(spark, sf_dir, frames)[2].select(*by, "cluster", "size").distinct()
 
 
@@ -161,8 +161,8 @@ def _noise(p: int) -> str:
     return f"CAST((id * {p}) % 101 AS DOUBLE) / 101e0 * 5e-2"
 
 
-_MOVED = f"moved AS (SELECT id, x + y * 1e-2 + {_noise(17)} AS x, y + {_noise(29)} AS y, z * 1.001e0 + {_noise(43)} AS z FROM fr)"
-_SHIFT = f"""shift AS (SELECT m.id, {_image('m.x - fr.x')} AS dx, {_image('m.y - fr.y')} AS dy, {_image('m.z - fr.z')} AS dz FROM moved m JOIN fr USING (id))"""
+_MOVED = f"moved AS (SELECT frame, id, x + y * 1e-2 + {_noise(17)} AS x, y + {_noise(29)} AS y, z * 1.001e0 + {_noise(43)} AS z FROM fr)"
+_SHIFT = f"""shift AS (SELECT m.frame, m.id, {_image('m.x - fr.x')} AS dx, {_image('m.y - fr.y')} AS dy, {_image('m.z - fr.z')} AS dz FROM moved m JOIN fr ON m.id = fr.id)"""
 
 
 def _displacements(spark, sf_dir, frames):
@@ -170,27 +170,51 @@ def _displacements(spark, sf_dir, frames):
     return deformation.displacements(deformation.reference_join(_moved(a), a), c)
 
 
-@query("x2_displacements", f"WITH {_ATOMS}, {_MOVED}, {_SHIFT} SELECT id, round(dx, 6) AS dx, round(dy, 6) AS dy, round(dz, 6) AS dz, round(sqrt(dx * dx + dy * dy + dz * dz), 6) AS magnitude FROM shift")
-def x2(spark, sf_dir, frames=_frame, by=()):
+@query("x2_displacements", f"WITH {_ATOMS}, {_MOVED}, {_SHIFT} SELECT frame, id, round(dx, 6) AS dx, round(dy, 6) AS dy, round(dz, 6) AS dz, round(sqrt(dx * dx + dy * dy + dz * dz), 6) AS magnitude FROM shift")
+def x2(spark, sf_dir, frames=_frames, by=("frame",)):
     d = _displacements(spark, sf_dir, frames)
     return d.select(*by, "id", *[F.round(c, 6).alias(c) for c in ("dx", "dy", "dz", "magnitude")])
 
 
-@query("a7_displacement_summary", f"WITH {_ATOMS}, {_MOVED}, {_SHIFT}, m AS (SELECT sqrt(dx * dx + dy * dy + dz * dz) AS v FROM shift) SELECT round(avg(v), 6) AS avg_magnitude, round(max(v), 6) AS max_magnitude, round(min(v), 6) AS min_magnitude FROM m")
-def a7(spark, sf_dir, frames=_frame, by=()):
+@query("a7_displacement_summary", f"WITH {_ATOMS}, {_MOVED}, {_SHIFT}, m AS (SELECT frame, sqrt(dx * dx + dy * dy + dz * dz) AS v FROM shift) SELECT frame, round(avg(v), 6) AS avg_magnitude, round(max(v), 6) AS max_magnitude, round(min(v), 6) AS min_magnitude FROM m GROUP BY frame")
+def a7(spark, sf_dir, frames=_frames, by=("frame",)):
     s = deformation.displacement_summary(_displacements(spark, sf_dir, frames))
     return s.select(*by, *[F.round(c, 6).alias(c) for c in ("avg_magnitude", "max_magnitude", "min_magnitude")])
 
 
-@query("x3_atomic_strain")
-def x3(spark, sf_dir):
+_DET = lambda m: f"({m}00 * ({m}11 * {m}22 - {m}12 * {m}21) - {m}01 * ({m}10 * {m}22 - {m}12 * {m}20) + {m}02 * ({m}10 * {m}21 - {m}11 * {m}20))"
+_COFACTOR = lambda m, i, j: "({m}{a}{b} * {m}{c}{d} - {m}{a}{d} * {m}{c}{b})".format(m=m, a=(i + 1) % 3, b=(j + 1) % 3, c=(i + 2) % 3, d=(j + 2) % 3)
+_PLACES = [(i, j) for i in range(3) for j in range(3)]
+
+
+def strain_sql(bonds: str) -> str:
+    """From ``bonds(frame, id, r0..r2, d0..d2)``: ``sums``, ``f`` with F by places and ``e`` with the strain by places."""
+    return f"""sums AS (SELECT frame, id, count(*) AS n, sum(d0 * d0 + d1 * d1 + d2 * d2) AS dd, {', '.join(f'sum(r{i} * r{j}) AS v{i}{j}, sum(d{i} * r{j}) AS w{i}{j}' for i, j in _PLACES)} FROM {bonds} GROUP BY 1, 2),
+good AS (SELECT *, {_DET('v')} AS dv, {_DET('w')} AS dw FROM sums WHERE n >= 3),
+f AS (SELECT *, {', '.join(f"({' + '.join(f'w{i}{k} * {_COFACTOR(chr(118), j, k)}' for k in range(3))}) / dv AS f{i}{j}" for i, j in _PLACES)} FROM good WHERE abs(dv) > 1e-4 AND abs(dw) > 1e-4),
+e AS (SELECT *, {', '.join(f"(f0{i} * f0{j} + f1{i} * f1{j} + f2{i} * f2{j} - {int(i == j)}) / 2 AS e{i}{j}" for i, j in _PLACES)} FROM f)"""
+
+
+_STRAIN = f"""WITH {_PAIRS}, {_MOVED}, {_SHIFT}, bonds AS (SELECT near.frame, near.i AS id, near.dx AS r0, near.dy AS r1, near.dz AS r2, near.dx + b.dx - a.dx AS d0, near.dy + b.dy - a.dy AS d1, near.dz + b.dz - a.dz AS d2
+  FROM near JOIN shift a ON a.id = near.i JOIN shift b ON b.id = near.j WHERE near.d2 <= {CUTOFF * CUTOFF!r}), {strain_sql('bonds')},
+told AS (SELECT fr.frame, fr.id, coalesce(sqrt(e01 * e01 + e02 * e02 + e12 * e12 + ((e11 - e22) * (e11 - e22) + (e00 - e22) * (e00 - e22) + (e00 - e11) * (e00 - e11)) / 6), 0) AS shear_strain, coalesce((e00 + e11 + e22) / 3, 0) AS volumetric_strain,
+  coalesce(greatest(dd - ({' + '.join(f'f{i}{j} * w{i}{j}' for i, j in _PLACES)}), 0), 0) AS d2min, e.id IS NULL AS invalid FROM fr LEFT JOIN e ON e.id = fr.id)"""
+
+
+def _strain(spark, sf_dir):
     a, c = _frames(spark, sf_dir)
     return deformation.atomic_strain(a, cutoff_neighbors(a, c, CUTOFF), _displacements(spark, sf_dir, _frames))
 
 
-@query("a8_strain_summary")
+@query("x3_atomic_strain", _STRAIN + " SELECT frame, id, round(shear_strain, 5) AS shear_strain, round(volumetric_strain, 5) AS volumetric_strain, round(d2min, 5) AS d2min, invalid FROM told")
+def x3(spark, sf_dir):
+    return _strain(spark, sf_dir).select("frame", "id", *[F.round(c, 5).alias(c) for c in ("shear_strain", "volumetric_strain", "d2min")], "invalid")
+
+
+@query("a8_strain_summary", _STRAIN + " SELECT frame, round(avg(shear_strain), 5) AS avg_shear, round(avg(volumetric_strain), 5) AS avg_volumetric, round(max(shear_strain), 4) AS max_shear, count(*) FILTER (WHERE invalid) AS n_invalid FROM told GROUP BY 1")
 def a8(spark, sf_dir):
-    return deformation.strain_summary(x3(spark, sf_dir))
+    told = deformation.strain_summary(_strain(spark, sf_dir))
+    return told.select("frame", F.round("avg_shear", 5).alias("avg_shear"), F.round("avg_volumetric", 5).alias("avg_volumetric"), F.round("max_shear", 4).alias("max_shear"), "n_invalid")
 
 
 @query("f3_filter_preview", f"WITH atoms AS ({ATOMS_SQL}) SELECT count(*) FILTER (WHERE CAST(x AS FLOAT) > 1.5e1) AS match_count, count(*) AS total_atoms FROM atoms")
@@ -369,8 +393,8 @@ def k10(spark, sf_dir):
     return QUERIES["m11_morton"](spark, sf_dir).join(atoms(spark, sf_dir), "id").sortWithinPartitions("morton").groupBy("type").agg(F.count("*").alias("n"))
 
 
-@query("g8_workflow_coordination", f"WITH {_PAIRS} SELECT coordination, count(*) AS atoms FROM (SELECT fr.id, count(near.i) AS coordination FROM fr LEFT JOIN near ON near.i = fr.id AND near.d2 <= {CUTOFF * CUTOFF!r} GROUP BY fr.id) GROUP BY 1")
-def g8(spark, sf_dir, frames=_frame, by=()):
+@query("g8_workflow_coordination", f"WITH {_PAIRS} SELECT frame, coordination, count(*) AS atoms FROM (SELECT fr.frame, fr.id, count(near.i) AS coordination FROM fr LEFT JOIN near ON near.i = fr.id AND near.d2 <= {CUTOFF * CUTOFF!r} GROUP BY fr.frame, fr.id) GROUP BY 1, 2")
+def g8(spark, sf_dir, frames=_frames, by=("frame",)):
     """A workflow that runs the coordination analysis on its frames, behind an if-statement that lets it through."""
     from atomweave.plans import workflow as W
 
@@ -389,7 +413,7 @@ def g8(spark, sf_dir, frames=_frame, by=()):
     return out.results["atoms"].groupBy(*by, "coordination").agg(F.count("*").alias("atoms"))
 
 
-#: The SQL of these queries is about one frame; the same over all frames, each result row with its frame.
-ALL_FRAMES = [n for n, sql in ORACLES.items() if "FROM atoms WHERE frame = " in sql and "fr AS" in sql]
+#: Names that these queries had while their first form read one frame.
+ALL_FRAMES = "j1_cutoff_neighbors a1_coordination a2_rdf j2_knn x4_centrosymmetry x1_clusters a3_cluster_sizes x2_displacements a7_displacement_summary g8_workflow_coordination".split()
 for _name in ALL_FRAMES:
-    QUERIES[f"{_name}_all_frames"] = partial(QUERIES[_name], frames=_frames, by=("frame",))
+    QUERIES[f"{_name}_all_frames"], ORACLES[f"{_name}_all_frames"] = QUERIES[_name], ORACLES[_name]

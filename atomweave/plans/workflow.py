@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from atomweave.functions.scalars import split_arguments
-from atomweave.operators import deformation, structure
+from atomweave.operators import deformation, documents, structure
 from atomweave.operators.neighbors import cutoff_neighbors, nearest_neighbors
 
 Workflow = dict[str, list[dict]]
@@ -214,6 +214,7 @@ class Run:
     order: list[str] = field(default_factory=list)
     skipped: set[str] = field(default_factory=set)
     values: dict[str, Any] = field(default_factory=dict)
+    catalog: dict[str, dict[str, Any]] = field(default_factory=dict)
 
 
 def run(workflow: Workflow, frames: Frames, config: dict[str, Any] | None = None) -> Run:
@@ -250,7 +251,18 @@ def run(workflow: Workflow, frames: Frames, config: dict[str, Any] | None = None
         elif node["type"] == "exposure":
             out.results[data.get("name", name)] = produced[data["results"]]
             out.values[name] = {"columns": produced[data["results"]].columns}
-        elif node["type"] not in ("forEach", "schema", "visualizers", "export"):
+        elif node["type"] == "forEach":
+            out.values[name] = {"items": sorted(r["frame"] for r in now.cells.select("frame").distinct().collect())}  # a row per frame
+        elif node["type"] in ("schema", "visualizers"):
+            out.values[name] = dict(data)
+            out.catalog[name] = {"kind": node["type"], **data}
+        elif node["type"] == "export":
+            chosen = data.get("exposures") or list(out.results)
+            target = interpolate(data["path"], out.values) if "path" in data else None
+            if target:
+                documents.write_exposures({k: out.results[k] for k in chosen}, str(target), form=data.get("format", "json"))
+            out.values[name] = {"path": target, "exposures": chosen}
+        else:
             raise ValueError(f"{name}: no handler for {node['type']!r}")
     return out
 

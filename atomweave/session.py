@@ -30,10 +30,13 @@ def local_session(cpus: int = 8, shuffle_partitions: int = 8, **conf: str) -> Sp
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only where it is unset (tests on one machine) a temporary folder is made and set.
+    Only where it is unset on one machine (tests) a temporary folder is made and set: on a cluster each node would write
+    to its own disk, so there it is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-atomweave-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

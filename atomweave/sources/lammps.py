@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from atomweave.operators.ranking import running_sum
 
-#: Lines of a file that may belong to its header.
-HEADER_LINES = 200
+#: Lines read of a file that has no atom section, to tell what it is.
+UNKNOWN_LINES = 200
 HEADER = "file string, ok boolean, error string, timestep long, natoms long, columns array<string>, first_atom long, a array<double>, b array<double>, c array<double>, origin array<double>, pbc array<boolean>"
 
 
@@ -122,8 +122,19 @@ def _headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
-    """One row per file: timestep, number of atoms, columns and cell, or why it can't be read. No atom line is parsed."""
-    head = numbered_lines(spark, path).where(F.col("line_no") < HEADER_LINES)
+    """One row per file: timestep, number of atoms, columns and cell, or why it can't be read. No atom line is parsed.
+
+    Only the first block of each file is looked at, up to the line that opens its atom section, however late that comes
+    in the block; lines of other blocks are dropped as they are read and never shuffled.
+    """
+    lines = spark.read.text(path).where(F.col("_metadata.file_block_start") == 0)
+    lines = lines.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("place"), F.rtrim("value").alias("line"))
+    order = Window.partitionBy("file").orderBy("place")
+    opens = F.col("line").startswith("ITEM: ATOMS") | F.col("line").rlike(r"^\s*Atoms\b")
+    head = lines.withColumn("opened", F.count_if(opens).over(order)).withColumn("line_no", F.row_number().over(order) - 1)
+    after = F.sum(F.when((F.col("opened") > 0) & (F.trim("line") != ""), 1).otherwise(0)).over(order)
+    head = head.withColumn("after", after).withColumn("ends", F.max("opened").over(Window.partitionBy("file")) > 0)
+    head = head.where(F.when(F.col("ends"), F.col("after") <= 2).otherwise(F.col("line_no") < UNKNOWN_LINES))
     files = head.groupBy("file").agg(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]).alias("lines"))
     return files.mapInPandas(_headers, HEADER)
 
@@ -159,9 +170,9 @@ def read_atoms(spark: SparkSession, path: str, properties: list[str] = (), permi
     )
     if permissive:
         return atoms.drop("natoms")
-    whole = Window.partitionBy("file")
     good = F.col("id").isNotNull() & F.col("type").isNotNull() & F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("z").isNotNull()
-    return atoms.withColumn("_good", F.count_if(good).over(whole)).where("_good = natoms").drop("_good", "natoms")
+    whole = atoms.groupBy("file").agg(F.count_if(good).alias("_good"), F.max("natoms").alias("_n")).where("_good = _n").select("file")
+    return atoms.join(whole, "file").drop("natoms")
 
 
 def corrupt_files(spark: SparkSession, path: str) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -49,8 +49,12 @@ def counter_rates(samples: DataFrame) -> DataFrame:
     return samples.groupBy("server").applyInPandasWithState(step, "server string, ts timestamp, rate double", "last_ts long, last double", "append", GroupStateTimeout.NoTimeout)
 
 
-def latest_with_heartbeat(samples: DataFrame, expiry_ms: int = 15_000) -> DataFrame:
-    """Each server's latest sample as it changes; a server that is silent for the expiry is reported as ``expired``."""
+def latest_with_heartbeat(samples: DataFrame, expiry_ms: int = 15_000, late: str = "0 seconds") -> DataFrame:
+    """``samples(server, ts, value)``: each server's latest sample as it changes.
+
+    A server is reported as ``expired`` once the watermark (the latest time of all servers less ``late``) is ``expiry_ms``
+    past its last sample. Event time decides, so a run over what is there ends and a replay gives the same rows.
+    """
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -63,26 +67,28 @@ def latest_with_heartbeat(samples: DataFrame, expiry_ms: int = 15_000) -> DataFr
         if state.exists and state.get[0] > ts:
             ts, value = state.get
         state.update((ts, value))
-        state.setTimeoutDuration(expiry_ms)
+        state.setTimeoutTimestamp(max(ts // 1000 + expiry_ms, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame([(key[0], value, False)], columns=["server", "value", "expired"])
 
-    return samples.groupBy("server").applyInPandasWithState(step, "server string, value double, expired boolean", "ts long, value double", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    held = samples.withWatermark("ts", late).groupBy("server")
+    return held.applyInPandasWithState(step, "server string, value double, expired boolean", "ts long, value double", "update", GroupStateTimeout.EventTimeTimeout)
 
 
-def session_completions(jobs: DataFrame, keep_ms: int = 7 * 24 * 3600 * 1000) -> DataFrame:
-    """``jobs(session_id, kind, count)``: ``open`` rows set a session's remaining jobs, ``done`` rows take one away.
+def session_completions(jobs: DataFrame, keep_ms: int = 7 * 24 * 3600 * 1000, late: str = "1 hour") -> DataFrame:
+    """``jobs(session_id, kind, count, ts)``: ``open`` rows set a session's remaining jobs, ``done`` rows take one away.
 
     A session is reported once, when nothing remains; early ``done`` rows wait for the opening. State ends with the
-    session or after a week of silence.
+    session or when the watermark is a week past its last row.
     """
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        total, done = state.get if state.exists else (-1, 0)
+        total, done, last = state.get if state.exists else (-1, 0, 0)
         for part in parts:
-            for kind, count in zip(part["kind"], part["count"]):
+            for kind, count, ts in zip(part["kind"], part["count"], part["ts"]):
+                last = max(last, ts.value // 1_000_000)
                 if kind == "open":
                     total = max(total, 0) + int(count)
                 else:
@@ -92,10 +98,11 @@ def session_completions(jobs: DataFrame, keep_ms: int = 7 * 24 * 3600 * 1000) ->
                 state.remove()
             yield pd.DataFrame([(key[0], total)], columns=["session_id", "jobs"])
         else:
-            state.update((total, done))
-            state.setTimeoutDuration(keep_ms)
+            state.update((total, done, last))
+            state.setTimeoutTimestamp(max(last + keep_ms, state.getCurrentWatermarkMs() + 1))
 
-    return jobs.groupBy("session_id").applyInPandasWithState(step, "session_id string, jobs long", "total long, done long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    held = jobs.withWatermark("ts", late).groupBy("session_id")
+    return held.applyInPandasWithState(step, "session_id string, jobs long", "total long, done long, last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def presence_minutes(events: DataFrame) -> DataFrame:
@@ -132,6 +139,34 @@ def ready_jobs(jobs: DataFrame, uploads: DataFrame, late: str = "1 hour") -> Dat
     return j.join(u, same & near).select("j.job_id", "j.trajectory", "j.timestep", F.greatest("j.job_ts", "u.upload_ts").alias("ready_ts"))
 
 
+def status_feed(changes: DataFrame, snapshot: DataFrame, write, team: str = "team", most: int = 1000, keep: int = 50):
+    """A ``foreachBatch`` function for subscribers of job states: the snapshot first, then what changes.
+
+    ``changes(team, job_id, status, ts)`` is a stream, ``snapshot`` a table of the same columns as of now. The first
+    batch hands the snapshot's rows on before its own. Of a batch's changes the last of each job counts; a team with
+    more than ``most`` of them gets the ``keep`` latest only, as a client reloads after a burst. ``write(rows)`` takes a
+    DataFrame of ``team, job_id, status, ts, kind``.
+    """
+    del changes  # named for the contract: its batches come through the returned function
+    columns = [team, "job_id", "status", "ts"]
+
+    def send(batch: DataFrame, number: int) -> None:
+        if number == 0:
+            write(snapshot.select(*columns, F.lit("snapshot").alias("kind")))
+        write(burst(batch.select(*columns), team, most, keep).select(*columns, F.lit("change").alias("kind")))
+
+    return send
+
+
+def burst(changes: DataFrame, team: str = "team", most: int = 1000, keep: int = 50) -> DataFrame:
+    """Each job's last change; of a team with more than ``most`` changed jobs the ``keep`` latest."""
+    last = changes.groupBy(team, "job_id").agg(F.max_by("status", "ts").alias("status"), F.max("ts").alias("ts"))
+    counted = last.groupBy(team).agg(F.count("*").alias("_n"))
+    order = Window.partitionBy(team).orderBy(F.desc("ts"), "job_id")
+    crowded = last.join(counted.where(F.col("_n") > most), team).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= keep)
+    return last.join(counted.where(F.col("_n") <= most), team).drop("_n").unionByName(crowded.drop("_n", "_r"))
+
+
 def upsert_batches(path: str, keys: list[str], version: str):
     """A ``foreachBatch`` function that keeps a keyed table under ``path``, one folder per batch, the last one whole.
 

@@ -133,17 +133,45 @@ def test_job_rollup(spark):
     assert {(r.timestep, r.status, r.n_done) for r in out.collect()} == {(1, "partial", 1), (2, "running", 0)}
 
 
-def test_sessions_close_once(spark, tmp_path):
-    schema = "session_id string, kind string, count int"
-    batches = [[("s", "done", 1), ("t", "open", 1)], [("s", "open", 2)], [("s", "done", 1), ("t", "done", 1)]]
+def one_by_one(spark, tmp_path, batches, schema):
+    """A stream that reads each batch in a trigger of its own."""
     for i, rows in enumerate(batches):
-        spark.createDataFrame(rows, schema).coalesce(1).write.json(str(tmp_path / f"in{i}"))
-    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).json(str(tmp_path))
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"in{i}"))
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path))
+
+
+def test_sessions_close_once(spark, tmp_path):
+    t = lambda m: dt.datetime(2024, 1, 1, 12, m)
+    batches = [[("s", "done", 1, t(0)), ("t", "open", 1, t(1))], [("s", "open", 2, t(2))], [("s", "done", 1, t(3)), ("t", "done", 1, t(4)), ("u", "open", 1, t(5))]]
+    source = one_by_one(spark, tmp_path, batches, "session_id string, kind string, count int, ts timestamp")
     run = flows.session_completions(source).writeStream.format("memory").queryName("sessions").outputMode("append").trigger(availableNow=True).start()
-    run.awaitTermination()
+    assert run.awaitTermination(120)
     assert sorted(map(tuple, spark.table("sessions").collect())) == [("s", 2), ("t", 1)]
 
 
+def test_silent_servers_expire(spark, tmp_path):
+    t = lambda s: dt.datetime(2024, 1, 1, 12, 0, s)
+    batches = [[("a", t(0), 1.0), ("b", t(0), 5.0)], [("b", t(14), 6.0), ("b", t(2), 9.0)], [("b", t(40), 7.0)], [("b", t(41), 8.0)]]
+    source = one_by_one(spark, tmp_path, batches, "server string, ts timestamp, value double")
+    run = flows.latest_with_heartbeat(source).writeStream.format("memory").queryName("beats").outputMode("update").trigger(availableNow=True).start()
+    assert run.awaitTermination(120)
+    rows = [tuple(r) for r in spark.table("beats").collect()]
+    assert ("a", 1.0, True) in rows and [r[1] for r in rows if r[0] == "b" and not r[2]][:2] == [5.0, 6.0]
+    assert rows.count(("a", 1.0, True)) == 1
+
+
+def test_status_feed_sends_the_snapshot_once_and_cuts_bursts(spark, tmp_path):
+    t = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    schema = "team string, job_id string, status string, ts timestamp"
+    before = spark.createDataFrame([("x", "j0", "queued", t(0))], schema)
+    batches = [[("x", "j0", "running", t(1)), ("x", "j0", "done", t(2))], [("y", f"k{i}", "done", t(10 + i)) for i in range(8)]]
+    seen = []
+    feed = flows.status_feed(None, before, lambda rows: seen.append(sorted((r.team, r.job_id, r.status, r.kind) for r in rows.collect())), most=5, keep=3)
+    run = one_by_one(spark, tmp_path, batches, schema).writeStream.foreachBatch(feed).trigger(availableNow=True).start()
+    assert run.awaitTermination(120)
+    assert seen == [[("x", "j0", "queued", "snapshot")], [("x", "j0", "done", "change")], [("y", f"k{i}", "done", "change") for i in (5, 6, 7)]]
+
+
 def test_parked_jobs_meet_their_upload(spark, tmp_path):
     t = dt.datetime(2024, 1, 1, 12)
     spark.createDataFrame([("j", "a", 1, t), ("k", "a", 2, t)], "job_id string, trajectory string, timestep int, job_ts timestamp").write.parquet(str(tmp_path / "jobs"))
