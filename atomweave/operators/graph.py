@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from atomweave.session import cut
@@ -42,8 +42,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
             .where(F.col("u") != F.col("v"))
             .distinct()
         )
-        links = cut(small, "edges")
-        state = links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+        told = Observation()  # the state comes with the write, not by a second job
+        links = cut(small.observe(told, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")), "edges")
+        state = told.get
         if seen == state:
             break
         seen = state
