@@ -79,12 +79,13 @@ def _ranks(lines: DataFrame, width: int, fewest: int) -> tuple[Column, int]:
     each = lines.select("hashes", F.explode(F.sequence(F.lit(0), last)).alias("i"))
     gram = F.xxhash64(*[F.get("hashes", F.col("i") + j) for j in range(width)])
     each = each.select(_bucket(gram).alias("bucket"), F.when(F.size("hashes") >= max(1, fewest), 1).alias("counts"))
-    counts = {r["bucket"]: r["n"] for r in each.groupBy("bucket").agg(F.count("counts").alias("n")).collect()}
-    order = sorted(range(BUCKETS), key=lambda b: (counts.get(b, 0), b))
-    ranks = {b: i for i, b in enumerate(order)}
-    limit = HOT_SHARE * sum(counts.values())
-    hot = sum(n > limit for n in counts.values())
-    return F.split(F.lit(",".join(str(ranks[b]) for b in range(BUCKETS))), ",").cast("array<long>"), BUCKETS - hot
+    counts = each.groupBy("bucket").agg(F.count("counts").alias("n"))
+    every = lines.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").fillna(0, ["n"])
+    ranked = every.withColumn("rank", (F.row_number().over(Window.orderBy("n", "bucket")) - 1).cast("long"))
+    one = ranked.agg(F.sort_array(F.collect_list(F.struct("bucket", "rank", "n"))).alias("all"), F.sum("n").alias("total"))
+    hot = F.size(F.filter("all", lambda x: x["n"] > F.lit(HOT_SHARE) * F.col("total")))
+    found = one.select(F.array_join(F.transform("all", lambda x: x["rank"].cast("string")), ",").alias("ranks"), (BUCKETS - hot).alias("hot")).first()
+    return F.split(F.lit(found["ranks"]), ",").cast("array<long>"), found["hot"]
 
 
 def _ordered(grams: Column, ranks: Column) -> Column:
