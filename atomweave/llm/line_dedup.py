@@ -203,13 +203,17 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """
     removed = matched_lines(docs).groupBy("doc_id", "mark").agg(F.sort_array(F.collect_list("line_no")).alias("gone"))
     removed = removed.select(F.coalesce("doc_id", F.lit(_LAST)).alias("_doc"), F.col("mark").alias("_mark"), "gone")
-    keyed = docs.drop("n_lines", "n_removed", "removed_lines").withColumns({"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), "_mark": F.xxhash64("text")})
-    joined = keyed.join(removed, ["_doc", "_mark"], "left")
+    # The row travels as one column, so that its names can't clash with those used here.
+    kept = [c for c in docs.columns if c not in ("n_lines", "n_removed", "removed_lines")]
+    row = F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row")
+    joined = docs.select(row, F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("_doc"), F.xxhash64("text").alias("_mark")).join(removed, ["_doc", "_mark"], "left")
+    text = F.col("_row.text")
     gone = F.coalesce("gone", F.expr("cast(array() as array<int>)"))
-    numbered = F.transform(F.split("text", "\n"), lambda line, i: F.when(~F.array_contains(gone, i), line))
-    return joined.withColumns({
-        "n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))),
-        "n_removed": F.size(gone),
-        "removed_lines": gone,
-        "text": F.when(F.size(gone) > 0, F.array_join(numbered, "\n")).otherwise(F.col("text")),
-    }).drop("_doc", "_mark", "gone")
+    numbered = F.transform(F.split(text, "\n"), lambda line, i: F.when(~F.array_contains(gone, i), line))
+    left = F.when(F.size(gone) > 0, F.array_join(numbered, "\n")).otherwise(text)
+    return joined.select(
+        *[left.alias("text") if c == "text" else F.col("_row").getField(c).alias(c) for c in kept],
+        F.when(text.isNull(), 0).otherwise(F.size(F.split(text, "\n"))).alias("n_lines"),
+        F.size(gone).alias("n_removed"),
+        gone.alias("removed_lines"),
+    )

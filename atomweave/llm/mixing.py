@@ -165,6 +165,7 @@ def mixed_texts(docs: DataFrame) -> DataFrame:
     runs = parts.withColumn("run", F.col("block") - F.row_number().over(order))
     runs = runs.groupBy("row", "mark", "pass", "run").agg(F.min("first_word").alias("_first"), F.sum("words").alias("_words"))
     runs = runs.select(F.col("mark").alias("_mark"), "_first", "_words")
-    once = docs.withColumn("_mark", mark).dropDuplicates(["_mark"])
-    joined = once.join(runs, "_mark").select(*[F.col(f"`{c}`") for c in docs.columns], "_first", "_words")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")  # names can't clash in there
+    joined = docs.select(row, mark.alias("_mark")).dropDuplicates(["_mark"]).join(runs, "_mark")
+    joined = joined.select(*[F.col("_row").getField(c).alias(f"c{k}") for k, c in enumerate(docs.columns)], "_first", "_words")
     return joined.mapInArrow(_cut_words(docs.columns), docs.schema)
