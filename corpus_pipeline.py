@@ -21,22 +21,42 @@ from atomweave.session import cut
 ORACLE_SQL = None
 
 
+def _packed(docs: DataFrame, *names: str) -> DataFrame:
+    """The columns that an operator needs, and the others as one, so that their names can't clash with what it adds."""
+    return docs.select(*names, F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("_rest"))
+
+
+def _unpacked(rows: DataFrame, columns: list[str]) -> DataFrame:
+    own = {"text": F.col("text"), "n_chars": F.coalesce(F.length("text"), F.lit(0)).cast("long")}
+    return rows.select(*[(own[c] if c in own else F.col("_rest").getField(c)).alias(c) for c in columns])
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the rules, without the lines that too many documents of their host share."""
-    columns = docs.columns
-    kept = quality_rules(docs).where("kept").withColumn("text", F.col("clean_text"))
-    return kept.withColumn("n_chars", F.length("text").cast("long")).select(*columns)
+    """Documents that pass the rules, without the lines that too many documents of their host share.
+
+    Null and empty texts have no words and are rejected. Repeated rows are judged alike and all stay or go; a null
+    doc_id or source is a value like others. An empty table stays empty; other columns are kept, whatever their names.
+    """
+    kept = quality_rules(_packed(docs, "doc_id", "text", "source")).where("kept").withColumn("text", F.col("clean_text"))
+    return _unpacked(kept, docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that match an earlier line; documents with no words left go."""
-    columns = docs.columns
-    left = dedup_lines(docs).withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long"))
-    return left.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*columns)
+    """Documents without the lines that match an earlier line; documents with no words left go, null texts too.
+
+    Earlier is a smaller doc_id (null last), then a smaller text hash, then a smaller line number, so ties are decided.
+    Repeated rows lose the same lines. An empty table stays empty; other columns are kept.
+    """
+    left = dedup_lines(_packed(docs, "doc_id", "text"))
+    return _unpacked(left.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")), docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked documents the one with the smallest doc_id; rows without doc_id stay."""
+    """Of each component of linked documents the one with the smallest doc_id; rows without doc_id stay.
+
+    Documents without words are linked with nothing and stay. Rows of one doc_id stay or go together, repeated ones too.
+    An empty table stays empty; other columns are kept.
+    """
     members = ngram_jaccard_join(docs.select("doc_id", "text"))
     gone = members.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     left = docs.join(gone, "doc_id", "left_anti")
@@ -44,12 +64,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The words that the mix takes, one row per reading of a document; documents that it takes whole stay whole."""
+    """The words that the mix takes, one row per reading of a document; documents that it takes whole stay whole.
+
+    Documents without words give no rows. The null source is the last one; repeated rows are read each for itself. Equal
+    rows can't be told apart, so it makes no difference which of them is read. An empty table stays empty.
+    """
     return mixed_texts(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents with their places in sequences of 1024 tokens."""
+    """Pieces of all documents with their places in sequences of 1024 tokens: ``pack_documents``' columns.
+
+    A null or empty text is its end token alone; each row is packed for itself, with or without a doc_id.
+    """
     return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
