@@ -14,12 +14,12 @@ most 0.5 / sqrt(DRAWS).
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from atomweave.session import shuffle_width
+from atomweave.session import cut, shuffle_width
 
-WIDTH, DRAWS = 5, 64
+WIDTH, DRAWS = 5, 48
 LEVELS = 1 << 14
 EMPTY = "----"
 _LEAST = -(2**63)
@@ -60,14 +60,17 @@ def gamma_quantiles(levels: int = LEVELS) -> np.ndarray:
     return (lo + hi) / 2
 
 
-def _table(values: np.ndarray) -> Column:
-    return F.split(F.lit(",".join(f"{v:.9g}" for v in values)), ",").cast("array<double>")
+def gamma_tables(spark: SparkSession, levels: int = LEVELS) -> tuple[Column, Column]:
+    """The quantiles and their logarithms as scalars that plans read from a file: as constants they would fill them."""
+    gamma = gamma_quantiles(levels)
+    array = lambda v: F.split(F.lit(",".join(f"{x:.9g}" for x in v)), ",").cast("array<double>")
+    tables = cut(spark.range(1).select(array(gamma).alias("r"), array(np.log(gamma)).alias("c")), "gamma")
+    return tables.select("r").scalar(), tables.select("c").scalar()
 
 
-def samples(h: Column, log_w: Column, draws: int = DRAWS) -> list[Column]:
+def samples(h: Column, log_w: Column, tables: tuple[Column, Column], draws: int = DRAWS) -> list[Column]:
     """ln a of a term in each draw, given the logarithm of its weight."""
-    gamma = gamma_quantiles()
-    r_table, c_table = _table(gamma), _table(np.log(gamma))
+    r_table, c_table = tables
     out = []
     for k in range(draws):
         bits = F.xxhash64(h, F.lit(k))
@@ -96,7 +99,7 @@ def fingerprints(texts: DataFrame, keys: list[str], variants: list[str]) -> Data
     for name, column in weighted_terms(F.col("body")):
         rows = rows.withColumn(name, column)
     rows = rows.select(*keys, "variant", F.inline_outer("terms")).select(*keys, "variant", "h", F.log(F.col("w").cast("double")).alias("log_w"))
-    best = rows.groupBy(*keys, "variant").agg(*[F.min(a).alias(f"a{k}") for k, a in enumerate(samples(F.col("h"), F.col("log_w")))])
+    best = rows.groupBy(*keys, "variant").agg(*[F.min(a).alias(f"a{k}") for k, a in enumerate(samples(F.col("h"), F.col("log_w"), gamma_tables(texts.sparkSession)))])
     code = F.concat(*[F.lpad(F.lower(F.hex(F.xxhash64(f"a{k}").bitwiseAND(0xFFFF))), 4, "0") for k in range(DRAWS)])
     best = best.select(*keys, "variant", F.when(F.col("a0").isNull(), F.lit(EMPTY * DRAWS)).otherwise(code).alias("code"))
     wide = best.groupBy(*keys).agg(*[F.max(F.when(F.col("variant") == i, F.col("code"))).alias(f"fp_{v}") for i, v in enumerate(variants)])
