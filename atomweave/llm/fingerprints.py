@@ -5,22 +5,18 @@ Gamma(2, 1) variates r, c and a uniform b that depend on the term alone, and tak
 ln a = ln c - r (t - b + 1), where t = floor(ln S / r + b). Two texts share a sample with the probability of their
 generalised Jaccard similarity. ln a depends on term and t alone, so the smallest value names the sample.
 
-The variates come from one 64-bit hash of term and draw: 14 bits each choose r and c among ``LEVELS`` quantile
-midpoints of the Gamma(2, 1) distribution, 32 bits are b, so no logarithm is taken per term and draw. The likeness is
-the share of equal slots of all ``DRAWS``: an estimate of generalised Jaccard similarity with a standard error of at
-most 0.5 / sqrt(DRAWS).
+The likeness is the share of equal slots of all ``DRAWS``: an estimate of generalised Jaccard similarity with a standard
+error of at most 0.5 / sqrt(DRAWS).
 """
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from atomweave.session import cut, shuffle_width
+from atomweave.session import shuffle_width
 
-WIDTH, DRAWS = 5, 48
-LEVELS = 1 << 14
+WIDTH, DRAWS = 5, 40
 EMPTY = "----"
 _LEAST = -(2**63)
 
@@ -49,36 +45,20 @@ def weighted_terms(text: Column, width: int = WIDTH) -> list:
     ]
 
 
-def gamma_quantiles(levels: int = LEVELS) -> np.ndarray:
-    """The midpoints of ``levels`` equally likely ranges of the Gamma(2, 1) distribution, in ascending order."""
-    share = (np.arange(levels) + 0.5) / levels
-    lo, hi = np.zeros(levels), np.full(levels, 64.0)
-    for _ in range(80):  # bisection of 1 - (1 + x) exp(-x) = share
-        x = (lo + hi) / 2
-        less = -np.expm1(-x) - x * np.exp(-x) < share
-        lo, hi = np.where(less, x, lo), np.where(less, hi, x)
-    return (lo + hi) / 2
+def _uniform(bits: Column, shift: int) -> Column:
+    return (F.shiftrightunsigned(bits, shift).bitwiseAND((1 << 21) - 1).cast("double") + 1.0) / float(1 << 21)
 
 
-def gamma_tables(spark: SparkSession, levels: int = LEVELS) -> tuple[Column, Column]:
-    """The quantiles and their logarithms as scalars that plans read from a file: as constants they would fill them."""
-    gamma = gamma_quantiles(levels)
-    array = lambda v: F.split(F.lit(",".join(f"{x:.9g}" for x in v)), ",").cast("array<double>")
-    tables = cut(spark.range(1).select(array(gamma).alias("r"), array(np.log(gamma)).alias("c")), "gamma")
-    return tables.select("r").scalar(), tables.select("c").scalar()
-
-
-def samples(h: Column, log_w: Column, tables: tuple[Column, Column], draws: int = DRAWS) -> list[Column]:
+def samples(h: Column, log_w: Column, draws: int = DRAWS) -> list[Column]:
     """ln a of a term in each draw, given the logarithm of its weight."""
-    r_table, c_table = tables
     out = []
     for k in range(draws):
-        bits = F.xxhash64(h, F.lit(k))
-        r = F.get(r_table, bits.bitwiseAND(LEVELS - 1).cast("int"))
-        log_c = F.get(c_table, F.shiftrightunsigned(bits, 14).bitwiseAND(LEVELS - 1).cast("int"))
-        b = F.shiftrightunsigned(bits, 32).cast("double") * F.lit(2.0**-32)
+        one, two = F.xxhash64(h, F.lit(2 * k)), F.xxhash64(h, F.lit(2 * k + 1))
+        r = F.greatest(-F.log(_uniform(one, 0) * _uniform(one, 21)), F.lit(1e-6))
+        c = F.greatest(-F.log(_uniform(one, 42) * _uniform(two, 0)), F.lit(1e-6))
+        b = _uniform(two, 21)
         t = F.when(log_w == 0.0, F.lit(0.0)).otherwise(F.floor(log_w / r + b).cast("double"))
-        out.append(log_c - r * (t - b + 1.0))
+        out.append(F.log(c) - r * (t - b + 1.0))
     return out
 
 
@@ -99,7 +79,7 @@ def fingerprints(texts: DataFrame, keys: list[str], variants: list[str]) -> Data
     for name, column in weighted_terms(F.col("body")):
         rows = rows.withColumn(name, column)
     rows = rows.select(*keys, "variant", F.inline_outer("terms")).select(*keys, "variant", "h", F.log(F.col("w").cast("double")).alias("log_w"))
-    best = rows.groupBy(*keys, "variant").agg(*[F.min(a).alias(f"a{k}") for k, a in enumerate(samples(F.col("h"), F.col("log_w"), gamma_tables(texts.sparkSession)))])
+    best = rows.groupBy(*keys, "variant").agg(*[F.min(a).alias(f"a{k}") for k, a in enumerate(samples(F.col("h"), F.col("log_w")))])
     code = F.concat(*[F.lpad(F.lower(F.hex(F.xxhash64(f"a{k}").bitwiseAND(0xFFFF))), 4, "0") for k in range(DRAWS)])
     best = best.select(*keys, "variant", F.when(F.col("a0").isNull(), F.lit(EMPTY * DRAWS)).otherwise(code).alias("code"))
     wide = best.groupBy(*keys).agg(*[F.max(F.when(F.col("variant") == i, F.col("code"))).alias(f"fp_{v}") for i, v in enumerate(variants)])
