@@ -91,6 +91,16 @@ u AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value,
 o AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS r FROM u)
 SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(r AS INT) AS rank FROM o WHERE part = 'pair' OR r <= 50"""
 
+PASSAGES = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+s AS (SELECT r, i, md5(array_to_string(w[i:i + 34], ' ')) AS h FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d)),
+f AS (SELECT r, i FROM (SELECT *, count(*) OVER (PARTITION BY h) AS c FROM s) WHERE c > 1),
+p AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS i FROM f),
+g AS (SELECT r, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM d),
+k AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS kept FROM g ANTI JOIN p USING (r, i) GROUP BY r),
+c AS (SELECT r, count(*) AS n_removed FROM p GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (r) LEFT JOIN c USING (r)"""
+
 ORACLES = {
     "op2_ngram_jaccard_join": NGRAM_JOIN,
     "op3_mixing_sources": MIXING,
@@ -98,4 +108,5 @@ ORACLES = {
     "op7_chat_formatting": CHAT,
     "op10_suffix_array_dedup": SUBSTRINGS,
     "op11_source_divergence": DIVERGENCE,
+    "op13_substring_dedup": PASSAGES,
 }

@@ -92,6 +92,12 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(documents(spark, sf_dir))
 
 
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from atomweave.llm.relative_parse import repeated_passages
+
+    return repeated_passages(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -110,5 +116,6 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
     "op11_source_divergence": op11_source_divergence,
+    "op13_substring_dedup": op13_substring_dedup,
     "pipeline": pipeline,
 }
