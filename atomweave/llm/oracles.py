@@ -101,6 +101,19 @@ k AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS kept FROM g ANTI JOIN p USIN
 c AS (SELECT r, count(*) AS n_removed FROM p GROUP BY r)
 SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (r) LEFT JOIN c USING (r)"""
 
+_ALNUM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+SEARCH = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_FOLD}, '{_ALNUM}') AS w FROM documents),
+g AS (SELECT count(*) AS nd, CAST(sum(len(w)) AS BIGINT) AS l FROM d WHERE len(w) > 0),
+t AS (SELECT r, doc_id, len(w) AS n, unnest(w) AS term FROM d),
+f AS (SELECT r, doc_id, n, term, count(*) AS tf FROM t GROUP BY 1, 2, 3, 4),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(nd) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM f, g GROUP BY term),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({_FOLD}, '{_ALNUM}')) AS term FROM benchmark),
+s AS (SELECT item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * nd) // l)))) AS BIGINT) AS score FROM q JOIN w USING (term) JOIN f USING (term), g GROUP BY 1, 2, 3),
+o AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM o WHERE rank <= 50"""
+
 ORACLES = {
     "op2_ngram_jaccard_join": NGRAM_JOIN,
     "op3_mixing_sources": MIXING,
@@ -108,5 +121,6 @@ ORACLES = {
     "op7_chat_formatting": CHAT,
     "op10_suffix_array_dedup": SUBSTRINGS,
     "op11_source_divergence": DIVERGENCE,
+    "op12_ranked_search": SEARCH,
     "op13_substring_dedup": PASSAGES,
 }

@@ -92,6 +92,12 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(documents(spark, sf_dir))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from atomweave.llm.lexical import ranked_search
+
+    return ranked_search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from atomweave.llm.relative_parse import repeated_passages
 
@@ -116,6 +122,7 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
     "op11_source_divergence": op11_source_divergence,
+    "op12_ranked_search": op12_ranked_search,
     "op13_substring_dedup": op13_substring_dedup,
     "pipeline": pipeline,
 }
