@@ -19,13 +19,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from atomweave.llm.text import encoded
-from atomweave.session import cut, shuffle_width
+from atomweave.session import cut
 
 #: A term stays if so many documents of its language have it; the mass added to each count; terms told per source.
 LEAST_DOCS, PRIOR, TERMS = 30, 5, 50
 SCALE = 1_000_000_000
 #: Distinct (lang, source, term) that a task sums up before it sends them on; results don't depend on it.
 HELD = 600_000
+#: Terms of a language that are compared in one group; results don't depend on it.
+SLICE = 4096
 
 #: Bytes of terms: letters, A-Z lower-cased, and all of UTF-8 beyond ASCII; the rest is a space.
 _TERM = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -177,7 +179,6 @@ def source_divergence(docs: DataFrame, least: int = LEAST_DOCS, most: int = TERM
     documents all pairs are 0. Ranks go by value, ties by the item's UTF-8 bytes. An empty table gives an empty result;
     other columns are ignored.
     """
-    spark = docs.sparkSession
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     docs = docs.select(text("lang"), text("source"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = docs.mapInArrow(_sums, "lang string, term string, source string, doc long, docs long, n long")
@@ -189,9 +190,9 @@ def source_divergence(docs: DataFrame, least: int = LEAST_DOCS, most: int = TERM
     vocabulary = kept.groupBy("lang").agg(F.count("*").alias("vocabulary"))
     groups = docs.select("lang", "source").distinct().join(size, ["lang", "source"], "left").join(vocabulary, "lang", "left")
     groups = groups.select("lang", "source", F.coalesce("size", F.lit(0)).alias("size"), F.coalesce("vocabulary", F.lit(0)).alias("vocabulary"))
-    slices = shuffle_width(spark)
-    left = kept.withColumn("slice", F.pmod(F.xxhash64("term"), F.lit(slices)).cast("int"))
-    right = cut(groups, "groups").withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    slices = (F.floor(F.col("vocabulary") / SLICE) + 1).cast("int")
+    left = kept.join(vocabulary, "lang").withColumn("slice", F.pmod(F.xxhash64("term"), slices).cast("int")).drop("vocabulary")
+    right = cut(groups, "groups").withColumn("slice", F.explode(F.sequence(F.lit(0), slices - 1)))
     schema = "lang string, source string, part string, item string, value long"
     parts = left.groupBy("lang", "slice").cogroup(right.groupBy("lang", "slice")).applyInArrow(_partial(most), schema)
     parts = parts.groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))
