@@ -24,15 +24,16 @@ wt AS (SELECT *, [5, 2, 1][CAST(rank % 3 + 1 AS INT)] AS weight, source_size * 3
 rt AS (SELECT *, CAST(cap AS DOUBLE) / weight AS ratio FROM wt),
 fl AS (SELECT a.*, (SELECT sum(least(CAST(b.cap AS DOUBLE), a.ratio * b.weight)) FROM rt b) <= a.total AS capped FROM rt a),
 tg AS (SELECT *, CASE WHEN capped THEN CAST(cap AS DOUBLE) ELSE weight * CAST(total - coalesce(sum(cap) FILTER (WHERE capped) OVER (), 0) AS DOUBLE) / sum(weight) FILTER (WHERE NOT capped) OVER () END AS target FROM fl),
-bk AS (SELECT *, greatest(1, least(1024, total // 65536)) AS block FROM tg),
-sh AS (SELECT rank, block, total, CAST(ceil(source_size / CAST(block AS DOUBLE)) AS BIGINT) AS blocks, coalesce(sum(target) OVER (ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / total AS lo FROM bk WHERE target > 0),
-iv AS (SELECT *, coalesce(lead(lo) OVER (ORDER BY rank), 2) AS hi FROM sh),
-sl AS (SELECT i AS slot, (i + 1) * 0.6180339887498949e0 - floor((i + 1) * 0.6180339887498949e0) AS point FROM (SELECT unnest(range((SELECT CAST(ceil(any_value(total) / CAST(any_value(block) AS DOUBLE)) AS BIGINT) FROM sh))) AS i)),
-pl AS (SELECT slot, rank, blocks, row_number() OVER (PARTITION BY rank ORDER BY slot) - 1 AS turn FROM sl JOIN iv ON point >= lo AND point < hi),
-us AS (SELECT rank, turn % blocks AS block_no, count(*) AS uses FROM pl WHERE turn < 3 * blocks GROUP BY 1, 2),
-st AS (SELECT s.row, s.size, b.rank, b.block, coalesce(sum(s.size) OVER (PARTITION BY b.rank ORDER BY md5(coalesce(CAST(s.doc_id AS VARCHAR), '')), s.size, s.row ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM sized s JOIN bk b ON s.source IS NOT DISTINCT FROM b.source WHERE s.size > 0),
-pc AS (SELECT row, rank, block, CAST(start AS BIGINT) AS start, size, unnest(range(CAST(start AS BIGINT) // block, (CAST(start AS BIGINT) + size - 1) // block + 1)) AS block_no FROM st),
-tk AS (SELECT row, sum((least(start + size, (block_no + 1) * block) - greatest(start, block_no * block)) * uses) AS taken FROM pc JOIN us USING (rank, block_no) GROUP BY row)
+-- blocks of a source: of equal size but for one word, at most a 64th of the source; a source takes its first need blocks, again from the start after the last
+b0 AS (SELECT *, greatest(1, least(greatest(1, least(1024, total // 65536)), source_size // 64)) AS most FROM tg),
+b1 AS (SELECT *, greatest(1, CAST(ceil(source_size / CAST(most AS DOUBLE)) AS BIGINT)) AS blocks FROM b0),
+bk AS (SELECT *, source_size // blocks AS words, source_size % blocks AS longer, CASE WHEN source_size > 0 THEN least(CAST(round(target / source_size * blocks) AS BIGINT), 3 * blocks) ELSE 0 END AS need FROM b1),
+st AS (SELECT s.row, s.size, b.blocks, b.words, b.longer, b.need, CAST(coalesce(sum(s.size) OVER (PARTITION BY b.rank ORDER BY md5(coalesce(CAST(s.doc_id AS VARCHAR), '')), s.size, s.row ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM sized s JOIN bk b ON s.source IS NOT DISTINCT FROM b.source WHERE s.size > 0),
+pt AS (SELECT *, unnest([start, start + size - 1]) AS word, unnest([0, 1]) AS side FROM st),
+ib AS (SELECT *, CASE WHEN word < longer * (words + 1) THEN word // (words + 1) ELSE longer + (word - longer * (words + 1)) // greatest(words, 1) END AS block FROM pt),
+ed AS (SELECT row, any_value(size) AS size, any_value(start) AS start, any_value(blocks) AS blocks, any_value(words) AS words, any_value(longer) AS longer, any_value(need) AS need, min(block) AS b, max(block) AS e FROM ib GROUP BY row),
+pc AS (SELECT *, unnest(range(b, e + 1)) AS k FROM ed),
+tk AS (SELECT row, sum((least(start + size, (k + 1) * words + least(k + 1, longer)) - greatest(start, k * words + least(k, longer))) * (need // blocks + CASE WHEN k < need % blocks THEN 1 ELSE 0 END)) AS taken FROM pc GROUP BY row)
 SELECT s.doc_id, s.size, b.source_size, b.target, CAST(coalesce(t.taken, 0) AS BIGINT) AS taken, s.source FROM sized s JOIN bk b ON s.source IS NOT DISTINCT FROM b.source LEFT JOIN tk t USING (row)"""
 
 QUALITY = f"""
