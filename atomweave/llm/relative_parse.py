@@ -70,12 +70,12 @@ def anchored(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray, np
     return first, _rolling(words, length).view(np.int64), low[at[real]].view(np.int64), at[real], end[real]
 
 
-def _measure(length: int, gram: int):
+def _measure(length: int, gram: int, told: int):
     """Per text its words, and in rows of their own the anchors that this task has often."""
 
     def frequent(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         names, counts = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.int64),) * 2
-        return names[counts >= TOLD], counts[counts >= TOLD]
+        return names[counts >= told], counts[counts >= told]
 
     def row(doc, content, n, digest, anchor, count) -> pa.RecordBatch:
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64())
@@ -117,6 +117,11 @@ _ROW_TYPES = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bin
 ROW = "key long, doc long, content long, place long, n long, windows binary, again boolean"
 
 
+def _finished(doc: int, content: int, place: int, n: int) -> tuple:
+    """A row of windows that are known to stand elsewhere; its key only spreads it."""
+    return (((content ^ (place * 0x9E3779B97F4A7C15)) + 2**63) % 2**64 - 2**63, doc, content, place, n, None, False)
+
+
 def _repeating(full: np.ndarray, at: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Whether a stretch holds a window twice."""
     of = np.full(len(full), -1)
@@ -158,19 +163,24 @@ def _stretches(length: int, gram: int, hot):
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, _ROW_TYPES)], names=list(_ROW))
                 rows: list[tuple] = []
                 for k in np.flatnonzero(many).tolist():
-                    shift = int(first[of[k]])
+                    shift, doc, content, since = int(first[of[k]]), int(owner[k]), int(name[k]), None
                     for i in range(int(at[k]), int(end[k])):
-                        window, here = int(full[i]), (int(owner[k]), int(name[k]), i - shift, 1)
-                        if window not in met:
-                            if len(met) >= INDEXED:
-                                met.clear()
-                            met[window] = here
-                            rows.append((window, *here, blob[8 * i : 8 * i + 8], False))
+                        window = int(full[i])
+                        if window in met:
+                            if met[window]:
+                                rows.append(_finished(*met[window], 1))
+                                met[window] = None
+                            since = i if since is None else since
                             continue
-                        if met[window]:
-                            rows.append((met[window][1], *met[window], None, False))
-                            met[window] = None
-                        rows.append((here[1], *here, None, False))
+                        if since is not None:
+                            rows.append(_finished(doc, content, since - shift, i - since))
+                            since = None
+                        if len(met) >= INDEXED:
+                            met.clear()
+                        met[window] = (doc, content, i - shift)
+                        rows.append((window, doc, content, i - shift, 1, blob[8 * i : 8 * i + 8], False))
+                    if since is not None:
+                        rows.append(_finished(doc, content, since - shift, int(end[k]) - since))
                 if rows:
                     yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), _ROW_TYPES)], names=list(_ROW))
 
@@ -211,6 +221,7 @@ def _parse(length: int, limit: int):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, whole, size, passing, alone = None, {}, 0, False, True
         out: list[tuple] = []
+        met: dict[int, tuple | None] = {}
 
         def cover(doc: int, content: int, place: int, n: int) -> None:
             out.append((doc, content, place, place + n + length - 1, None, None))
@@ -224,8 +235,24 @@ def _parse(length: int, limit: int):
                     cover(doc, content, place + i, m)
 
         def on(doc: int, content: int, place: int, span: bytes) -> None:
-            for i, window in enumerate(np.frombuffer(span, "<i8").tolist()):
+            since = None  # start of a run of windows that the block has had before
+            windows = np.frombuffer(span, "<i8").tolist()
+            for i, window in enumerate(windows):
+                if window in met:
+                    if first := met[window]:
+                        cover(*first, 1)
+                        met[window] = None
+                    since = i if since is None else since
+                    continue
+                if since is not None:
+                    cover(doc, content, place + since, i - since)
+                    since = None
+                if len(met) >= limit:
+                    met.clear()
+                met[window] = (doc, content, place + i)
                 out.append((doc, content, place + i, place + i + length, window, span[8 * i : 8 * i + 8]))
+            if since is not None:
+                cover(doc, content, place + since, len(windows) - since)
 
         for batch in batches:
             keys = batch.column(0).to_numpy()
@@ -243,6 +270,7 @@ def _parse(length: int, limit: int):
                 if key != now:
                     close()
                     now, whole, size, passing, alone = key, {}, 0, False, True
+                    met.clear()
                 if span is None:
                     cover(doc, content, place, n)
                 elif passing:
@@ -298,7 +326,7 @@ def _flagged(flags, bits: int):
     return kernel
 
 
-def repeated_passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, many: int = MANY, indexed: int = INDEXED) -> DataFrame:
+def repeated_passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, told: int = TOLD, many: int = MANY, indexed: int = INDEXED) -> DataFrame:
     """What is left of ``docs(doc_id, text)``: ``doc_id, n_words, n_removed, kept_sha256, kept``, one row per input row.
 
     Words are what white space (space, tab to carriage return) separates, unchanged; null counts as empty. Each word that
@@ -309,10 +337,10 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, m
     """
     spark = docs.sparkSession
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), "text")
-    told = cut(docs.mapInArrow(_measure(length, gram), "doc long, content long, n_words long, sha256 string, anchor long, count long"), "measured")
-    measured = told.where(F.col("anchor").isNull()).select("doc", "content", "n_words", "sha256")
+    first = cut(docs.mapInArrow(_measure(length, gram, told), "doc long, content long, n_words long, sha256 string, anchor long, count long"), "measured")
+    measured = first.where(F.col("anchor").isNull()).select("doc", "content", "n_words", "sha256")
     # at most 2**16 anchors: each holds a 2**16th of all that are told
-    often = told.where(F.col("anchor").isNotNull()).groupBy("anchor").agg(F.sum("count").alias("n"))
+    often = first.where(F.col("anchor").isNotNull()).groupBy("anchor").agg(F.sum("count").alias("n"))
     least = F.greatest(F.lit(many), F.col("all") / MOST_HOT)
     total = often.agg(F.sum("n").alias("all"))
     hot = np.array(sorted(r[0] for r in often.join(F.broadcast(total)).where(F.col("n") >= least).select("anchor").collect()), np.int64)
