@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
@@ -39,7 +40,8 @@ _QUOTED = r'"{3}(?:[^\\]|\\.)*?"{3}|\'{3}(?:[^\\]|\\.)*?\'{3}|"(?:[^"\\\n]|\\.)*
 #: name, sign, and the rest of the line from the value on; also quoted keys, typed declarations and exports. A name begins
 #: where a run of its characters does (or after the run's dashes, dots and digits), so no run is read more than once.
 _PAIR = re.compile(rf"""["']?(?<![A-Za-z0-9_.\-])[0-9.\-]*+({_NAME})["']?(?:\x20*+:\x20*+[A-Za-z_][A-Za-z0-9_]*+)?\x20*+(?::=|=>|=(?!=)|:)\x20*+(?=["'A-Za-z_0-9])""")
-_TERM = re.compile(rf"({_QUOTED})|({_NAME})|([A-Za-z0-9+/_.=\-]++)", re.S)
+#: A bare word ends at a sign of assignment but for its own padding, so no character is read by more than two pairs.
+_TERM = re.compile(rf"({_QUOTED})|({_NAME})|([A-Za-z0-9+/_.\-]++=*+)", re.S)
 _PLUS = re.compile(r"\x20*+[+.]\x20*+(?=[\"'A-Za-z_])")
 LEAST_SCORE = 3.0
 _EDGE = max(map(len, PLACEHOLDERS)) - 1
@@ -135,6 +137,21 @@ def assignments(text: str) -> Iterator[tuple[str, _Value, bool]]:
             yield name, value, literal
 
 
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(spans):
+        if out and s < out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
+
+
+def _overlaps(taken: list[tuple[int, int]], starts: list[int], s: int, e: int) -> bool:
+    k = bisect_left(starts, e)
+    return k > 0 and s < taken[k - 1][1]
+
+
 def _letters_hold_a_name(low: str) -> bool:
     """False only if no name in the text is sensitive: like names, the text is looked at by its letters alone."""
     letters = low.encode().translate(None, _OTHERS)
@@ -153,12 +170,13 @@ def spans_of(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int
     base += [("hex", m.start(), m.end()) for m in _LONG_HEX.finditer(text)]
     added = []
     if low is not None and _letters_hold_a_name(low):
-        taken = [(s, e) for _, s, e in base]
+        taken = _merged([(s, e) for _, s, e in base])
+        starts = [s for s, _ in taken]
         seen: set[int] = set()
         for name, value, literal in assignments(text):
             if _sensitive(name) and value.score() >= LEAST_SCORE + (0.0 if literal else 0.8):
                 found = value.spans + [x for v in value.behind(seen) for x in v.literals]
-                added += [("literal", s, e) for s, e in found if not any(a < e and s < b for a, b in taken)]
+                added += [("literal", s, e) for s, e in found if not _overlaps(taken, starts, s, e)]
     key = lambda x: (x[1], KINDS.index(x[0]))
     return sorted(base, key=key), sorted(set(added), key=key)
 
