@@ -9,9 +9,17 @@ from atomweave.functions.cell import edges, reduced, with_geometry, wrapped
 from atomweave.session import cut
 
 
+def _placed() -> Column:
+    """Whether an atom has a position; those with a null or NaN coordinate are nobody's neighbours."""
+    out = F.lit(True)
+    for c in "xyz":
+        out = out & F.col(c).isNotNull() & ~F.isnan(c)
+    return out
+
+
 def _binned(atoms: DataFrame, cells: DataFrame) -> DataFrame:
     """Atoms with their wrapped positions and, in reduced coordinates, the bins of their cell."""
-    placed = atoms.select("frame", "id", "x", "y", "z").join(cells, "frame")
+    placed = atoms.select("frame", "id", "x", "y", "z").where(_placed()).join(cells, "frame")
     s = wrapped(reduced([F.col("x"), F.col("y"), F.col("z")]))
     placed = placed.select("*", *[c.alias(f"s{i}") for i, c in enumerate(s)])
     e = edges()
@@ -25,8 +33,9 @@ def cutoff_neighbors(atoms: DataFrame, cells: DataFrame, cutoff: float | None, c
 
     ``atoms(frame, id, x, y, z)``, ``cells(frame, a, b, c, origin, pbc)``. Every periodic image counts, an atom's own
     images included; only an atom with itself under no shift is left out. Shifts are in cells, between wrapped
-    positions. Atoms outside along an open axis go to the edge bins. Each atom is sent to the bins its sphere can touch
-    and joined there on equal bin numbers, so work grows with the number of near pairs. A cutoff of 0 or less, or a flat
+    positions. Atoms outside along an open axis go to the edge bins; atoms with a null or NaN coordinate are left out.
+    Each atom is sent to one of each two opposite bins that its sphere can touch and joined there on equal bin numbers,
+    and each pair found is told both ways, so work grows with the number of near pairs. A cutoff of 0 or less, or a flat
     cell, is an error. With a cutoff of None each frame has its own, the column ``cutoff`` of ``cells``. ``centers(frame,
     id)`` are the only atoms i, if given.
     """
@@ -40,20 +49,37 @@ def cutoff_neighbors(atoms: DataFrame, cells: DataFrame, cutoff: float | None, c
     cells = cells.withColumn("reach", F.array(*[reach(i) for i in range(3)]))
     placed = _binned(atoms, cells)
     left = placed if centers is None else placed.join(centers.select("frame", "id"), ["frame", "id"], "left_semi")
+    left = left.withColumn("o", F.explode(_offsets(half=centers is None)))
     for i, (t, shift) in enumerate((("tx", "sx"), ("ty", "sy"), ("tz", "sz"))):
-        r, n = F.get("reach", F.lit(i)), F.get("bins", F.lit(i))
-        left = left.withColumn(t, F.explode(F.sequence(F.col(f"b{i}") - r, F.col(f"b{i}") + r)))
-        left = left.withColumn(shift, F.when(F.get("pbc", F.lit(i)), F.floor(F.col(t) / n)).otherwise(0).cast("int"))
-        left = left.withColumn(t, (F.col(t) - F.col(shift) * n).cast("int")).where((F.col(t) >= 0) & (F.col(t) < n))
+        n, to = F.get("bins", F.lit(i)), F.col(f"b{i}") + F.col(f"o.{t[1]}")
+        left = left.withColumn(shift, F.when(F.get("pbc", F.lit(i)), F.floor(to / n)).otherwise(0).cast("int"))
+        left = left.withColumn(t, (to - F.col(shift) * n).cast("int"))
+    for i, t in enumerate(("tx", "ty", "tz")):
+        left = left.where((F.col(t) >= 0) & (F.col(t) < F.get("bins", F.lit(i))))
     e = edges()
     moved = [sum((F.col(s) * e[k][i] for k, s in ((1, "sy"), (2, "sz"))), F.col("sx") * e[0][i]) for i in range(3)]
-    left = left.select("frame", F.col("id").alias("i"), *[(m - F.col(w)).alias(f"o{w}") for m, w in zip(moved, ("wx", "wy", "wz"))], "tx", "ty", "tz", "sx", "sy", "sz", (F.col("cutoff") * F.col("cutoff")).alias("most"))
+    own = (F.col("o.x") == 0) & (F.col("o.y") == 0) & (F.col("o.z") == 0)
+    left = left.select("frame", F.col("id").alias("i"), *[(m - F.col(w)).alias(f"o{w}") for m, w in zip(moved, ("wx", "wy", "wz"))], "tx", "ty", "tz", "sx", "sy", "sz", own.alias("own"), (F.col("cutoff") * F.col("cutoff")).alias("most"))
     right = placed.select("frame", F.col("id").alias("j"), "wx", "wy", "wz", F.col("b0").alias("tx"), F.col("b1").alias("ty"), F.col("b2").alias("tz"))
     delta = [F.col(w) + F.col(f"o{w}") for w in ("wx", "wy", "wz")]
     d2 = delta[0] * delta[0] + delta[1] * delta[1] + delta[2] * delta[2]
     pairs = left.join(right, ["frame", "tx", "ty", "tz"])
-    pairs = pairs.where((d2 <= F.col("most")) & ~((F.col("i") == F.col("j")) & (F.col("sx") == 0) & (F.col("sy") == 0) & (F.col("sz") == 0)))
-    return pairs.select("frame", "i", "j", *[d.alias(n) for d, n in zip(delta, ("dx", "dy", "dz"))], d2.alias("d2"), "sx", "sy", "sz")
+    vector = [d.alias(n) for d, n in zip(delta, ("dx", "dy", "dz"))]
+    if centers is not None:
+        pairs = pairs.where((d2 <= F.col("most")) & ~((F.col("i") == F.col("j")) & F.col("own")))
+        return pairs.select("frame", "i", "j", *vector, d2.alias("d2"), "sx", "sy", "sz")
+    pairs = pairs.where((d2 <= F.col("most")) & (~F.col("own") | (F.col("i") < F.col("j")))).select("frame", "i", "j", *vector, d2.alias("d2"), "sx", "sy", "sz")
+    turned = [F.col("j").alias("i"), F.col("i").alias("j"), *[(-F.col(c)).alias(c) for c in ("dx", "dy", "dz")], "d2", *[(-F.col(c)).alias(c) for c in ("sx", "sy", "sz")]]
+    there = ["i", "j", "dx", "dy", "dz", "d2", "sx", "sy", "sz"]
+    return pairs.select("frame", F.explode(F.array(F.struct(*there), F.struct(*turned))).alias("p")).select("frame", *[f"p.{c}" for c in there])
+
+
+def _offsets(half: bool) -> Column:
+    """Steps ``(x, y, z)`` to the bins within reach; with ``half`` the own bin and one of each two opposite ones."""
+    steps = lambda i: F.sequence(-F.get("reach", F.lit(i)), F.get("reach", F.lit(i)))
+    cube = F.flatten(F.transform(steps(0), lambda x: F.flatten(F.transform(steps(1), lambda y: F.transform(steps(2), lambda z: F.struct(x.alias("x"), y.alias("y"), z.alias("z")))))))
+    zero = F.struct(*[F.lit(0).alias(c) for c in "xyz"])
+    return F.filter(cube, lambda o: o >= zero) if half else cube
 
 
 def _extent() -> Column:
@@ -65,10 +91,11 @@ def nearest_neighbors(atoms: DataFrame, cells: DataFrame, k: int) -> DataFrame:
     """The ``k`` nearest images of each atom: pairs as above with ``rank`` from 1, by d2 to nine decimals and
     then j.
 
-    Images at distance 0 don't count. Each frame's cutoff starts where a uniform density has twice k neighbours and is
+    Images at distance 0 don't count, nor do atoms without a position, which have no neighbours. Each frame's cutoff starts where a uniform density has twice k neighbours and is
     doubled for the atoms that have fewer, until none has or, in frames without periodic axes, all atoms are within it:
     only atoms of such frames can end with fewer than k.
     """
+    atoms = atoms.where(_placed())
     n = atoms.groupBy("frame").agg(F.count("*").alias("count"), _extent().alias("extent"))
     guess = F.pow(F.col("volume") * (2.0 * k * 3 / (4 * 3.141592653589793)) / F.col("count"), F.lit(1 / 3))
     found = with_geometry(cells).join(n, "frame").select("frame", guess.alias("cutoff"), "extent")

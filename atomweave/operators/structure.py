@@ -7,12 +7,12 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from atomweave.functions.cell import with_geometry
 from atomweave.functions.linalg import magnitude  # noqa: F401
-from atomweave.operators.graph import connected_components
+from atomweave.operators.graph import connected_components, labelled_components
 
 
 def coordination(atoms: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -33,48 +33,50 @@ def radial_distribution(atoms: DataFrame, cells: DataFrame, pairs: DataFrame, cu
     return grid.join(hist, ["frame", "bin"], "left").select("frame", "bin", ((F.col("bin") + 0.5) * step).alias("r"), found.alias("pairs"), (found / shell).alias("g"))
 
 
+def _key(c: str) -> Column:
+    return F.struct("frame", F.col(c).alias("id"))
+
+
+def _numbered_clusters(every: DataFrame) -> DataFrame:
+    """Adds ``cluster`` and ``size`` to atoms with a ``root``: numbered from 1 by size, ties by the root."""
+    sizes = every.groupBy("frame", "root").agg(F.count("*").alias("size"))
+    ranked = sizes.withColumn("cluster", F.row_number().over(Window.partitionBy("frame").orderBy(F.desc("size"), "root")))
+    return every.join(ranked, ["frame", "root"])
+
+
 def clusters(atoms: DataFrame, pairs: DataFrame) -> DataFrame:
     """``(frame, id, cluster, size)``: components of the neighbour graph, numbered from 1 by size, ties by smallest id."""
-    nodes = atoms.select("frame", "id", F.concat_ws(":", "frame", F.lpad(F.col("id").cast("string"), 20, "0")).alias("node"))
-    name = lambda c: F.concat_ws(":", "frame", F.lpad(F.col(c).cast("string"), 20, "0"))
-    found = connected_components(pairs.where("i < j").select(name("i").alias("src"), name("j").alias("dst")))
-    labelled = nodes.join(found.withColumnRenamed("vertex", "node"), "node", "left").withColumn("root", F.coalesce("component", "node"))
-    sizes = labelled.groupBy("frame", "root").agg(F.count("*").alias("size"), F.min("id").alias("first"))
-    ranked = sizes.withColumn("cluster", F.row_number().over(Window.partitionBy("frame").orderBy(F.desc("size"), "first")))
-    return labelled.join(ranked.select("root", "cluster", "size"), "root").select("frame", "id", "cluster", "size")
-
-
-def _unwrap(part: pd.DataFrame) -> pd.DataFrame:
-    """Offsets of a cluster's atoms from its first one, breadth first along neighbour vectors."""
-    near: dict[int, list] = {}
-    for i, j, x, y, z in part[["i", "j", "dx", "dy", "dz"]].itertuples(index=False):
-        near.setdefault(i, []).append((j, x, y, z))
-    start = min(near)
-    seen, queue = {start: (0.0, 0.0, 0.0)}, [start]
-    for i in queue:
-        ox, oy, oz = seen[i]
-        for j, x, y, z in sorted(near[i]):
-            if j not in seen:
-                seen[j] = (ox + x, oy + y, oz + z)
-                queue.append(j)
-    rows = [(part["frame"].iloc[0], start, i, *o) for i, o in seen.items()]
-    return pd.DataFrame(rows, columns=["frame", "start", "id", "ox", "oy", "oz"])
-
-
-def unwrapped(atoms: DataFrame, pairs: DataFrame, labelled: DataFrame) -> DataFrame:
-    """Atoms with positions that don't jump inside their cluster: ``(frame, id, cluster, ux, uy, uz)``.
-
-    One task holds one cluster's pairs. A cluster that meets its own image has no unique answer; the search order by id
-    settles it.
+    found = connected_components(pairs.where("i < j").select(_key("i").alias("src"), _key("j").alias("dst")))
+    found = found.select(F.col("vertex.frame").alias("frame"), F.col("vertex.id").alias("id"), F.col("component.id").alias("root"))
+    every = atoms.select("frame", "id").join(found, ["frame", "id"], "left").withColumn("root", F.coalesce("root", "id"))
+    return _numbered_clusters(every).select("frame", "id", "cluster", "size")
+
+
+def unwrapped_clusters(atoms: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Clusters as above with positions that don't jump inside them: ``(frame, id, cluster, size, ux, uy, uz)``.
+
+    Each atom stands where neighbour vectors lead from its cluster's first atom, which keeps its place. Vectors are added
+    up while the components contract, in as many rounds, so no task holds a cluster. A cluster that meets its own image
+    has no unique answer (``percolating_clusters`` finds these); its atoms then stand at one of their images each.
     """
-    of = labelled.select("frame", F.col("id").alias("i"), "cluster")
-    inside = pairs.where("i != j").select("frame", "i", "j", "dx", "dy", "dz").join(of, ["frame", "i"])
-    kind = atoms.schema["frame"].dataType.simpleString()
-    moved = inside.groupBy("frame", "cluster").applyInPandas(_unwrap, f"frame {kind}, start long, id long, ox double, oy double, oz double")
-    starts = atoms.select("frame", F.col("id").alias("start"), *[F.col(c).alias(f"s{c}") for c in "xyz"])
-    moved = moved.join(starts, ["frame", "start"]).select("frame", "id", *[(F.col(f"s{c}") + F.col(f"o{c}")).alias(f"u{c}") for c in "xyz"])
-    placed = atoms.join(labelled.select("frame", "id", "cluster"), ["frame", "id"]).join(moved, ["frame", "id"], "left")
-    return placed.select("frame", "id", "cluster", *[F.coalesce(f"u{c}", c).alias(f"u{c}") for c in "xyz"])
+    vector = lambda x, y, z: F.struct(x.alias("x"), y.alias("y"), z.alias("z"))
+    add = lambda a, b: vector(*[a[c] + b[c] for c in "xyz"])
+    back = lambda a: vector(*[-a[c] for c in "xyz"])
+    edges = pairs.where("i < j").select(_key("j").alias("src"), _key("i").alias("dst"), vector(F.col("dx"), F.col("dy"), F.col("dz")).alias("label"))
+    found = labelled_components(edges, vector(*[F.lit(0.0)] * 3), add, back)
+    found = found.select(F.col("vertex.frame").alias("frame"), F.col("vertex.id").alias("id"), F.col("component.id").alias("root"), *[F.col(f"label.{c}").alias(f"o{c}") for c in "xyz"])
+    every = atoms.select("frame", "id").join(found, ["frame", "id"], "left").withColumn("root", F.coalesce("root", "id"))
+    starts = atoms.select("frame", F.col("id").alias("root"), *[F.col(c).alias(f"s{c}") for c in "xyz"])
+    placed = _numbered_clusters(every).join(starts, ["frame", "root"])
+    return placed.select("frame", "id", "cluster", "size", *[(F.col(f"s{c}") + F.coalesce(f"o{c}", F.lit(0.0))).alias(f"u{c}") for c in "xyz"])
+
+
+def percolating_clusters(placed: DataFrame, pairs: DataFrame, tolerance: float = 1e-6) -> DataFrame:
+    """``(frame, cluster)`` of ``unwrapped_clusters`` with a bond that doesn't lead from one end to the other: they meet their own image."""
+    end = lambda x: placed.select("frame", F.col("id").alias(x), F.col("cluster").alias(f"c{x}"), *[F.col(f"u{c}").alias(f"{x}{c}") for c in "xyz"])
+    apart = sum(F.abs(F.col(f"j{c}") - F.col(f"i{c}") - F.col(f"d{c}")) for c in "xyz")
+    bonds = pairs.select("frame", "i", "j", "dx", "dy", "dz").join(end("i"), ["frame", "i"]).join(end("j"), ["frame", "j"])
+    return bonds.where(apart > tolerance).select("frame", F.col("ci").alias("cluster")).distinct()
 
 
 def cluster_shapes(points: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from atomweave.functions import scalars as S
 from atomweave.operators import crystal, deformation, particles, structure
 from atomweave.operators import lines as dislocations
 from atomweave.operators.neighbors import cutoff_neighbors, nearest_neighbors
+from atomweave.session import cut
 from atomweave.sources.adapters import ATOMS_SQL, BOX, atoms, cube_cells, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,7 +32,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _frames(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    a = atoms(spark, sf_dir)
+    a = cut(atoms(spark, sf_dir), "atoms")  # each branch of a plan would sum them up anew
     return a, cube_cells(a)
 
 
@@ -139,10 +140,30 @@ def a3(spark, sf_dir, frames=_frames, by=("frame",)):
     return _clusters(spark, sf_dir, frames)[2].select(*by, "cluster", "size").distinct()
 
 
-@query("a5_cluster_shapes")
+#: Clusters of these sparse frames are smaller than half the box: each atom is at its image nearest to the first one.
+_SHAPES = _COMPONENTS + f""", u AS (SELECT r.frame, r.cluster, s.x + {_image('fr.x - s.x')} AS x, s.y + {_image('fr.y - s.y')} AS y, s.z + {_image('fr.z - s.z')} AS z
+  FROM comp c JOIN ranked r USING (root) JOIN fr ON fr.id = c.id JOIN fr s ON s.id = c.root)"""
+
+
+def _shapes(spark, sf_dir):
+    a, c = _frames(spark, sf_dir)
+    return structure.cluster_shapes(structure.unwrapped_clusters(a, cutoff_neighbors(a, c, _LINK)))
+
+
+@query("a4_cluster_centers", _SHAPES + " SELECT frame, CAST(cluster AS INT) AS cluster, count(*) AS size, round(avg(x), 5) AS cx, round(avg(y), 5) AS cy, round(avg(z), 5) AS cz FROM u GROUP BY 1, 2")
+def a4(spark, sf_dir):
+    return _shapes(spark, sf_dir).select("frame", "cluster", "size", *[F.round(c, 5).alias(c) for c in ("cx", "cy", "cz")])
+
+
+@query(
+    "a5_cluster_shapes",
+    _SHAPES
+    + """, g AS (SELECT frame, cluster, count(*) AS size, var_pop(x) AS xx, var_pop(y) AS yy, var_pop(z) AS zz, covar_pop(x, y) AS xy, covar_pop(x, z) AS xz, covar_pop(y, z) AS yz FROM u GROUP BY 1, 2)
+SELECT frame, CAST(cluster AS INT) AS cluster, size, round(sqrt(xx + yy + zz), 5) AS radius_of_gyration, round(xx, 5) AS xx, round(yy, 5) AS yy, round(zz, 5) AS zz, round(xy, 5) AS xy, round(xz, 5) AS xz, round(yz, 5) AS yz FROM g""",
+)
 def a5(spark, sf_dir):
-    a, pairs, labelled = _clusters(spark, sf_dir, _frames)
-    return structure.cluster_shapes(structure.unwrapped(a, pairs, labelled))
+    part = lambda k, n: F.round(F.get("gyration_tensor", F.lit(k)), 5).alias(n)
+    return _shapes(spark, sf_dir).select("frame", "cluster", "size", F.round("radius_of_gyration", 5).alias("radius_of_gyration"), *[part(k, n) for k, n in enumerate(("xx", "yy", "zz", "xy", "xz", "yz"))])
 
 
 @query("a9_structure_statistics")
@@ -411,9 +432,3 @@ def g8(spark, sf_dir, frames=_frames, by=("frame",)):
     }
     out = W.run(flow, W.Frames(a, cells))
     return out.results["atoms"].groupBy(*by, "coordination").agg(F.count("*").alias("atoms"))
-
-
-#: Names that these queries had while their first form read one frame.
-ALL_FRAMES = "j1_cutoff_neighbors a1_coordination a2_rdf j2_knn x4_centrosymmetry x1_clusters a3_cluster_sizes x2_displacements a7_displacement_summary g8_workflow_coordination".split()
-for _name in ALL_FRAMES:
-    QUERIES[f"{_name}_all_frames"], ORACLES[f"{_name}_all_frames"] = QUERIES[_name], ORACLES[_name]

@@ -177,8 +177,8 @@ def _coordination(f: Frames, cutoff: float = 3.2, bins: int = 500) -> dict[str,
 @analyzer("cluster-analysis")
 def _cluster(f: Frames, cutoff: float = 3.2) -> dict[str, DataFrame]:
     pairs = cutoff_neighbors(f.atoms, f.cells, float(cutoff))
-    labelled = structure.clusters(f.atoms, pairs)
-    return {"atoms": labelled, "clusters": structure.cluster_shapes(structure.unwrapped(f.atoms, pairs, labelled))}
+    placed = structure.unwrapped_clusters(f.atoms, pairs)
+    return {"atoms": placed.select("frame", "id", "cluster", "size"), "clusters": structure.cluster_shapes(placed)}
 
 
 @analyzer("centrosymmetry")

@@ -7,7 +7,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from atomweave.plans import particle_queries, registry
+from atomweave.plans import registry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -37,14 +37,14 @@ def rows(frame):
     return sorted(tuple(cell(v) for v in r) for r in frame[sorted(frame.columns)].itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", sorted(n for n in registry.ORACLES if not n.endswith("_all_frames")))
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_matches_sql(spark, duck, name):
     got, want = registry.QUERIES[name](spark, SF).toPandas(), duck.execute(registry.ORACLES[name]).fetchdf()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)
 
 
-@pytest.mark.parametrize("name", ["x5_matching_centrosymmetry", "a6_csp_histogram", "a9_structure_statistics", *particle_queries.ALL_FRAMES])
+@pytest.mark.parametrize("name", ["x5_matching_centrosymmetry", "a6_csp_histogram", "a9_structure_statistics", *"j1_cutoff_neighbors a1_coordination a2_rdf j2_knn x4_centrosymmetry x1_clusters a3_cluster_sizes x2_displacements a7_displacement_summary g8_workflow_coordination".split()])
 def test_every_frame_is_read(spark, duck, name):
     frames = duck.execute("SELECT count(DISTINCT f) FROM (SELECT min(year(l_shipdate)) AS f FROM lineitem GROUP BY l_orderkey, l_linenumber)").fetchone()[0]
     assert registry.QUERIES[name](spark, SF).select("frame").distinct().count() == frames > 1

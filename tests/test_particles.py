@@ -120,8 +120,9 @@ def test_clusters_and_shapes(spark):
     atoms, cells = frame(spark, points, np.eye(3) * 10)
     pairs = cutoff_neighbors(atoms, cells, 1.5)
     labelled = structure.clusters(atoms, pairs)
+    assert {tuple(r) for r in labelled.collect()} == {tuple(r) for r in structure.unwrapped_clusters(atoms, pairs).select("frame", "id", "cluster", "size").collect()}
     assert {(r.cluster, r["size"]) for r in labelled.collect()} == {(1, 20), (2, 10)}
-    shape = structure.cluster_shapes(structure.unwrapped(atoms, pairs, labelled)).where("cluster = 1").first()
+    shape = structure.cluster_shapes(structure.unwrapped_clusters(atoms, pairs)).where("cluster = 1").first()
     assert shape.radius_of_gyration == pytest.approx(np.sqrt(blob[:20].var(0).sum()), abs=1e-9)
 
 
@@ -169,3 +170,45 @@ def test_lines(spark):
     tetra = spark.createDataFrame([(0, 1, 2), (0, 1, 3), (0, 2, 3), (1, 2, 3)], "v0 int, v1 int, v2 int")
     r = dislocations.mesh_topology(tetra).first()
     assert (r.vertices, r.edges, r.faces, r.euler, r.genus, r.mean_degree) == (4, 6, 4, 2, 0.0, 3.0)
+
+
+def test_offsets_follow_bonds_through_many_contractions(spark):
+    """A coil longer than the box: every bond leads from one end to the other, and no percolation is found."""
+    n = 200
+    t = np.arange(n)
+    coil = np.stack([3 * np.cos(0.15 * t) + 50, 3 * np.sin(0.15 * t) + 50, 0.4 * t], 1)
+    order = np.random.default_rng(3).permutation(n)
+    box = np.diag([20.0, 20.0, 90.0])
+    atoms, cells = frame(spark, (coil % np.diag(box))[order], box)
+    pairs = cutoff_neighbors(atoms, cells, 0.7)
+    placed = structure.unwrapped_clusters(atoms.repartition(5), pairs)
+    got = {r.id: np.array([r.ux, r.uy, r.uz]) for r in placed.collect()}
+    assert all(np.allclose(got[k] - got[0], coil[order[k]] - coil[order[0]]) for k in range(n))
+    assert structure.percolating_clusters(placed, pairs).count() == 0
+    line, cells = frame(spark, [(0.5 * k, 1.0, 1.0) for k in range(20)] + [(5.0, 5.0, 5.0)], np.eye(3) * 10)
+    pairs = cutoff_neighbors(line, cells, 0.6)
+    placed = structure.unwrapped_clusters(line, pairs)
+    assert placed.count() == 21 and [tuple(r) for r in structure.percolating_clusters(placed, pairs).collect()] == [(1, 1)]
+
+
+def test_group_labels_of_components_equal_walks(spark):
+    """Turns by quarters along random edges that agree with hidden states."""
+    from atomweave.operators.graph import labelled_components
+
+    rng = np.random.default_rng(8)
+    state = rng.integers(0, 4, 300)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (260, 2)) if a != b]
+    table = spark.createDataFrame([(a, b, int((state[a] - state[b]) % 4)) for a, b in edges], "src long, dst long, label int")
+    found = labelled_components(table, F.lit(0), lambda a, b: F.pmod(a + b, F.lit(4)), lambda a: F.pmod(-a, F.lit(4))).collect()
+    plain = {r.vertex: r.component for r in connected_components(table).collect()}
+    assert {r.vertex: r.component for r in found} == plain
+    assert all(r.label == (state[r.vertex] - state[r.component]) % 4 for r in found)
+    assert labelled_components(table.limit(0), F.lit(0), lambda a, b: a + b, lambda a: -a).count() == 0
+
+
+def test_atoms_without_a_position_have_no_neighbours(spark):
+    rows = [(1, 0, 0.1, 0.1, 0.1), (1, 1, 0.3, 0.1, 0.1), (1, 2, None, 0.1, 0.1), (1, 3, float("nan"), 0.1, 0.1)]
+    atoms = spark.createDataFrame(rows, "frame int, id long, x double, y double, z double")
+    _, cells = frame(spark, [(0, 0, 0)], np.eye(3))
+    assert {r.i for r in nearest_neighbors(atoms, cells, 3).collect()} == {0, 1}
+    assert {r.id: r.coordination for r in structure.coordination(atoms, cutoff_neighbors(atoms, cells, 0.3)).collect()} == {0: 1, 1: 1, 2: 0, 3: 0}
