@@ -42,6 +42,45 @@ SELECT frame, l_orderkey * 8 + l_linenumber AS id, l_linenumber AS type,
 FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(year(l_shipdate)) AS frame FROM lineitem GROUP BY 1, 2)"""
 
 
+#: Atoms of a layer in the crystals below, and layers between their twin planes.
+LAYER, LAMELLA = 16, 6
+
+
+def crystal_atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(frame, id, x, y, z)``: an order is a lattice site, its key says which, with a small shift by its customer.
+
+    Four frames of layers of 16 atoms that fill up along z: 0 cubic close-packed, 1 hexagonal close-packed, 2 body-centred,
+    3 cubic close-packed with a twin plane every sixth layer. Close-packed atoms are 1 apart.
+    """
+    key = table(spark, sf_dir, "orders").groupBy("o_orderkey").agg(F.min("o_custkey").alias("o_custkey"))
+    site = F.floor(F.col("o_orderkey") / 4)
+    rows = key.select((F.col("o_orderkey") % 4).cast("int").alias("frame"), F.col("o_orderkey").alias("id"), "o_custkey", F.floor(site / LAYER).alias("l"), (site % LAYER).alias("r"))
+    fold = F.col("l") % (2 * LAMELLA)
+    stack = F.when(F.col("frame") == 0, F.col("l")).when(F.col("frame") == 1, F.col("l") % 2).otherwise(F.least(fold, 2 * LAMELLA - fold)) % 3
+    rows = rows.withColumn("o", stack.cast("double"))
+    r = F.col("r")
+    half, cell = (r % 2).cast("double") * 0.5, F.floor(r / 2)
+    close = [(cell % 4) + half + F.col("o") * 0.5, (F.floor(cell / 4) + half) * F.sqrt(F.lit(3.0)) + F.col("o") * F.sqrt(F.lit(3.0)) / 6.0, F.col("l") * F.sqrt(F.lit(2.0) / 3.0)]
+    body = [(r % 4) + (F.col("l") % 2) * 0.5, F.floor(r / 4) + (F.col("l") % 2) * 0.5, F.col("l") * 0.5]
+    shift = lambda p: ((F.col("o_custkey") * p) % 101).cast("double") / 101.0 * 0.01
+    xyz = [F.when(F.col("frame") == 2, b).otherwise(c) + shift(p) for b, c, p in zip(body, close, (7, 11, 13))]
+    return rows.select("frame", "id", *[v.cast("double").alias(c) for v, c in zip(xyz, "xyz")])
+
+
+#: The same sites in DuckDB SQL, with their layers and stacking; ``type`` and ``cluster`` follow from those of their neighbours.
+CRYSTAL_SQL = f"""
+SELECT frame, id, l, r, CASE WHEN frame = 0 THEN l % 3 WHEN frame = 1 THEN l % 2 ELSE least(l % {2 * LAMELLA}, {2 * LAMELLA} - l % {2 * LAMELLA}) % 3 END AS o
+FROM (SELECT CAST(o_orderkey % 4 AS INT) AS frame, o_orderkey AS id, o_orderkey // 4 // {LAYER} AS l, o_orderkey // 4 % {LAYER} AS r FROM orders GROUP BY o_orderkey)"""
+
+
+def crystal_cells(frames: DataFrame) -> DataFrame:
+    """Cells of ``crystal_atoms``: periodic along x and y, open along z."""
+    width, depth = F.when(F.col("frame") == 2, 4.0).otherwise(4.0), F.when(F.col("frame") == 2, 4.0).otherwise(2.0 * F.sqrt(F.lit(3.0)))
+    tall = frames.groupBy("frame").agg((F.max("z") + 10.0).alias("tall"))
+    zero = F.lit(0.0)
+    return tall.select("frame", F.array(width, zero, zero).alias("a"), F.array(zero, depth, zero).alias("b"), F.array(zero, zero, "tall").alias("c"), F.array(zero, zero, zero).alias("origin"), F.array(F.lit(True), F.lit(True), F.lit(False)).alias("pbc"))
+
+
 def cube_cells(frames: DataFrame, size: float = BOX) -> DataFrame:
     """One periodic cube per frame of ``frames(frame)``."""
     edge = lambda i: F.array(*[F.lit(size if k == i else 0.0) for k in range(3)])
