@@ -6,6 +6,8 @@ xz, yz; quaternions as x, y, z, w.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -85,9 +87,20 @@ def cubic_disorientation(p: list[Column], q: list[Column]) -> Column:
     return rotation_angle(F.greatest(a, (a + b) / (2.0**0.5), (a + b + c + d) / 2.0))
 
 
+def hexagonal_disorientation(p: list[Column], q: list[Column]) -> Column:
+    """Smallest rotation in degrees between two orientations under the 12 rotations of the hexagonal lattice about z.
+
+    Turns about z mix the real and the z part, the others x and y: the largest real part over all of them is the larger of both
+    pairs' lengths along the nearest of twelve directions.
+    """
+    x, y, z, w = quaternion_product(quaternion_conjugate(p), q)
+    steps = [(math.cos(k * math.pi / 6), math.sin(k * math.pi / 6)) for k in range(6)]
+    return rotation_angle(F.greatest(*[F.abs(w * c + z * s) for c, s in steps], *[F.abs(x * c + y * s) for c, s in steps]))
+
+
 def graph_weight(theta: Column) -> Column:
     """Weight of a grain graph's edge by its disorientation in degrees."""
-    return F.when(theta < 1e-5, 0.0).otherwise(F.exp(-theta * theta / 3.0))
+    return F.when(theta < 1e-5, 1.0).otherwise(F.exp(-theta * theta / 3.0))
 
 
 def harmonic_mean(a: Column, b: Column) -> Column:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from atomweave.functions.linalg import column_major, cubic_disorientation, det, gram, graph_weight, inverse, product
+from atomweave.functions.linalg import column_major, cubic_disorientation, det, gram, graph_weight, hexagonal_disorientation, inverse, product
 from atomweave.operators.graph import connected_components
 from atomweave.operators.ranking import numbered
 from atomweave.operators.structure import STRUCTURE_NAMES
@@ -234,7 +234,7 @@ def farthest_neighbor(nearest: DataFrame, by: tuple[str, ...] = ("frame",)) -> D
 
 
 def orientation_bonds(typed: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Bonds ``(frame, i, j, theta, crystalline)`` with i < j: disorientation in degrees, taken modulo the cube's rotations.
+    """Bonds ``(frame, i, j, theta, crystalline)`` with i < j: disorientation in degrees, modulo the rotations of the cube or, for hexagonal structures, of their lattice.
 
     ``typed(frame, id, structure_type, qx, qy, qz, qw)``; a bond is crystalline if both ends have the same structure.
     """
@@ -242,7 +242,9 @@ def orientation_bonds(typed: DataFrame, pairs: DataFrame) -> DataFrame:
     bonds = pairs.where("i < j").select("frame", "i", "j").distinct().join(end("i"), ["frame", "i"]).join(end("j"), ["frame", "j"])
     q = lambda x: [F.col(f"{x}_q{c}") for c in "xyzw"]
     same = (F.col("i_structure_type") == F.col("j_structure_type")) & (F.col("i_structure_type") > 0)
-    return bonds.select("frame", "i", "j", F.when(same, cubic_disorientation(q("i"), q("j"))).alias("theta"), same.alias("crystalline"))
+    hexagonal = F.col("i_structure_type").isin(KINDS["HCP"], KINDS["HEX_DIAMOND"])
+    theta = F.when(hexagonal, hexagonal_disorientation(q("i"), q("j"))).otherwise(cubic_disorientation(q("i"), q("j")))
+    return bonds.select("frame", "i", "j", F.when(same, theta).alias("theta"), same.alias("crystalline"))
 
 
 def sorted_bonds(bonds: DataFrame, most: float = 4.0) -> DataFrame:
