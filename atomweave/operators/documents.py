@@ -48,11 +48,14 @@ def contains_any(columns: list[str], needle: str) -> Column:
     return out
 
 
-def sort_by(df: DataFrame, spec: str = "-updated_at", tiebreak: str = "_id") -> DataFrame:
+def sort_keys(spec: str = "-updated_at", tiebreak: str | None = "_id") -> list[Column]:
     """``-a,b``: descending a, then ascending b, then the tiebreak."""
     keys = [k.strip() for k in spec.split(",") if k.strip()]
-    order = [F.desc(k[1:]) if k.startswith("-") else F.asc(k) for k in keys]
-    return df.orderBy(*order, *([F.asc(tiebreak)] if tiebreak in df.columns else []))
+    return [*[F.desc(k[1:]) if k.startswith("-") else F.asc(k) for k in keys], *([F.asc(tiebreak)] if tiebreak else [])]
+
+
+def sort_by(df: DataFrame, spec: str = "-updated_at", tiebreak: str = "_id") -> DataFrame:
+    return df.orderBy(*sort_keys(spec, tiebreak if tiebreak in df.columns else None))
 
 
 def page(df: DataFrame, number: int = 1, limit: int = PAGE) -> DataFrame:

@@ -59,6 +59,14 @@ def burgers_families(segments: DataFrame) -> DataFrame:
     return segments.withColumn("family", dislocation_type(F.col("bx"), F.col("by"), F.col("bz")))
 
 
+def circuit_statistics(circuits: DataFrame) -> DataFrame:
+    """One row of ``circuits(edges, dangling, blocked)``: how many there are, how many are dangling or blocked, and their mean, least and most edges.
+
+    A null flag counts as false; without circuits the counts are 0 and the rest null.
+    """
+    return circuits.agg(F.count("*").alias("total"), F.count_if(F.col("dangling")).alias("dangling"), F.count_if(F.col("blocked")).alias("blocked"), F.avg("edges").alias("mean_edges"), F.min("edges").alias("min_edges"), F.max("edges").alias("max_edges"))
+
+
 def mesh_topology(facets: DataFrame) -> DataFrame:
     """Vertices, distinct undirected edges and faces of ``facets(v0, v1, v2)``; Euler number, genus, mean degree."""
     vertices = facets.select(F.explode(F.array("v0", "v1", "v2")).alias("v")).agg(F.count_distinct("v").alias("vertices"))

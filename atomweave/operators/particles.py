@@ -53,6 +53,34 @@ def with_modifier(atoms: DataFrame, values: DataFrame, name: str, order: str = "
     return atoms.join(last, "id", "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
 
 
+def filter_source(atoms: DataFrame, modifier: DataFrame | None, name: str) -> tuple[DataFrame, str]:
+    """Atoms with the column that a filter on ``name`` reads, and that column's name.
+
+    ``modifier(id, ordinal, name, value)`` are the values that a result declares: if it has the name (exactly), its values are
+    joined, 0 where an atom has none; otherwise it is the atoms' own column, in any case. A name of neither is an error. An
+    empty modifier declares nothing.
+    """
+    if modifier is not None:
+        mine = modifier.where(F.col("name") == name)
+        if not mine.isEmpty():
+            return with_modifier(atoms, mine.select("id", "ordinal", "value"), f"_{name}"), f"_{name}"
+    own = next((c for c in atoms.columns if c.lower() == name.lower()), None)
+    if own is None:
+        raise ValueError(f"no property {name!r}")
+    return atoms, own
+
+
+def point_cloud(atoms: DataFrame, code: Column) -> DataFrame:
+    """Atoms in the order of a space-filling ``code`` within their frame, with their ``place`` there from 1, in ranges to be written as they are.
+
+    Equal codes go by id. Ranges of the order are parts of the result, so files hold near atoms and their statistics are narrow.
+    """
+    placed = numbered(atoms.withColumn("code", code), [F.col("frame"), F.col("code"), F.col("id")], "_place")
+    first = placed.groupBy("frame").agg(F.min("_place").alias("_first"))
+    placed = placed.join(F.broadcast(first), "frame")  # a row per frame
+    return placed.withColumn("place", F.col("_place") - F.col("_first") + 1).drop("_place", "_first").sortWithinPartitions("frame", "place")
+
+
 def value_range(values: DataFrame, column: str) -> DataFrame:
     """Smallest and largest value; 0 and 0 for an empty column."""
     return values.agg(F.coalesce(F.min(column), F.lit(0)).alias("min_value"), F.coalesce(F.max(column), F.lit(0)).alias("max_value"))

@@ -216,3 +216,10 @@ def structure_statistics(typed: DataFrame) -> DataFrame:
     """``(frame, structure, atoms, percentage)`` per name; OTHER is what was not identified."""
     counts = typed.groupBy("frame", "structure").agg(F.count("*").alias("atoms"))
     return counts.withColumn("percentage", F.col("atoms") * 100.0 / F.sum("atoms").over(Window.partitionBy("frame")))
+
+
+def identification(typed: DataFrame) -> DataFrame:
+    """``(frame, identified, unidentified, rate, structures)``: how many atoms have a structure, their share, and how many structures there are."""
+    known = F.col("structure") != "OTHER"
+    told = typed.groupBy("frame").agg(F.count(F.when(known, 1)).alias("identified"), F.count(F.when(~known, 1)).alias("unidentified"), F.countDistinct(F.when(known, F.col("structure"))).alias("structures"))
+    return told.select("frame", "identified", "unidentified", (F.col("identified") / (F.col("identified") + F.col("unidentified"))).alias("rate"), "structures")

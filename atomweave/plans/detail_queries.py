@@ -8,6 +8,7 @@ from atomweave.functions import cell as C
 from atomweave.functions import linalg as L
 from atomweave.functions import scalars as S
 from atomweave.operators import documents as D
+from atomweave.operators import lines
 from atomweave.operators import metrics as M
 from atomweave.operators import particles
 from atomweave.operators.ranking import numbered
@@ -28,17 +29,26 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-@query("f2_filter_source", f"WITH atoms AS ({ATOMS_SQL}) SELECT id FROM atoms WHERE CAST(CAST(z AS FLOAT) AS DOUBLE) >= 1.9e1")
+@query(
+    "f2_filter_source",
+    f"""WITH atoms AS ({ATOMS_SQL}), v AS (SELECT l_orderkey * 8 + l_linenumber AS id, max_by(l_quantity, l_suppkey * 1000 + l_quantity) AS x FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)
+SELECT a.id, 'x' AS property FROM atoms a LEFT JOIN v USING (id) WHERE CAST(coalesce(v.x, 0) AS FLOAT) >= 4e1 UNION ALL SELECT id, 'Z' FROM atoms WHERE CAST(CAST(z AS FLOAT) AS DOUBLE) >= 1.9e1""",
+)
 def f2(spark, sf_dir):
-    """A property is a modifier's column if it has one of that name, else the dump's, in any case."""
+    """A property is a modifier's column if it has one of that name (``x``, which the dump has too), else the dump's, in any case (``Z``)."""
     a = atoms(spark, sf_dir)
-    column = next(c for c in a.columns if c.lower() == "Z".lower())
-    return a.where(particles.predicate(F.col(column), ">=", 19.0)).select("id")
+    lines = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'")
+    values = lines.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), (F.col("l_suppkey") * 1000 + F.col("l_quantity")).alias("ordinal"), F.lit("x").alias("name"), F.col("l_quantity").alias("value"))
+    out = []
+    for name, bound in (("x", 40.0), ("Z", 19.0)):
+        rows, column = particles.filter_source(a, values, name)
+        out.append(rows.where(particles.predicate(F.col(column), ">=", bound)).select("id", F.lit(name).alias("property")))
+    return out[0].unionByName(out[1])
 
 
-@query("f11_selected_frame", f"WITH atoms AS ({ATOMS_SQL}) SELECT id, frame FROM atoms WHERE frame = 1994")
+@query("f11_selected_frame", f"WITH atoms AS ({ATOMS_SQL}) SELECT id, frame FROM atoms WHERE frame = 1996")
 def f11(spark, sf_dir):
-    return atoms(spark, sf_dir, 1994).select("id", F.col("frame").cast("long").alias("frame"))
+    return atoms(spark, sf_dir, 1996).select("id", F.col("frame").cast("long").alias("frame"))
 
 
 @query("f12_if_statement", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' OR o_orderpriority = '1-URGENT'")
@@ -109,10 +119,11 @@ def a10(spark, sf_dir):
     return numbered(grains, [F.desc("size"), F.col("grain")], "place")
 
 
-@query("a13_circuit_statistics", "SELECT count(*) AS total, count(*) FILTER (WHERE c_acctbal < 0) AS dangling, round(avg(c_nationkey), 6) AS mean_edges, min(c_nationkey) AS min_edges, max(c_nationkey) AS max_edges FROM customer")
+@query("a13_circuit_statistics", "WITH c AS (SELECT l_orderkey, count(*) AS edges, count(*) < 2 AS dangling, bool_or(l_returnflag = 'R') AS blocked FROM lineitem GROUP BY 1) SELECT count(*) AS total, count(*) FILTER (WHERE dangling) AS dangling, count(*) FILTER (WHERE blocked) AS blocked, round(avg(edges), 6) AS mean_edges, min(edges) AS min_edges, max(edges) AS max_edges FROM c")
 def a13(spark, sf_dir):
-    c = table(spark, sf_dir, "customer")
-    return c.agg(F.count("*").alias("total"), F.count_if(F.col("c_acctbal") < 0).alias("dangling"), F.round(F.avg("c_nationkey"), 6).alias("mean_edges"), F.min("c_nationkey").alias("min_edges"), F.max("c_nationkey").alias("max_edges"))
+    """Orders as circuits of their lines: dangling with one alone, blocked by a returned one."""
+    c = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("edges"), (F.count("*") < 2).alias("dangling"), F.bool_or(F.col("l_returnflag") == "R").alias("blocked"))
+    return lines.circuit_statistics(c).withColumn("mean_edges", F.round("mean_edges", 6))
 
 
 @query("o4_chunked_page", "WITH n AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS ordinal, count(*) OVER (PARTITION BY conv_id) AS total FROM conversations) SELECT conv_id, ordinal, total FROM n WHERE ordinal >= 2 AND ordinal < 4")
@@ -194,7 +205,7 @@ def m4(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(L.det(m), 6).alias("det"), F.round(L.gram(m)[0], 6).alias("xx"))
 
 
-@query("m9_edge_weight", "SELECT l_orderkey, l_linenumber, l_partkey, round(CASE WHEN l_discount < 1e-5 THEN 0 ELSE exp(-(l_discount * 20) * (l_discount * 20) / 3e0) END, 6) AS w FROM lineitem")
+@query("m9_edge_weight", "SELECT l_orderkey, l_linenumber, l_partkey, round(CASE WHEN l_discount < 1e-5 THEN 1 ELSE exp(-(l_discount * 20) * (l_discount * 20) / 3e0) END, 6) AS w FROM lineitem")
 def m9(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.round(L.graph_weight(F.col("l_discount") * 20), 6).alias("w"))
 
@@ -247,9 +258,3 @@ def r11(spark, sf_dir):
 @query("w5_latest_per_user", "SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
 def w5u(spark, sf_dir):
     return M.latest_per_key(table(spark, sf_dir, "events"), ["user_id"], [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_id")
-
-
-@query("k2_structures_by_name", "SELECT r_name AS structure, count(*) AS atoms FROM nation JOIN region ON r_regionkey = n_regionkey GROUP BY 1")
-def k2(spark, sf_dir):
-    joined = D.populate(table(spark, sf_dir, "nation"), table(spark, sf_dir, "region"), "n_regionkey", "r_regionkey", "region", ["r_name"])
-    return joined.groupBy(F.col("region.r_name").alias("structure")).agg(F.count("*").alias("atoms"))

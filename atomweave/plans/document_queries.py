@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from atomweave.functions import scalars as S
 from atomweave.operators import documents as D
 from atomweave.operators import metrics as M
+from atomweave.operators.ranking import numbered
 from atomweave.sources.adapters import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,12 +112,10 @@ def f14(spark, sf_dir):
     return table(spark, sf_dir, "events").where(F.col("ts") >= since).select("event_id")
 
 
-@query("o1_multi_key_sort", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate DESC, o_totalprice, o_orderkey) AS place FROM orders ORDER BY place LIMIT 500")
+@query("o1_multi_key_sort", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate DESC, o_totalprice, o_orderkey) AS place FROM orders")
 def o1(spark, sf_dir):
-    from pyspark.sql import Window
-
-    top = D.sort_by(table(spark, sf_dir, "orders"), "-o_orderdate,o_totalprice", "o_orderkey").limit(500)
-    return top.select("o_orderkey", F.row_number().over(Window.orderBy(F.desc("o_orderdate"), "o_totalprice", "o_orderkey")).cast("long").alias("place"))
+    """The whole order, by its numbers."""
+    return numbered(table(spark, sf_dir, "orders"), D.sort_keys("-o_orderdate,o_totalprice", "o_orderkey"), "place").select("o_orderkey", "place")
 
 
 @query("o2_offset_page", "SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 100 OFFSET 200")
@@ -155,9 +154,11 @@ def j8(spark, sf_dir):
     return joined.groupBy("r_name", "n_name").agg(F.count("*").alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
-@query("j9_missing_results", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("j9_missing_results", "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
 def j9(spark, sf_dir):
-    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    """Orders without a returned line."""
+    done = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'")
+    return table(spark, sf_dir, "orders").join(done, F.col("o_orderkey") == F.col("l_orderkey"), "left_anti").select("o_orderkey")
 
 
 @query("j10_frame_exposures", "WITH d AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events), k AS (SELECT DISTINCT event_type FROM events), n AS (SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2) SELECT CAST(d.day AS VARCHAR) AS day, k.event_type, coalesce(n.n, 0) AS n FROM d CROSS JOIN k LEFT JOIN n ON n.day = d.day AND n.event_type = k.event_type")

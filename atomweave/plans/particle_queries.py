@@ -166,12 +166,6 @@ def a5(spark, sf_dir):
     return _shapes(spark, sf_dir).select("frame", "cluster", "size", F.round("radius_of_gyration", 5).alias("radius_of_gyration"), *[part(k, n) for k, n in enumerate(("xx", "yy", "zz", "xy", "xz", "yz"))])
 
 
-@query("a9_structure_statistics")
-def a9(spark, sf_dir):
-    a, c = _frames(spark, sf_dir)
-    return structure.structure_statistics(structure.local_structure(a, nearest_neighbors(a, c, 15)))
-
-
 def _moved(a: DataFrame) -> DataFrame:
     """The frame sheared by a little, with some noise that depends on the id."""
     n = lambda p: ((F.col("id") * p) % 101).cast("double") / F.lit(101.0) * F.lit(0.05)
@@ -295,11 +289,22 @@ def a17(spark, sf_dir):
     return b.select(F.col("frame").cast("long").alias("frame"), *[F.round(c, 6).alias(c) for c in b.columns if c != "frame"])
 
 
-@query("m3_cell_geometry")
+_CELL = "a AS (SELECT n_nationkey AS frame, 4e0 + n_nationkey AS ax, 1e0 + n_regionkey * 5e-1 AS bx, 5e0 + n_regionkey AS b_y, 5e-1 AS cx, 7e-1 * n_regionkey AS cy, 6e0 + n_nationkey % 7 AS cz FROM nation)"
+
+
+@query(
+    "m3_cell_geometry",
+    f"""WITH {_CELL} SELECT frame, round(ax * b_y * cz, 6) AS volume, round(ax * b_y * cz / sqrt(pow(b_y * cz, 2) + pow(bx * cz, 2) + pow(bx * cy - b_y * cx, 2)), 6) AS height_a, round(b_y * cz / sqrt(cz * cz + cy * cy), 6) AS height_b, round(cz, 6) AS height_c,
+  round(sqrt(cx * cx + cy * cy + cz * cz), 6) AS len_c, round(degrees(acos((bx * cx + b_y * cy) / (sqrt(bx * bx + b_y * b_y) * sqrt(cx * cx + cy * cy + cz * cz)))), 6) AS alpha, round(degrees(acos(bx / sqrt(bx * bx + b_y * b_y))), 6) AS gamma, round(1 / ax, 6) AS reciprocal FROM a""",
+)
 def m3(spark, sf_dir):
-    c = spark.createDataFrame([(1, [4.0, 0.0, 0.0], [1.0, 5.0, 0.0], [0.5, 0.7, 6.0], [0.0] * 3, [True] * 3)], "frame int, a array<double>, b array<double>, c array<double>, origin array<double>, pbc array<boolean>")
+    """A tilted cell for each nation."""
+    n = table(spark, sf_dir, "nation")
+    k, r, zero = F.col("n_nationkey").cast("double"), F.col("n_regionkey").cast("double"), F.lit(0.0)
+    c = n.select(F.col("n_nationkey").alias("frame"), F.array(k + 4.0, zero, zero).alias("a"), F.array(1.0 + r * 0.5, r + 5.0, zero).alias("b"), F.array(F.lit(0.5), r * 0.7, 6.0 + k % 7).alias("c"), F.array(zero, zero, zero).alias("origin"), F.array(*[F.lit(True)] * 3).alias("pbc"))
     c = C.with_geometry(c)
-    return c.select("frame", "volume", "heights", *[v.alias(k) for k, v in {**C.lengths_and_angles(), **C.reciprocal()}.items()])
+    told = {**C.lengths_and_angles(), "reciprocal": F.get(C.reciprocal()["reciprocal_a"], F.lit(0)), "volume": F.col("volume"), **{f"height_{x}": F.get("heights", F.lit(i)) for i, x in enumerate("abc")}}
+    return c.select("frame", *[F.round(told[x], 6).alias(x) for x in ("volume", "height_a", "height_b", "height_c", "len_c", "alpha", "gamma", "reciprocal")])
 
 
 @query("m2_wrap", f"WITH atoms AS ({ATOMS_SQL}) SELECT id, round((x * 3 - 17) - 2e1 * floor((x * 3 - 17) / 2e1), 6) AS wx FROM atoms")
@@ -408,10 +413,12 @@ def x29(spark, sf_dir):
     return dislocations.clip_lines(p, (BOX, BOX, BOX))
 
 
-@query("k10_point_cloud", f"WITH atoms AS ({ATOMS_SQL}) SELECT CAST(type AS INT) AS type, count(*) AS n FROM atoms GROUP BY type")
+@query("k10_point_cloud", "WITH m AS (" + ORACLES["m11_morton"] + f"), atoms AS ({ATOMS_SQL}) SELECT a.frame, id, CAST(a.type AS INT) AS type, row_number() OVER (PARTITION BY a.frame ORDER BY morton, id) AS place FROM m JOIN atoms a USING (id)")
 def k10(spark, sf_dir):
-    """Type counts of the cloud in Morton order: the order itself is a matter of layout."""
-    return QUERIES["m11_morton"](spark, sf_dir).join(atoms(spark, sf_dir), "id").sortWithinPartitions("morton").groupBy("type").agg(F.count("*").alias("n"))
+    """Each frame's cloud in Morton order, as it was written and read back."""
+    lo, hi = [F.lit(0.0)] * 3, [F.lit(BOX)] * 3
+    cloud = particles.point_cloud(atoms(spark, sf_dir), S.morton_code(F.col("x"), F.col("y"), F.col("z"), lo, hi))
+    return cut(cloud, "cloud").select("frame", "id", "type", "place")
 
 
 @query("g8_workflow_coordination", f"WITH {_PAIRS} SELECT frame, coordination, count(*) AS atoms FROM (SELECT fr.frame, fr.id, count(near.i) AS coordination FROM fr LEFT JOIN near ON near.i = fr.id AND near.d2 <= {CUTOFF * CUTOFF!r} GROUP BY fr.frame, fr.id) GROUP BY 1, 2")

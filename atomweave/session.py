@@ -50,5 +50,12 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def export_by(df: DataFrame, columns: list[str], name: str) -> str:
+    """Write ``df`` as Parquet with a folder for each value of ``columns``, and tell where; rows of a folder are dealt over tasks by size."""
+    path = f"{shared_dir(df.sparkSession)}/atomweave/{uuid.uuid4().hex}/{name}"
+    df.hint("rebalance", *columns).write.option("compression", "zstd").partitionBy(*columns).parquet(path)
+    return path
+
+
 def shuffle_width(spark: SparkSession, at_least: int = 1) -> int:
     return max(at_least, int(spark.conf.get("spark.sql.shuffle.partitions")))
