@@ -110,7 +110,17 @@ def a27(spark, sf_dir):
     return crystal.farthest_neighbor(nearest_neighbors(*_frames(spark, sf_dir), 4)).select("frame", F.round("max_distance", 6).alias("max_distance"))
 
 
-@query("a6_csp_histogram")
+@query(
+    "a6_csp_histogram",
+    f"""WITH {_PAIRS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY round(d2, 9), j) AS rank FROM near WHERE d2 > 0),
+k AS (SELECT * FROM ranked WHERE rank <= {_CSP_K}),
+s AS (SELECT p.frame, p.i, (p.dx + q.dx) * (p.dx + q.dx) + (p.dy + q.dy) * (p.dy + q.dy) + (p.dz + q.dz) * (p.dz + q.dz) AS v FROM k p JOIN k q ON p.i = q.i AND p.rank < q.rank),
+o AS (SELECT frame, i, v, row_number() OVER (PARTITION BY i ORDER BY v) AS r FROM s),
+c AS (SELECT frame, i, sum(v ORDER BY r) AS csp FROM o WHERE r <= {_CSP_K // 2} GROUP BY 1, 2),
+w AS (SELECT frame, max(csp) * 101e-2 / 100 AS width FROM c GROUP BY 1),
+h AS (SELECT frame, CAST(floor(csp / width) AS INT) AS bin, count(*) AS atoms FROM c JOIN w USING (frame) GROUP BY 1, 2)
+SELECT w.frame, CAST(b.bin AS INT) AS bin, coalesce(atoms, 0) AS atoms FROM w CROSS JOIN (SELECT unnest(range(100)) AS bin) b LEFT JOIN h ON h.frame = w.frame AND h.bin = b.bin""",
+)
 def a6(spark, sf_dir):
     a, c = _frames(spark, sf_dir)
     return structure.symmetry_histogram(structure.centrosymmetry(a, nearest_neighbors(a, c, _CSP_K), _CSP_K), by=["frame"])
@@ -159,10 +169,13 @@ def a4(spark, sf_dir):
     "a5_cluster_shapes",
     _SHAPES
     + """, g AS (SELECT frame, cluster, count(*) AS size, var_pop(x) AS xx, var_pop(y) AS yy, var_pop(z) AS zz, covar_pop(x, y) AS xy, covar_pop(x, z) AS xz, covar_pop(y, z) AS yz FROM u GROUP BY 1, 2)
-SELECT frame, CAST(cluster AS INT) AS cluster, size, round(sqrt(xx + yy + zz), 5) AS radius_of_gyration, round(xx, 5) AS xx, round(yy, 5) AS yy, round(zz, 5) AS zz, round(xy, 5) AS xy, round(xz, 5) AS xz, round(yz, 5) AS yz FROM g""",
+SELECT frame, CAST(cluster AS INT) AS cluster, size, round(sqrt(xx + yy + zz), 5) AS radius_of_gyration, """
+    + ", ".join(f"CASE WHEN round({c}, 5) = 0 THEN 0e0 ELSE round({c}, 5) END AS {c}" for c in ("xx", "yy", "zz", "xy", "xz", "yz"))
+    + " FROM g",
 )
 def a5(spark, sf_dir):
-    part = lambda k, n: F.round(F.get("gyration_tensor", F.lit(k)), 5).alias(n)
+    zero = lambda c: F.when(c == 0, 0.0).otherwise(c)  # noqa: E731  # a rounded -0
+    part = lambda k, n: zero(F.round(F.get("gyration_tensor", F.lit(k)), 5)).alias(n)
     return _shapes(spark, sf_dir).select("frame", "cluster", "size", F.round("radius_of_gyration", 5).alias("radius_of_gyration"), *[part(k, n) for k, n in enumerate(("xx", "yy", "zz", "xy", "xz", "yz"))])
 
 
@@ -320,12 +333,22 @@ def m8(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(L.magnitude(F.col("embedding")), 6).alias("magnitude"))
 
 
-@query("m5_disorientation")
+_Q8 = ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS v{i}" for i in range(8))
+_UNIT = ", ".join(f"v{i} / sqrt({' + '.join(f'v{j} * v{j}' for j in range(i // 4 * 4, i // 4 * 4 + 4))}) AS q{i}" for i in range(8))
+
+
+@query(
+    "m5_disorientation",
+    f"""WITH e AS (SELECT vec_id, {_Q8} FROM embeddings), u AS (SELECT vec_id, {_UNIT} FROM e),
+s AS (SELECT vec_id, list_sort([abs(q3 * q4 - q0 * q7 - q1 * q6 + q2 * q5), abs(q3 * q5 + q0 * q6 - q1 * q7 - q2 * q4), abs(q3 * q6 - q0 * q5 + q1 * q4 - q2 * q7), abs(q3 * q7 + q0 * q4 + q1 * q5 + q2 * q6)]) AS s FROM u),
+t AS (SELECT vec_id, 2 * degrees(acos(least(1e0, greatest(s[4], (s[4] + s[3]) / sqrt(2e0), (s[1] + s[2] + s[3] + s[4]) / 2)))) AS t FROM s)
+SELECT vec_id, round(t, 5) AS degrees, round(CASE WHEN t < 1e-5 THEN 1 ELSE exp(-t * t / 3) END, 6) AS weight FROM t""",
+)
 def m5(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select("vec_id", *[F.get("embedding", F.lit(i)).cast("double").alias(f"q{i}") for i in range(8)])
     unit = lambda k: [F.col(f"q{i}") / F.sqrt(sum((F.col(f"q{j}") * F.col(f"q{j}") for j in range(k + 1, k + 4)), F.col(f"q{k}") * F.col(f"q{k}"))) for i in range(k, k + 4)]
     theta = L.cubic_disorientation(unit(0), unit(4))
-    return e.select("vec_id", theta.alias("degrees"), L.graph_weight(theta).alias("weight"))
+    return e.select("vec_id", F.round(theta, 5).alias("degrees"), F.round(L.graph_weight(theta), 6).alias("weight"))
 
 
 @query("m11_morton", f"WITH atoms AS ({ATOMS_SQL}), c AS (SELECT id, CAST(least(1023, greatest(0, floor(x / 2e1 * 1023e0))) AS BIGINT) AS a, CAST(least(1023, greatest(0, floor(y / 2e1 * 1023e0))) AS BIGINT) AS b, CAST(least(1023, greatest(0, floor(z / 2e1 * 1023e0))) AS BIGINT) AS c FROM atoms) SELECT id, CAST(list_sum(list_transform(range(10), lambda k: (((a >> CAST(k AS BIGINT)) & 1) << (3 * k)) + (((b >> CAST(k AS BIGINT)) & 1) << (3 * k + 1)) + (((c >> CAST(k AS BIGINT)) & 1) << (3 * k + 2)))) AS BIGINT) AS morton FROM c")
