@@ -139,20 +139,22 @@ def ready_jobs(jobs: DataFrame, uploads: DataFrame, late: str = "1 hour") -> Dat
     return j.join(u, same & near).select("j.job_id", "j.trajectory", "j.timestep", F.greatest("j.job_ts", "u.upload_ts").alias("ready_ts"))
 
 
-def status_feed(changes: DataFrame, snapshot: DataFrame, write, team: str = "team", most: int = 1000, keep: int = 50):
+def status_feed(snapshot: DataFrame, write, team: str = "team", most: int = 1000, keep: int = 50):
     """A ``foreachBatch`` function for subscribers of job states: the snapshot first, then what changes.
 
-    ``changes(team, job_id, status, ts)`` is a stream, ``snapshot`` a table of the same columns as of now. The first
-    batch hands the snapshot's rows on before its own. Of a batch's changes the last of each job counts; a team with
+    ``snapshot(team, job_id, status, ts)`` is a table as of now, batches have the same columns. The first batch that the
+    function gets hands the snapshot's rows on before its own, after a restart too, when subscribers start anew; a batch that
+    failed there sends it again. Of a batch's changes the last of each job counts; a team with
     more than ``most`` of them gets the ``keep`` latest only, as a client reloads after a burst. ``write(rows)`` takes a
     DataFrame of ``team, job_id, status, ts, kind``.
     """
-    del changes  # named for the contract: its batches come through the returned function
     columns = [team, "job_id", "status", "ts"]
+    greeted: list[int] = []
 
     def send(batch: DataFrame, number: int) -> None:
-        if number == 0:
+        if not greeted:
             write(snapshot.select(*columns, F.lit("snapshot").alias("kind")))
+            greeted.append(number)
         write(burst(batch.select(*columns), team, most, keep).select(*columns, F.lit("change").alias("kind")))
 
     return send
@@ -170,7 +172,8 @@ def burst(changes: DataFrame, team: str = "team", most: int = 1000, keep: int =
 def upsert_batches(path: str, keys: list[str], version: str):
     """A ``foreachBatch`` function that keeps a keyed table under ``path``, one folder per batch, the last one whole.
 
-    Replaying a batch gives the same table again, so a restart from the checkpoint loses and doubles nothing.
+    Replaying a batch gives the same table again, so a restart from the checkpoint loses and doubles nothing. Of the
+    batches before, the one that a replay starts from stays; older folders go once the new one is written.
     """
     from atomweave.operators.documents import upsert
 
@@ -182,5 +185,7 @@ def upsert_batches(path: str, keys: list[str], version: str):
         older = [n for n in older if n < number]
         new = upsert(spark.read.parquet(f"{path}/batch={max(older)}"), batch, keys, version) if older else batch
         new.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        for n in sorted(older)[:-1]:
+            fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch={n}"), True)
 
     return write

@@ -166,10 +166,15 @@ def test_status_feed_sends_the_snapshot_once_and_cuts_bursts(spark, tmp_path):
     before = spark.createDataFrame([("x", "j0", "queued", t(0))], schema)
     batches = [[("x", "j0", "running", t(1)), ("x", "j0", "done", t(2))], [("y", f"k{i}", "done", t(10 + i)) for i in range(8)]]
     seen = []
-    feed = flows.status_feed(None, before, lambda rows: seen.append(sorted((r.team, r.job_id, r.status, r.kind) for r in rows.collect())), most=5, keep=3)
+    feed = flows.status_feed(before, lambda rows: seen.append(sorted((r.team, r.job_id, r.status, r.kind) for r in rows.collect())), most=5, keep=3)
     run = one_by_one(spark, tmp_path, batches, schema).writeStream.foreachBatch(feed).trigger(availableNow=True).start()
     assert run.awaitTermination(120)
     assert seen == [[("x", "j0", "queued", "snapshot")], [("x", "j0", "done", "change")], [("y", f"k{i}", "done", "change") for i in (5, 6, 7)]]
+    seen.clear()
+    again = flows.status_feed(before, lambda rows: seen.append([r.kind for r in rows.collect()]))  # a restart goes on with its own batch number
+    again(before, 7)
+    again(before, 8)
+    assert seen == [["snapshot"], ["change"], ["change"]]
 
 
 def test_parked_jobs_meet_their_upload(spark, tmp_path):
