@@ -152,3 +152,62 @@ def clip_lines(lines: DataFrame, box: tuple[float, float, float], pbc: tuple[boo
             yield pd.DataFrame(rows, columns=["line_id", "chunk", "points"])
 
     return lines.select("line_id", "points").mapInPandas(work, "line_id long, chunk int, points array<array<double>>")
+
+
+def tube_mesh(points: DataFrame, keys: list[str], width: float, sides: int = 8) -> tuple[DataFrame, DataFrame]:
+    """Lines of ``points(keys, pos, x, y, z)`` as tubes: ``(keys, vertex, x, y, z, nx, ny, nz)`` and triangles ``(keys, a, b, c)``.
+
+    Each step of a line is a prism of its own: ``sides`` + 1 pairs of vertices around it, half a ``width`` away, the last pair
+    on the first, with normals outwards. Vertices are numbered from 0 within their line. Steps without length, and lines of one
+    point, give nothing.
+    """
+    order = Window.partitionBy(*keys).orderBy("pos")
+    ahead = points.select(*keys, "pos", *[F.col(c).alias(f"p{c}") for c in "xyz"], *[F.lead(c).over(order).alias(f"q{c}") for c in "xyz"]).where("qx IS NOT NULL")
+    d = [F.col(f"q{c}") - F.col(f"p{c}") for c in "xyz"]
+    steps = ahead.withColumn("size", F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2])).where("size > 0")
+    steps = steps.select("*", *[(x / F.col("size")).alias(f"d{c}") for x, c in zip(d, "xyz")]).withColumn("step", F.row_number().over(order) - 1)
+    x, y, z = (F.col(f"d{c}") for c in "xyz")
+    steep = F.abs(y) > 0.99  # the side is across the step and across y, or x where the step runs along y
+    right = [F.when(steep, 0.0).otherwise(-z), F.when(steep, z).otherwise(0.0), F.when(steep, -y).otherwise(x)]
+    size = F.sqrt(right[0] * right[0] + right[1] * right[1] + right[2] * right[2])
+    steps = steps.select("*", *[(r / size).alias(f"r{c}") for r, c in zip(right, "xyz")])
+    r = [F.col(f"r{c}") for c in "xyz"]
+    up = [y * r[2] - z * r[1], z * r[0] - x * r[2], x * r[1] - y * r[0]]
+    around = steps.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(sides))))
+    angle = F.col("j") * (2 * np.pi / sides)
+    normal = [(a * F.cos(angle) + b * F.sin(angle)).alias(f"n{c}") for a, b, c in zip(r, up, "xyz")]
+    around = around.select(*keys, "step", "j", *normal, F.explode(F.array(*[F.struct(F.lit(k).alias("end"), *[F.col(f"{e}{c}").alias(c) for c in "xyz"]) for k, e in enumerate("pq")])).alias("e"))
+    first = F.col("step") * (2 * (sides + 1))
+    vertices = around.select(*keys, (first + 2 * F.col("j") + F.col("e.end")).cast("long").alias("vertex"), *[(F.col(f"e.{c}") + F.col(f"n{c}") * (width / 2)).alias(c) for c in "xyz"], "nx", "ny", "nz")
+    at = lambda k: (first + 2 * F.col("j") + k).cast("long")
+    faces = steps.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(sides - 1))))
+    faces = faces.select(*keys, F.explode(F.array(*[F.struct(at(p).alias("a"), at(q).alias("b"), at(s).alias("c")) for p, q, s in ((0, 1, 2), (2, 1, 3))])).alias("f"))
+    return vertices, faces.select(*keys, "f.a", "f.b", "f.c")
+
+
+def finished_lines(lines: DataFrame, clusters: DataFrame, transitions: DataFrame, kind: int) -> DataFrame:
+    """Traced lines made ready: ``(frame, line, cluster, bx, by, bz, points)``.
+
+    ``lines(frame, line, cluster, bx, by, bz, points, head, tail)`` have ``points`` as arrays of arrays; the first ``head`` and the last ``tail``
+    of them are left over from tracing and go. A Burgers vector in a cluster of another structure than ``kind`` is turned into
+    the smallest cluster of that structure that a transition leads to, if there is one. It then changes sign, and a line whose ends
+    are further apart backwards along their dominant axis (z on ties, then y) is turned around, which changes it once more.
+    ``clusters(frame, cluster, kind)`` has a row per cluster. Lines with no points left have none.
+    """
+    known = transitions.where("t0 IS NOT NULL")
+    back = [F.col(f"t{3 * (k % 3) + k // 3}").alias(f"t{k}") for k in range(9)]
+    ways = known.select("frame", F.col("a").alias("cluster"), F.col("b").alias("to"), *[f"t{k}" for k in range(9)]).unionByName(known.select("frame", F.col("b").alias("cluster"), F.col("a").alias("to"), *back))
+    of = clusters.select("frame", "cluster", "kind")
+    good = ways.join(of.where(F.col("kind") == kind).select("frame", F.col("cluster").alias("to")), ["frame", "to"])
+    best = good.groupBy("frame", "cluster").agg(F.min(F.struct("to", *[f"t{k}" for k in range(9)])).alias("w"))
+    told = lines.join(of, ["frame", "cluster"], "left").join(best, ["frame", "cluster"], "left")
+    other = F.coalesce((F.col("kind") != kind) & F.col("w").isNotNull(), F.lit(False))
+    b = [F.col(f"b{c}") for c in "xyz"]
+    turned = [F.when(other, F.col(f"w.t{3 * i}") * b[0] + F.col(f"w.t{3 * i + 1}") * b[1] + F.col(f"w.t{3 * i + 2}") * b[2]).otherwise(b[i]) for i in range(3)]
+    points = F.slice("points", F.col("head") + 1, F.greatest(F.size("points") - F.col("head") - F.col("tail"), F.lit(0)))
+    told = told.select("frame", "line", F.when(other, F.col("w.to")).otherwise(F.col("cluster")).alias("cluster"), *[(-x).alias(f"b{c}") for x, c in zip(turned, "xyz")], points.alias("points"))
+    ends = [F.get(F.get("points", F.size("points") - 1), F.lit(i)) - F.get(F.get("points", F.lit(0)), F.lit(i)) for i in range(3)]
+    x, y, z = (F.abs(e) for e in ends)
+    along = F.when((x > y) & (x > z), ends[0]).when((y >= x) & (y > z), ends[1]).otherwise(ends[2])
+    flip = F.coalesce((along < 0) & (x * x + y * y + z * z > 1e-8), F.lit(False))
+    return told.select("frame", "line", "cluster", *[F.when(flip, -F.col(f"b{c}")).otherwise(F.col(f"b{c}")).alias(f"b{c}") for c in "xyz"], F.when(flip, F.reverse("points")).otherwise(F.col("points")).alias("points"))

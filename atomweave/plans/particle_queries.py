@@ -401,6 +401,40 @@ def a15(spark, sf_dir):
     return n.select("n_segments", F.round("total_length", 3).alias("total_length"), *[F.round(c, 6).alias(c) for c in ("mean_length", "max_length")], "total_points", "n_dangling", F.round("density", 6).alias("density"))
 
 
+_SIDES, _WIDTH = 8, 0.4
+
+
+@query(
+    "k11_tube_mesh",
+    f"""WITH {_POINTS}, d AS (SELECT line_id, pos, x, lag(x) OVER w AS px, (x - lag(x) OVER w) / step AS dx, (y - lag(y) OVER w) / step AS d_y, (z - lag(z) OVER w) / step AS dz, step FROM st WINDOW w AS (PARTITION BY line_id ORDER BY pos)),
+r AS (SELECT *, CASE WHEN abs(d_y) > 99e-2 THEN 0 ELSE -dz / sqrt(dz * dz + dx * dx) END AS rx FROM d WHERE step > 0)
+SELECT line_id, count(*) * {2 * (_SIDES + 1)} AS vertices, count(*) * {2 * _SIDES} AS triangles, round(sum({_SIDES + 1} * (x + px) + {_WIDTH!r} * rx), 4) AS total_x FROM r GROUP BY 1""",
+)
+def k11(spark, sf_dir):
+    """Tubes around the orders' lines: vertices, triangles, and the sum of the vertices' x."""
+    vertices, faces = dislocations.tube_mesh(_segments(spark, sf_dir), ["line_id"], _WIDTH, _SIDES)
+    v = vertices.groupBy("line_id").agg(F.count("*").alias("vertices"), F.round(F.sum("x"), 4).alias("total_x"))
+    return v.join(faces.groupBy("line_id").agg(F.count("*").alias("triangles")), "line_id")
+
+
+@query(
+    "x25_finished_lines",
+    f"""WITH atoms AS ({ATOMS_SQL}), p AS (SELECT id - type AS line, type AS pos, x, y, z FROM atoms), n AS (SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY line) AS n FROM p WINDOW w AS (PARTITION BY line ORDER BY pos)),
+c AS (SELECT * FROM n WHERE k > CASE WHEN n > 3 THEN 1 ELSE 0 END AND k <= n - CASE WHEN n > 4 THEN 1 ELSE 0 END),
+e AS (SELECT line, count(*) AS n_points, min_by(x, k) AS fx, max_by(x, k) AS tx, max_by(x, k) - min_by(x, k) AS ax, max_by(y, k) - min_by(y, k) AS ay, max_by(z, k) - min_by(z, k) AS az FROM c GROUP BY line),
+s AS (SELECT *, CASE WHEN abs(ax) > abs(ay) AND abs(ax) > abs(az) THEN ax WHEN abs(ay) >= abs(ax) AND abs(ay) > abs(az) THEN ay ELSE az END < 0 AS flip FROM e)
+SELECT line, n_points, round(CASE WHEN flip THEN tx ELSE fx END, 6) AS first_x, CASE WHEN flip THEN 5e-1 ELSE -5e-1 END AS bx FROM s""",
+)
+def x25(spark, sf_dir):
+    """Orders as traced lines with points to trim, all in one crystal."""
+    p = _segments(spark, sf_dir).groupBy("line_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "x", "y", "z"))), lambda q: F.array(q["x"], q["y"], q["z"])).alias("points"))
+    rows = p.select(F.lit(0).alias("frame"), F.col("line_id").alias("line"), F.lit(1).cast("long").alias("cluster"), F.lit(0.5).alias("bx"), F.lit(0.5).alias("by"), F.lit(0.0).alias("bz"), "points", (F.size("points") > 3).cast("int").alias("head"), (F.size("points") > 4).cast("int").alias("tail"))
+    one = rows.select("frame", "cluster").distinct().withColumn("kind", F.lit(1))
+    none = rows.limit(0).select("frame", F.col("cluster").alias("a"), F.col("cluster").alias("b"), *[F.col("bx").alias(f"t{k}") for k in range(9)])
+    done = dislocations.finished_lines(rows, one, none, 1)
+    return done.select("line", F.size("points").cast("long").alias("n_points"), F.round(F.get(F.get("points", F.lit(0)), F.lit(0)), 6).alias("first_x"), "bx")
+
+
 @query("a12_junction_arms", "WITH e AS (SELECT l_partkey AS junction, count(*) AS arms FROM lineitem GROUP BY 1 HAVING count(*) > 1) SELECT arms, count(*) AS junctions FROM e GROUP BY arms")
 def a12(spark, sf_dir):
     return dislocations.junction_arms(table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("junction"), F.col("l_orderkey").alias("segment")))
