@@ -234,11 +234,17 @@ def s13(spark, sf_dir):
     return paths.groupBy(F.regexp_replace("path", "/[^/]*$", "").alias("path")).agg(F.count("*").alias("files"))
 
 
-@query("k7_cell_document")
+@query("k7_cell_document", f"WITH atoms AS ({ATOMS_SQL}), n AS (SELECT frame, 1e1 + frame % 7 AS size FROM atoms GROUP BY frame) SELECT frame, round(pow(size, 3), 6) AS volume, round(size, 6) AS len_a, 9e1 AS alpha, round(1 / size, 6) AS reciprocal FROM n")
 def k7(spark, sf_dir):
-    c = C.with_geometry(cube_cells(atoms(spark, sf_dir)))
+    """A cube for each frame as a document, and what reading it back gives."""
+    frames = atoms(spark, sf_dir).select("frame").distinct()
+    edge = lambda i: F.array(*[F.when(F.lit(k == i), 10.0 + F.col("frame") % 7).otherwise(0.0) for k in range(3)])
+    cells = frames.select("frame", edge(0).alias("a"), edge(1).alias("b"), edge(2).alias("c"), F.array(*[F.lit(0.0)] * 3).alias("origin"), F.array(*[F.lit(True)] * 3).alias("pbc"))
     fields = {**C.lengths_and_angles(), **C.reciprocal()}
-    return c.select("frame", F.to_json(F.struct("volume", *[v.alias(k) for k, v in fields.items()])).alias("document"))
+    written = C.with_geometry(cells).select("frame", F.to_json(F.struct("volume", *[v.alias(k) for k, v in fields.items()])).alias("document"))
+    read = F.from_json("document", "volume double, len_a double, alpha double, reciprocal_a array<double>")
+    told = {"volume": read["volume"], "len_a": read["len_a"], "alpha": read["alpha"], "reciprocal": F.get(read["reciprocal_a"], F.lit(0))}
+    return written.select("frame", *[F.round(v, 6).alias(k) for k, v in told.items()])
 
 
 @query("r3_recent_history", "SELECT user_id, count(*) AS n FROM events WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 1 DAY GROUP BY 1")

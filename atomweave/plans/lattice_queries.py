@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from atomweave.operators import crystal, grains, lattices, structure, tessellation
+from atomweave.functions.scalars import STRUCTURE_COLORS
+from atomweave.operators import crystal, grains, lattices, particles, structure, tessellation
 from atomweave.operators.neighbors import cutoff_neighbors, nearest_neighbors
 from atomweave.plans.particle_queries import _PAIRS, _frames
 from atomweave.session import cut, export_by
@@ -293,3 +294,13 @@ def x15(spark, sf_dir):
     told = strained.join(typed.where("structure_type > 0").select("frame", "id"), ["frame", "id"], "left_semi")
     off = F.abs(F.get("strain_tensor", F.lit(2)) - (1 - 1 / 1.02**2) / 2)
     return told.select("frame", "id", ((off < 0.02) & (F.abs(F.get("strain_tensor", F.lit(0))) < 0.02)).alias("stretched"))
+
+
+_PALETTE = "[" + ", ".join("'" + ",".join(map(str, STRUCTURE_COLORS[n])) + "'" for n in ("OTHER", "FCC", "HCP", "BCC")) + "]"
+
+
+@query("x33_structure_colors", f"WITH {SITES} SELECT frame, id, {_NAME} AS structure, {_PALETTE}[kind + 1] AS color FROM t")
+def x33(spark, sf_dir):
+    a, _, near = _near(spark, sf_dir)
+    told = particles.structure_colors(structure.local_structure(a, near))
+    return told.select("frame", "id", "structure", F.array_join(F.col("color").cast("array<string>"), ",").alias("color"))

@@ -363,13 +363,6 @@ def x32(spark, sf_dir):
     return atoms(spark, sf_dir).select("id", F.round(F.get(color, F.lit(0)), 6).alias("red"))
 
 
-@query("x33_structure_colors")
-def x33(spark, sf_dir):
-    names = F.array(*[F.lit(n) for n in S.STRUCTURE_COLORS])
-    a = atoms(spark, sf_dir).withColumn("structure", F.get(names, (F.col("id") % len(S.STRUCTURE_COLORS)).cast("int")))
-    return particles.structure_colors(a).select("id", "structure", "color")
-
-
 def _segments(spark, sf_dir):
     """Orders as lines: line items of an order, by number, as its points."""
     p = atoms(spark, sf_dir).select((F.col("id") - F.col("type")).alias("line_id"), F.col("type").alias("pos"), "x", "y", "z")
@@ -389,9 +382,19 @@ def w7(spark, sf_dir):
     return dislocations.arc_lengths(_segments(spark, sf_dir), ["line_id"]).select("line_id", "pos", F.round("arc", 6).alias("arc"))
 
 
-@query("w7_point_on_line")
+_HALF = ", ".join(f"round({c} + coalesce((goal - arc) / nullif(narc - arc, 0), 0) * (coalesce(n{c}, {c}) - {c}), 4) AS {c}" for c in "xyz")
+
+
+@query(
+    "w7_point_on_line",
+    f"""WITH {_POINTS}, a AS (SELECT *, sum(coalesce(step, 0)) OVER (PARTITION BY line_id ORDER BY pos) AS arc FROM st),
+g AS (SELECT *, max(arc) OVER (PARTITION BY line_id) * 5e-1 AS goal, lead(arc) OVER w AS narc, lead(x) OVER w AS nx, lead(y) OVER w AS ny, lead(z) OVER w AS nz FROM a WINDOW w AS (PARTITION BY line_id ORDER BY pos)),
+h AS (SELECT *, row_number() OVER (PARTITION BY line_id ORDER BY pos) AS k FROM g WHERE arc <= goal AND coalesce(narc, arc) >= goal)
+SELECT line_id, {_HALF} FROM h WHERE k = 1""",
+)
 def w7b(spark, sf_dir):
-    return dislocations.point_on_line(dislocations.arc_lengths(_segments(spark, sf_dir), ["line_id"]), ["line_id"], 0.5)
+    middle = dislocations.point_on_line(dislocations.arc_lengths(_segments(spark, sf_dir), ["line_id"]), ["line_id"], 0.5)
+    return middle.select("line_id", *[F.round(c, 4).alias(c) for c in "xyz"])
 
 
 @query("a15_segment_summary", f"WITH {_POINTS}, s AS (SELECT line_id, count(*) AS n_points, coalesce(sum(step), 0) AS length FROM st GROUP BY line_id) SELECT count(*) AS n_segments, round(sum(length), 3) AS total_length, round(avg(length), 6) AS mean_length, round(max(length), 6) AS max_length, CAST(sum(n_points) AS BIGINT) AS total_points, count(*) FILTER (WHERE n_points = 1) AS n_dangling, round(sum(length) / 8e3, 6) AS density FROM s")
