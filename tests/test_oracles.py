@@ -44,7 +44,7 @@ def test_matches_sql(spark, duck, name):
     assert rows(got) == rows(want)
 
 
-@pytest.mark.parametrize("name", ["x5_matching_centrosymmetry", "a6_csp_histogram", "a9_structure_statistics", *"j1_cutoff_neighbors a1_coordination a2_rdf j2_knn x4_centrosymmetry x1_clusters a3_cluster_sizes x2_displacements a7_displacement_summary g8_workflow_coordination".split()])
+@pytest.mark.parametrize("name", ["x5_matching_centrosymmetry", "a6_csp_histogram", *"j1_cutoff_neighbors a1_coordination a2_rdf j2_knn x4_centrosymmetry x1_clusters a3_cluster_sizes x2_displacements a7_displacement_summary g8_workflow_coordination".split()])
 def test_every_frame_is_read(spark, duck, name):
     frames = duck.execute("SELECT count(DISTINCT f) FROM (SELECT min(year(l_shipdate)) AS f FROM lineitem GROUP BY l_orderkey, l_linenumber)").fetchone()[0]
     assert registry.QUERIES[name](spark, SF).select("frame").distinct().count() == frames > 1
