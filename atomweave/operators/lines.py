@@ -1,4 +1,4 @@
-"""Dislocation lines and triangle meshes as tables: statistics, arc length, smoothing, clipping, topology."""
+"""Dislocation lines and triangle meshes as tables: statistics, arc length, smoothing, clipping, documents, topology."""
 
 from __future__ import annotations
 
@@ -6,10 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from atomweave.functions.scalars import dislocation_type
+from atomweave.functions.cell import absolute, reduced, with_geometry
+from atomweave.functions.scalars import dislocation_type, vector_text
+
+#: Fixed value: points closer than this along every axis are the same.
+SAME_POINT = 1e-4
 
 
 def polyline_length(points: DataFrame, keys: list[str]) -> DataFrame:
@@ -78,80 +82,130 @@ def mesh_topology(facets: DataFrame) -> DataFrame:
     return out.select("*", euler.alias("euler"), ((2 - euler) / 2.0).alias("genus"), F.try_divide(2.0 * F.col("edges"), F.col("vertices")).alias("mean_degree"))
 
 
+def coarsen(p: np.ndarray, core: np.ndarray, interval: float, closed: bool) -> tuple[np.ndarray, np.ndarray]:
+    """A line's points and core sizes averaged over stretches: one ends once its points squared reach ``interval`` times its cores.
+
+    Open lines keep their ends. Closed ones come with their first point once more at the end and return so; where the end lies elsewhere
+    (a line through the periodic box) and the cores outweigh its length, two points are left, one period apart. Lines of under four
+    points, and results of under two (closed: four), stay as they were.
+    """
+    n = len(p)
+    if interval <= 0 or n < 4:
+        return p, core
+    if closed and np.abs(p[0] - p[-1]).max() > SAME_POINT and core[:-1].sum() * interval > (n - 1) ** 2:
+        middle = (p[:-1] - p[0]).mean(0)
+        return np.array([p[0] + middle, p[-1] + middle]), np.repeat(core[:-1].sum() // (n - 1), 2)
+    inner = slice(None) if closed else slice(1, -1)
+    starts, size, total = [], 0, 0
+    for at, c in enumerate(core[inner].tolist()):
+        if not size or size * size >= interval * total:
+            starts.append(at)
+            size = total = 0
+        size, total = size + 1, total + c
+    count = np.diff([*starts, len(core[inner])])
+    points = np.add.reduceat(p[inner], starts) / count[:, None]
+    cores = np.add.reduceat(core[inner], starts) // count
+    ends = ([], [0]) if closed else ([0], [-1])
+    points, cores = (np.concatenate([x[ends[0]], y, (y if closed else x)[ends[1]]]) for x, y in ((p, points), (core, cores)))
+    return (points, cores) if len(points) >= (4 if closed else 2) else (p, core)
+
+
 def _smooth(p: np.ndarray, level: int, closed: bool) -> np.ndarray:
-    """Taubin smoothing with weights 0.5 and -0.53; open ends stay."""
+    """Taubin smoothing with weights 0.5 and -0.53; open ends stay, closed lines hold their first point at the end too."""
     for _ in range(level):
         for weight in (0.5, -0.53):
-            near = (np.roll(p, 1, 0) + np.roll(p, -1, 0)) / 2
-            q = p + weight * (near - p)
-            if not closed:
-                q[0], q[-1] = p[0], p[-1]
-            p = q
+            off = np.zeros_like(p)
+            off[1:-1] = (p[:-2] + p[2:]) / 2 - p[1:-1]
+            if closed:
+                off[0], off[-1] = ((p[-2] + p[1]) / 2 - p[k] for k in (0, -1))
+            p = p + weight * off
     return p
 
 
 def smooth_lines(lines: DataFrame, level: int = 1, interval: float = 2.5) -> DataFrame:
-    """``lines(line_id, closed, points)``: points are thinned to about one per interval, then smoothed; loops of up to
-    four points are left as they are."""
+    """``lines(line_id, closed, points, cores)`` averaged over stretches that their core sizes and ``interval`` set (``coarsen``), then smoothed.
+
+    ``cores`` holds a whole number per point; lines without any stay as they are, and so do, when it comes to smoothing, loops of
+    up to four points. A null ``closed`` counts as open.
+    """
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            done = []
-            for closed, points in zip(b["closed"], b["points"]):
-                p = np.array([list(x) for x in points], float).reshape(-1, 3)
-                if len(p) > 2 and not (closed and len(p) <= 4):
-                    step = np.concatenate([[0.0], np.cumsum(np.sqrt((np.diff(p, axis=0) ** 2).sum(1)))])
-                    group = np.floor(step / interval).astype(int)
-                    keep = [0, *[int(i) for i in np.flatnonzero(np.diff(group)) + 1 if 0 < i < len(p) - 1], len(p) - 1]
-                    p = _smooth(p[sorted(set(keep))], level, bool(closed))
+            done, left = [], []
+            for closed, points, cores in zip(b["closed"].fillna(False), b["points"], b["cores"]):
+                p = np.array([list(x) for x in points], float).reshape(-1, 3) if points is not None else np.zeros((0, 3))
+                core = np.array(cores if cores is not None else [], np.int64)
+                if len(core) and len(p) > 1:
+                    p, core = coarsen(p, core, interval, bool(closed))
+                    if len(p) > 2 and not (closed and len(p) <= 4):
+                        p = _smooth(p, level, bool(closed))
                 done.append(p.tolist())
-            yield pd.DataFrame({"line_id": b["line_id"], "closed": b["closed"], "points": done})
-
-    return lines.select("line_id", "closed", "points").mapInPandas(work, "line_id long, closed boolean, points array<array<double>>")
-
-
-def clip_chunks(p: np.ndarray, box: np.ndarray, pbc: np.ndarray) -> list[np.ndarray]:
-    """A polyline in an upright box cut where it crosses periodic faces; each part is moved into the box."""
-    s = p / box
-    parts, now, image = [], [], np.floor(s[0]) * pbc
-    now.append(s[0] - image)
-    for a, b in zip(s[:-1], s[1:]):
-        at, t0 = a, 0.0
-        for _ in range(10):
-            best, axis, side = 1.0, -1, 0
-            for k in np.flatnonzero(pbc):
-                u, v = at[k] - image[k], b[k] - image[k]
-                for face, step in ((0.0, -1), (1.0, 1)):
-                    if (v - face) * step > 1e-12 and (face - u) * step >= -1e-12 and abs(v - u) > 1e-15:
-                        t = (face - u) / (v - u)
-                        if 0 <= t < best:
-                            best, axis, side = t, k, step
-            if axis < 0:
-                break
-            cross = at + best * (b - at)
-            now.append(cross - image)
-            parts.append(np.array(now) * box)
-            image = image.copy()
-            image[axis] += side
-            now, at, t0 = [cross - image], cross, t0
-        now.append(b - image)
-    return [*parts, np.array(now) * box]
-
-
-def clip_lines(lines: DataFrame, box: tuple[float, float, float], pbc: tuple[bool, bool, bool] = (True, True, True)) -> DataFrame:
-    """``lines(line_id, points)`` to ``(line_id, chunk, points)``."""
-    edge, periodic = np.array(box), np.array(pbc, float)
+                left.append(core.tolist())
+            yield pd.DataFrame({"line_id": b["line_id"], "closed": b["closed"], "points": done, "cores": left})
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for name, points in zip(b["line_id"], b["points"]):
-                p = np.array([list(x) for x in points], float).reshape(-1, 3)
-                if len(p) > 1:
-                    rows += [(name, i, c.tolist()) for i, c in enumerate(clip_chunks(p, edge, periodic))]
-            yield pd.DataFrame(rows, columns=["line_id", "chunk", "points"])
-
-    return lines.select("line_id", "points").mapInPandas(work, "line_id long, chunk int, points array<array<double>>")
+    return lines.select("line_id", "closed", "points", "cores").mapInPandas(work, "line_id long, closed boolean, points array<array<double>>, cores array<long>")
+
+
+def clip_lines(points: DataFrame, cells: DataFrame, keys: list[str]) -> DataFrame:
+    """Lines of ``points(frame, keys, pos, x, y, z)`` cut at the cell's periodic faces: ``(frame, keys, chunk, place, x, y, z)``.
+
+    ``cells`` may be tilted. Steps are split where they cross a face, any number of times; each part lies in one image of the cell
+    and is moved from there into the cell, and a chunk is a run of parts of one image. Chunks are numbered from 0 along a
+    line, their points from 0 along a chunk; a crossing ends one chunk and starts the next. Steps through an edge of the cell
+    cross it once. Lines of one point give nothing, nor do points without coordinates or in frames without a cell.
+    """
+    whole = points.where("x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL")
+    placed = whole.join(with_geometry(cells).select("frame", "origin", "inv", "pbc", "a", "b", "c"), "frame")
+    s = reduced([F.col(c) for c in "xyz"])
+    line = ["frame", *keys]
+    along = Window.partitionBy(*line).orderBy("pos")
+    steps = placed.select(*line, "pos", "pbc", F.array(*s).alias("p")).withColumn("q", F.lead("p").over(along)).where("q IS NOT NULL")
+
+    def crossings(i: int) -> Column:
+        u, v = F.get("p", F.lit(i)), F.get("q", F.lit(i))
+        low, high = F.least(u, v), F.greatest(u, v)
+        first, last = F.floor(low) + 1, F.ceil(high) - 1
+        faces = F.when(F.get("pbc", F.lit(i)) & (first <= last), F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
+        return F.transform(faces, lambda k: (k - u) / (v - u))
+
+    cuts = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0), F.lit(1.0)), *[crossings(i) for i in range(3)])))
+    parts = steps.withColumn("t", cuts).select(*line, "pos", "pbc", "p", "q", F.explode(F.arrays_zip(F.slice("t", 1, F.size("t") - 1).alias("t0"), F.slice("t", 2, F.size("t") - 1).alias("t1"))).alias("t"))
+    at = lambda t, i: F.get("p", F.lit(i)) + t * (F.get("q", F.lit(i)) - F.get("p", F.lit(i)))
+    middle = (F.col("t.t0") + F.col("t.t1")) / 2.0
+    image = F.array(*[F.when(F.get("pbc", F.lit(i)), F.floor(at(middle, i))).otherwise(0) for i in range(3)])
+    order = Window.partitionBy(*line).orderBy("pos", "t0")
+    parts = parts.select(*line, "pos", F.col("t.t0").alias("t0"), *[F.array(*[at(F.col(t), i) for i in range(3)]).alias(n) for n, t in (("u", "t.t0"), ("v", "t.t1"))], F.when(F.col("p") != F.col("q"), image).alias("image"), image.alias("here"))
+    parts = parts.withColumn("image", F.coalesce(F.last("image", ignorenulls=True).over(order), "here"))
+    parts = parts.withColumn("new", F.coalesce(F.lag("image").over(order) != F.col("image"), F.lit(True)))
+    parts = parts.withColumn("chunk", F.sum(F.col("new").cast("int")).over(order) - 1)
+    ends = F.when(F.col("new"), F.array(F.col("u"), F.col("v"))).otherwise(F.array(F.col("v")))
+    rows = parts.select(*line, "chunk", "pos", "t0", "image", F.posexplode(ends).alias("k", "s"))
+    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy(*line, "chunk").orderBy("pos", "t0", "k")) - 1)
+    back = rows.join(cells.select("frame", "a", "b", "c", "origin"), "frame")
+    xyz = absolute([F.get("s", F.lit(i)) - F.get("image", F.lit(i)) for i in range(3)])
+    return back.select(*line, F.col("chunk").cast("int").alias("chunk"), "place", *[v.alias(c) for v, c in zip(xyz, "xyz")])
+
+
+def line_documents(points: DataFrame, cells: DataFrame, lines: DataFrame) -> DataFrame:
+    """Documents of clipped lines, a row per chunk: ``(frame, line_id, chunk, points, length, num_points, burgers)``.
+
+    ``points(frame, line_id, pos, x, y, z)``, ``lines(frame, line_id, bx, by, bz)``; ``burgers`` is a structure of the vector, its
+    magnitude and its text. A frame's totals are ``document_summary`` of the chunks.
+    """
+    chunks = clip_lines(points, cells, ["line_id"])
+    step = Window.partitionBy("frame", "line_id", "chunk").orderBy("place")
+    d = [F.col(c) - F.lag(c).over(step) for c in "xyz"]
+    stepped = chunks.withColumn("step", F.coalesce(F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2]), F.lit(0.0)))
+    ordered = F.sort_array(F.collect_list(F.struct("place", F.array("x", "y", "z").alias("p"))))
+    told = stepped.groupBy("frame", "line_id", "chunk").agg(F.transform(ordered, lambda r: r["p"]).alias("points"), F.sum("step").alias("length"), F.count("*").alias("num_points"))
+    b = [F.col(f"b{c}") for c in "xyz"]
+    burgers = F.struct(F.array(*b).alias("vector"), F.sqrt(b[0] * b[0] + b[1] * b[1] + b[2] * b[2]).alias("magnitude"), vector_text(F.array(*b)).alias("fractional"))
+    return told.join(lines, ["frame", "line_id"]).select("frame", "line_id", "chunk", "points", "length", "num_points", burgers.alias("burgers"))
+
+
+def document_summary(chunks: DataFrame, by: tuple[str, ...] = ("frame",)) -> DataFrame:
+    """Count, points and mean, longest, shortest and total length of ``line_documents``."""
+    return chunks.groupBy(*by).agg(F.count("*").alias("count"), F.sum("num_points").alias("total_points"), F.avg("length").alias("average_segment_length"), F.max("length").alias("max_segment_length"), F.min("length").alias("min_segment_length"), F.sum("length").alias("total_length"))
 
 
 def tube_mesh(points: DataFrame, keys: list[str], width: float, sides: int = 8) -> tuple[DataFrame, DataFrame]:

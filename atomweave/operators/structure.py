@@ -101,37 +101,132 @@ def centrosymmetry(atoms: DataFrame, nearest: DataFrame, k: int = 12) -> DataFra
     return atoms.select("frame", "id").join(near, ["frame", "id"], "left").select("frame", "id", F.coalesce("csp", F.lit(0.0)).alias("csp"))
 
 
-def _best_matching(v: np.ndarray) -> float:
-    """Smallest total |ri + rj|**2 over perfect matchings of up to 16 vectors, by subsets."""
-    k = len(v)
-    cost = ((v[:, None] + v[None]) ** 2).sum(-1)
-    best = {0: 0.0}
-    for _ in range(k // 2):
-        new: dict[int, float] = {}
-        for used, total in best.items():
-            i = next(b for b in range(k) if not used >> b & 1)
-            for j in range(i + 1, k):
-                if not used >> j & 1:
-                    key = used | 1 << i | 1 << j
-                    value = total + cost[i, j]
-                    if value < new.get(key, math.inf):
-                        new[key] = value
-        best = new
-    return best[(1 << k) - 1]
-
-
-def matching_centrosymmetry(nearest: DataFrame, k: int = 12) -> DataFrame:
-    """Centrosymmetry by the cheapest perfect matching of the k nearest, k up to 16."""
-    if k % 2 or not 2 <= k <= 16:
-        raise ValueError("k must be even, from 2 to 16")
+def assignments(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Cheapest assignments of rows to columns of a batch of square matrices ``(m, n, n)``, and their totals; forbidden places are infinite.
+
+    Shortest augmenting paths for the whole batch at once: a row at a time enters every matrix, and n steps of the search serve all.
+    A matrix without an assignment has an infinite total.
+    """
+    m, n = cost.shape[:2]
+    every = np.arange(m)
+    u, v = np.zeros((m, n + 1)), np.zeros((m, n + 1))
+    owner = np.full((m, n + 1), -1)  # the row of each column; column n stands for the row that enters
+    sound = np.ones(m, bool)
+    for row in range(n):
+        owner[:, n] = row
+        dist, back, seen = np.full((m, n), np.inf), np.full((m, n), n), np.zeros((m, n + 1), bool)
+        at, live = np.full(m, n), sound.copy()
+        while live.any():
+            w = every[live]
+            col = at[w]
+            seen[w, col] = True
+            r = owner[w, col]
+            step = cost[w, r] - u[w, r, None] - v[w, :n]
+            closer = (step < dist[w]) & ~seen[w, :n]
+            dist[w] = np.where(closer, step, dist[w])
+            back[w] = np.where(closer, col[:, None], back[w])
+            open_ = np.where(seen[w, :n], np.inf, dist[w])
+            nxt = open_.argmin(1)
+            delta = open_[np.arange(len(w)), nxt]
+            lost = ~np.isfinite(delta)
+            sound[w[lost]] = live[w[lost]] = False
+            w, nxt, delta = w[~lost], nxt[~lost], delta[~lost]
+            used = seen[w]
+            rows, cols = np.nonzero(used)
+            u[w[rows], owner[w[rows], cols]] += delta[rows]
+            v[w] -= used * delta[:, None]
+            dist[w] -= np.where(used[:, :n], 0, delta[:, None])
+            at[w] = nxt
+            live[w] = owner[w, nxt] >= 0
+        w = every[sound]
+        while len(w):  # turn the paths over
+            col = at[w]
+            prior = back[w, col]
+            owner[w, col] = owner[w, prior]
+            at[w] = prior
+            w = w[prior != n]
+    to = np.zeros((m, n), np.int64)
+    rows, cols = np.nonzero(owner[:, :n] >= 0)
+    to[rows, owner[rows, cols]] = cols
+    total = np.take_along_axis(cost, to[:, :, None], 2)[:, :, 0].sum(1)
+    return to, np.where(sound, total, np.inf)
+
+
+def _paired(cost: np.ndarray, to: np.ndarray) -> tuple[float, list[int]]:
+    """A perfect matching near an assignment, by its total, and the first odd cycle of the assignment (empty: the total is the least)."""
+    n, left, total, loose, odd = len(to), np.ones(len(to), bool), 0.0, [], []
+    for first in range(n):
+        if left[first]:
+            ring = [first]
+            while to[ring[-1]] != first:
+                ring.append(int(to[ring[-1]]))
+            left[ring] = False
+            if len(ring) % 2:
+                odd = odd or ring
+                loose += ring
+            else:
+                around = cost[ring, np.roll(ring, -1)]
+                total += min(around[::2].sum(), around[1::2].sum())
+    while loose:
+        i = loose.pop()
+        j = min(loose, key=lambda k: cost[i, k])
+        loose.remove(j)
+        total += cost[i, j]
+    return total, odd
+
+
+#: Subproblems of the matching that are solved at once; what remains waits on a stack.
+TOGETHER = 1024
+
+
+def best_matchings(v: np.ndarray) -> np.ndarray:
+    """Smallest total |ri + rj|**2 over perfect matchings of each atom's vectors ``(m, k, 3)``, for any even k.
+
+    Half the cheapest assignment bounds a matching from below and is one unless it has odd cycles. An odd cycle then gives two
+    branches, with one of its links demanded or forbidden; branches that can't beat the best matching known end there. Branches of
+    all atoms are solved together, those opened last first, so few wait.
+    """
+    m, k = v.shape[:2]
+    full = ((v[:, :, None] + v[:, None]) ** 2).sum(-1)
+    full[:, range(k), range(k)] = np.inf
+    best = np.full(m, np.inf)
+    stack = [(i, full[i]) for i in range(m)]
+    while stack:
+        now, stack = stack[-TOGETHER:], stack[:-TOGETHER]
+        to, total = assignments(np.stack([c for _, c in now]))
+        for (i, c), t, whole in zip(now, to, total):
+            if not whole / 2 < best[i] - 1e-12:
+                continue
+            found, odd = _paired(c, t)
+            best[i] = min(best[i], found)
+            if odd and whole / 2 < best[i] - 1e-12:
+                p, q = max(zip(odd, np.roll(odd, -1)), key=lambda e: c[e])
+                without, only = c.copy(), c.copy()
+                without[[p, q], [q, p]] = np.inf
+                for a, b in ((p, q), (q, p)):
+                    only[a, np.arange(k) != b] = np.inf
+                    only[np.arange(k) != b, a] = np.inf
+                stack += [(i, only), (i, without)]
+    return best
+
+
+def matching_centrosymmetry(atoms: DataFrame, nearest: DataFrame, k: int = 12) -> DataFrame:
+    """``(frame, id, csp)``: centrosymmetry by the cheapest perfect matching of the k nearest, k even and up to 32; 0 with fewer than k."""
+    if k % 2 or not 2 <= k <= 32:
+        raise ValueError("k must be even, from 2 to 32")
 
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            sums = [_best_matching(np.array([list(x) for x in v])) if len(v) == k else 0.0 for v in b["v"]]
+            sums, full = np.zeros(len(b)), np.flatnonzero(b["v"].map(len).to_numpy() == 3 * k)
+            for at in np.array_split(full, max(1, len(full) // 512)):
+                if len(at):
+                    sums[at] = best_matchings(np.stack(b["v"].iloc[at].to_list()).astype(float).reshape(-1, k, 3))
             yield pd.DataFrame({"frame": b["frame"], "id": b["id"], "csp": sums})
 
-    near = nearest.where(F.col("rank") <= k).groupBy("frame", F.col("i").alias("id")).agg(F.collect_list(F.array("dx", "dy", "dz")).alias("v"))
-    return near.mapInPandas(match, f"frame {near.schema['frame'].dataType.simpleString()}, id long, csp double")
+    near = nearest.where(F.col("rank") <= k).groupBy("frame", F.col("i").alias("id")).agg(F.sort_array(F.collect_list(F.struct("rank", F.array("dx", "dy", "dz").alias("d")))).alias("w"))
+    near = near.select("frame", "id", F.flatten(F.transform("w", lambda x: x["d"])).alias("v"))
+    found = near.mapInPandas(match, f"frame {near.schema['frame'].dataType.simpleString()}, id long, csp double")
+    return atoms.select("frame", "id").join(found, ["frame", "id"], "left").select("frame", "id", F.coalesce("csp", F.lit(0.0)).alias("csp"))
 
 
 def symmetry_histogram(csp: DataFrame, bins: int = 100, by: Sequence[str] = ()) -> DataFrame:

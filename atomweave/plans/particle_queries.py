@@ -100,9 +100,16 @@ def x4(spark, sf_dir, frames=_frames, by=("frame",)):
     return structure.centrosymmetry(a, nearest_neighbors(a, c, _CSP_K), _CSP_K).select(*by, "id", F.round("csp", 6).alias("csp"))
 
 
-@query("x5_matching_centrosymmetry")
+@query(
+    "x5_matching_centrosymmetry",
+    f"""WITH {_PAIRS}, k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY round(d2, 9), j) AS rank FROM near WHERE d2 > 0) WHERE rank <= 6),
+s AS (SELECT p.i, p.rank AS p, q.rank AS q, (p.dx + q.dx) * (p.dx + q.dx) + (p.dy + q.dy) * (p.dy + q.dy) + (p.dz + q.dz) * (p.dz + q.dz) AS v FROM k p JOIN k q ON p.i = q.i AND p.rank < q.rank),
+w AS (SELECT a.i, min(a.v + b.v + c.v) AS csp FROM s a JOIN s b ON b.i = a.i AND a.p = 1 AND b.p > 1 AND b.p <> a.q AND b.q <> a.q JOIN s c ON c.i = a.i AND c.p > b.p AND c.p NOT IN (a.q, b.q) AND c.q NOT IN (a.q, b.q) GROUP BY a.i)
+SELECT fr.frame, fr.id, round(coalesce(csp, 0), 5) AS csp FROM fr LEFT JOIN w ON w.i = fr.id""",
+)
 def x5(spark, sf_dir):
-    return structure.matching_centrosymmetry(nearest_neighbors(*_frames(spark, sf_dir), 6), 6)
+    a, c = _frames(spark, sf_dir)
+    return structure.matching_centrosymmetry(a, nearest_neighbors(a, c, 6), 6).select("frame", "id", F.round("csp", 5).alias("csp"))
 
 
 @query("a27_farthest_neighbor", _KNN + " SELECT frame, round(sqrt(max(d2)), 6) AS max_distance FROM ranked WHERE rank <= 4 GROUP BY 1")
@@ -461,16 +468,88 @@ def x30(spark, sf_dir):
     return dislocations.burgers_families(b).groupBy("family").agg(F.count("*").alias("n"))
 
 
-@query("x28_line_smoothing")
+_NEAR = lambda c: f"""{c} + w * CASE WHEN k > 0 AND k < n - 1 THEN (lag({c}) OVER o + lead({c}) OVER o) / 2 - {c}
+  WHEN closed THEN (max(CASE WHEN k = 1 THEN {c} END) OVER l + max(CASE WHEN k = n - 2 THEN {c} END) OVER l) / 2 - {c} ELSE 0 END AS {c}"""
+_PASS = lambda t, w: f"SELECT line_id, k, n, closed, core, {', '.join(map(_NEAR, 'xyz'))} FROM (SELECT *, CASE WHEN n > 2 AND NOT (closed AND n <= 4) THEN {w} ELSE 0 END AS w FROM {t}) WINDOW o AS (PARTITION BY line_id ORDER BY k), l AS (PARTITION BY line_id)"
+
+
+@query(
+    "x28_line_smoothing",
+    f"""WITH RECURSIVE atoms AS ({ATOMS_SQL}), b AS (SELECT id - type AS line_id, row_number() OVER w - 1 AS k, x, y, z, type AS core, count(*) OVER (PARTITION BY id - type) AS n FROM atoms WINDOW w AS (PARTITION BY id - type ORDER BY type)),
+c AS (SELECT *, n >= 3 AND line_id // 8 % 2 = 0 AS closed FROM b), p AS (SELECT * FROM c UNION ALL SELECT line_id, n, x, y, z, core, n, closed FROM c WHERE k = 0 AND closed),
+m AS (SELECT * EXCLUDE (n), count(*) OVER (PARTITION BY line_id) AS n FROM p),
+i AS (SELECT *, row_number() OVER (PARTITION BY line_id ORDER BY k) AS r FROM m WHERE n >= 4 AND (closed OR (k > 0 AND k < n - 1))),
+g AS (SELECT line_id, r, 1 AS stretch, 1 AS size, core AS total FROM i WHERE r = 1 UNION ALL
+  SELECT i.line_id, i.r, CASE WHEN size * size >= 25e-1 * total THEN stretch + 1 ELSE stretch END, CASE WHEN size * size >= 25e-1 * total THEN 1 ELSE size + 1 END, CASE WHEN size * size >= 25e-1 * total THEN core ELSE total + core END FROM g JOIN i ON i.line_id = g.line_id AND i.r = g.r + 1),
+a AS (SELECT line_id, stretch, any_value(closed) AS closed, avg(x) AS x, avg(y) AS y, avg(z) AS z, sum(core) // count(*) AS core FROM i JOIN g USING (line_id, r) GROUP BY line_id, stretch),
+e AS (SELECT line_id, stretch AS k, x, y, z, core, closed FROM a UNION ALL SELECT line_id, 99, x, y, z, core, closed FROM a WHERE closed AND stretch = 1 UNION ALL
+  SELECT line_id, CASE WHEN k = 0 THEN 0 ELSE 99 END, x, y, z, core, closed FROM m WHERE n >= 4 AND NOT closed AND (k = 0 OR k = n - 1)),
+f AS (SELECT line_id, row_number() OVER (PARTITION BY line_id ORDER BY k) - 1 AS k, count(*) OVER (PARTITION BY line_id) AS n, closed, x, y, z, core FROM e),
+s0 AS (SELECT line_id, k, n, closed, x, y, z, core FROM f WHERE n >= CASE WHEN closed THEN 4 ELSE 2 END UNION ALL SELECT line_id, k, n, closed, x, y, z, core FROM m WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.line_id = m.line_id AND f.n >= CASE WHEN f.closed THEN 4 ELSE 2 END)),
+s1 AS ({_PASS("s0", "5e-1")}), s2 AS ({_PASS("s1", "-53e-2")})
+SELECT line_id, k AS place, closed, CAST(core AS BIGINT) AS core, round(x, 5) AS x, round(y, 5) AS y, round(z, 5) AS z FROM s2""",
+)
 def x28(spark, sf_dir):
-    p = _segments(spark, sf_dir).groupBy("line_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "x", "y", "z"))), lambda q: F.array(q["x"], q["y"], q["z"])).alias("points"))
-    return dislocations.smooth_lines(p.withColumn("closed", F.lit(False)))
+    """Orders as lines; those of an even key and at least three items are closed. Core sizes are the line numbers."""
+    ordered = F.sort_array(F.collect_list(F.struct("pos", "x", "y", "z")))
+    p = _segments(spark, sf_dir).groupBy("line_id").agg(ordered.alias("p"))
+    p = p.withColumn("closed", (F.size("p") >= 3) & (F.floor(F.col("line_id") / 8) % 2 == 0))
+    p = p.withColumn("p", F.when(F.col("closed"), F.concat("p", F.slice("p", 1, 1))).otherwise(F.col("p")))
+    p = p.select("line_id", "closed", F.transform("p", lambda q: F.array(q["x"], q["y"], q["z"])).alias("points"), F.transform("p", lambda q: q["pos"].cast("long")).alias("cores"))
+    done = dislocations.smooth_lines(p).select("line_id", "closed", F.posexplode(F.arrays_zip("points", "cores")).alias("place", "v"))
+    return done.select("line_id", F.col("place").cast("long").alias("place"), "closed", F.col("v.cores").alias("core"), *[F.round(F.get("v.points", F.lit(i)), 5).alias(c) for i, c in enumerate("xyz")])
+
+
+_CUT = ", ".join(f"{u} + t0 * ({v} - {u}) AS a{i}, {u} + t1 * ({v} - {u}) AS b{i}, " + (f"floor({u} + (t0 + t1) / 2 * ({v} - {u}))" if i < 2 else "0") + f" AS m{i}" for i, (u, v) in enumerate((f"u{i}", f"v{i}") for i in range(3)))
+_FACES = " || ".join(f"[(k - u{i}) / (v{i} - u{i}) for k in generate_series(CAST(floor(least(u{i}, v{i})) AS BIGINT) + 1, CAST(ceil(greatest(u{i}, v{i})) AS BIGINT) - 1)]" for i in range(2))
+#: Orders as lines of a frame in a cell tilted along x and open along z, cut into chunks.
+_CHUNKS = f"""atoms AS ({ATOMS_SQL}), s AS (SELECT frame, id - type AS line_id, type AS pos, (x * 2 - y * 4e-1) / 2e1 AS u0, y * 2 / 2e1 AS u1, z * 2 / 2e1 AS u2 FROM atoms),
+st AS (SELECT * FROM (SELECT *, lead(u0) OVER w AS v0, lead(u1) OVER w AS v1, lead(u2) OVER w AS v2 FROM s WINDOW w AS (PARTITION BY frame, line_id ORDER BY pos)) WHERE v0 IS NOT NULL),
+cr AS (SELECT *, unnest(list_distinct([0e0, 1e0] || {_FACES})) AS t0 FROM st), pt AS (SELECT * FROM (SELECT *, lead(t0) OVER (PARTITION BY frame, line_id, pos ORDER BY t0) AS t1 FROM cr) WHERE t1 IS NOT NULL),
+im AS (SELECT frame, line_id, pos, t0, {_CUT} FROM pt), nw AS (SELECT *, coalesce(lag([m0, m1]) OVER w <> [m0, m1], true) AS fresh FROM im WINDOW w AS (PARTITION BY frame, line_id ORDER BY pos, t0)),
+ck AS (SELECT *, CAST(sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY frame, line_id ORDER BY pos, t0) - 1 AS INT) AS chunk FROM nw),
+ro AS (SELECT frame, line_id, chunk, pos, t0, 0 AS k, a0 - m0 AS s0, a1 - m1 AS s1, a2 AS s2 FROM ck WHERE fresh UNION ALL SELECT frame, line_id, chunk, pos, t0, 1, b0 - m0, b1 - m1, b2 FROM ck),
+clipped AS (SELECT frame, line_id, chunk, row_number() OVER (PARTITION BY frame, line_id, chunk ORDER BY pos, t0, k) - 1 AS place, s0 * 2e1 + s1 * 4 AS x, s1 * 2e1 AS y, s2 * 2e1 AS z FROM ro)"""
+
+
+def _tilted(spark, sf_dir):
+    """Orders as lines of a frame, twice as far out, and their cells."""
+    a = atoms(spark, sf_dir)
+    p = a.select("frame", (F.col("id") - F.col("type")).alias("line_id"), F.col("type").alias("pos"), *[(F.col(c) * 2).alias(c) for c in "xyz"])
+    tilt = F.array(F.lit(4.0), F.lit(BOX), F.lit(0.0))
+    return p, cube_cells(a).withColumn("b", tilt).withColumn("pbc", F.array(F.lit(True), F.lit(True), F.lit(False)))
 
 
-@query("x29_line_clipping")
+@query("x29_line_clipping", f"WITH {_CHUNKS} SELECT frame, line_id, chunk, place, round(x, 5) + 0e0 AS x, round(y, 5) + 0e0 AS y, round(z, 5) + 0e0 AS z FROM clipped")
 def x29(spark, sf_dir):
-    p = _segments(spark, sf_dir).groupBy("line_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "x", "y", "z"))), lambda q: F.array(q["x"] * 2, q["y"] * 2, q["z"])).alias("points"))
-    return dislocations.clip_lines(p, (BOX, BOX, BOX))
+    chunks = dislocations.clip_lines(*_tilted(spark, sf_dir), ["line_id"])
+    return chunks.select("frame", "line_id", "chunk", F.col("place").cast("long").alias("place"), *[(F.round(c, 5) + 0.0).alias(c) for c in "xyz"])
+
+
+_STEPS = "sl AS (SELECT *, sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2) + pow(z - lag(z) OVER w, 2)) AS step FROM clipped WINDOW w AS (PARTITION BY frame, line_id, chunk ORDER BY place)), dc AS (SELECT frame, line_id, chunk, count(*) AS num_points, coalesce(sum(step), 0) AS length FROM sl GROUP BY ALL)"
+_BURGERS = ["(line_id // 8 % 3) * 5e-1", "-5e-1", "(line_id // 8 % 2) * 5e-1"]
+_TEXT = " || ' ' || ".join(f"printf('%.3f', {b})" for b in _BURGERS)
+
+
+def _documents(spark, sf_dir):
+    points, cells = _tilted(spark, sf_dir)
+    order = F.floor(F.col("line_id") / 8)
+    lines = points.select("frame", "line_id").distinct().select("*", ((order % 3) * 0.5).alias("bx"), F.lit(-0.5).alias("by"), ((order % 2) * 0.5).alias("bz"))
+    return dislocations.line_documents(points, cells, lines)
+
+
+@query(
+    "k5_line_documents",
+    f"WITH {_CHUNKS}, {_STEPS} SELECT frame, line_id, chunk, num_points, round(length, 5) AS length, round(sqrt({' + '.join(f'{b} * {b}' for b in _BURGERS)}), 6) AS magnitude, '[' || {_TEXT} || ']' AS fractional FROM dc",
+)
+def k5(spark, sf_dir):
+    return _documents(spark, sf_dir).select("frame", "line_id", "chunk", "num_points", F.round("length", 5).alias("length"), F.round("burgers.magnitude", 6).alias("magnitude"), "burgers.fractional")
+
+
+@query("k5_document_summary", f"WITH {_CHUNKS}, {_STEPS} SELECT frame, count(*) AS count, CAST(sum(num_points) AS BIGINT) AS total_points, round(avg(length), 4) AS average_segment_length, round(max(length), 4) AS max_segment_length, round(min(length), 4) AS min_segment_length, round(sum(length), 3) AS total_length FROM dc GROUP BY frame")
+def k5_summary(spark, sf_dir):
+    told = dislocations.document_summary(_documents(spark, sf_dir))
+    return told.select("frame", "count", "total_points", *[F.round(c, 4).alias(c) for c in ("average_segment_length", "max_segment_length", "min_segment_length")], F.round("total_length", 3).alias("total_length"))
 
 
 @query("k10_point_cloud", "WITH m AS (" + ORACLES["m11_morton"] + f"), atoms AS ({ATOMS_SQL}) SELECT a.frame, id, CAST(a.type AS INT) AS type, row_number() OVER (PARTITION BY a.frame ORDER BY morton, id) AS place FROM m JOIN atoms a USING (id)")

@@ -77,7 +77,7 @@ def test_perfect_lattices(spark, basis, cutoff, n, k, kind):
     assert {r[0] for r in structure.coordination(atoms, pairs).select("coordination").collect()} == {n}
     near = nearest_neighbors(atoms, cells, 15)
     assert structure.centrosymmetry(atoms, near, k).agg(F.max("csp")).first()[0] == pytest.approx(0, abs=1e-9)
-    assert structure.matching_centrosymmetry(near, k).agg(F.max("csp")).first()[0] == pytest.approx(0, abs=1e-9)
+    assert structure.matching_centrosymmetry(atoms, near, k).agg(F.max("csp")).first()[0] == pytest.approx(0, abs=1e-9)
     assert {r[0] for r in structure.local_structure(atoms, near).select("structure").collect()} == {kind}
 
 
@@ -164,9 +164,6 @@ def test_cubic_disorientation(spark):
 
 
 def test_lines(spark):
-    chunks = dislocations.clip_chunks(np.array([[8.0, 5, 5], [12.0, 5, 5], [12.0, 5, 9]]), np.array([10.0, 10, 10]), np.ones(3))
-    assert len(chunks) == 2 and sum(np.sqrt((np.diff(c, axis=0) ** 2).sum(1)).sum() for c in chunks) == pytest.approx(8)
-    assert all((c >= -1e-9).all() and (c <= 10 + 1e-9).all() for c in chunks)
     tetra = spark.createDataFrame([(0, 1, 2), (0, 1, 3), (0, 2, 3), (1, 2, 3)], "v0 int, v1 int, v2 int")
     r = dislocations.mesh_topology(tetra).first()
     assert (r.vertices, r.edges, r.faces, r.euler, r.genus, r.mean_degree) == (4, 6, 4, 2, 0.0, 3.0)
@@ -212,3 +209,26 @@ def test_atoms_without_a_position_have_no_neighbours(spark):
     _, cells = frame(spark, [(0, 0, 0)], np.eye(3))
     assert {r.i for r in nearest_neighbors(atoms, cells, 3).collect()} == {0, 1}
     assert {r.id: r.coordination for r in structure.coordination(atoms, cutoff_neighbors(atoms, cells, 0.3)).collect()} == {0: 1, 1: 1, 2: 0, 3: 0}
+
+
+def test_matching_of_any_size_is_the_cheapest(spark):
+    rng = np.random.default_rng(1)
+    for k in (2, 6, 10):
+        v = rng.normal(size=(12, k, 3))
+
+        def cheapest(left, cost):
+            return min((cost[left[0], j] + cheapest([x for x in left[1:] if x != j], cost) for j in left[1:]), default=0.0)
+
+        want = [cheapest(list(range(k)), ((x[:, None] + x[None]) ** 2).sum(-1)) for x in v]
+        assert np.allclose(structure.best_matchings(v), want)
+    half = rng.normal(size=(5, 16, 3))
+    assert np.allclose(structure.best_matchings(np.concatenate([half, -half[:, ::-1]], 1)), 0)
+    off = rng.normal(size=(30, 32, 3))  # no matching made by hand is cheaper
+    sums = structure.best_matchings(off)
+    for x, total in zip(off, sums):
+        cost = ((x[:, None] + x[None]) ** 2).sum(-1)
+        assert all(cost[p[::2], p[1::2]].sum() > total - 1e-9 for p in (rng.permutation(32) for _ in range(200)))
+    atoms = spark.createDataFrame([(1, 1), (1, 2)], "frame int, id int")
+    near = spark.createDataFrame([(1, 1, k + 1, *map(float, x)) for k, x in enumerate(off[0])], "frame int, i int, rank int, dx double, dy double, dz double")
+    got = {r.id: r.csp for r in structure.matching_centrosymmetry(atoms, near, 32).collect()}
+    assert got == {1: pytest.approx(sums[0]), 2: 0.0}
