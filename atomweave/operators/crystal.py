@@ -170,20 +170,87 @@ def quaternions(r: np.ndarray) -> np.ndarray:
     return np.where(q[:, 3:] < 0, -q, q)
 
 
+#: How much the faces below are moved, each by its own share, so that never more than three meet in a point.
+NUDGE = 1e-8
+
+#: Neighbours among which faces are looked for.
+CANDIDATES = 18
+
+
+def solid_angles(shells: np.ndarray) -> np.ndarray:
+    """Solid angles ``(m, k)`` that the faces of Voronoi cells take up, from the neighbour vectors ``(m, k, 3)`` of their atoms.
+
+    Three faces meet in a corner of the cell if no other face cuts it off. A corner gives each of its faces two signed triangles, from
+    the face's foot over its edges to the corner, whose angles add up to the face's. A cell that neighbours leave open ends at a cube
+    a thousand times as large. Neighbours in the atom's own place have no face.
+    """
+    m, k = shells.shape[:2]
+    out = np.zeros((m, k + 6))
+    if not m or not k:
+        return out[:, :k]
+    size = np.linalg.norm(shells, axis=-1)
+    apart = size > 1e-12
+    unit = np.where(apart, size, 0).sum(1) / np.maximum(apart.sum(1), 1)
+    d = shells / np.where(unit > 0, unit, 1)[:, None, None]
+    d = np.where(apart[:, :, None], d, np.array([3e3, 2e3, 1e3]))
+    d = np.concatenate([d, np.broadcast_to(1e3 * np.concatenate([np.eye(3), -np.eye(3)]), (m, 6, 3))], 1)
+    square = (d * d).sum(-1)
+    height = square / 2 * (1 + NUDGE * np.random.default_rng(0).random(k + 6))
+    three = np.array(list(itertools.combinations(range(k + 6), 3)))
+    own = np.zeros((len(three), k + 6), bool)
+    own[np.arange(len(three))[:, None], three] = True
+    for at in np.array_split(np.arange(m), max(1, m // 32)):
+        a, b, c = (d[at][:, three[:, i]] for i in range(3))
+        bc, ca, ab = np.cross(b, c), np.cross(c, a), np.cross(a, b)
+        det = (a * bc).sum(-1)
+        h = height[at][:, three]
+        flat = np.abs(det) < 1e-9
+        corner = (h[..., :1] * bc + h[..., 1:2] * ca + h[..., 2:] * ab) / np.where(flat, 1, det)[..., None]
+        beyond = np.where(own, -np.inf, corner @ np.swapaxes(d[at], 1, 2) - height[at][:, None]).max(-1)
+        atom, t = np.nonzero((beyond <= 0) & ~flat)
+        w, sense = corner[atom, t], np.sign(det[atom, t])
+        for i in range(3):
+            p = three[t, i]
+            u, hu = d[at][atom, p], height[at][atom, p]
+            foot = u * (hu / (u * u).sum(-1))[:, None]
+            for j, way in ((i + 1) % 3, 1.0), ((i + 2) % 3, -1.0):
+                q = three[t, j]
+                v, hv = d[at][atom, q], height[at][atom, q]
+                uu, vv, uv = (u * u).sum(-1), (v * v).sum(-1), (u * v).sum(-1)
+                edge = (u * (hu * vv - hv * uv)[:, None] + v * (hv * uu - hu * uv)[:, None]) / (uu * vv - uv * uv)[:, None]
+                x, y, z = (r / np.maximum(np.linalg.norm(r, axis=1, keepdims=True), 1e-300) for r in (foot, edge, w))
+                angle = 2 * np.arctan2((x * np.cross(y, z)).sum(1), 1 + (x * y).sum(1) + (y * z).sum(1) + (x * z).sum(1))
+                np.add.at(out, (at[atom], p), way * sense * angle)
+    return np.where(apart, out[:, :k], 0.0)
+
+
+def by_solid_angle(shells: np.ndarray) -> np.ndarray:
+    """The places ``(m, k)`` of neighbours by falling solid angle; angles within a millionth are ties, which distance and then place decide."""
+    angle = np.round(solid_angles(shells), 6)
+    size = np.round(np.linalg.norm(shells, axis=-1), 9)
+    return np.lexsort((np.broadcast_to(np.arange(shells.shape[1]), angle.shape), size, -angle), axis=-1)
+
+
 def identify(shells: np.ndarray, kinds: list[str]) -> dict[str, np.ndarray]:
-    """Best template of each atom from its nearest vectors ``(m, k, 3)``, nearest first."""
+    """Best template of each atom from its nearest vectors ``(m, k, 3)``, nearest first.
+
+    A shell is what takes up most of the view; of diamonds this holds for the bonds alone, and the second shell, parts of which hide
+    behind the first, comes by distance.
+    """
     m = len(shells)
     out = {"kind": np.zeros(m, np.int32), "rmsd": np.full(m, np.inf), "q": np.tile([0.0, 0.0, 0.0, 1.0], (m, 1)), "scale": np.zeros(m), "order": [[] for _ in range(m)]}
+    places = by_solid_angle(shells)
+    bonds = np.argsort(np.where(np.argsort(places, 1) < 4, 0, 1), 1, kind="stable")
     for kind in kinds:
-        n = SHELLS[kind]
+        n, mine = SHELLS[kind], bonds if "DIAMOND" in kind else places
         if shells.shape[1] < n:
             continue
-        rmsd, turn, scale, order = match_template(shells[:, :n], kind)
+        rmsd, turn, scale, order = match_template(np.take_along_axis(shells, mine[:, :n, None], 1), kind)
         better = rmsd < out["rmsd"] - 1e-9
         out["kind"][better], out["rmsd"][better], out["scale"][better] = KINDS[kind], rmsd[better], scale[better]
         out["q"][better] = quaternions(turn[better])
         for i in np.flatnonzero(better):
-            out["order"][i] = order[i].tolist()
+            out["order"][i] = mine[i][order[i]].tolist()
     return out
 
 
@@ -194,12 +261,11 @@ def template_matching(atoms: DataFrame, nearest: DataFrame, rmsd_cutoff: float =
     """Structures by template matching of each atom's nearest neighbours: ``frame, id, structure_type, structure, rmsd,
     qx, qy, qz, qw, distance, order``.
 
-    ``nearest`` holds pairs with ``rank`` (16 of each atom serve all templates; templates that need more than an atom has
-    are left out). The smallest RMSD decides; above the cutoff an atom is OTHER. The quaternion turns the template to the
+    ``nearest`` holds pairs with ``rank``; of up to 18 an atom's shell are those whose Voronoi faces take up the largest solid angles, so
+    that a far neighbour of a strained or shaken shell isn't lost to one behind it (templates that need more neighbours than an atom has are left out). The smallest RMSD decides; above the cutoff an atom is OTHER. The quaternion turns the template to the
     atom, ``distance`` is the mean neighbour distance of the fitted template, ``order`` the rank (from 0) of the neighbour
     at each template place. Atoms without neighbours are OTHER with nulls.
     """
-    k = max(SHELLS[x] for x in kinds)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -219,7 +285,7 @@ def template_matching(atoms: DataFrame, nearest: DataFrame, rmsd_cutoff: float =
             kinds_ = (pa.int32(), *[pa.float64()] * 6, pa.list_(pa.int32()))
             yield pa.record_batch([batch.column(0), batch.column(1), *[pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds_)]], names=["frame", "id", *[x.split()[0] for x in MATCHED.split(", ")]])
 
-    near = nearest.where(F.col("rank") <= k).groupBy("frame", F.col("i").alias("id")).agg(F.sort_array(F.collect_list(F.struct("rank", F.array("dx", "dy", "dz").alias("d")))).alias("w"))
+    near = nearest.where(F.col("rank") <= CANDIDATES).groupBy("frame", F.col("i").alias("id")).agg(F.sort_array(F.collect_list(F.struct("rank", F.array("dx", "dy", "dz").alias("d")))).alias("w"))
     near = near.select("frame", "id", F.transform("w", lambda x: x["d"]).alias("v"))
     told = near.mapInArrow(kernel, f"frame {near.schema['frame'].dataType.simpleString()}, id long, {MATCHED}")
     names = F.create_map(*[F.lit(x) for kv in {**STRUCTURE_NAMES, **{v: k for k, v in KINDS.items()}}.items() for x in kv])

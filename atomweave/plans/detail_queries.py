@@ -205,6 +205,63 @@ def m4(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(L.det(m), 6).alias("det"), F.round(L.gram(m)[0], 6).alias("xx"))
 
 
+_CELLS = [f"x{i}" for i in range(9)]
+
+
+def _sql_minor(m: list[str]) -> str:
+    return f"({m[0]} * ({m[4]} * {m[8]} - {m[5]} * {m[7]}) - {m[1]} * ({m[3]} * {m[8]} - {m[5]} * {m[6]}) + {m[2]} * ({m[3]} * {m[7]} - {m[4]} * {m[6]}))"
+
+
+_COFACTORS = [f"({_CELLS[3 * ((i + 1) % 3) + (j + 1) % 3]} * {_CELLS[3 * ((i + 2) % 3) + (j + 2) % 3]} - {_CELLS[3 * ((i + 1) % 3) + (j + 2) % 3]} * {_CELLS[3 * ((i + 2) % 3) + (j + 1) % 3]})" for i in range(3) for j in range(3)]
+_NEWTON = ", ".join(f"({x} + {c} / {_sql_minor(_CELLS)}) / 2" for x, c in zip(_CELLS, _COFACTORS))
+_STRETCH = ", ".join(f"r{i} * a{j} + r{3 + i} * a{3 + j} + r{6 + i} * a{6 + j} AS {n}" for n, (i, j) in zip(("xx", "yy", "zz", "xy", "xz", "yz"), ((0, 0), (1, 1), (2, 2), (0, 1), (0, 2), (1, 2))))
+_ROUND = lambda cols: ", ".join(f"round({c}, 4) + 0e0 AS {c}" for c in cols)
+
+
+@query(
+    "m4_affine_decomposition",
+    f"""WITH RECURSIVE a AS (SELECT vec_id, {', '.join(f'CAST(embedding[{i + 1}] AS DOUBLE) + {float(i % 4 == 0)!r} AS a{i}' for i in range(9))} FROM embeddings),
+n AS (SELECT vec_id, 0 AS k, {', '.join(f'a{i} AS x{i}' for i in range(9))} FROM a UNION ALL SELECT vec_id, k + 1, {_NEWTON} FROM n WHERE k < 40),
+q AS (SELECT a.*, sign({_sql_minor(_CELLS)}) AS sign, {', '.join(f'x{i} AS r{i}' for i in range(9))} FROM n JOIN a USING (vec_id) WHERE k = 40),
+s AS (SELECT *, {_STRETCH} FROM q), t AS (SELECT *, (xx + yy + zz) / 3 AS m FROM s),
+u AS (SELECT *, sqrt((pow(xx - m, 2) + pow(yy - m, 2) + pow(zz - m, 2) + 2 * (xy * xy + xz * xz + yz * yz)) / 6) AS p FROM t),
+e AS (SELECT *, acos(greatest(-1, least(1, {_sql_minor(['(xx - m)', 'xy', 'xz', 'xy', '(yy - m)', 'yz', 'xz', 'yz', '(zz - m)'])} / (2 * p * p * p)))) / 3 AS w FROM u),
+d AS (SELECT *, m + 2 * p * cos(w) AS k1, m + 2 * p * cos(w - 2 * pi() / 3) AS k2, m + 2 * p * cos(w + 2 * pi() / 3) AS k3,
+  sqrt(greatest(0, 1 + sign * (r0 + r4 + r8))) / 2 AS turn FROM e)
+SELECT vec_id, sign, {_ROUND(['turn', 'xx', 'yy', 'zz', 'xy', 'xz', 'yz', 'k1', 'k2', 'k3'])} FROM d""",
+)
+def m4_affine(spark, sf_dir):
+    """Vectors as deformations, nine components added to the identity: orientation, real part of the rotation, stretch, scaling."""
+    m = [F.get("embedding", F.lit(k)).cast("double") + float(k % 4 == 0) for k in range(9)]
+    told = L.affine_decomposition(table(spark, sf_dir, "embeddings"), m, [F.lit(0.0)] * 3)
+    near = lambda c, i: F.round(F.get(c, F.lit(i)), 4) + 0.0
+    parts = [near("stretch", i).alias(n) for i, n in enumerate(("xx", "yy", "zz", "xy", "xz", "yz"))] + [near("scaling", i).alias(f"k{i + 1}") for i in range(3)]
+    return told.select("vec_id", "sign", near("rotation", 3).alias("turn"), *parts)
+
+
+_FOUR = [f"CAST(embedding[{k + 1}] AS DOUBLE)" for k in range(16)]
+_MINOR4 = lambda i, j: _sql_minor([f"m{4 * r + c}" for r in range(4) if r != i for c in range(4) if c != j])
+
+
+@query(
+    "m4_four_by_four",
+    f"""WITH t AS (SELECT vec_id, {', '.join(f'{x} AS m{k}' for k, x in enumerate(_FOUR))} FROM embeddings), d AS (SELECT *, {' '.join(f"{'-' if j % 2 else '+'} m{j} * {_MINOR4(0, j)}" for j in range(4))} AS det FROM t)
+SELECT vec_id, round(det * 1e3, 6) + 0e0 AS det, {', '.join(f"round({'-' if (i + j) % 2 else ''}{_MINOR4(j, i)} * 1e3, 6) + 0e0 AS c{i}{j}" for i in range(4) for j in range(4))} FROM d""",
+)
+def m4_four(spark, sf_dir):
+    """Determinants of 4x4 matrices and the adjugates that their inverses come from, in thousandths."""
+    m = [F.get("embedding", F.lit(k)).cast("double") for k in range(16)]
+    d, back = L.det4(m), L.inverse4(m)
+    parts = [(F.round(back[4 * i + j] * d * 1e3, 6) + 0.0).alias(f"c{i}{j}") for i in range(4) for j in range(4)]
+    return table(spark, sf_dir, "embeddings").select("vec_id", (F.round(d * 1e3, 6) + 0.0).alias("det"), *parts)
+
+
+@query("m7_gram_tensor", f"WITH t AS (SELECT vec_id, {_T} FROM embeddings) SELECT vec_id, round(a * a + d * d + g * g, 6) AS xx, round(b * b + e * e + h * h, 6) AS yy, round(c * c + f * f + i * i, 6) AS zz, round(a * b + d * e + g * h, 6) + 0e0 AS xy, round(a * c + d * f + g * i, 6) + 0e0 AS xz, round(b * c + e * f + h * i, 6) + 0e0 AS yz FROM t")
+def m7_gram(spark, sf_dir):
+    m = [F.get("embedding", F.lit(k)).cast("double") for k in range(9)]
+    return table(spark, sf_dir, "embeddings").select("vec_id", *[(F.round(v, 6) + 0.0).alias(n) for v, n in zip(L.gram(m), ("xx", "yy", "zz", "xy", "xz", "yz"))])
+
+
 @query("m9_edge_weight", "SELECT l_orderkey, l_linenumber, l_partkey, round(CASE WHEN l_discount < 1e-5 THEN 1 ELSE exp(-(l_discount * 20) * (l_discount * 20) / 3e0) END, 6) AS w FROM lineitem")
 def m9(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.round(L.graph_weight(F.col("l_discount") * 20), 6).alias("w"))

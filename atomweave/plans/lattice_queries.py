@@ -51,7 +51,7 @@ def _crystal(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def _near(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     a, c = _crystal(spark, sf_dir)
-    return a, c, cut(nearest_neighbors(a, c, 16), "nearest")
+    return a, c, cut(nearest_neighbors(a, c, crystal.CANDIDATES), "nearest")
 
 
 KINDS = ("FCC", "HCP", "BCC")

@@ -72,7 +72,7 @@ def test_matching_strain_and_neighbours_of_a_strained_crystal(spark):
     edges = (np.eye(3) * 12) @ f.T
     atoms = spark.createDataFrame([(1, i, *map(float, p)) for i, p in enumerate(moved)], ATOM)
     cells = spark.createDataFrame([(1, *[list(map(float, e)) for e in edges], [0.0] * 3, [True] * 3)], CELL)
-    near = nearest_neighbors(atoms, cells, 16)
+    near = nearest_neighbors(atoms, cells, 18)
     near = near.cache()
     typed = C.template_matching(atoms, near).cache()
     assert {r.structure for r in typed.collect()} == {"FCC"}
@@ -92,7 +92,7 @@ def test_matching_strain_and_neighbours_of_a_strained_crystal(spark):
 @pytest.mark.parametrize("kind", list(BASES))
 def test_a_perfect_crystal_is_one_cluster(spark, kind):
     atoms, cells = crystal(spark, kind, noise=0.02, cells=2 if kind == "CUBIC_DIAMOND" else 3)
-    near = nearest_neighbors(atoms, cells, 16).cache()
+    near = nearest_neighbors(atoms, cells, 18).cache()
     typed = C.template_matching(atoms, near).cache()
     assert {r.structure for r in typed.collect()} == {kind}
     bonds = C.orientation_bonds(typed, near.where("rank <= 6"))
@@ -214,3 +214,42 @@ def test_more_keys_than_columns_must_be_declared(spark, monkeypatch):
     with pytest.raises(ValueError):
         D.expand_map(rows, "m", "v")
     assert D.expand_map(rows, "m", "v", ["c"]).first()[0] == 3
+
+
+def test_solid_angles_are_what_faces_take_up():
+    rng = np.random.default_rng(0)
+    v = rng.normal(size=(20, 18, 3))
+    v *= (1 + rng.uniform(0, 1, (20, 18, 1))) / np.linalg.norm(v, axis=2, keepdims=True)
+    v[3, 5] = 0.0
+    got = C.solid_angles(v)
+    assert np.allclose(got.sum(1), 4 * np.pi) and got.min() == 0.0 and got[3, 5] == 0.0
+    x = rng.normal(size=(300_000, 3))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for i in (0, 3):  # which face a ray meets first
+        d = np.delete(v[i], 5, 0) if i == 3 else v[i]
+        along = x @ d.T
+        first = np.where(along > 1e-9, (d * d).sum(1) / 2 / np.maximum(along, 1e-9), np.inf).argmin(1)
+        seen = np.bincount(first, minlength=len(d)) / len(x) * 4 * np.pi
+        assert np.abs(seen - (np.delete(got[i], 5) if i == 3 else got[i])).max() < 0.03
+    for kind, angles in {"SC": [2 * np.pi / 3] * 6, "FCC": [np.pi / 3] * 12, "HCP": [np.pi / 3] * 12}.items():
+        assert np.allclose(C.solid_angles(C.lattice_vectors(kind)[None])[0], angles, atol=1e-6)
+    body = C.solid_angles(C.lattice_vectors("BCC")[None])[0]
+    assert np.allclose(body[:8], body[0]) and np.allclose(body[8:], body[-1]) and body[0] > 2 * body[-1] > 0
+    open_side = C.solid_angles(np.array([[[1.0, 0, 0], [0, 1.0, 0], [0, 0, 1.0]]]))[0]
+    assert np.allclose(open_side, open_side[0], atol=1e-5) and open_side[0] < 4 * np.pi / 3
+    assert C.solid_angles(np.zeros((2, 0, 3))).shape == (2, 0)
+
+
+def test_shells_by_solid_angle_hold_what_distance_loses():
+    """A body-centred atom with a far face neighbour: a nearer one behind the others takes its place by distance."""
+    v = C.lattice_vectors("BCC").copy()
+    v[-1] *= 1.15
+    behind = (v[0] + v[1]) * 0.98  # between two of the first shell, all but hidden
+    behind *= 1.1 / np.linalg.norm(behind)
+    near = np.concatenate([v, behind[None], 3 * v[:3]])
+    near = near[np.argsort(np.linalg.norm(near, axis=1), kind="stable")]
+    places = C.by_solid_angle(near[None])[0]
+    shell = near[places[:14]]
+    assert all(np.abs(shell - w).max(1).min() < 1e-12 for w in v)
+    found = C.identify(near[None], ["BCC", "FCC", "HCP", "SC"])
+    assert found["kind"][0] == C.KINDS["BCC"] and sorted(found["order"][0]) == sorted(places[:14].tolist())

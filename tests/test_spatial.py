@@ -1,10 +1,11 @@
-"""Overlap joins against all pairs, and the triangle test against points of both shapes."""
+"""Overlap joins against all pairs, the triangle test against points of both shapes, affine maps against numpy."""
 
 import itertools
 
 import numpy as np
 from pyspark.sql import functions as F
 
+from atomweave.functions import linalg
 from atomweave.operators import spatial
 
 BOXES = "frame int, id int, low array<double>, high array<double>"
@@ -59,3 +60,30 @@ def test_triangles_and_tetrahedra(spark):
     corner = np.array([[0.0, 0, 0], [1, 0, 0], [0, 1, 0], [0, 0, 1]])
     touch = np.array([[[-1.0, 0, 0], [-1, 1, 0], [0, 0, 0]], [[-1.0, 0, 0], [-1, 1, 0], [-0.01, 0, 0]], [[0.1, 0.1, 0.1], [0.2, 0.1, 0.1], [0.1, 0.2, 0.1]]])
     assert {r.triangle for r in spatial.triangles_in_tetrahedra(made(touch), made(corner[None])).collect()} == {0, 2}
+
+
+def test_affine_maps_come_apart_and_together(spark):
+    rng = np.random.default_rng(3)
+    many = rng.normal(size=(60, 9)) * 10.0 ** rng.integers(-3, 4, (60, 1))
+    many[0], many[1] = np.diag([2.0, 2.0, 2.0]).ravel(), np.diag([-1.0, 1.0, 1.0]).ravel()
+    many[2], many[3] = np.diag([-1.0, -1.0, 1.0]).ravel(), 0.0
+    rows = spark.createDataFrame([(i, m.tolist()) for i, m in enumerate(many)], "id int, m array<double>")
+    m = [F.get("m", F.lit(i)) for i in range(9)]
+    for r in linalg.affine_decomposition(rows, m, [F.lit(1.0), F.lit(2.0), F.lit(3.0)]).collect():
+        a = many[r.id].reshape(3, 3)
+        if r.id == 3:
+            assert r.rotation is None and r.scaling is None and r.translation == [1.0, 2.0, 3.0]
+            continue
+        x, y, z, w = r.rotation
+        turn = np.array([[1 - 2 * (y * y + z * z), 2 * (x * y - w * z), 2 * (x * z + w * y)], [2 * (x * y + w * z), 1 - 2 * (x * x + z * z), 2 * (y * z - w * x)], [2 * (x * z - w * y), 2 * (y * z + w * x), 1 - 2 * (x * x + y * y)]])
+        xx, yy, zz, xy, xz, yz = r.stretch
+        stretch = np.array([[xx, xy, xz], [xy, yy, yz], [xz, yz, zz]])
+        size = np.abs(a).max()
+        assert np.allclose(r.sign * turn @ stretch, a, atol=1e-9 * size) and abs(np.dot(r.rotation, r.rotation) - 1) < 1e-9 and w >= 0
+        assert np.allclose(r.scaling, np.linalg.svd(a)[1], atol=1e-6 * size) and r.sign == np.sign(np.linalg.det(a))
+    four = rng.normal(size=(5, 16))
+    rows = spark.createDataFrame([(x.tolist(),) for x in four], "m array<double>")
+    m = [F.get("m", F.lit(i)) for i in range(16)]
+    back = rows.select(F.array(*linalg.inverse4(m)).alias("b"), linalg.det4(m).alias("d"), F.array(*linalg.product4(m, linalg.inverse4(m))).alias("one")).collect()
+    for x, r in zip(four, back):
+        assert np.allclose(np.reshape(r.b, (4, 4)), np.linalg.inv(x.reshape(4, 4))) and np.isclose(r.d, np.linalg.det(x.reshape(4, 4))) and np.allclose(np.reshape(r.one, (4, 4)), np.eye(4))
