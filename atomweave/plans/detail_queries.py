@@ -222,7 +222,7 @@ _ROUND = lambda cols: ", ".join(f"round({c}, 4) + 0e0 AS {c}" for c in cols)  #
     "m4_affine_decomposition",
     f"""WITH RECURSIVE a AS (SELECT vec_id, {', '.join(f'CAST(embedding[{i + 1}] AS DOUBLE) + {float(i % 4 == 0)!r} AS a{i}' for i in range(9))} FROM embeddings),
 n AS (SELECT vec_id, 0 AS k, {', '.join(f'a{i} AS x{i}' for i in range(9))} FROM a UNION ALL SELECT vec_id, k + 1, {_NEWTON} FROM n WHERE k < 40),
-q AS (SELECT a.*, sign({_sql_minor(_CELLS)}) AS sign, {', '.join(f'x{i} AS r{i}' for i in range(9))} FROM n JOIN a USING (vec_id) WHERE k = 40),
+q AS (SELECT a.*, CAST(sign({_sql_minor(_CELLS)}) AS DOUBLE) AS sign, {', '.join(f'x{i} AS r{i}' for i in range(9))} FROM n JOIN a USING (vec_id) WHERE k = 40),
 s AS (SELECT *, {_STRETCH} FROM q), t AS (SELECT *, (xx + yy + zz) / 3 AS m FROM s),
 u AS (SELECT *, sqrt((pow(xx - m, 2) + pow(yy - m, 2) + pow(zz - m, 2) + 2 * (xy * xy + xz * xz + yz * yz)) / 6) AS p FROM t),
 e AS (SELECT *, acos(greatest(-1, least(1, {_sql_minor(['(xx - m)', 'xy', 'xz', 'xy', '(yy - m)', 'yz', 'xz', 'yz', '(zz - m)'])} / (2 * p * p * p)))) / 3 AS w FROM u),
