@@ -14,6 +14,8 @@ from atomweave.functions.scalars import dislocation_type, vector_text
 
 #: Fixed value: points closer than this along every axis are the same.
 SAME_POINT = 1e-4
+#: Decimals of reduced coordinates, and of shares of a step, that tell whether a point lies on a face: what is nearer to it differs by rounding alone.
+FACE_DECIMALS = 12
 
 
 def polyline_length(points: DataFrame, keys: list[str]) -> DataFrame:
@@ -152,11 +154,12 @@ def clip_lines(points: DataFrame, cells: DataFrame, keys: list[str]) -> DataFram
     ``cells`` may be tilted. Steps are split where they cross a face, any number of times; each part lies in one image of the cell
     and is moved from there into the cell, and a chunk is a run of parts of one image. Chunks are numbered from 0 along a
     line, their points from 0 along a chunk; a crossing ends one chunk and starts the next. Steps through an edge of the cell
-    cross it once. Lines of one point give nothing, nor do points without coordinates or in frames without a cell.
+    cross it once. Reduced coordinates and crossings count to twelve decimals, so a point on a face does not cross it by rounding.
+    Lines of one point give nothing, nor do points without coordinates or in frames without a cell.
     """
     whole = points.where("x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL")
     placed = whole.join(with_geometry(cells).select("frame", "origin", "inv", "pbc", "a", "b", "c"), "frame")
-    s = reduced([F.col(c) for c in "xyz"])
+    s = [F.round(v, FACE_DECIMALS) for v in reduced([F.col(c) for c in "xyz"])]
     line = ["frame", *keys]
     along = Window.partitionBy(*line).orderBy("pos")
     steps = placed.select(*line, "pos", "pbc", F.array(*s).alias("p")).withColumn("q", F.lead("p").over(along)).where("q IS NOT NULL")
@@ -166,7 +169,7 @@ def clip_lines(points: DataFrame, cells: DataFrame, keys: list[str]) -> DataFram
         low, high = F.least(u, v), F.greatest(u, v)
         first, last = F.floor(low) + 1, F.ceil(high) - 1
         faces = F.when(F.get("pbc", F.lit(i)) & (first <= last), F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
-        return F.transform(faces, lambda k: (k - u) / (v - u))
+        return F.transform(faces, lambda k: F.round((k - u) / (v - u), FACE_DECIMALS))
 
     cuts = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0), F.lit(1.0)), *[crossings(i) for i in range(3)])))
     parts = steps.withColumn("t", cuts).select(*line, "pos", "pbc", "p", "q", F.explode(F.arrays_zip(F.slice("t", 1, F.size("t") - 1).alias("t0"), F.slice("t", 2, F.size("t") - 1).alias("t1"))).alias("t"))

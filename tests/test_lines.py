@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from atomweave.operators import lines
 
@@ -86,3 +87,17 @@ def test_coarser_lines_by_core_sizes(spark):
     got = {r.line_id: r for r in lines.smooth_lines(spark.createDataFrame(rows, "line_id long, closed boolean, points array<array<double>>, cores array<int>"), 3, 0.5).collect()}
     assert np.allclose(got[1].points[0], p[0]) and np.allclose(got[1].points[-1], p[8]) and len(got[1].points) == 6
     assert got[2].points == p.tolist() and got[3].points == p[:1].tolist() and got[4].points == []
+
+
+def test_points_on_a_face_do_not_cross_it_by_rounding(spark):
+    """In a cell tilted along x these points lie on the face x = 1 or on an edge, but for rounding."""
+    box = 20.0
+    at = lambda s: (s[0] * box + s[1] * 4.0, s[1] * box, s[2] * box)
+    paths = [[(1.0, k / 10007 * 2, 0.1), (0.5 if k % 2 else 1.5, 0.3, 0.2)] for k in range(1, 400)]
+    paths += [[(0.7 + k / 997, 0.4, 0.1), (1.3 - k / 997, 1.6, 0.2)] for k in range(1, 200)]  # through the edge at (1, 1)
+    points = spark.createDataFrame([(0, line, pos, *at(s)) for line, p in enumerate(paths) for pos, s in enumerate(p)], "frame int, line_id long, pos int, x double, y double, z double")
+    flags = [[True, True, False]]
+    cells = spark.createDataFrame([(0, [box, 0.0, 0.0], [4.0, box, 0.0], [0.0, 0.0, box], [0.0] * 3, *flags)], "frame int, a array<double>, b array<double>, c array<double>, origin array<double>, pbc array<boolean>")
+    got = {r.line_id: (r.chunks, r.points) for r in lines.clip_lines(points, cells, ["line_id"]).groupBy("line_id").agg(F.count_distinct("chunk").alias("chunks"), F.count("*").alias("points")).collect()}
+    assert all(got[k] == (1, 2) for k in range(399))
+    assert all(got[k] == (2, 4) for k in range(399, len(paths)))
