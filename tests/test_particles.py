@@ -232,3 +232,37 @@ def test_matching_of_any_size_is_the_cheapest(spark):
     near = spark.createDataFrame([(1, 1, k + 1, *map(float, x)) for k, x in enumerate(off[0])], "frame int, i int, rank int, dx double, dy double, dz double")
     got = {r.id: r.csp for r in structure.matching_centrosymmetry(atoms, near, 32).collect()}
     assert got == {1: pytest.approx(sums[0]), 2: 0.0}
+
+
+@pytest.mark.parametrize("most", [10**6, 50])
+def test_nearest_neighbors_come_from_tiles_that_move_atoms_not_pairs(spark, monkeypatch, most):
+    """Uneven density, an axis open with atoms outside, tilted cell; with small ``most`` the crowded tiles are joined instead."""
+    from atomweave.operators import neighbors
+
+    monkeypatch.setattr(neighbors, "MOST_IN_TILE", most)
+    monkeypatch.setattr(neighbors, "PER_TILE", 64)
+    rng = np.random.default_rng(5)
+    box = np.array([[6.0, 0, 0], [1.5, 5, 0], [0, 0, 7]])
+    s = np.concatenate([rng.random((300, 3)), 0.1 + 0.05 * rng.random((200, 3)), rng.random((20, 3)) + [0, 0, 1.0]])
+    p = s @ box
+    atoms = spark.createDataFrame([(0, i, *map(float, x)) for i, x in enumerate(p)], "frame int, id long, x double, y double, z double")
+    cells = spark.createDataFrame([(0, *box.tolist(), [0.0] * 3, [True, True, False])], "frame int, a array<double>, b array<double>, c array<double>, origin array<double>, pbc array<boolean>")
+    got = {(r.i, r["rank"]): (r.j, r.d2) for r in neighbors.nearest_neighbors(atoms, cells, 6).collect()}
+    images = [(x, y) for x in range(-2, 3) for y in range(-2, 3)]
+    every = np.concatenate([p + x * box[0] + y * box[1] for x, y in images])
+    ids = np.tile(np.arange(len(p)), len(images))
+    for i, x in enumerate(p):
+        d2 = ((every - x) ** 2).sum(1)
+        near = sorted((round(float(d), 9), int(j)) for d, j in zip(d2, ids) if d > 1e-12)[:6]
+        for rank, (d, j) in enumerate(near, 1):
+            assert got[i, rank][0] == j and got[i, rank][1] == pytest.approx(d, abs=1e-8)
+    assert len(got) == 6 * len(p)
+
+
+def test_tiles_hold_few_images_of_an_atom(spark):
+    from atomweave.operators import neighbors
+
+    atoms = spark.range(20000).selectExpr("0 AS frame", "id", *[f"pmod(xxhash64(id, '{c}'), 1000003) / 1000003D * 10 AS {c}" for c in "xyz"])
+    cells = spark.createDataFrame([(0, [10.0, 0.0, 0.0], [0.0, 10.0, 0.0], [0.0, 0.0, 10.0], [0.0] * 3, [True] * 3, 0.5, 5.0)], "frame int, a array<double>, b array<double>, c array<double>, origin array<double>, pbc array<boolean>, cutoff double, side double")
+    rows = neighbors.tiled(atoms, cells)
+    assert rows.where("center").count() == 20000 and rows.count() < 3 * 20000
