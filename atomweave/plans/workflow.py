@@ -202,7 +202,7 @@ def _displacements(f: Frames, mic: bool = True) -> dict[str, DataFrame]:
 @analyzer("atomic-strain")
 def _strain(f: Frames, cutoff: float = 3.0) -> dict[str, DataFrame]:
     moved = deformation.displacements(deformation.reference_join(f.atoms, f.reference), f.cells)
-    strain = deformation.atomic_strain(f.reference, cutoff_neighbors(f.reference, f.cells, float(cutoff)), moved)
+    strain = deformation.strain_within(f.reference, f.cells, float(cutoff), moved)
     return {"atoms": strain, "summary": deformation.strain_summary(strain)}
 
 

@@ -266,3 +266,22 @@ def test_tiles_hold_few_images_of_an_atom(spark):
     cells = spark.createDataFrame([(0, [10.0, 0.0, 0.0], [0.0, 10.0, 0.0], [0.0, 0.0, 10.0], [0.0] * 3, [True] * 3, 0.5, 5.0)], "frame int, a array<double>, b array<double>, c array<double>, origin array<double>, pbc array<boolean>, cutoff double, side double")
     rows = neighbors.tiled(atoms, cells)
     assert rows.where("center").count() == 20000 and rows.count() < 3 * 20000
+
+
+def test_strain_summed_in_tiles_is_that_of_the_pairs(spark, monkeypatch):
+    from atomweave.operators import neighbors
+
+    monkeypatch.setattr(neighbors, "PER_TILE", 40)
+    rng = np.random.default_rng(9)
+    p = rng.random((400, 3)) * 5
+    q = p @ np.array([[1.02, 0.01, 0], [0, 0.99, 0.03], [0, 0, 1.01]]) + 0.02 * rng.random((400, 3))
+    frame = lambda v: spark.createDataFrame([(0, i, *map(float, x)) for i, x in enumerate(v)], "frame int, id long, x double, y double, z double")
+    cells = spark.createDataFrame([(0, [5.0, 0.0, 0.0], [0.5, 5.0, 0.0], [0.0, 0.0, 5.0], [0.0] * 3, [True, False, True])], "frame int, a array<double>, b array<double>, c array<double>, origin array<double>, pbc array<boolean>")
+    then = frame(p)
+    moved = deformation.displacements(deformation.reference_join(frame(q), then), cells)
+    one = {r.id: r for r in deformation.strain_within(then, cells, 1.1, moved).collect()}
+    two = {r.id: r for r in deformation.atomic_strain(then, cutoff_neighbors(then, cells, 1.1), moved).collect()}
+    assert one.keys() == two.keys() and len(one) == 400
+    for k, r in two.items():
+        assert one[k].invalid == r.invalid and np.allclose(one[k].strain_tensor, r.strain_tensor, atol=1e-9)
+        assert one[k].d2min == pytest.approx(r.d2min, abs=1e-9) and one[k].shear_strain == pytest.approx(r.shear_strain, abs=1e-9)
