@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from atomweave.functions import linalg
-from atomweave.operators import deformation, particles, structure
+from atomweave.operators import crystal, deformation, particles, structure
 from atomweave.operators import lines as dislocations
 from atomweave.operators.graph import connected_components
 from atomweave.operators.neighbors import cutoff_neighbors, nearest_neighbors
@@ -285,3 +285,6 @@ def test_strain_summed_in_tiles_is_that_of_the_pairs(spark, monkeypatch):
     for k, r in two.items():
         assert one[k].invalid == r.invalid and np.allclose(one[k].strain_tensor, r.strain_tensor, atol=1e-9)
         assert one[k].d2min == pytest.approx(r.d2min, abs=1e-9) and one[k].shear_strain == pytest.approx(r.shear_strain, abs=1e-9)
+    sums = deformation.strain_sums(then, cells, 1.1, moved)
+    elastic = {r.id: r.strain_tensor for r in crystal.elastic_strain_of_sums(then, sums).collect()}
+    assert all(np.allclose(elastic[k], r.strain_tensor, atol=1e-9) for k, r in two.items() if not r.invalid)
