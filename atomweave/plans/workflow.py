@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from atomweave.functions.scalars import split_arguments
 from atomweave.operators import deformation, documents, structure
-from atomweave.operators.neighbors import cutoff_neighbors, nearest_neighbors
+from atomweave.operators.neighbors import cutoff_neighbors, nearest_neighbors, spanning_links
 
 Workflow = dict[str, list[dict]]
 _REFERENCE = re.compile(r"\{\{\s*([^{}]+?)\s*\}\}")
@@ -176,8 +176,7 @@ def _coordination(f: Frames, cutoff: float = 3.2, bins: int = 500) -> dict[str,
 
 @analyzer("cluster-analysis")
 def _cluster(f: Frames, cutoff: float = 3.2) -> dict[str, DataFrame]:
-    pairs = cutoff_neighbors(f.atoms, f.cells, float(cutoff))
-    placed = structure.unwrapped_clusters(f.atoms, pairs)
+    placed = structure.unwrapped_clusters(f.atoms, spanning_links(f.atoms, f.cells, float(cutoff)))
     return {"atoms": placed.select("frame", "id", "cluster", "size"), "clusters": structure.cluster_shapes(placed)}
 
 
