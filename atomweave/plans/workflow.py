@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from atomweave.functions.scalars import split_arguments
 from atomweave.operators import deformation, documents, structure
-from atomweave.operators.neighbors import cutoff_neighbors, nearest_neighbors, spanning_links
+from atomweave.operators.neighbors import nearest_neighbors, spanning_links
 
 Workflow = dict[str, list[dict]]
 _REFERENCE = re.compile(r"\{\{\s*([^{}]+?)\s*\}\}")
@@ -170,8 +170,7 @@ def analyzer(name: str):
 
 @analyzer("coordination")
 def _coordination(f: Frames, cutoff: float = 3.2, bins: int = 500) -> dict[str, DataFrame]:
-    pairs = cutoff_neighbors(f.atoms, f.cells, float(cutoff))
-    return {"coordination": structure.coordination(f.atoms, pairs), "rdf": structure.radial_distribution(f.atoms, f.cells, pairs, float(cutoff), int(bins))}
+    return {"coordination": structure.coordination_within(f.atoms, f.cells, float(cutoff)), "rdf": structure.radial_distribution_within(f.atoms, f.cells, float(cutoff), int(bins))}
 
 
 @analyzer("cluster-analysis")

@@ -33,7 +33,7 @@ def test_tiles_tell_all_pairs(spark, monkeypatch, cell, pbc, cutoff):
     counts = {(r.frame, r.id): r["count"] for r in counted_within(atoms, cells, cutoff).collect()}
     assert len(counts) == atoms.count() - 2 and sum(counts.values()) == len(want)
     told = structure.coordination(atoms, cutoff_neighbors(atoms, cells, cutoff))
-    assert {(r.frame, r.id): counts.get((r.frame, r.id), 0) for r in told.collect()} == {(r.frame, r.id): r.coordination for r in told.collect()}
+    assert sorted(map(tuple, told.collect())) == sorted(map(tuple, structure.coordination_within(atoms, cells, cutoff).collect()))
 
 
 @pytest.mark.parametrize("cell, pbc, cutoff", [(c, p, 0.45 if r < 2 else r) for c, p, r in CELLS])
@@ -68,3 +68,40 @@ def test_cutoffs_must_be_positive(spark):
     for f in (pairs_within, counted_within, spanning_links):
         with pytest.raises(ValueError):
             f(atoms, cells, 0.0)
+
+
+def test_coincident_atoms_are_linked_or_not(spark):
+    atoms, cells = frames(spark, np.eye(3) * 4, (True, True, True), 1)
+    twins = atoms.sparkSession.createDataFrame([(0, 5, 1.0, 1.0, 1.0), (0, 6, 1.0, 1.0, 1.0), (0, 7, 1.2, 1.0, 1.0)], "frame int, id long, x double, y double, z double")
+    links = lambda **k: {(r.i, r.j) for r in spanning_links(twins, cells, 0.5, **k).collect()}
+    assert len(links()) == 2 and links(coincident=False) == {(5, 7), (6, 7)}
+
+
+def test_merged_grains_of_the_query_are_those_of_all_pairs(spark):
+    import math
+    import os
+
+    from atomweave.operators import crystal
+    from atomweave.plans import crystal_queries as q
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables")
+    a, c = q._frames(spark, sf)
+    merges = cutoff_neighbors(a, c, q._LINK).where("i < j").selectExpr("frame", "i AS a", "j AS b", "log(sqrt(d2)) AS log_distance")
+    want = crystal.merged_grains(a, merges, math.log(0.45), q._LEAST)
+    assert sorted(map(tuple, q.x18(spark, sf).collect())) == sorted(map(tuple, want.collect()))
+
+
+@pytest.mark.parametrize("name, absent", [("j1_cutoff_neighbors", "Join"), ("a1_coordination", "wx")])
+def test_queries_shuffle_atoms_not_pairs(spark, name, absent):
+    """Plans without a join on bins: what the tiles tell is neither joined nor, for pairs, shuffled."""
+    import os
+
+    from atomweave.plans import registry
+
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("no test tables")
+    plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    top = plan[: plan.index("FlatMapGroupsInArrow")]
+    assert "Exchange" not in top and absent not in top
