@@ -22,7 +22,7 @@ _LEAST = -(2**63)
 
 
 def weighted_terms(text: Column, width: int = WIDTH) -> list:
-    """Projections, to be applied one after the other, that end in ``terms array<struct<h, w>>``."""
+    """Projections, to be applied one after the other, that end in ``ones``, the terms found once, and ``more array<struct<h, w>>``, the others."""
     text = F.lower(text)
     for c in "\n\t\x0b\x0c\r":
         text = F.replace(text, F.lit(c), F.lit(" "))
@@ -33,7 +33,6 @@ def weighted_terms(text: Column, width: int = WIDTH) -> list:
     last = F.size("sorted") - 1
     runs = F.filter(F.sequence(F.lit(0), last), lambda i: (i == 0) | (F.get(F.col("sorted"), i) != F.get(F.col("sorted"), i - 1)))
     counted = F.transform(F.col("starts"), lambda p, j: F.struct(F.get(F.col("sorted"), p).alias("h"), (F.coalesce(F.get(F.col("starts"), j + 1), F.size("sorted")) - p).alias("w")))
-    single = F.transform(F.col("once"), lambda h: F.struct(h.alias("h"), F.lit(1).alias("w")))
     repeats = F.size("once") < F.size("grams")
     return [
         ("words", words),
@@ -41,12 +40,20 @@ def weighted_terms(text: Column, width: int = WIDTH) -> list:
         ("once", F.array_distinct("grams")),
         ("sorted", F.when(repeats, F.sort_array("grams"))),
         ("starts", F.when(repeats, runs)),
-        ("terms", F.when(repeats, counted).otherwise(single)),
+        ("terms", F.when(repeats, counted)),
+        ("ones", F.when(repeats, F.transform(F.filter("terms", lambda x: x["w"] == 1), lambda x: x["h"])).otherwise(F.col("once"))),
+        ("more", F.when(repeats, F.filter("terms", lambda x: x["w"] > 1))),
     ]
 
 
-def _uniform(bits: Column, shift: int) -> Column:
-    return (F.shiftrightunsigned(bits, shift).bitwiseAND((1 << 21) - 1).cast("double") + 1.0) / float(1 << 21)
+def _whole(bits: Column, shift: int) -> Column:
+    """A whole number from 1 to 2**21."""
+    return (F.shiftrightunsigned(bits, shift) if shift else bits).bitwiseAND((1 << 21) - 1) + 1
+
+
+def _gamma(a: Column, b: Column) -> Column:
+    """Gamma(2, 1) from two such numbers; their product is exact, so it is scaled once."""
+    return F.greatest(-F.log((a * b).cast("double") * 2.0**-42), F.lit(1e-6))
 
 
 def samples(h: Column, log_w: Column, draws: int = DRAWS) -> list[Column]:
@@ -54,9 +61,8 @@ def samples(h: Column, log_w: Column, draws: int = DRAWS) -> list[Column]:
     out = []
     for k in range(draws):
         one, two = F.xxhash64(h, F.lit(2 * k)), F.xxhash64(h, F.lit(2 * k + 1))
-        r = F.greatest(-F.log(_uniform(one, 0) * _uniform(one, 21)), F.lit(1e-6))
-        c = F.greatest(-F.log(_uniform(one, 42) * _uniform(two, 0)), F.lit(1e-6))
-        b = _uniform(two, 21)
+        r, c = _gamma(_whole(one, 0), _whole(one, 21)), _gamma(_whole(one, 42), _whole(two, 0))
+        b = _whole(two, 21).cast("double") * 2.0**-21
         t = F.when(log_w == 0.0, F.lit(0.0)).otherwise(F.floor(log_w / r + b).cast("double"))
         out.append(F.log(c) - r * (t - b + 1.0))
     return out
@@ -72,18 +78,37 @@ def likeness(a: Column, b: Column) -> Column:
 def fingerprints(texts: DataFrame, keys: list[str], variants: list[str]) -> DataFrame:
     """``keys`` and ``fp_<variant>`` for each text column named in ``variants``; null texts count as without terms.
 
+    The smallest value over the terms of a text is the least of those over the parts it is made of, so what two texts share
+    costs its draws once.
     If ``texts`` is partitioned by the first key, nothing is shuffled.
     """
-    each = F.explode(F.array(*[F.struct(F.lit(i).alias("variant"), F.col(v).alias("body")) for i, v in enumerate(variants)]))
-    rows = texts.select(*keys, each.alias("e")).select(*keys, "e.variant", "e.body")
-    for name, column in weighted_terms(F.col("body")):
-        rows = rows.withColumn(name, column)
-    rows = rows.select(*keys, "variant", F.inline_outer("terms")).select(*keys, "variant", "h", F.log(F.col("w").cast("double")).alias("log_w"))
-    best = rows.groupBy(*keys, "variant").agg(*[F.min(a).alias(f"a{k}") for k, a in enumerate(samples(F.col("h"), F.col("log_w")))])
-    code = F.concat(*[F.lpad(F.lower(F.hex(F.xxhash64(f"a{k}").bitwiseAND(0xFFFF))), 4, "0") for k in range(DRAWS)])
-    best = best.select(*keys, "variant", F.when(F.col("a0").isNull(), F.lit(EMPTY * DRAWS)).otherwise(code).alias("code"))
-    wide = best.groupBy(*keys).agg(*[F.max(F.when(F.col("variant") == i, F.col("code"))).alias(f"fp_{v}") for i, v in enumerate(variants)])
-    return wide
+    rows = texts.select(*keys, *[F.col(v).alias(f"body{i}") for i, v in enumerate(variants)])
+    for i in range(len(variants)):
+        steps = weighted_terms(F.col(f"body{i}"))
+        for name, column in steps:
+            rows = rows.withColumn(name, column)
+        rows = rows.withColumn(f"ones{i}", F.coalesce("ones", F.expr("cast(array() as array<bigint>)"))).withColumnRenamed("more", f"more{i}").drop(*[name for name, _ in steps])
+    # terms found once in both of the first two texts are drawn for once: an edited text has half of them from the other
+    parts = [((i,), F.col(f"ones{i}")) for i in range(len(variants))]
+    if len(variants) > 1:
+        rows = rows.withColumn("both", F.array_intersect("ones0", "ones1"))
+        parts[:2] = [((0, 1), F.col("both")), ((0,), F.array_except("ones0", "both")), ((1,), F.array_except("ones1", "both"))]
+    part = lambda k, h, w: F.struct(F.lit(k).alias("part"), h.alias("h"), w.alias("w"))
+    lists = [F.transform(ones, lambda h: part(k, h, F.lit(1))) for k, (_, ones) in enumerate(parts)]  # noqa: B023
+    for i in range(len(variants)):
+        own = next(k for k, (members, _) in enumerate(parts) if members == (i,))
+        lists.append(F.coalesce(F.transform(f"more{i}", lambda x: part(own, x["h"], x["w"])), F.expr("cast(array() as array<struct<part:int,h:bigint,w:int>>)")))  # noqa: B023
+    rows = rows.select(*keys, F.inline_outer(F.concat(*lists))).select(*keys, "part", "h", F.when(F.col("w") == 1, 0.0).otherwise(F.log(F.col("w").cast("double"))).alias("log_w"))
+    best = rows.groupBy(*keys, "part").agg(*[F.min(a).alias(f"a{k}") for k, a in enumerate(samples(F.col("h"), F.col("log_w")))])
+    least = F.struct(*[f"a{k}" for k in range(DRAWS)])
+    wide = best.groupBy(*keys).agg(*[F.max(F.when(F.col("part") == k, least)).alias(f"p{k}") for k in range(len(parts))])
+    told = []
+    for i, v in enumerate(variants):
+        mine = [k for k, (members, _) in enumerate(parts) if i in members]
+        slot = lambda k, mine=mine: F.least(*[F.col(f"p{p}.a{k}") for p in mine]) if len(mine) > 1 else F.col(f"p{mine[0]}.a{k}")
+        code = F.concat(*[F.lpad(F.lower(F.hex(F.xxhash64(slot(k)).bitwiseAND(0xFFFF))), 4, "0") for k in range(DRAWS)])
+        told.append(F.when(slot(0).isNull(), F.lit(EMPTY * DRAWS)).otherwise(code).alias(f"fp_{v}"))
+    return wide.select(*keys, *told)
 
 
 def with_next(docs: DataFrame) -> DataFrame:

@@ -169,3 +169,22 @@ def test_factors_cover_every_window_that_stands_elsewhere():
         count = Counter(w for s in stretches for w in s)
         covered = {(k, i + j) for k, i, m in factors(stretches, [False] * len(stretches)) for j in range(m)}
         assert covered == {(k, i) for k, s in enumerate(stretches) for i, w in enumerate(s) if count[w] > 1}
+
+
+def test_fingerprints_of_two_texts_share_their_draws(spark):
+    """Texts alone and beside another have equal fingerprints, and what both share is drawn for once."""
+    from pyspark.sql import functions as F
+
+    from atomweave.llm.fingerprints import EMPTY, fingerprints
+
+    words = [f"w{i * 7919 % 5003}" for i in range(400)]
+    rows = [(0, " ".join(words), " ".join(words[:200] + words[:200])), (1, "", "one two"), (2, None, " ".join(words)), (3, "a b", None), (4, "x " * 40, "x " * 30)]
+    texts = spark.createDataFrame(rows, "id long, a string, b string")
+    both = {r.id: r for r in fingerprints(texts, ["id"], ["a", "b"]).collect()}
+    for v in "ab":
+        alone = {r.id: r[f"fp_{v}"] for r in fingerprints(texts, ["id"], [v]).collect()}
+        assert alone == {k: r[f"fp_{v}"] for k, r in both.items()}
+    assert both[1].fp_a == both[2].fp_a == both[3].fp_b and set(both[1].fp_a) == set(EMPTY) and both[2].fp_b == both[0].fp_a
+    same = texts.where("id = 0").select("id", "a", F.col("a").alias("b"))
+    plan = fingerprints(same, ["id"], ["a", "b"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_intersect" in plan and "array_except" in plan
