@@ -32,6 +32,18 @@ def test_boxes_of_all_sizes_meet_once(spark):
     assert spatial.overlap_join(right.where("id >= 2000"), right.where("id >= 2000")).count() == 8  # points alone, repeated from both sides
 
 
+def test_a_full_cell_is_dealt_over_tasks(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    made = lambda n: spark.createDataFrame([(0, i, a.tolist(), (a + 0.9).tolist()) for i, a in enumerate(rng.uniform(0, 0.1, (n, 3)))], BOXES)
+    left, right = made(90), made(70)  # all meet, in one cell
+    monkeypatch.setattr(spatial, "BLOCK", 16, raising=False)
+    monkeypatch.setattr(spatial, "PER_TASK", 256, raising=False)
+    pairs = spatial.overlap_join(left, right, ("frame",)).select("left.id", F.col("right.id").alias("other"), F.spark_partition_id().alias("task")).collect()
+    assert sorted((r.id, r.other) for r in pairs) == list(itertools.product(range(90), range(70)))
+    tasks = [sum(r.task == k for r in pairs) for k in {r.task for r in pairs}]
+    assert len(tasks) > 8 and max(tasks) < 90 * 70 / 3
+
+
 def meets(t, v):
     """Whether some point of the triangle lies in the tetrahedron, or an edge of either passes the other's face."""
 
