@@ -10,13 +10,15 @@ prefix n-grams, and one exact verification per pair.
 3. Prefix rows meet at their n-gram. There, every class is offered two partners, the first of the n-gram's list and the
    one just before it; each class has its two most frequent offers verified. A second round draws partners from other
    components. That links groups of near copies with a number of pairs in proportion to their members.
-4. Remaining pairs that share a prefix n-gram and lie in different components are formed if they pass the filters by
+4. At crowded n-grams of several components, each shows a few classes; the closest few of such pairs of two components
+   are verified, and components that link are joined.
+5. Remaining pairs that share a prefix n-gram and lie in different components are formed if they pass the filters by
    length, position and parity map, which the join itself applies. Pairs within a component can't change it.
 
 Verification compares each pair once: the suffix filter first (it splits both ordered sets at one n-gram, again and
 again, and adds up by how much the parts differ in size), then the whole sets.
 
-Exactness: two linked sets share a prefix n-gram, so they end in one component through step 3 or step 4.
+Exactness: two linked sets share a prefix n-gram, so they end in one component through step 3, 4 or 5.
 """
 
 from __future__ import annotations
@@ -40,6 +42,8 @@ PARITY_BITS = 1024
 PARTNERS = 3
 #: Drawn partners of a class that the parity map ranks to choose those; pairs left over are formed later.
 DRAWN = 12
+#: An n-gram of more rows than this is crowded: it shows so many classes of each component before its remaining pairs are formed.
+CROWD = 64
 #: 64-bit words of the parity map by which the last join filters, and how often the suffix filter splits a part.
 FOLDED, SPLITS = 16, 3
 #: Sets of one task that are remembered, so that copies read by the same task emit their prefix once.
@@ -271,11 +275,11 @@ def _could_link(x: str, y: str):
 
 
 def _mixed(met: DataFrame, components: DataFrame, name: str) -> DataFrame:
-    """Prefix rows with their class's component, of the n-grams where several components meet."""
+    """Prefix rows with their class's component and their n-gram's number of rows, of the n-grams where several components meet."""
     named = met.select("token", "cls", "n", "pos").join(components.withColumnRenamed("vertex", "cls"), "cls", "left")
     named = named.withColumn("component", F.coalesce("component", "cls"))
-    several = named.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    return cut(named.join(several.select("token"), "token"), name)
+    several = named.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("crowd")).where("lo < hi")
+    return cut(named.join(several.select("token", "crowd"), "token"), name)
 
 
 def _folds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,20 +288,42 @@ def _folds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column(0), pa.array([m.tolist() for m in maps], pa.list_(pa.int64()))], names=["cls", "fold"])
 
 
-def _crossing(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs ``(a, b)`` of classes that share a prefix n-gram across components and pass all filters.
+def _folded(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Prefix rows with their class's parity map, folded to ``FOLDED`` words."""
+    used = rows.select("cls").distinct().join(classes.select("cls", "parity"), "cls").select("cls", "parity")
+    return rows.join(used.mapInArrow(_folds, "cls long, fold array<long>"), "cls")
+
 
-    Parity maps, folded to ``FOLDED`` words, are compared in the join's own condition, so a pair that they rule out is
-    no row.
+def _across(rows: DataFrame) -> DataFrame:
+    """``(a, b, ca, cb, apart)``: rows of folded classes that share a prefix n-gram across components and pass all filters.
+
+    Parity maps are compared in the join's own condition, so a pair that they rule out is no row.
     """
-    used = rows.select("cls").distinct().join(classes.select("cls", "parity"), "cls").select("cls", "parity")
-    rows = rows.join(used.mapInArrow(_folds, "cls long, fold array<long>"), "cls")
     x, y = rows.select(*[F.col(c).alias(f"x_{c}") for c in rows.columns]), rows.select(*[F.col(c).alias(f"y_{c}") for c in rows.columns])
     apart = sum((F.bit_count(F.get("x_fold", F.lit(k)).bitwiseXOR(F.get("y_fold", F.lit(k)))) for k in range(1, FOLDED)), F.bit_count(F.get("x_fold", F.lit(0)).bitwiseXOR(F.get("y_fold", F.lit(0)))))
     total = F.col("x_n") + F.col("y_n")
     near = apart <= total - 2 * F.floor((3 * total + 6) / 7)
     crossing = x.join(y, (F.col("x_token") == F.col("y_token")) & (F.col("x_cls") < F.col("y_cls")) & (F.col("x_component") != F.col("y_component")) & _could_link("x_", "y_") & near)
-    return crossing.select(F.col("x_cls").alias("a"), F.col("y_cls").alias("b")).distinct()
+    return crossing.select(F.col("x_cls").alias("a"), F.col("y_cls").alias("b"), F.col("x_component").alias("ca"), F.col("y_component").alias("cb"), apart.alias("apart"))
+
+
+def _crossing(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """All pairs ``(a, b)`` of classes that share a prefix n-gram across components and pass all filters."""
+    return _across(_folded(rows, classes)).select("a", "b").distinct()
+
+
+def _meeting(rows: DataFrame, classes: DataFrame, compared: DataFrame) -> DataFrame:
+    """Of two components that share prefix n-grams the ``PARTNERS`` closest pairs ``(a, b)``, each n-gram showing ``CROWD`` classes of a component.
+
+    They are drawn by n-gram, so large components show many; pairs grow with the components that meet, not with their members.
+    """
+    drawn = Window.partitionBy("token", "component").orderBy(F.xxhash64("token", "cls"), "cls")
+    some = rows.withColumn("r", F.row_number().over(drawn)).where(F.col("r") <= CROWD).drop("r")
+    ends = [F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb")]
+    met = _across(_folded(some, classes)).select("a", "b", *ends, "apart").distinct()
+    closest = Window.partitionBy("ca", "cb").orderBy("apart", "a", "b")
+    met = met.join(compared, ["a", "b"], "left_anti").withColumn("r", F.row_number().over(closest))
+    return met.where(F.col("r") <= PARTNERS).select("a", "b")
 
 
 def _new_pairs(pairs: DataFrame, compared: DataFrame) -> DataFrame:
@@ -351,7 +377,13 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5) -> DataFrame:
     second = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
 
     left = _mixed(left.drop("component"), second, "rest")
-    more, _ = _links(docs, _new_pairs(_crossing(left, classes), compared), classes, width, "more")
+    crowded = left.where(F.col("crowd") > CROWD).drop("crowd")
+    if not crowded.isEmpty():
+        found, compared_too = _links(docs, _meeting(crowded, classes, compared), classes, width, "meetings")
+        links, compared = links.unionAll(found), compared.unionAll(compared_too)
+        third = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+        left = _mixed(left.drop("component"), third, "apart")
+    more, _ = _links(docs, _new_pairs(_crossing(left.drop("crowd"), classes), compared), classes, width, "more")
 
     every = links.unionAll(more).select(F.col("a").alias("src"), F.col("b").alias("dst"))
     final = connected_components(every).withColumnRenamed("vertex", "cls")

@@ -150,6 +150,31 @@ def test_ngram_join_of_star_of_edits(spark):
     assert sorted(got) == sorted(components(texts))
 
 
+def test_ngram_join_of_crowd_links_components_before_pairs(spark, monkeypatch):
+    """Many edits of one text of which few link: components are joined first, so the last join forms next to no pairs."""
+    from atomweave.llm import ngram_join
+
+    rng = random.Random(11)
+    base = [rng.choice([f"w{i}" for i in range(400)]) for _ in range(110)]
+    texts = []
+    for i in range(300):
+        w = list(base)
+        for k in rng.sample(range(110), 2):
+            w[k] = f"e{i}_{k}"
+        texts.append((i, " ".join(w)))
+    formed, crossing = [], ngram_join._crossing
+
+    def counted(rows, classes):
+        pairs = crossing(rows, classes)
+        formed.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(ngram_join, "_crossing", counted)
+    got = [tuple(r) for r in ngram_join.ngram_jaccard_join(make(spark, texts)).select("doc_id", "n_shingles", "component_id").collect()]
+    assert sorted(got) == sorted(components(texts))
+    assert formed[0] <= len(texts)
+
+
 def test_mixing(spark):
     from atomweave.llm.mixing import mix_sources
 
