@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import time
 
 import numpy as np
 import pytest
@@ -253,3 +254,44 @@ def test_shells_by_solid_angle_hold_what_distance_loses():
     assert all(np.abs(shell - w).max(1).min() < 1e-12 for w in v)
     found = C.identify(near[None], ["BCC", "FCC", "HCP", "SC"])
     assert found["kind"][0] == C.KINDS["BCC"] and sorted(found["order"][0]) == sorted(places[:14].tolist())
+
+
+def _tried_in_full(shell, kind):
+    """The assignment with the least sum of squares, every way to lay two vectors tried on all."""
+    t = C._template(kind)
+    n, v = len(t), shell / np.linalg.norm(shell, axis=1).mean()
+    length = np.linalg.norm(t, axis=1)
+    cosine = t @ t.T / np.outer(length, length)
+    other = int(np.argmin(np.where(np.abs(cosine[0]) < 0.9, np.abs(length - length[0]) - 1e-3 * np.arange(n)[::-1] / n, 9)))
+    unit, goal, best, chosen = v / np.linalg.norm(v, axis=1, keepdims=True), C._frames(t[:1], t[other : other + 1])[0], np.inf, None
+    for i in range(n):
+        for j in range(n):
+            if i != j and abs(unit[i] @ unit[j] - cosine[0, other]) < 0.3:
+                far = ((t @ (C._frames(v[i : i + 1], v[j : j + 1])[0].T @ goal).T)[:, None] - v[None]) ** 2
+                at, cost = far.sum(-1).argmin(1), far.sum(-1).min(1).sum()
+                if len(set(at.tolist())) == n and cost < best - 1e-12:
+                    best, chosen = cost, at
+    return best, chosen
+
+
+def test_templates_are_matched_in_little_time_and_as_in_full():
+    rng = np.random.default_rng(3)
+    for kind in C.KINDS:
+        turn = np.linalg.qr(rng.normal(size=(3, 3)))[0]
+        turn *= np.sign(np.linalg.det(turn))
+        for noise in (0.005, 0.08):
+            v = C.lattice_vectors(kind) @ turn.T + rng.normal(0, noise, (3, C.SHELLS[kind], 3))
+            for name in C.KINDS:
+                shells = v[:, : C.SHELLS[name]]
+                if shells.shape[1] < C.SHELLS[name]:
+                    continue
+                rmsd, _, _, order = C.match_template(shells, name)
+                for k, shell in enumerate(shells):
+                    cost, chosen = _tried_in_full(shell, name)
+                    assert np.isfinite(cost) == np.isfinite(rmsd[k]) and (chosen is None or chosen.tolist() == order[k].tolist())
+                    assert C._least_rmsd(shells[k : k + 1], name)[0] <= rmsd[k] + 1e-7
+    axes = np.concatenate([np.eye(3), -np.eye(3)])
+    shells = np.concatenate([C.lattice_vectors("FCC"), axes]) + rng.normal(0, 0.005, (2000, 18, 3))
+    began = time.process_time()
+    told = C.identify(shells, list(C.KINDS))
+    assert (told["kind"] == C.KINDS["FCC"]).all() and time.process_time() - began < 4
