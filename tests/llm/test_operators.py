@@ -268,6 +268,23 @@ def test_html(spark):
     assert extract_main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_repeats_are_looked_for_in_marked_articles_too(spark):
+    """Boxes in articles that pages of a host share go; the article's own paragraphs stay, license lines too."""
+    from atomweave.llm.html import extract_main_text
+
+    box, note = "read more about our cookies and the privacy terms here now", "released under the same license as all of our other work here"
+    own = lambda i: " ".join(WORDS[i * 9 : i * 9 + 30])
+    pages = [(i, f"http://h/{i}", f"<main><h1>t{i}</h1><p>{own(i)}</p><div class='sidebar-left'><p>{box}</p></div><ul><li>{own(i + 20)}</li></ul><p>{note}</p></main>") for i in range(3)]
+    pages += [(10 + i, f"http://h/{i}", f"<article><p>{note}</p><p>{own(i + 30)} {own(36)}</p></article>") for i in range(2)]
+    pages += [(20, "http://h/x", f"<body><p>{own(36)}</p><p>{own(40)}</p>"), (30, "http://other/", f"<main><p>{own(3)}</p><div>{box}</div></main>")]
+    rows = spark.createDataFrame(pages, "page_id long, url string, html string")
+    for sent in (500_000, -1):
+        got = {r.page_id: r.text for r in extract_main_text(rows, most_sent=sent).collect()}
+        assert [got[i] for i in range(3)] == [f"t{i} {own(i)} {own(i + 20)} {note}" for i in range(3)]
+        assert [got[10 + i] for i in range(2)] == [f"{note} {own(i + 30)} {own(36)}" for i in range(2)]
+        assert got[20] == own(40) and got[30] == f"{own(3)} {box}"
+
+
 def test_html_of_deep_pages_takes_linear_time():
     from atomweave.llm.html import blocks
 
