@@ -55,6 +55,23 @@ def test_spanning_links_give_the_clusters_of_all_pairs(spark, monkeypatch, cell,
         assert len(rows) > 50 and all(np.allclose(near[r.frame, r.id], (r.cluster, r.ux, r.uy, r.uz), atol=1e-9) for r in rows)
 
 
+@pytest.mark.parametrize("cell, pbc, cutoff", [(c, p, 0.45 if r < 2 else r) for c, p, r in CELLS])
+def test_parts_of_tiles_give_the_clusters_of_all_pairs(spark, monkeypatch, cell, pbc, cutoff):
+    monkeypatch.setattr(neighbors, "PER_TILE", 20)
+    atoms, cells = frames(spark, cell, pbc)
+    told = lambda d: sorted(map(str, d.collect()))
+    for reach in (cutoff, cutoff / 2):
+        assert told(structure.clusters_within(atoms, cells, reach)) == told(structure.clusters(atoms, cutoff_neighbors(atoms, cells, reach)))
+
+
+def test_parts_of_tiles_contract_few_links(spark, monkeypatch):
+    """In a dense frame links between parts of tiles are few, however many atoms there are."""
+    seen, whole = [], neighbors.connected_components
+    monkeypatch.setattr(neighbors, "connected_components", lambda links: (seen.append(links.count()), whole(links))[1])
+    atoms, cells = frames(spark, np.eye(3) * 4, (True, True, True), 1200)
+    assert len({r.root for r in neighbors.parts_within(atoms, cells, 1.2).collect()}) <= 2 and seen[0] < 100
+
+
 def test_links_grow_with_atoms_not_with_pairs(spark):
     """Twelve times the atoms of a frame have 144 times the pairs; the links stay below the rows of the tiles."""
     for n in (100, 1200):
